@@ -122,7 +122,7 @@ f3 AS (
   SELECT 'shop' AS db, coll, op, key, doc, step AS pos_hi, key AS pos_lo, CAST(d.seq AS BIGINT) AS pos_seq,
          base_ms + step * 3600000 AS committed_ms
   FROM (
-    SELECT o_orderkey AS key, epoch_ms(o_orderdate) AS base_ms,
+    SELECT o_orderkey AS key, (epoch_us(o_orderdate) // 1000) AS base_ms,
            CASE WHEN o_orderkey % 4 = 3 THEN 'archive' ELSE 'orders' END AS coll,
            s.step, s.op, s.doc, s.on_
     FROM orders, unnest([
@@ -142,8 +142,8 @@ f3 AS (
 
 F4 = """
 f4b AS (
-  SELECT user_id AS connection_id, event_id, ts, epoch_ms(ts) AS ts_ms,
-         CAST(epoch_ms(ts) >= 1705276800000 + (user_id % 24) * 3600000 AS INTEGER) AS epoch,
+  SELECT user_id AS connection_id, event_id, ts, (epoch_us(ts) // 1000) AS ts_ms,
+         CAST((epoch_us(ts) // 1000) >= 1705276800000 + (user_id % 24) * 3600000 AS INTEGER) AS epoch,
          CAST(event_type = 'purchase' AS BIGINT) AS d_insert,
          CAST(event_type = 'click' AS BIGINT) AS d_query,
          CAST(event_type = 'signup' AS BIGINT) AS d_update,
@@ -186,7 +186,7 @@ f5 AS (
          CASE WHEN event_type = 'purchase' THEN 'insert' WHEN event_type = 'signup' THEN 'update'
               WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'view' THEN 'getmore'
               WHEN event_id % 6 = 0 THEN 'command' ELSE 'query' END AS op,
-         value AS millis, ts, epoch_ms(ts) AS ts_ms,
+         value AS millis, ts, (epoch_us(ts) // 1000) AS ts_ms,
          '{"find":"' || event_type || '"' || CASE WHEN event_id % 4 = 0 THEN ',"query":' ELSE ',"filter":' END
            || '{"k":' || json_extract_string(props, '$.k')
            || CASE WHEN event_id % 3 = 0 THEN ',"user":' || CAST(user_id AS VARCHAR) ELSE '' END
@@ -204,9 +204,9 @@ f6 AS (
          {_list(RUN_KINDS)}[o_orderkey % 3 + 1] AS kind,
          CASE WHEN o_orderstatus = 'F' THEN 'succeeded' WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'running' END
            AS status,
-         epoch_ms(o_orderdate) + (o_orderkey % 86400) * 1000 AS started_ms,
+         (epoch_us(o_orderdate) // 1000) + (o_orderkey % 86400) * 1000 AS started_ms,
          CASE WHEN o_orderstatus IN ('F', 'P')
-              THEN epoch_ms(o_orderdate) + (o_orderkey % 86400) * 1000 + (CAST(floor(o_totalprice) AS BIGINT) % 7200) * 1000
+              THEN (epoch_us(o_orderdate) // 1000) + (o_orderkey % 86400) * 1000 + (CAST(floor(o_totalprice) AS BIGINT) % 7200) * 1000
          END AS ended_ms,
          CAST(round(o_totalprice * 1000) AS BIGINT) AS size_bytes,
          o_orderpriority AS label
@@ -216,3 +216,29 @@ f6 AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+F7_PG = """
+f7s AS (SELECT connection_id, min(ts_ms) - 60000 AS start_ms FROM f4 GROUP BY 1),
+f7pg AS (
+  SELECT connection_id, event_id, ts_ms,
+         CAST(floor((ts_ms - start_ms) / 1000) AS BIGINT) AS uptime_s,
+         "insert" + query + "delete" AS xact, bytes_in AS blks_hit, pages_read AS blks_read,
+         connections_current AS sessions_total, connections_current % 17 AS sessions_active,
+         connections_current - connections_current % 17 - connections_current % 3 AS sessions_idle,
+         connection_id % 4 = 1 AS is_replica, CAST(event_id % 90 AS DOUBLE) AS replica_lag_s
+  FROM f4 JOIN f7s USING (connection_id)
+)"""
+
+F7_MY = """
+f7w AS (
+  SELECT p.connection_id, p.event_id, uptime_s AS "Uptime", sessions_total AS "Threads_connected",
+         sessions_active AS "Threads_running", f4."insert" + f4.query AS "Com_commit", f4."delete" AS "Com_rollback",
+         f4.command AS "Questions", f4.pages_requested * 10 AS "Innodb_buffer_pool_read_requests",
+         f4.pages_read AS "Innodb_buffer_pool_reads"
+  FROM f7pg p JOIN f4 USING (connection_id, event_id)
+),
+f7my AS (
+  SELECT connection_id, event_id, variable_name, CAST(v AS VARCHAR) AS value
+  FROM (UNPIVOT f7w ON "Uptime", "Threads_connected", "Threads_running", "Com_commit", "Com_rollback", "Questions",
+        "Innodb_buffer_pool_read_requests", "Innodb_buffer_pool_reads" INTO NAME variable_name VALUE v)
+)"""

@@ -242,7 +242,8 @@ def f4_replica_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     optime = the member's latest event in that hour."""
     e = _events(spark, sf_dir)
     u = F.col("user_id")
-    state = (F.when(u < 10, F.lit(1)).when(u % 7 == 0, F.lit(8)).when(u % 5 == 0, F.lit(7))
+    m = F.col("member_id")
+    state = (F.when(m < 10, F.lit(1)).when(m % 7 == 0, F.lit(8)).when(m % 5 == 0, F.lit(7))
              .otherwise(F.lit(2)))
     return (e.groupBy((u % 10).alias("set_id"), u.alias("member_id"),
                       F.date_trunc("hour", "ts").alias("sample_ts"))
@@ -308,3 +309,43 @@ def f6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("o_totalprice") * 1000).cast("long").alias("size_bytes"),
         F.col("o_orderpriority").alias("label"),
     )
+
+
+# -- F7 SQL-engine samples (derived from F4) ----------------------------------
+def f7_pg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PG ``pg_stat_database``-style samples: one per F4 sample. Uptime counts
+    from one minute before the connection's first sample (a grouped min
+    joined back, so no whole-connection window)."""
+    s = f4_counter_samples(spark, sf_dir)
+    start = s.groupBy("connection_id").agg((F.min("ts_ms") - 60000).alias("start_ms"))
+    cur = F.col("connections_current")
+    return s.join(start, "connection_id").select(
+        "connection_id", "event_id", "ts_ms",
+        F.floor((F.col("ts_ms") - F.col("start_ms")) / 1000).cast("long").alias("uptime_s"),
+        (F.col("insert") + F.col("query") + F.col("delete")).alias("xact"),
+        F.col("bytes_in").alias("blks_hit"), F.col("pages_read").alias("blks_read"),
+        cur.alias("sessions_total"), (cur % 17).alias("sessions_active"),
+        (cur - cur % 17 - cur % 3).alias("sessions_idle"),
+        (F.col("connection_id") % 4 == 1).alias("is_replica"),
+        (F.col("event_id") % 90).cast("double").alias("replica_lag_s"))
+
+
+MYSQL_STATUS_NAMES = ["Uptime", "Threads_connected", "Threads_running", "Com_commit", "Com_rollback",
+                      "Questions", "Innodb_buffer_pool_read_requests", "Innodb_buffer_pool_reads"]
+
+
+def f7_mysql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MySQL ``SHOW GLOBAL STATUS`` rows (name, text value) per F4 sample."""
+    p = f7_pg_stats(spark, sf_dir)
+    s = f4_counter_samples(spark, sf_dir).select("connection_id", "event_id", "insert", "query", "delete",
+                                                 "command", "pages_requested", "pages_read")
+    w = p.join(s, ["connection_id", "event_id"]).select(
+        "connection_id", "event_id",
+        F.col("uptime_s").alias("Uptime"), F.col("sessions_total").alias("Threads_connected"),
+        F.col("sessions_active").alias("Threads_running"),
+        (F.col("insert") + F.col("query")).alias("Com_commit"), F.col("delete").alias("Com_rollback"),
+        F.col("command").alias("Questions"),
+        (F.col("pages_requested") * 10).alias("Innodb_buffer_pool_read_requests"),
+        F.col("pages_read").alias("Innodb_buffer_pool_reads"))
+    long = w.unpivot(["connection_id", "event_id"], MYSQL_STATUS_NAMES, "variable_name", "v")
+    return long.select("connection_id", "event_id", "variable_name", F.col("v").cast("string").alias("value"))
