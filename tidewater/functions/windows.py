@@ -35,3 +35,20 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
                for c in cols]
     keep = [c for c in d.columns if c not in {b, "_first", "_pb", *[prefix + c for c in cols]}]
     return d.select(*keep, *patched)
+
+
+def split_cumsum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, col: Column,
+                 out: str) -> DataFrame:
+    """Running ``sum(col)`` over ``partition by keys order by order`` computed
+    per ``(keys, bucket)`` plus the total of all earlier buckets (a per-bucket
+    aggregate with its own small window), so no task holds a whole key."""
+    b = "_bucket"
+    d = df.withColumn(b, bucket).withColumn("_v", col)
+    w = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_within", F.sum("_v").over(w))
+    totals = d.groupBy(*keys, b).agg(F.sum("_v").alias("_bt"))
+    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, b, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+    return (d.join(offsets, [*keys, b], "left")
+            .withColumn(out, F.col("_within") + F.col("_off"))
+            .drop(b, "_v", "_within", "_off"))

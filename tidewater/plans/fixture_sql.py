@@ -242,3 +242,21 @@ f7my AS (
   FROM (UNPIVOT f7w ON "Uptime", "Threads_connected", "Threads_running", "Com_commit", "Com_rollback", "Questions",
         "Innodb_buffer_pool_read_requests", "Innodb_buffer_pool_reads" INTO NAME variable_name VALUE v)
 )"""
+
+
+F6_RULES = """
+f6r AS (
+  SELECT u.user_id * 8 + t.j AS rule_id, u.user_id AS connection_id, u.user_id % 3 AS profile_id,
+         t.metric || '@conn-' || CAST(u.user_id AS VARCHAR) AS name, t.metric, t.condition, t.threshold,
+         t.duration_minutes, (u.user_id + t.j) % 13 <> 0 AS enabled
+  FROM (SELECT DISTINCT user_id FROM events) u, (VALUES
+    (0, 'currentConnections', 'gt', 150.0::DOUBLE, 5),
+    (1, 'availableConnections', 'lt', 700.0::DOUBLE, 1),
+    (2, 'memResident', 'gte', 600.0::DOUBLE, 10),
+    (3, 'opsPerSecTotal', 'gt', 0.0005::DOUBLE, 2),
+    (4, 'replicationLag', 'gt', 30.0::DOUBLE, 3),
+    (5, 'wtCachePercent', 'gt', 50.0::DOUBLE, 5),
+    (6, 'networkBytesIn', 'gt', 100000.0::DOUBLE, 60),
+    (7, 'memVirtual', 'lte', 2100.0::DOUBLE, 1)
+  ) AS t(j, metric, condition, threshold, duration_minutes)
+)"""

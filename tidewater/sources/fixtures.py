@@ -349,3 +349,34 @@ def f7_mysql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pages_read").alias("Innodb_buffer_pool_reads"))
     long = w.unpivot(["connection_id", "event_id"], MYSQL_STATUS_NAMES, "variable_name", "v")
     return long.select("connection_id", "event_id", "variable_name", F.col("v").cast("string").alias("value"))
+
+
+# -- F6 rules -------------------------------------------------------------------
+# Eight rule templates applied to every connection: (metric, condition, threshold, duration minutes).
+RULE_TEMPLATES = [
+    ("currentConnections", "gt", 150.0, 5),
+    ("availableConnections", "lt", 700.0, 1),
+    ("memResident", "gte", 600.0, 10),
+    ("opsPerSecTotal", "gt", 0.0005, 2),
+    ("replicationLag", "gt", 30.0, 3),
+    ("wtCachePercent", "gt", 50.0, 5),
+    ("networkBytesIn", "gt", 100000.0, 60),
+    ("memVirtual", "lte", 2100.0, 1),
+]
+
+
+def f6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 rules: the eight templates for every connection (user) seen in
+    ``events``; rule_id = user * 8 + template; some rules disabled."""
+    users = _events(spark, sf_dir).select(F.col("user_id").alias("connection_id")).distinct()
+    tpl = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(m).alias("metric"), F.lit(c).alias("condition"),
+                             F.lit(t).alias("threshold"), F.lit(d).alias("duration_minutes"))
+                    for j, (m, c, t, d) in enumerate(RULE_TEMPLATES)])
+    r = users.select("connection_id", F.explode(tpl).alias("t"))
+    return r.select(
+        (F.col("connection_id") * 8 + F.col("t.j")).alias("rule_id"), "connection_id",
+        (F.col("connection_id") % 3).alias("profile_id"),
+        F.concat(F.col("t.metric"), F.lit("@conn-"), F.col("connection_id").cast("string")).alias("name"),
+        F.col("t.metric").alias("metric"), F.col("t.condition").alias("condition"),
+        F.col("t.threshold").alias("threshold"), F.col("t.duration_minutes").alias("duration_minutes"),
+        ((F.col("connection_id") + F.col("t.j")) % 13 != 0).alias("enabled"))
