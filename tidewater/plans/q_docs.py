@@ -134,7 +134,7 @@ def agg_match(spark, sf_dir):
 
 @query("agg_group", ORDERS_SQL + """
 SELECT o_custkey AS _id, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total,
-       round(sum(o_totalprice) / count(o_totalprice), 2) AS avg_price, min(o_totalprice) AS min_price, max(o_totalprice) AS max_price,
+       avg(o_totalprice) AS avg_price, min(o_totalprice) AS min_price, max(o_totalprice) AS max_price,
        arg_min(_id, (o_totalprice, _id)) AS first_id, arg_max(_id, (o_totalprice, _id)) AS last_id,
        list(_id ORDER BY o_totalprice, _id) AS ids, list_sort(list(DISTINCT o_orderpriority)) AS priorities
 FROM od GROUP BY o_custkey""")
@@ -148,7 +148,7 @@ def agg_group(spark, sf_dir):
                     "last_id": {"$last": "$_id"}, "ids": {"$push": "$_id"},
                     "priorities": {"$addToSet": "$o_orderpriority"}}}], limit=None)
     return p.withColumns({"n": F.col("n").cast("long"), "total": F.round("total", 2),
-                          "avg_price": F.round("avg_price", 2)})
+                          "avg_price": F.col("avg_price")})
 
 
 @query("agg_sort_limit", ORDERS_SQL + """
