@@ -52,3 +52,22 @@ def split_cumsum(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
     return (d.join(offsets, [*keys, b], "left")
             .withColumn(out, F.col("_within") + F.col("_off"))
             .drop(b, "_v", "_within", "_off"))
+
+
+def split_ffill(df: DataFrame, order: str, bucket: Column, col: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """``last(col, ignoreNulls)`` carried forward in ``order`` without a global
+    single-task window: fill within each bucket, then seed each bucket with
+    the last non-null value of the buckets before it (a tiny per-bucket table)."""
+    keys = keys or []
+    b = "_bucket"
+    d = df.withColumn(b, bucket)
+    w = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_in", F.last(col, ignorenulls=True).over(w))
+    last = (d.filter(F.col(col).isNotNull()).groupBy(*keys, b)
+            .agg(F.max_by(col, order).alias("_bl")))
+    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    # buckets without any non-null value still need a seed: take it from the nearest earlier bucket
+    allb = d.select(*keys, b).distinct().join(last.select(*keys, b, "_bl"), [*keys, b], "left")
+    seeds = allb.select(*keys, b, F.last("_bl", ignorenulls=True).over(wb).alias("_seed"))
+    return (d.join(seeds, [*keys, b], "left")
+            .withColumn(out, F.coalesce("_in", "_seed")).drop(b, "_in", "_seed"))

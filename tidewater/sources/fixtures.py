@@ -184,9 +184,9 @@ def f3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.lit("shop").alias("db"), "coll", F.col("e.op").alias("op"), "key", F.col("e.doc").alias("doc"),
         F.col("e.step").cast("long").alias("pos_hi"), F.col("key").alias("pos_lo"),
-        F.explode(dup).cast("long").alias("pos_seq"),
+        F.explode(dup).alias("pos_seq"),
         (F.col("base_ms") + F.col("e.step") * F.lit(3600000)).alias("committed_ms"),
-    )
+    ).withColumn("pos_seq", F.col("pos_seq").cast("long"))
 
 
 # -- F4 counters / F5 op log (from events) ----------------------------------
@@ -380,3 +380,92 @@ def f6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("t.metric").alias("metric"), F.col("t.condition").alias("condition"),
         F.col("t.threshold").alias("threshold"), F.col("t.duration_minutes").alias("duration_minutes"),
         ((F.col("connection_id") + F.col("t.j")) % 13 != 0).alias("enabled"))
+
+
+# -- F3 raw change logs (one JSON text per delivered message) ----------------------
+MONGO_EPOCH_S = 1700000000
+
+
+def f3_raw_mongo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-stream messages: insert (replace for k % 5 = 0 at step 0), update
+    (no fullDocument when k % 13 = 0, which the normaliser skips), delete;
+    plus drop (k % 50 = 0) and invalidate (k % 60 = 1) noise. clusterTime
+    (t, i) = (epoch + step, k); ``arrival`` is the delivery order."""
+    e = f3_changes(spark, sf_dir)
+    k, hi = F.col("key"), F.col("pos_hi")
+    op_type = F.when((F.col("op") == "insert") & (hi == 0) & (k % 5 == 0), F.lit("replace")).otherwise(F.col("op"))
+    has_full = (F.col("op") != "delete") & ~((F.col("op") == "update") & (k % 13 == 0))
+    raw = F.concat(
+        F.lit('{"operationType":"'), op_type, F.lit('","ns":{"db":"shop","coll":"'), F.col("coll"),
+        F.lit('"},"documentKey":{"_id":'), _s(k), F.lit("}"),
+        F.when(has_full, F.concat(F.lit(',"fullDocument":'), F.col("doc"))).otherwise(F.lit("")),
+        F.lit(',"clusterTime":{"t":'), _s(hi + MONGO_EPOCH_S), F.lit(',"i":'), _s(k), F.lit("}}"))
+    msgs = e.select((hi * 1000000000 + k * 2 + F.col("pos_seq")).alias("arrival"), raw.alias("raw"))
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    drop = o.filter(F.col("k") % 50 == 0).select(
+        (F.lit(9000000000) + F.col("k") * 2).alias("arrival"),
+        F.concat(F.lit('{"operationType":"drop","ns":{"db":"shop","coll":"orders"},"clusterTime":{"t":'),
+                 F.lit(str(MONGO_EPOCH_S + 9)), F.lit(',"i":'), _s("k"), F.lit("}}")).alias("raw"))
+    inval = o.filter(F.col("k") % 60 == 1).select(
+        (F.lit(9500000000) + F.col("k") * 2).alias("arrival"),
+        F.concat(F.lit('{"operationType":"invalidate","clusterTime":{"t":'), F.lit(str(MONGO_EPOCH_S + 10)),
+                 F.lit(',"i":'), _s("k"), F.lit("}}")).alias("raw"))
+    return msgs.unionByName(drop).unionByName(inval)
+
+
+def f3_raw_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical-decoding rows: action I/U/D with LSN 'hi/lo' in hex, new row in
+    ``columns``, the key in ``identity`` for deletes; begin/commit frames
+    (k % 10 = 0) and truncate (k % 100 = 1) are noise."""
+    e = f3_changes(spark, sf_dir)
+    k = F.col("key")
+    lsn = F.concat(F.hex("pos_hi"), F.lit("/"), F.hex(F.col("pos_lo") * 16))
+    action = F.when(F.col("op") == "insert", F.lit("I")).when(F.col("op") == "update", F.lit("U")).otherwise(F.lit("D"))
+    body = F.when(F.col("op") == "delete", F.concat(F.lit(',"identity":{"o_orderkey":'), _s(k), F.lit("}"))) \
+            .otherwise(F.concat(F.lit(',"columns":'), F.col("doc")))
+    raw = F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"'), action, F.lit('","schema":"public","table":"'),
+                   F.col("coll"), F.lit('"'), body, F.lit("}"))
+    msgs = e.select((F.col("pos_hi") * 1000000000 + k * 4 + F.col("pos_seq") + 1).alias("arrival"), raw.alias("raw"))
+    frames = e.filter((F.col("pos_seq") == 0) & (k % 10 == 0)).select(
+        F.explode(F.array(
+            F.struct((F.col("pos_hi") * 1000000000 + k * 4).alias("arrival"),
+                     F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"B"}')).alias("raw")),
+            F.struct((F.col("pos_hi") * 1000000000 + k * 4 + 3).alias("arrival"),
+                     F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"C"}')).alias("raw")))).alias("f"))
+    frames = frames.select("f.arrival", "f.raw")
+    trunc = e.filter((F.col("pos_seq") == 0) & (F.col("pos_hi") == 0) & (k % 100 == 1)).select(
+        (F.lit(8000000000) + k).alias("arrival"),
+        F.concat(F.lit('{"lsn":"9/'), F.hex(k * 16), F.lit('","action":"T","schema":"public","table":"orders"}'))
+        .alias("raw"))
+    return msgs.unionByName(frames).unionByName(trunc)
+
+
+def f3_raw_mysql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binlog row events: one message per (step, table, k div 4) carrying up
+    to four rows; update rows carry before/after; a rotate message opens each
+    step's file (the file name is not repeated on row events). Messages of a
+    group that holds a redelivered key are sent twice."""
+    e = f3_changes(spark, sf_dir).filter(F.col("pos_seq") == 0)
+    k = F.col("key")
+    row = (F.when(F.col("op") == "insert", F.col("doc"))
+           .when(F.col("op") == "update", F.concat(F.lit('{"before":null,"after":'), F.col("doc"), F.lit("}")))
+           .otherwise(F.concat(F.lit('{"o_orderkey":'), _s(k), F.lit("}"))))
+    typ = F.when(F.col("op") == "insert", F.lit("write_rows")).when(F.col("op") == "update", F.lit("update_rows")) \
+           .otherwise(F.lit("delete_rows"))
+    g = (e.groupBy("pos_hi", "coll", typ.alias("type"), F.floor(k / 4).alias("grp"))
+         .agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))).alias("rows"),
+              F.min("committed_ms").alias("committed_ms"),
+              F.max(((F.col("pos_hi") == 0) & (k % 11 == 0)).cast("int")).alias("dup")))
+    raw = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","schema":"shop","table":"'), F.col("coll"),
+                   F.lit('","position":'), _s(F.col("grp") * 100 + 4),
+                   F.lit(',"timestamp":'), _s(F.floor(F.col("committed_ms") / 1000)),
+                   F.lit(',"rows":['), F.array_join(F.transform("rows", lambda s: s["r"]), ","), F.lit("]}"))
+    base = F.col("pos_hi") * 1000000000 + F.col("grp") * 8 + (F.col("coll") == "archive").cast("int") * 4 + 1
+    copies = F.when(F.col("dup") == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    msgs = g.select(base.alias("_b"), raw.alias("raw"), F.explode(copies).alias("_c")) \
+            .select((F.col("_b") + F.col("_c")).alias("arrival"), "raw")
+    rot = e.select("pos_hi").distinct().select(
+        (F.col("pos_hi") * 1000000000).alias("arrival"),
+        F.concat(F.lit('{"type":"rotate","next_file":"binlog.'), F.lpad(_s(F.col("pos_hi") + 1), 6, "0"),
+                 F.lit('","position":4}')).alias("raw"))
+    return msgs.unionByName(rot)
