@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import q_alerts, q_cdc, q_ddl, q_docs, q_history, q_load, q_mapping, q_monitor, q_schema  # noqa: F401  (registers queries)
+from tidewater.plans import q_alerts, q_cdc, q_ddl, q_docs, q_history, q_load, q_mapping, q_monitor, q_schema, q_sinks  # noqa: F401  (registers queries)
 from tidewater.plans.registry import ORACLES, QUERIES
 
 
