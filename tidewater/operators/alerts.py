@@ -56,13 +56,13 @@ def condition_met(value: Column, condition: Column, threshold: Column) -> Column
             .otherwise(F.lit(False)))
 
 
-def mongo_metrics(samples: DataFrame, rates: DataFrame) -> DataFrame:
+def mongo_metrics(samples_with_rates: DataFrame) -> DataFrame:
     """The nine snapshot metrics in long form (connection_id,
     event_id, ts_ms, metric, value); null values are dropped (the rule is
-    skipped for that sample). Replication lag is the max of the members'
+    skipped for that sample); input: samples with their op rates
+    (``op_rates(..., keep_all=True)``, one pass, no self-join). Replication lag is the max of the members'
     known lags, 0 when none is known, null without a replica set."""
-    s = samples.join(rates.select("connection_id", "event_id", *[c + "_per_s" for c in OP_COUNTERS]),
-                     ["connection_id", "event_id"])
+    s = samples_with_rates
     lags = F.when(F.col("event_id") % 2 == 0,
                   F.array((F.col("event_id") % 45).cast("double"), F.lit(None).cast("double"))) \
             .otherwise(F.array(F.lit(None).cast("double")))

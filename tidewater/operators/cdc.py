@@ -18,23 +18,24 @@ POS = ["pos_hi", "pos_lo", "pos_seq"]
 EVENT_COLS = ["db", "coll", "op", "key", "doc", *POS, "committed_ms"]
 
 
-def _g(path: str) -> Column:
-    return F.get_json_object(F.col("raw"), path)
+# -- C1-C3 normalisers ---------------------------------------------------------------------
+MONGO_MSG = ("operationType string, ns struct<db:string,coll:string>, documentKey struct<_id:bigint>, "
+             "fullDocument string, clusterTime struct<t:bigint,i:bigint>")
 
 
-# -- C1-C3 normalisers ---------------------------------------------------------------------
 def normalise_mongo(raw: DataFrame) -> DataFrame:
     """insert/replace -> insert, update, delete; drop/invalidate/rename and
     messages without a namespace or (for insert/update) a fullDocument are
-    skipped. Position (t, i); committedAt = t * 1000."""
-    t = _g("$.operationType")
+    skipped. Position (t, i); committedAt = t * 1000. Each message is parsed
+    once (``from_json`` into a struct; the document stays JSON text)."""
+    m = F.from_json(F.col("raw"), MONGO_MSG)
+    d = raw.select("arrival", m.alias("m"))
+    t = F.col("m.operationType")
     op = (F.when(t.isin("insert", "replace"), F.lit("insert")).when(t == "update", F.lit("update"))
           .when(t == "delete", F.lit("delete")))
-    full = _g("$.fullDocument")
-    d = raw.select("arrival", op.alias("op"), _g("$.ns.db").alias("db"), _g("$.ns.coll").alias("coll"),
-                   _g("$.documentKey._id").cast("long").alias("key"), full.alias("full"),
-                   _g("$.clusterTime.t").cast("long").alias("pos_hi"),
-                   _g("$.clusterTime.i").cast("long").alias("pos_lo"))
+    d = d.select("arrival", op.alias("op"), F.col("m.ns.db").alias("db"), F.col("m.ns.coll").alias("coll"),
+                 F.col("m.documentKey._id").alias("key"), F.col("m.fullDocument").alias("full"),
+                 F.col("m.clusterTime.t").alias("pos_hi"), F.col("m.clusterTime.i").alias("pos_lo"))
     d = d.filter(F.col("op").isNotNull() & F.col("coll").isNotNull()
                  & ((F.col("op") == "delete") | F.col("full").isNotNull()))
     return d.select("db", "coll", "op", "key", F.when(F.col("op") != "delete", F.col("full")).alias("doc"),
@@ -51,37 +52,45 @@ def lsn_parts(lsn: Column) -> tuple[Column, Column]:
 def normalise_pg(raw: DataFrame, key_col: str) -> DataFrame:
     """Only I/U/D; the key comes from the row (``key ?? old``); truncate
     and transaction frames are dropped; no commit time. Position = LSN."""
-    action = _g("$.action")
-    hi, lo = lsn_parts(_g("$.lsn"))
+    schema = (f"lsn string, action string, schema string, table string, columns string, "
+              f"identity struct<{key_col}:bigint>, old struct<{key_col}:bigint>")
+    d = raw.select("arrival", F.from_json(F.col("raw"), schema).alias("m"))
+    action = F.col("m.action")
+    hi, lo = lsn_parts(F.col("m.lsn"))
     op = F.when(action == "I", F.lit("insert")).when(action == "U", F.lit("update")).when(action == "D", F.lit("delete"))
-    key = F.coalesce(_g(f"$.columns.{key_col}"), _g(f"$.identity.{key_col}"), _g(f"$.old.{key_col}"))
-    return (raw.select(_g("$.schema").alias("db"), _g("$.table").alias("coll"), op.alias("op"),
-                       key.cast("long").alias("key"), _g("$.columns").alias("doc"),
-                       hi.alias("pos_hi"), lo.alias("pos_lo"), F.lit(0).cast("long").alias("pos_seq"),
-                       F.lit(None).cast("long").alias("committed_ms"), "arrival")
+    key = F.coalesce(F.get_json_object(F.col("m.columns"), f"$.{key_col}").cast("long"),
+                     F.col(f"m.identity.{key_col}"), F.col(f"m.old.{key_col}"))
+    return (d.select(F.col("m.schema").alias("db"), F.col("m.table").alias("coll"), op.alias("op"),
+                     key.alias("key"), F.col("m.columns").alias("doc"),
+                     hi.alias("pos_hi"), lo.alias("pos_lo"), F.lit(0).cast("long").alias("pos_seq"),
+                     F.lit(None).cast("long").alias("committed_ms"), "arrival")
             .filter(F.col("op").isNotNull()))
 
 
+MYSQL_MSG = ("type string, next_file string, schema string, table string, position bigint, timestamp bigint, "
+             "rows array<string>")
+
+
 def normalise_mysql(raw: DataFrame, key_col: str, bucket_size: int = 1_000_000_000) -> DataFrame:
     """One binlog message carries many rows (posexplode); update rows take
     ``after``; the current file is carried forward from the last rotate
     (a bucketed forward fill, not a global window). Position = (file number,
     event position, row ordinal); commit time = timestamp * 1000."""
-    typ = _g("$.type")
-    d = raw.select("arrival", typ.alias("type"), _g("$.next_file").alias("next_file"), "raw")
+    d = raw.select("arrival", F.from_json(F.col("raw"), MYSQL_MSG).alias("m"))
+    d = d.select("arrival", "m", F.col("m.next_file").alias("next_file"))
     d = split_ffill(d, "arrival", F.floor(F.col("arrival") / bucket_size), "next_file", "file")
-    ev = d.filter(F.col("type").isin("write_rows", "update_rows", "delete_rows"))
-    rows = F.from_json(_g("$.rows"), "array<string>")
-    ev = ev.select("arrival", "type", "file", "raw", F.posexplode(rows).alias("ordinal", "row"))
-    op = (F.when(F.col("type") == "write_rows", F.lit("insert")).when(F.col("type") == "update_rows", F.lit("update"))
+    ev = d.filter(F.col("m.type").isin("write_rows", "update_rows", "delete_rows"))
+    ev = ev.select("arrival", "m", "file", F.posexplode("m.rows").alias("ordinal", "row"))
+    typ = F.col("m.type")
+    op = (F.when(typ == "write_rows", F.lit("insert")).when(typ == "update_rows", F.lit("update"))
           .otherwise(F.lit("delete")))
-    doc = (F.when(F.col("type") == "update_rows", F.get_json_object("row", "$.after"))
-           .when(F.col("type") == "write_rows", F.col("row")))
+    doc = (F.when(typ == "update_rows", F.get_json_object("row", "$.after"))
+           .when(typ == "write_rows", F.col("row")))
     key = F.get_json_object(F.coalesce(doc, F.col("row")), f"$.{key_col}").cast("long")
-    return ev.select(_g("$.schema").alias("db"), _g("$.table").alias("coll"), op.alias("op"), key.alias("key"),
+    return ev.select(F.col("m.schema").alias("db"), F.col("m.table").alias("coll"), op.alias("op"), key.alias("key"),
                      doc.alias("doc"), F.split_part("file", F.lit("."), F.lit(2)).cast("long").alias("pos_hi"),
-                     _g("$.position").cast("long").alias("pos_lo"), F.col("ordinal").cast("long").alias("pos_seq"),
-                     (_g("$.timestamp").cast("long") * 1000).alias("committed_ms"), "arrival")
+                     F.col("m.position").alias("pos_lo"), F.col("ordinal").cast("long").alias("pos_seq"),
+                     (F.col("m.timestamp") * 1000).alias("committed_ms"), "arrival")
 
 
 # -- C4, C5, C13 ------------------------------------------------------------------------------
@@ -109,12 +118,13 @@ def validate(events: DataFrame, columns: dict[str, str], key: str) -> tuple[Data
     has no key or a present, non-null field does not convert to the target
     column type; the dead letter keeps the position and the error text."""
     errs = [F.when(F.col("key").isNull(), F.lit("missing key"))]
+    d = events.withColumn("_dm", doc_map())
     for c, t in columns.items():
         if c == key:
             continue
-        raw = F.get_json_object("doc", f"$.{c}")
+        raw = F.col("_dm")[c]
         errs.append(F.when(raw.isNotNull() & raw.try_cast(t).isNull(), F.lit(f"{c}: cannot convert to {t}")))
-    d = events.withColumn("error", F.concat_ws("; ", F.array_compact(F.array(*errs))))
+    d = d.withColumn("error", F.concat_ws("; ", F.array_compact(F.array(*errs)))).drop("_dm")
     bad = (F.col("error") != "")
     return d.filter(~bad).drop("error"), d.filter(bad)
 
@@ -129,8 +139,14 @@ def collapse(events: DataFrame) -> DataFrame:
 
 
 # -- C7-C9 apply ----------------------------------------------------------------------------------
-def _typed(c: str, t: str) -> Column:
-    return F.get_json_object("doc", f"$.{c}").try_cast(t)
+def doc_map(doc: str = "doc") -> Column:
+    """The event document parsed once: top-level field -> JSON value text
+    (strings unquoted; a JSON null is a present key with a null value)."""
+    return F.from_json(F.col(doc), "map<string,string>")
+
+
+def _typed(c: str, t: str, m: str = "_m") -> Column:
+    return F.col(m)[c].try_cast(t)
 
 
 def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -144,8 +160,7 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     back and the per-column ``max_by`` all share that partitioning."""
     cols = [c for c in columns if c != key]
     p = position()
-    ev = events.select("key", "op", "doc", p.alias("_p"),
-                       F.from_json("doc", "map<string,string>").alias("_m"))
+    ev = events.select("key", "op", p.alias("_p"), doc_map().alias("_m"))
     dels = ev.groupBy("key").agg(F.max(F.when(F.col("op") == "delete", F.col("_p"))).alias("_del"),
                                  F.max_by("op", "_p").alias("_last_op"))
     live = ev.join(dels, "key").filter((F.col("op") != "delete")
@@ -167,7 +182,7 @@ def apply_replace(target: DataFrame, events: DataFrame, key: str, columns: dict[
     """Document-target semantics: the last whole document replaces the
     row (missing fields become null); a delete removes it."""
     cols = [c for c in columns if c != key]
-    last = collapse(events).select("key", F.col("op").alias("_last_op"), "doc")
+    last = collapse(events).select("key", F.col("op").alias("_last_op"), doc_map().alias("_m"))
     tgt = target.select(F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
     m = tgt.join(last, "key", "full_outer")
     out = [F.col("key").alias(key)]

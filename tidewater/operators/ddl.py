@@ -40,6 +40,12 @@ def dedup_idents(df: DataFrame, ns_cols: list[str], ordinal: str = "ordinal", na
     to a name until it is free. Sequential by definition, so it runs as an
     ``aggregate`` over the table's ordered column array (bounded by the
     engine's column limit); tables are processed in parallel."""
+    from pyspark.sql import Window
+    # fast path: tables whose cleaned names are already unique keep them as is
+    flagged = (df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*ns_cols, name)))
+               .withColumn("_clash", F.max("_n").over(Window.partitionBy(*ns_cols)) > 1).drop("_n"))
+    plain = flagged.filter(~F.col("_clash")).select(*ns_cols, F.col(ordinal), F.col(name).alias("final_name"))
+    df = flagged.filter(F.col("_clash"))
     grouped = df.groupBy(*ns_cols).agg(
         F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(name).alias("n")))).alias("cols"))
 
@@ -55,8 +61,9 @@ def dedup_idents(df: DataFrame, ns_cols: list[str], ordinal: str = "ordinal", na
     res = grouped.select(*ns_cols, F.aggregate(
         F.transform("cols", lambda c: F.struct(c["o"].cast("int").alias("o"), c["n"].alias("n"))),
         init, step)["out"].alias("out"))
-    return res.select(*ns_cols, F.explode("out").alias("c")).select(
+    resolved = res.select(*ns_cols, F.explode("out").alias("c")).select(
         *ns_cols, F.col("c.o").alias(ordinal), F.col("c.n").alias("final_name"))
+    return plain.unionByName(resolved.withColumn(ordinal, F.col(ordinal).cast(plain.schema[ordinal].dataType)))
 
 
 # -- T16-T18 declared schema ---------------------------------------------------------

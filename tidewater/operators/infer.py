@@ -147,28 +147,38 @@ def profile_type(v: Column) -> Column:
             .otherwise(t))
 
 
-def _is_plain_object(v: Column) -> Column:
-    return profile_type(v) == "object"
-
-
 def walk_paths(docs: DataFrame, ns_cols=NS, id_col: str = "doc_id", max_depth: int = 5) -> DataFrame:
     """T6 walk: one row per (document, dotted path) down to depth ``max_depth``
     (objects are entered, arrays are not; the top-level ``_id`` is skipped).
 
-    All levels are built inside one projection with higher-order functions
-    (``transform``/``filter``/``flatten`` over ``map_entries``), then exploded
-    once, so the scan is read a single time whatever the depth."""
-    top = F.filter(F.map_entries(F.col("doc").try_cast(MAP_VARIANT)), lambda e: e["key"] != "_id")
-    level = F.transform(top, lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
-    levels = [level]
-    for _ in range(max_depth):
-        level = F.flatten(F.transform(
-            F.filter(level, lambda e: _is_plain_object(e["value"])),
-            lambda e: F.transform(F.map_entries(e["value"].try_cast(MAP_VARIANT)),
-                                  lambda c: F.struct(F.concat_ws(".", e["path"], c["key"]).alias("path"),
-                                                     c["value"].alias("value")))))
-        levels.append(level)
-    return (docs.select(*ns_cols, id_col, F.explode(F.concat(*levels)).alias("e"))
+    Each level is an array column built from the previous level's column with
+    ``filter``/``transform`` over ``map_entries``; inside those lambdas only a
+    single map cast per element is done (it answers "is this an object?").
+    All levels are exploded once and typed afterwards in an ordinary
+    projection, where Catalyst shares repeated subexpressions. The scan is
+    read once, and each level is computed once (every level column is
+    referenced twice, so the projections are not merged)."""
+    entry = "struct<path:string,value:variant,m:map<string,variant>>"
+
+    def node(path, value):
+        return F.struct(path.alias("path"), value.alias("value"), value.try_cast(MAP_VARIANT).alias("m"))
+
+    def is_plain_object(e):
+        keys = F.map_keys(e["m"])
+        return e["m"].isNotNull() & ~((F.size(keys) == 1) & keys[0].startswith("$"))
+
+    top = F.filter(F.map_entries(F.col("doc").try_cast(MAP_VARIANT)), lambda c: c["key"] != "_id")
+    d = docs.select(*ns_cols, id_col, F.transform(top, lambda c: node(c["key"], c["value"])).cast(f"array<{entry}>")
+                    .alias("l0"))
+    names = ["l0"]
+    for k in range(1, max_depth + 1):
+        prev = F.col(names[-1])
+        nxt = F.flatten(F.transform(F.filter(prev, is_plain_object),
+                                    lambda e: F.transform(F.map_entries(e["m"]),
+                                                          lambda c: node(F.concat_ws(".", e["path"], c["key"]), c["value"]))))
+        d = d.select("*", F.coalesce(nxt, F.array().cast(f"array<{entry}>")).alias(f"l{k}"))
+        names.append(f"l{k}")
+    return (d.select(*ns_cols, id_col, F.explode(F.concat(*[F.col(n) for n in names])).alias("e"))
             .select(*ns_cols, id_col, F.col("e.path").alias("path"), F.col("e.value").alias("value"))
             .withColumn("ptype", profile_type(F.col("value"))))
 

@@ -25,6 +25,27 @@ def insert_only(rows: DataFrame, existing_keys: DataFrame, key: str, ns_cols: li
     return inserted, skipped_existing.unionByName(dups)
 
 
+def outcome_one_pass(rows: DataFrame, existing_keys: DataFrame, key: str, ns_cols: list[str],
+                     bad: Column, error: Column) -> DataFrame:
+    """L1 in a single pass over the mapped rows: a row is failed when it does
+    not convert; of the good rows of a key, the first is written unless the
+    key already exists, every other one is skipped. One join against the
+    existing keys, a per-key aggregate (partial, so hot keys combine map-side)
+    and a per-namespace aggregate."""
+    ex = existing_keys.select(key).distinct().withColumn("_exists", F.lit(True))
+    r = rows.select(*ns_cols, key, bad.alias("_bad"), error.alias("_err")).join(ex, key, "left")
+    k = r.groupBy(*ns_cols, key).agg(
+        F.count_if(F.col("_bad")).alias("bad_rows"), F.count_if(~F.col("_bad")).alias("good_rows"),
+        F.max(F.coalesce("_exists", F.lit(False))).alias("exists"),
+        F.max(F.when(F.col("_bad"), F.col("_err"))).alias("err"))
+    written = F.when((F.col("good_rows") > 0) & ~F.col("exists"), F.lit(1)).otherwise(F.lit(0))
+    k = k.withColumn("w", written).withColumn("s", F.col("good_rows") - F.col("w"))
+    return k.groupBy(*ns_cols).agg(
+        F.sum("w").cast("long").alias("written"), F.sum("s").cast("long").alias("skipped"),
+        F.sum("bad_rows").cast("long").alias("failed"),
+        F.max_by("err", F.when(F.col("bad_rows") > 0, F.col(key))).alias("last_error"))
+
+
 def batch_atomic(rows: DataFrame, ok: Column, batch: Column, ns_cols: list[str]) -> DataFrame:
     """All-or-nothing batches: a batch with any failed row writes
     nothing. Returns one row per (namespace, batch) with its row counts and

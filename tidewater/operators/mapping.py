@@ -139,25 +139,37 @@ def object_warning(v: Column, ctype: str, dialect: str) -> Column:
     return F.lit(False)
 
 
-def map_doc_to_sql(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc",
-                   text: str = "doc_text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X1 (pg) / X2 (mysql): documents -> typed rows. Only schema columns
-    survive; names are cleaned and de-duplicated. Returns (mapped, rejects,
-    warnings); a reject lists the columns that failed to convert."""
+def map_doc_rows(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc",
+                 text: str = "doc_text", keep: list[str] | None = None) -> DataFrame:
+    """The single mapping projection: typed columns plus ``_bad`` (columns
+    that failed to convert) and ``_warn`` (row warnings). Consumers that need
+    both valid rows and rejects from one pass use this directly."""
     keep = keep or []
     names = dedup_names([_clean_py(c.name, dialect) for c in cols])
     m = F.col(doc).try_cast(MAP_VARIANT)
+    # stage 1: each field's value and its type signature, computed once per row
+    stage = docs.select(*keep, F.col(text).alias("_text"), m.alias("_m"))
+    stage = stage.select(*keep, "_text", *[F.col("_m")[c.name].alias(f"_v{i}") for i, c in enumerate(cols)])
     vals, oks, warns = [], [], []
-    for c, n in zip(cols, names):
-        v = m[c.name]
-        raw = F.get_json_object(F.col(text), "$['" + c.name.replace("'", "\\'") + "']")
+    for i, (c, n) in enumerate(zip(cols, names)):
+        v = F.col(f"_v{i}")
+        raw = F.get_json_object(F.col("_text"), "$['" + c.name.replace("'", "\\'") + "']")
         val, ok = doc_value(v, raw, c.type, dialect)
         vals.append(val.alias(n))
         oks.append(F.when(~ok, F.lit(n)))
         w = object_warning(v, c.type, dialect)
         warns.append(F.when(w, F.struct(F.lit(n).alias("column"), F.lit("object_to_json").alias("code"))))
-    d = docs.select(*keep, *vals, F.array_compact(F.array(*oks)).alias("_bad"),
-                    F.array_compact(F.array(*warns)).alias("_warn"))
+    return stage.select(*keep, *vals, F.array_compact(F.array(*oks)).alias("_bad"),
+                        F.array_compact(F.array(*warns)).alias("_warn"))
+
+
+def map_doc_to_sql(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc",
+                   text: str = "doc_text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """X1 (pg) / X2 (mysql): documents -> typed rows. Only schema columns
+    survive; names are cleaned and de-duplicated. Returns (mapped, rejects,
+    warnings); a reject lists the columns that failed to convert."""
+    keep = keep or []
+    d = map_doc_rows(docs, cols, dialect, doc, text, keep)
     mapped = d.filter(F.size("_bad") == 0).drop("_bad", "_warn")
     rejects = d.filter(F.size("_bad") > 0).select(*keep, F.array_join("_bad", ",").alias("failed_columns"))
     warnings = warning_counts(d.select(F.explode("_warn").alias("w")).select("w.*"))

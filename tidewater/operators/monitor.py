@@ -21,7 +21,7 @@ SYSTEM_DATABASES = ("admin", "local", "config")
 
 def op_rates(samples: DataFrame, conn: str = "connection_id", ts_ms: str = "ts_ms",
              counters: list[str] = OP_COUNTERS, fixed_interval_s: float | None = None,
-             tie: str = "event_id") -> DataFrame:
+             tie: str = "event_id", keep_all: bool = False) -> DataFrame:
     """W1/M1 (W2 with ``fixed_interval_s``): per-sample rate of cumulative
     counters, ``max(0, delta / max(1, seconds since previous sample))``; the
     first sample of a connection is 0. Lag is computed per (connection, day)
@@ -34,6 +34,8 @@ def op_rates(samples: DataFrame, conn: str = "connection_id", ts_ms: str = "ts_m
     rates = [F.when(F.col("prev_" + ts_ms).isNull(), F.lit(0.0))
              .otherwise(F.greatest(F.lit(0.0), (F.col(c) - F.col("prev_" + c)) / dt)).alias(c + "_per_s")
              for c in counters]
+    if keep_all:
+        return d.select(*samples.columns, *rates)
     return d.select(conn, tie, ts_ms, *rates)
 
 

@@ -19,7 +19,7 @@ _OPS = ["insert", "query", "update", "delete", "getmore", "command"]
 # ---- Spark building blocks ---------------------------------------------------------------
 def metrics(spark, sf_dir):
     s = fx.f4_counter_samples(spark, sf_dir)
-    return al.mongo_metrics(s, mon.op_rates(s))
+    return al.mongo_metrics(mon.op_rates(s, keep_all=True))
 
 
 def rules(spark, sf_dir):

@@ -50,7 +50,7 @@ def cdc_stream(spark, sf_dir):
     _write_in_order(raw.select("raw", "step"), "step", f"{base}/log", "text")
     cst.init_target(spark, f"{base}/target", q_cdc.target(spark, sf_dir), q_cdc.KEY)
     cst.run_cdc_stream(spark, f"{base}/log", f"{base}/target", f"{base}/_checkpoint", q_cdc.KEY, q_cdc.COLUMNS,
-                       q_cdc.ALLOWED, max_files_per_trigger=4)
+                       q_cdc.ALLOWED, max_files_per_trigger=64)
     return cst.read_target(spark, f"{base}/target")
 
 
