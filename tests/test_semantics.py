@@ -230,3 +230,23 @@ def test_labels(spark):
     p = spark.createDataFrame([(5, 10), (3, None), (10, 10)], "w long, a long").select(
         load.progress_pct(F.col("w"), F.col("a"), F.lit(True)).alias("p")).collect()
     assert [x["p"] for x in p] == [50, 100, 100]
+
+
+def test_generated_ids_for_identical_rows(spark):
+    from tidewater.operators.mapping import map_sql_to_doc
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "x int, y string").repartition(3)
+    docs, _ = map_sql_to_doc(df, [Col("x", "int"), Col("y", "string")], "pg")
+    ids = [r["_id"] for r in docs.collect()]
+    assert len(set(ids)) == 4
+    again, _ = map_sql_to_doc(df.repartition(2), [Col("x", "int"), Col("y", "string")], "pg")
+    assert sorted(ids) == sorted(r["_id"] for r in again.collect())
+
+
+def test_find_sort_nulls_first_and_page(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 1.0), (4, 5.0)], "_id long, score double")
+    asc = [r["_id"] for r in dq.find(df, None, sort={"score": 1, "_id": -1}, limit=None).collect()]
+    assert asc == [2, 3, 4, 1]
+    desc = [r["_id"] for r in dq.find(df, None, sort={"score": -1, "_id": 1}, limit=None).collect()]
+    assert desc == [1, 4, 3, 2]
+    page = [r["_id"] for r in dq.find(df, None, sort={"_id": 1}, skip=1, limit=2).collect()]
+    assert page == [2, 3]

@@ -71,3 +71,18 @@ def split_ffill(df: DataFrame, order: str, bucket: Column, col: str, out: str, k
     seeds = allb.select(*keys, b, F.last("_bl", ignorenulls=True).over(wb).alias("_seed"))
     return (d.join(seeds, [*keys, b], "left")
             .withColumn(out, F.coalesce("_in", "_seed")).drop(b, "_in", "_seed"))
+
+
+def dup_ordinal(df: DataFrame, key: Column, out: str = "_dup") -> DataFrame:
+    """1..n among rows sharing ``key`` (e.g. a hash of identical rows) without
+    a window over a possibly huge group: number rows inside each (key,
+    input partition), then add the counts of the key's earlier partitions
+    (a small per-(key, partition) table). Which identical row gets which
+    number may vary, the set of numbers per key is always 1..n."""
+    d = df.withColumn("_k", key).withColumn("_pid", F.spark_partition_id())
+    counts = d.groupBy("_k", "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_k", "_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_k", "_pid").orderBy("_k")
+    return (d.withColumn("_rn", F.row_number().over(local)).join(offs, ["_k", "_pid"])
+            .withColumn(out, F.col("_rn") + F.col("_off")).drop("_k", "_pid", "_rn", "_off"))

@@ -182,10 +182,14 @@ def warning_counts(w: DataFrame) -> DataFrame:
 
 
 # -- SQL row -> document -----------------------------------------------------------------------------
-def generated_id(df: DataFrame, cols: list[str]) -> Column:
+def generated_id(df: DataFrame, cols: list[str], ordinal: Column | None = None) -> Column:
     """A deterministic 24-hex id for rows without a key: the hash of the
-    row text; identical rows get an ordinal so re-runs give the same ids."""
-    return F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256), 1, 24)
+    row text, and for the k-th (k > 1) of several identical rows the hash of
+    the text plus ``#k``, so re-runs give the same set of ids."""
+    text = F.to_json(F.struct(*[F.col(c) for c in cols]))
+    if ordinal is not None:
+        text = F.when(ordinal > 1, F.concat(text, F.lit("#"), ordinal.cast("string"))).otherwise(text)
+    return F.substring(F.sha2(text, 256), 1, 24)
 
 
 def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +240,9 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
         extra = [F.concat(F.lit('"pk":{'), F.concat_ws(",", *[kv(c) for c in pks]), F.lit("}"))]
         body = [kv(c) for c in cols if not c.primary_key or source == "mysql"]
     else:
-        id_col = F.concat(F.lit('"'), generated_id(df, names), F.lit('"'))
+        from tidewater.functions.windows import dup_ordinal
+        df = dup_ordinal(df, F.xxhash64(F.to_json(F.struct(*[F.col(n) for n in names]))))
+        id_col = F.concat(F.lit('"'), generated_id(df, names, F.col("_dup")), F.lit('"'))
         extra, body = [], [kv(c) for c in cols]
     docs = df.select(id_col.alias("_id"),
                      F.concat(F.lit('{"_id":'), id_col, F.lit(","), F.concat_ws(",", *extra, *body), F.lit("}")).alias("doc"))

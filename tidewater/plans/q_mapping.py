@@ -254,3 +254,17 @@ def cdc_mapped(spark, sf_dir):
     cols = [Col("o_orderstatus", "string"), Col("o_totalprice", "double"), Col("o_custkey", "long")]
     mapped, _, _ = mp.map_doc_to_sql(n, cols, "pg", keep=["key", "op"])
     return mapped
+
+
+NATION_COLS = [Col("n_nationkey", "int"), Col("n_name", "string"), Col("n_regionkey", "int")]
+
+
+@query("map_no_pk", """
+SELECT substring(sha256(json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey)::VARCHAR), 1, 24)
+         AS _id, n_name
+FROM nation""")
+def map_no_pk(spark, sf_dir):
+    """A table without a primary key gets a deterministic generated
+    ``_id`` (a hash of the row), so re-running the migration gives the same ids."""
+    docs, _ = mp.map_sql_to_doc(read_table(spark, sf_dir, "nation"), NATION_COLS, "pg")
+    return docs.select(F.get_json_object("doc", "$._id").alias("_id"), F.get_json_object("doc", "$.n_name").alias("n_name"))
