@@ -154,26 +154,28 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     in its document; a delete removes the row and resets every column, so
     after the last delete each column takes the value of the latest event
     that carried it. Key-only inserts therefore create absent rows and leave
-    existing ones untouched. Both are idempotent under redelivery.
+    existing ones untouched.
 
-    One shuffle of the events by key: the last-delete aggregate, the join
-    back and the per-column ``max_by`` all share that partitioning."""
+    A delete is treated as an event that carries NULL for every column, so
+    "latest carrier per column" is one ``max_by`` per column in ONE per-key
+    aggregation (partial, one shuffle of the events); the target is merged
+    with one full outer join on the key. Redelivered duplicates carry the
+    same position and value, so the result is idempotent without a de-dup."""
     cols = [c for c in columns if c != key]
     p = position()
     ev = events.select("key", "op", p.alias("_p"), doc_map().alias("_m"))
-    dels = ev.groupBy("key").agg(F.max(F.when(F.col("op") == "delete", F.col("_p"))).alias("_del"),
-                                 F.max_by("op", "_p").alias("_last_op"))
-    live = ev.join(dels, "key").filter((F.col("op") != "delete")
-                                       & (F.col("_del").isNull() | (F.col("_p") > F.col("_del"))))
-    per_col = [F.max_by(F.struct(_typed(c, t).alias("v")), F.when(F.map_contains_key("_m", c), F.col("_p"))).alias(c + "__s")
-               for c, t in columns.items() if c != key]
-    changes = live.groupBy("key").agg(*per_col).join(dels, "key", "right")
+    is_del = F.col("op") == "delete"
+    aggs = [F.max_by("op", "_p").alias("_last_op")]
+    for c in cols:
+        carrier = F.when(is_del | F.map_contains_key("_m", c), F.col("_p"))
+        aggs.append(F.max_by(F.struct(is_del.alias("d"), _typed(c, columns[c]).alias("v")), carrier).alias(c + "__s"))
+    changes = ev.groupBy("key").agg(*aggs)
     tgt = target.select(F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
     m = tgt.join(changes, "key", "full_outer")
     out = [F.col("key").alias(key)]
     for c in cols:
-        out.append(F.when(F.col(c + "__s").isNotNull(), F.col(c + "__s.v"))
-                   .when(F.col("_del").isNotNull(), F.lit(None))
+        s = F.col(c + "__s")
+        out.append(F.when(s.isNotNull(), F.when(s["d"], F.lit(None)).otherwise(s["v"]))
                    .otherwise(F.col(c + "__t")).cast(columns[c]).alias(c))
     return m.filter(F.col("_last_op").isNull() | (F.col("_last_op") != "delete")).select(*out)
 

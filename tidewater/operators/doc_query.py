@@ -43,13 +43,19 @@ _TYPE_NAMES = {"string": T.StringType, "bool": T.BooleanType, "int": T.IntegerTy
                "double": T.DoubleType, "array": T.ArrayType, "object": T.StructType, "date": T.TimestampType}
 
 
+def _known(c: Column, pred: Column) -> Column:
+    """Two-valued predicate (false on null) that still pushes down to the
+    scan: ``c IS NOT NULL AND pred`` instead of ``coalesce(pred, false)``."""
+    return c.isNotNull() & pred
+
+
 def _eq(df, path, v) -> Column:
     c = _field(df, path)
     if v is None:
         return c.isNull()
     if isinstance(_dtype(df, path), T.ArrayType) and not isinstance(v, list):
-        return F.coalesce(F.array_contains(c, F.lit(v)), F.lit(False))
-    return F.coalesce(c == F.lit(v), F.lit(False))
+        return _known(c, F.array_contains(c, F.lit(v)))
+    return _known(c, c == F.lit(v))
 
 
 def _op(df: DataFrame, path: str, op: str, v: Any) -> Column:
@@ -60,19 +66,19 @@ def _op(df: DataFrame, path: str, op: str, v: Any) -> Column:
         return ~_eq(df, path, v)
     if op in ("$gt", "$gte", "$lt", "$lte"):
         cmp = {"$gt": c > F.lit(v), "$gte": c >= F.lit(v), "$lt": c < F.lit(v), "$lte": c <= F.lit(v)}[op]
-        return F.coalesce(cmp, F.lit(False))
+        return _known(c, cmp)
     if op == "$in":
         vals = [x for x in v if x is not None]
-        m = F.coalesce(c.isin(vals), F.lit(False)) if vals else F.lit(False)
+        m = _known(c, c.isin(vals)) if vals else F.lit(False)
         return m | c.isNull() if None in v else m
     if op == "$nin":
         return ~_op(df, path, "$in", v)
     if op == "$exists":
         return _present(df, path) if v else ~_present(df, path)
     if op == "$regex":
-        return F.coalesce(c.rlike(v), F.lit(False))
+        return _known(c, c.rlike(v))
     if op == "$size":
-        return F.coalesce(F.size(c) == F.lit(v), F.lit(False))
+        return _known(c, F.size(c) == F.lit(v))
     if op == "$all":
         return F.coalesce(F.forall(F.array(*[F.lit(x) for x in v]), lambda x: F.array_contains(c, x)), F.lit(False)) \
             if v else F.lit(False)
