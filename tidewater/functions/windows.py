@@ -22,12 +22,11 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     then patched with the last row of the previous non-empty bucket, taken
     from a per-bucket ``max_by`` table whose size is keys x buckets."""
     b = "_bucket"
-    d = df.withColumn(b, bucket)
+    base = df.withColumn(b, bucket)          # one object: both branches share its plan (exchange reuse)
     w = Window.partitionBy(*keys, b).orderBy(*order)
-    d = d.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols],
-                 (F.row_number().over(w) == 1).alias("_first"))
-    last = (df.withColumn(b, bucket).groupBy(*keys, b)
-            .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")))
+    d = base.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols],
+                    (F.row_number().over(w) == 1).alias("_first"))
+    last = base.groupBy(*keys, b).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(b)
     prev_bucket = last.select(*keys, b, F.lag("_last").over(wb).alias("_pb"))
     d = d.join(prev_bucket, [*keys, b], "left")
@@ -37,21 +36,25 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return d.select(*keep, *patched)
 
 
-def split_cumsum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, col: Column,
-                 out: str) -> DataFrame:
-    """Running ``sum(col)`` over ``partition by keys order by order`` computed
-    per ``(keys, bucket)`` plus the total of all earlier buckets (a per-bucket
-    aggregate with its own small window), so no task holds a whole key."""
+def split_cumsum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, col: Column | dict,
+                 out: str | None = None) -> DataFrame:
+    """Running ``sum`` over ``partition by keys order by order`` computed per
+    ``(keys, bucket)`` plus the totals of all earlier buckets (a per-bucket
+    aggregate with its own small window), so no task holds a whole key.
+    ``col`` is one Column (named by ``out``) or a dict {out: Column}; all
+    sums share one window, one aggregate and one join."""
+    cols = {out: col} if not isinstance(col, dict) else col
     b = "_bucket"
-    d = df.withColumn(b, bucket).withColumn("_v", col)
+    names = list(cols)
+    d = df.withColumn(b, bucket).select("*", *[c.alias(f"_v_{n}") for n, c in cols.items()])
     w = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_within", F.sum("_v").over(w))
-    totals = d.groupBy(*keys, b).agg(F.sum("_v").alias("_bt"))
+    d = d.select("*", *[F.sum(f"_v_{n}").over(w).alias(f"_w_{n}") for n in names])
+    totals = d.groupBy(*keys, b).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
-    return (d.join(offsets, [*keys, b], "left")
-            .withColumn(out, F.col("_within") + F.col("_off"))
-            .drop(b, "_v", "_within", "_off"))
+    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in names])
+    j = d.join(offsets, [*keys, b], "left")
+    j = j.select("*", *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
+    return j.drop(b, *[f"_{p}_{n}" for n in names for p in ("v", "w", "o")])
 
 
 def split_ffill(df: DataFrame, order: str, bucket: Column, col: str, out: str, keys: list[str] | None = None) -> DataFrame:

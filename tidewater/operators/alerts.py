@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import map_literal
-from tidewater.functions.windows import day_bucket, split_cumsum
+from tidewater.functions.windows import day_bucket, split_cumsum, split_lag
 from tidewater.operators.monitor import OP_COUNTERS
 
 NOTIFY_COOLDOWN_MS = 30 * 60 * 1000
@@ -145,10 +145,11 @@ def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS) -> Da
     Firings are first cut into chains at gaps longer than the cooldown (a
     chain's first firing is always notified), so the arrays are per chain;
     a chain is bounded by its time span over the cooldown, not by data size."""
-    w = Window.partitionBy("rule_id").orderBy("fired_ms", "island")
-    e = events.withColumn("_gap", F.col("fired_ms") - F.lag("fired_ms").over(w))
-    e = e.withColumn("_chain", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > cooldown_ms), 1)
-                                     .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    b = day_bucket(F.col("fired_ms"))
+    e = split_lag(events, ["rule_id"], ["fired_ms", "island"], b, ["fired_ms"])
+    starts = F.when(F.col("prev_fired_ms").isNull() | (F.col("fired_ms") - F.col("prev_fired_ms") > cooldown_ms), 1) \
+              .otherwise(0)
+    e = split_cumsum(e, ["rule_id"], ["fired_ms", "island"], b, starts, "_chain")
     chains = e.groupBy("rule_id", "_chain").agg(
         F.array_sort(F.collect_list(F.struct("fired_ms", "island"))).alias("fs"))
 

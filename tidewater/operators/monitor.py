@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import map_literal
-from tidewater.functions.windows import day_bucket, split_lag
+from tidewater.functions.windows import DAY_MS, day_bucket, split_lag
 
 OP_COUNTERS = ["insert", "query", "update", "delete", "getmore", "command"]
 
@@ -44,21 +44,29 @@ def rate_window(samples: DataFrame, counter: str, conn: str = "connection_id", t
     """W3 ``rate(counter[range])`` at every sample: reset-aware increase
     (a drop counts the new value) between samples that both fall inside
     ``(t - range, t]``, divided by the range. No extrapolation; null when
-    the window holds fewer than two samples."""
-    d = split_lag(samples, [conn], [ts_ms, tie], day_bucket(F.col(ts_ms)), [counter])
+    the window holds fewer than two samples.
+
+    Skew-safe: the range frame runs per (connection, day); samples of the
+    last ``range`` of a day are copied into the next day as frame-only
+    context rows (a halo), so each sample is processed at most twice and a
+    hot connection is spread over its days."""
+    rng = range_s * 1000
+    bucket = day_bucket(F.col(ts_ms))
+    d = split_lag(samples, [conn], [ts_ms, tie], bucket, [counter])
     inc = (F.when(F.col("prev_" + counter).isNull(), F.lit(None))
            .when(F.col(counter) >= F.col("prev_" + counter), F.col(counter) - F.col("prev_" + counter))
            .otherwise(F.col(counter)))
-    d = d.withColumn("_inc", inc.cast("double"))
-    w = Window.partitionBy(conn).orderBy(F.col(ts_ms)).rangeBetween(-(range_s * 1000 - 1), 0)
-    w_rows = Window.partitionBy(conn).orderBy(ts_ms, tie)
-    d = d.withColumn("_rk", F.row_number().over(w_rows))
-    wr = Window.partitionBy(conn).orderBy(F.col(ts_ms)).rangeBetween(-(range_s * 1000 - 1), 0)
-    first_inc = F.min_by(F.coalesce("_inc", F.lit(0.0)), F.col("_rk")).over(wr)
+    d = d.select(conn, tie, ts_ms, inc.cast("double").alias("_inc"), bucket.alias("_b"), F.lit(False).alias("_halo"))
+    halo = (d.filter(F.col(ts_ms) > (F.col("_b") + 1) * F.lit(DAY_MS) - rng)
+            .withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True)))
+    u = d.unionByName(halo)
+    w = Window.partitionBy(conn, "_b").orderBy(F.col(ts_ms)).rangeBetween(-(rng - 1), 0)
+    first_inc = F.min_by(F.coalesce("_inc", F.lit(0.0)), F.struct(ts_ms, tie)).over(w)
     total = F.sum(F.coalesce("_inc", F.lit(0.0))).over(w)
     n = F.count(F.lit(1)).over(w)
     rate = F.when(n >= 2, (total - first_inc) / F.lit(float(range_s)))
-    return d.select(conn, tie, ts_ms, F.round(rate, 6).alias(f"{counter}_rate"))
+    return (u.select(conn, tie, ts_ms, "_halo", F.round(rate, 6).alias(f"{counter}_rate"))
+            .filter(~F.col("_halo")).drop("_halo"))
 
 
 def cache_hit_pct(pages_read: Column, pages_requested: Column) -> Column:

@@ -9,6 +9,7 @@ from tidewater.operators import alerts as al
 from tidewater.operators import monitor as mon
 from tidewater.plans.fixture_sql import F4, F6_RULES, F7_PG, with_ctes
 from tidewater.plans.registry import query
+from tidewater.session import materialize
 from tidewater.sources import fixtures as fx
 
 AS_OF_MS = 1706659200000  # 2024-01-31T00:00:00Z, after every event
@@ -27,11 +28,13 @@ def rules(spark, sf_dir):
 
 
 def evals(spark, sf_dir):
-    return al.evaluations(metrics(spark, sf_dir), rules(spark, sf_dir))
+    """Rule evaluations: the table the alert stages share (materialized in the
+    shared checkpoint folder, so the sample/rate/metric stages run once)."""
+    return materialize(al.evaluations(metrics(spark, sf_dir), rules(spark, sf_dir)))
 
 
 def events(spark, sf_dir):
-    return al.alert_events(evals(spark, sf_dir))
+    return materialize(al.alert_events(evals(spark, sf_dir)))
 
 
 # ---- DuckDB twins ---------------------------------------------------------------------------

@@ -62,3 +62,12 @@ def checkpoint_dir(spark: SparkSession, *parts: str) -> str:
     base = base.rstrip("/")
     leaf = "/".join(parts) if parts else "work"
     return f"{base}/{leaf}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary: a reliable ``checkpoint()`` into the
+    shared folder named by ``spark.checkpoint.dir`` (survives executor loss;
+    never a local checkpoint). Used where a result feeds several joins of a
+    long pipeline, so upstream stages are not recomputed per branch."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -203,7 +203,6 @@ def f4_counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     cumulative op counters per type (insert/query/update/delete/getmore,
     command = all), network bytes and cache pages. Each connection's
     counters restart (a server restart) from day 15 + user_id % 24 hours."""
-    from pyspark.sql import Window
     e = _events(spark, sf_dir)
     reset_ms = F.lit(1705276800000) + (F.col("user_id") % 24) * F.lit(3600000)  # 2024-01-15
     ts_ms = epoch_ms("ts")
@@ -215,16 +214,19 @@ def f4_counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("d_bytes"),
         (F.col("event_type") == "error").cast("long").alias("d_pages_read"),
     )
-    w = (Window.partitionBy("connection_id", "epoch").orderBy("ts_ms", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # running sums per (connection, restart epoch), bucketed by day so a hot
+    # connection is not one task
+    from tidewater.functions.windows import day_bucket, split_cumsum
+    keys, order, b = ["connection_id", "epoch"], ["ts_ms", "event_id"], day_bucket(F.col("ts_ms"))
     ops = list(EVENT_TO_OP.values()) + ["command"]
-    return base.select(
+    d = split_cumsum(base, keys, order, b, {f"c_{c}": F.col(f"d_{c}") for c in ops + ["bytes", "pages_read"]})
+    return d.select(
         "connection_id", "event_id", "ts", "ts_ms",
-        *[F.sum(f"d_{op}").over(w).alias(op) for op in ops],
-        F.sum("d_bytes").over(w).alias("bytes_in"),
-        (F.sum("d_bytes").over(w) * 3).alias("bytes_out"),
-        F.sum("d_pages_read").over(w).alias("pages_read"),
-        F.sum("d_command").over(w).alias("pages_requested"),
+        *[F.col(f"c_{op}").alias(op) for op in ops],
+        F.col("c_bytes").alias("bytes_in"),
+        (F.col("c_bytes") * 3).alias("bytes_out"),
+        F.col("c_pages_read").alias("pages_read"),
+        F.col("c_command").alias("pages_requested"),
         (F.col("d_bytes") * 1000).alias("cache_used_bytes"),
         F.when(F.col("connection_id") % 9 == 0, F.lit(0)).otherwise(F.lit(50000000)).cast("long")
          .alias("cache_max_bytes"),
