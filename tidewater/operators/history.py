@@ -20,10 +20,12 @@ def newest_per_job(runs: DataFrame, n: int, job: str = "job_id", started: str =
 
 def retention_prune(runs: DataFrame, keep: int = 3, job: str = "job_id", started: str = "started_ms",
                     tie: str = "run_id") -> DataFrame:
-    """Successful runs beyond the ``keep`` newest per job are pruned."""
+    """Successful runs beyond the ``keep`` newest per job are pruned. The
+    newest ``keep`` come from a per-job top-k (bounded per task before the
+    shuffle), joined back by run id; ``rn`` is set for kept runs only."""
     ok = runs.filter(F.col("status") == "succeeded")
-    w = Window.partitionBy(job).orderBy(F.col(started).desc(), F.col(tie).desc())
-    return ok.withColumn("rn", F.row_number().over(w)).withColumn("keep", F.col("rn") <= keep)
+    kept = newest_per_job(ok, keep, job, started, tie).select(tie, "rn")   # WindowGroupLimit top-k
+    return ok.join(kept, tie, "left").withColumn("keep", F.col("rn").isNotNull())
 
 
 def elapsed_seconds(start_ms: Column, end_ms: Column, now_ms: int) -> Column:

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.types import CANONICAL_TO_SPARK, js_string, variant_canonical_type
-from tidewater.operators.ddl import clean_ident_mysql, clean_ident_pg
+from tidewater.functions.types import CANONICAL_TO_SPARK, js_string
 
 MAP_VARIANT = "map<string,variant>"
 

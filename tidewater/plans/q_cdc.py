@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.windows import split_cumsum
 from tidewater.operators import cdc
 from tidewater.plans.fixture_sql import F3, F3_RAW_MONGO, F3_RAW_MYSQL, F3_RAW_PG, with_ctes
 from tidewater.plans.registry import query
@@ -165,10 +165,11 @@ n AS (
 d AS (SELECT DISTINCT coll, op, key, pos_hi, pos_lo FROM n WHERE op IS NOT NULL)
 SELECT coll, key, op, pos_hi, pos_lo, row_number() OVER (PARTITION BY coll, key ORDER BY pos_hi, pos_lo) AS seq_in_key FROM d""")
 def cdc_order(spark, sf_dir):
-    """Events in explicit position order (LSN halves), numbered per key."""
+    """Events in explicit position order (LSN halves), numbered per key
+    (a running count bucketed by the LSN's high half, so a hot key is split)."""
     n = cdc.drop_redeliveries(cdc.normalise_pg(fx.f3_raw_pg(spark, sf_dir), KEY))
-    w = Window.partitionBy("coll", "key").orderBy("pos_hi", "pos_lo")
-    return n.select("coll", "key", "op", "pos_hi", "pos_lo", F.row_number().over(w).alias("seq_in_key"))
+    n = split_cumsum(n, ["coll", "key"], ["pos_hi", "pos_lo"], F.col("pos_hi"), F.lit(1), "seq_in_key")
+    return n.select("coll", "key", "op", "pos_hi", "pos_lo", F.col("seq_in_key").cast("int").alias("seq_in_key"))
 
 
 @query("cdc_redelivery", with_ctes(F3) + """

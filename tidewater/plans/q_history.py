@@ -29,8 +29,8 @@ def run_history(spark, sf_dir):
 
 
 @query("retention_prune", with_ctes(F6) + """
-SELECT *, rn <= 3 AS keep FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started_ms DESC, run_id DESC) AS rn
+SELECT * EXCLUDE (r), CASE WHEN r <= 3 THEN r END AS rn, r <= 3 AS keep FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started_ms DESC, run_id DESC) AS r
   FROM f6 WHERE status = 'succeeded')""")
 def retention_prune(spark, sf_dir):
     return hist.retention_prune(fx.f6_runs(spark, sf_dir))

@@ -12,6 +12,7 @@ a ``_SUCCESS``-style marker only after its files are complete.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,18 +88,34 @@ def apply_batch(spark: SparkSession, events: DataFrame, target: str, key: str, c
 
 
 def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str,
-                   columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1):
+                   columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1,
+                   progress=None):
     """Drain the change log with ``availableNow`` (or leave running with a
-    processing-time trigger in production); returns the finished query."""
+    processing-time trigger in production); returns the finished query.
+    ``progress`` (a ``ProgressLog``) receives the per-batch heartbeat."""
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
            .load(log_path).select(F.col("value").alias("raw"), F.lit(0).cast("long").alias("arrival")))
     ev = cdc.filter_namespaces(cdc.normalise_mongo(raw), allowed)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        valid, _dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
-        apply_batch(spark, valid, target, key, columns, batch_id)
-
-    q = (ev.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+        # the micro-batch feeds several joins: read it from the source once
+        # (bounded by the trigger size; recomputable from its fixed offsets)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            valid, _dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
+            apply_batch(spark, valid, target, key, columns, batch_id)
+        finally:
+            batch.unpersist()
+
+    if progress is not None:
+        spark.streams.addListener(progress)
+    try:
+        q = (ev.writeStream.queryName(progress.name if progress is not None and progress.name else None)
+             .foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if progress is not None:
+            progress.wait_for(q.lastProgress["batchId"] if q.lastProgress else None)
+    finally:
+        if progress is not None:
+            spark.streams.removeListener(progress)
     return q
