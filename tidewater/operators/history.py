@@ -15,7 +15,7 @@ def newest_per_job(runs: DataFrame, n: int, job: str = "job_id", started: str =
                    tie: str = "run_id") -> DataFrame:
     """W5 (n = 1), W6 (n = 20), H4 (n = 3 over successes): the newest n runs per job."""
     w = Window.partitionBy(job).orderBy(F.col(started).desc(), F.col(tie).desc())
-    return runs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return runs.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= n)
 
 
 def retention_prune(runs: DataFrame, keep: int = 3, job: str = "job_id", started: str = "started_ms",

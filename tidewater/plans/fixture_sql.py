@@ -78,7 +78,7 @@ f2 AS (
          {_list(MYSQL_SCHEMAS)}[p_partkey % 10 + 1] AS my_schema,
          't_' || CAST(p_partkey AS VARCHAR) AS table_name,
          p_partkey AS table_key,
-         j AS ordinal,
+         CAST(j AS INTEGER) AS ordinal,
          CASE WHEN j = 1 THEN 'id' WHEN is_fk THEN 'parent_id'
               ELSE {_list(COLUMN_WORDS)}[(p_partkey + j) % {len(COLUMN_WORDS)} + 1] || '_' || CAST(j AS VARCHAR)
          END AS column_name,

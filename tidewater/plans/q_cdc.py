@@ -169,7 +169,7 @@ def cdc_order(spark, sf_dir):
     (a running count bucketed by the LSN's high half, so a hot key is split)."""
     n = cdc.drop_redeliveries(cdc.normalise_pg(fx.f3_raw_pg(spark, sf_dir), KEY))
     n = split_cumsum(n, ["coll", "key"], ["pos_hi", "pos_lo"], F.col("pos_hi"), F.lit(1), "seq_in_key")
-    return n.select("coll", "key", "op", "pos_hi", "pos_lo", F.col("seq_in_key").cast("int").alias("seq_in_key"))
+    return n.select("coll", "key", "op", "pos_hi", "pos_lo", F.col("seq_in_key").cast("long").alias("seq_in_key"))
 
 
 @query("cdc_redelivery", with_ctes(F3) + """

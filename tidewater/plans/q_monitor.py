@@ -249,7 +249,7 @@ def topk_gauge(spark, sf_dir):
                     F.concat(F.lit("t_"), (F.col("l_partkey") % 100).cast("string")).alias("table_name"))
          .agg(F.round(F.sum(F.col("l_extendedprice") * 100)).cast("long").alias("size_bytes")))
     w = Window.partitionBy("day").orderBy(F.col("size_bytes").desc())
-    return g.withColumn("rnk", F.rank().over(w)).filter(F.col("rnk") <= 10)
+    return g.withColumn("rnk", F.rank().over(w).cast("long")).filter(F.col("rnk") <= 10)
 
 
 @query("active_queries", with_ctes(F5) + """

@@ -110,8 +110,10 @@ def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint:
     if progress is not None:
         spark.streams.addListener(progress)
     try:
-        q = (ev.writeStream.queryName(progress.name if progress is not None and progress.name else None)
-             .foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        w = ev.writeStream
+        if progress is not None and progress.name:
+            w = w.queryName(progress.name)
+        q = w.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         if progress is not None:
             progress.wait_for(q.lastProgress["batchId"] if q.lastProgress else None)
