@@ -19,8 +19,8 @@ MYSQL_IDENT_MAX = 64
 
 
 def clean_ident_pg(name: Column) -> Column:
-    """T12: '.' and '$' -> '_', trim, empty -> '_field', cut to 63."""
-    s = F.trim(F.regexp_replace(name, r"[.$]", "_"))
+    """T12: '.' and '$' -> '_', trim (all whitespace), empty -> '_field', cut to 63."""
+    s = F.regexp_replace(F.regexp_replace(name, r"[.$]", "_"), r"^\s+|\s+$", "")
     s = F.when(F.length(s) == 0, F.lit("_field")).otherwise(s)
     return F.substring(s, 1, PG_IDENT_MAX)
 

@@ -122,7 +122,7 @@ def snapshot_restore(spark, sf_dir):
 @query("scalar_suite", """
 SELECT event_id,
        contains(lower(event_type), 'ur') AS str_contains, starts_with(props, '{"k"') AS str_prefix,
-       substring(props, 1, 5) AS str_slice, regexp_replace(event_type, '[aeiou]', '_', 'g') AS str_regex,
+       substring(props, 1, 500) AS str_slice, regexp_replace(event_type, '[aeiou]', '_', 'g') AS str_regex,
        regexp_matches(event_type, '^(v|c)') AS str_rlike, event_type || '|' || CAST(user_id AS VARCHAR) AS str_join,
        greatest(0.0, least(100.0, value)) AS math_clamp,
        CAST(round(CAST(CAST(value / 4 AS VARCHAR) AS DECIMAL(38, 12)), 2) AS DOUBLE) AS math_round,
@@ -148,7 +148,7 @@ def scalar_suite(spark, sf_dir):
     return e.select(
         "event_id",
         F.lower("event_type").contains("ur").alias("str_contains"), F.col("props").startswith('{"k"').alias("str_prefix"),
-        F.substring("props", 1, 5).alias("str_slice"), F.regexp_replace("event_type", "[aeiou]", "_").alias("str_regex"),
+        F.substring("props", 1, 500).alias("str_slice"), F.regexp_replace("event_type", "[aeiou]", "_").alias("str_regex"),
         F.col("event_type").rlike("^(v|c)").alias("str_rlike"),
         F.array_join(F.array("event_type", F.col("user_id").cast("string")), "|").alias("str_join"),
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), "value")).alias("math_clamp"),
