@@ -19,6 +19,13 @@ EVENT_COLS = ["db", "coll", "op", "key", "doc", *POS, "committed_ms"]
 
 
 # -- C1-C3 normalisers ---------------------------------------------------------------------
+def parse_once(raw: DataFrame, schema: str, keep: list[str], col: str = "raw") -> DataFrame:
+    """Parse each message once and expose its fields as columns. The struct
+    is expanded by a generator (``inline``), so the optimizer cannot split
+    one ``from_json`` into one pruned parse per accessed field."""
+    return raw.select(*keep, F.inline(F.array(F.from_json(F.col(col), schema))))
+
+
 MONGO_MSG = ("operationType string, ns struct<db:string,coll:string>, documentKey struct<_id:bigint>, "
              "fullDocument string, clusterTime struct<t:bigint,i:bigint>")
 
@@ -28,14 +35,13 @@ def normalise_mongo(raw: DataFrame) -> DataFrame:
     messages without a namespace or (for insert/update) a fullDocument are
     skipped. Position (t, i); committedAt = t * 1000. Each message is parsed
     once (``from_json`` into a struct; the document stays JSON text)."""
-    m = F.from_json(F.col("raw"), MONGO_MSG)
-    d = raw.select("arrival", m.alias("m"))
-    t = F.col("m.operationType")
+    d = parse_once(raw, MONGO_MSG, ["arrival"])
+    t = F.col("operationType")
     op = (F.when(t.isin("insert", "replace"), F.lit("insert")).when(t == "update", F.lit("update"))
           .when(t == "delete", F.lit("delete")))
-    d = d.select("arrival", op.alias("op"), F.col("m.ns.db").alias("db"), F.col("m.ns.coll").alias("coll"),
-                 F.col("m.documentKey._id").alias("key"), F.col("m.fullDocument").alias("full"),
-                 F.col("m.clusterTime.t").alias("pos_hi"), F.col("m.clusterTime.i").alias("pos_lo"))
+    d = d.select("arrival", op.alias("op"), F.col("ns.db").alias("db"), F.col("ns.coll").alias("coll"),
+                 F.col("documentKey._id").alias("key"), F.col("fullDocument").alias("full"),
+                 F.col("clusterTime.t").alias("pos_hi"), F.col("clusterTime.i").alias("pos_lo"))
     d = d.filter(F.col("op").isNotNull() & F.col("coll").isNotNull()
                  & ((F.col("op") == "delete") | F.col("full").isNotNull()))
     return d.select("db", "coll", "op", "key", F.when(F.col("op") != "delete", F.col("full")).alias("doc"),
@@ -54,14 +60,14 @@ def normalise_pg(raw: DataFrame, key_col: str) -> DataFrame:
     and transaction frames are dropped; no commit time. Position = LSN."""
     schema = (f"lsn string, action string, schema string, table string, columns string, "
               f"identity struct<{key_col}:bigint>, old struct<{key_col}:bigint>")
-    d = raw.select("arrival", F.from_json(F.col("raw"), schema).alias("m"))
-    action = F.col("m.action")
-    hi, lo = lsn_parts(F.col("m.lsn"))
+    d = parse_once(raw, schema, ["arrival"])
+    action = F.col("action")
+    hi, lo = lsn_parts(F.col("lsn"))
     op = F.when(action == "I", F.lit("insert")).when(action == "U", F.lit("update")).when(action == "D", F.lit("delete"))
-    key = F.coalesce(F.get_json_object(F.col("m.columns"), f"$.{key_col}").cast("long"),
-                     F.col(f"m.identity.{key_col}"), F.col(f"m.old.{key_col}"))
-    return (d.select(F.col("m.schema").alias("db"), F.col("m.table").alias("coll"), op.alias("op"),
-                     key.alias("key"), F.col("m.columns").alias("doc"),
+    key = F.coalesce(F.get_json_object(F.col("columns"), f"$.{key_col}").cast("long"),
+                     F.col(f"identity.{key_col}"), F.col(f"old.{key_col}"))
+    return (d.select(F.col("schema").alias("db"), F.col("table").alias("coll"), op.alias("op"),
+                     key.alias("key"), F.col("columns").alias("doc"),
                      hi.alias("pos_hi"), lo.alias("pos_lo"), F.lit(0).cast("long").alias("pos_seq"),
                      F.lit(None).cast("long").alias("committed_ms"), "arrival")
             .filter(F.col("op").isNotNull()))
@@ -76,8 +82,9 @@ def normalise_mysql(raw: DataFrame, key_col: str, bucket_size: int = 1_000_000_0
     ``after``; the current file is carried forward from the last rotate
     (a bucketed forward fill, not a global window). Position = (file number,
     event position, row ordinal); commit time = timestamp * 1000."""
-    d = raw.select("arrival", F.from_json(F.col("raw"), MYSQL_MSG).alias("m"))
-    d = d.select("arrival", "m", F.col("m.next_file").alias("next_file"))
+    d = parse_once(raw, MYSQL_MSG, ["arrival"])
+    d = d.select("arrival", F.struct(*[F.col(c) for c in ("type", "schema", "table", "position", "timestamp", "rows")])
+                 .alias("m"), "next_file")
     d = split_ffill(d, "arrival", F.floor(F.col("arrival") / bucket_size), "next_file", "file")
     ev = d.filter(F.col("m.type").isin("write_rows", "update_rows", "delete_rows"))
     ev = ev.select("arrival", "m", "file", F.posexplode("m.rows").alias("ordinal", "row"))
