@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.tables import read_table
+from tidewater.sources.tables import fan_out_small, read_table
 
 # -- fixed vocabularies used to dress the catalog fixture (F2) --------------
 # Native PG type names (pg_type.typname) cycled through the column catalog.
@@ -52,7 +52,7 @@ def epoch_ms(c) -> F.Column:
 def f1_documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one JSON document per customer, with missing keys, present nulls,
     mixed types, nested objects, arrays and an extended-JSON ObjectId."""
-    c = read_table(spark, sf_dir, "customer")
+    c = fan_out_small(read_table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     age = (F.lit(18) + k % 60).cast("string")
     parts = [
@@ -152,7 +152,7 @@ def f3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     when k % 26 = 13); delete (step 2) when k % 7 = 0; re-insert (step 3)
     when k % 14 = 0. Step-0 events of k % 11 = 0 are delivered twice.
     Position = (hi = step, lo = k, seq = delivery ordinal)."""
-    o = read_table(spark, sf_dir, "orders")
+    o = fan_out_small(read_table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     price = F.format_string("%.2f", F.col("o_totalprice"))
     price_up = F.format_string("%.2f", F.col("o_totalprice") + F.lit(1.0))

@@ -26,6 +26,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*casts)
 
 
+def fan_out_small(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores (a small
+    file) round-robin before CPU-heavy per-row work (JSON/VARIANT building).
+    Large inputs already have many splits and are left alone."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001  (no RDD handle, e.g. a remote session)
+        pass
+    return df
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, num_partitions: int = 64,
               fetchsize: int = 1000, **options) -> DataFrame:
