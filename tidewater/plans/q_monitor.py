@@ -283,52 +283,124 @@ def size_report(spark, sf_dir):
 
 
 # ---- S21 / U1 / M15 gauges -------------------------------------------------------------
-_MONGO_GAUGES = {"mongodb_connections_current": "connections_current", "mongodb_mem_resident_mb": "mem_resident_mb",
-                 "mongodb_network_bytes_in": "bytes_in", "mongodb_op_query_total": "query",
-                 "mongodb_wt_cache_max_bytes": "cache_max_bytes"}
-_SQL_GAUGES = {"sqlmon_tps": "tps", "sqlmon_cache_hit_ratio": "cache_hit_ratio", "sqlmon_replica_lag_s": "replica_lag_s"}
+# Gauge names exported for document and SQL connections.
+MONGO_GAUGES = [
+    "mongodb_connections_current", "mongodb_connections_available", "mongodb_ops_insert_per_sec",
+    "mongodb_ops_query_per_sec", "mongodb_ops_update_per_sec", "mongodb_ops_delete_per_sec",
+    "mongodb_ops_getmore_per_sec", "mongodb_memory_resident_mb", "mongodb_memory_virtual_mb",
+    "mongodb_network_bytes_in_total", "mongodb_network_bytes_out_total", "mongodb_replication_lag_seconds",
+    "mongodb_wt_cache_used_bytes", "mongodb_wt_cache_max_bytes",
+]
+SQL_GAUGES = [
+    "sqlmon_connections_current", "sqlmon_connections_max", "sqlmon_connections_active", "sqlmon_connections_idle",
+    "sqlmon_transactions_per_sec", "sqlmon_queries_per_sec", "sqlmon_cache_hit_ratio", "sqlmon_uptime_seconds",
+    "sqlmon_active_queries", "sqlmon_table_size_bytes", "sqlmon_table_rows", "sqlmon_replication_lag_seconds",
+    "sqlmon_is_replica",
+]
 
 
 def gauges(spark, sf_dir):
-    s = fx.f4_counter_samples(spark, sf_dir)
-    mongo = s.select(F.concat(F.lit("conn-"), F.col("connection_id").cast("string")).alias("connection_name"),
-                     "event_id", *[F.col(c).cast("double").alias(g) for g, c in _MONGO_GAUGES.items()])
-    mongo = mongo.unpivot(["connection_name", "event_id"], list(_MONGO_GAUGES), "gauge", "value")
-    p = mon.pg_snapshot(fx.f7_pg_stats(spark, sf_dir))
-    sql = p.select(F.concat(F.lit("conn-"), F.col("connection_id").cast("string")).alias("connection_name"),
-                   "event_id", *[F.col(c).cast("double").alias(g) for g, c in _SQL_GAUGES.items()])
-    sql = sql.unpivot(["connection_name", "event_id"], list(_SQL_GAUGES), "gauge", "value")
-    return mongo.unionByName(sql).filter(F.col("value").isNotNull())
-
-
-_GAUGES_SQL = with_ctes(F4, F7_PG) + """,
-snap AS (
-  SELECT connection_id, event_id, CASE WHEN uptime_s > 0 THEN round(xact / uptime_s, 2) ELSE 0.0 END AS tps,
-         CASE WHEN blks_hit + blks_read > 0 THEN round(blks_hit / (blks_hit + blks_read), 4) END AS cache_hit_ratio,
-         CASE WHEN is_replica THEN replica_lag_s END AS replica_lag_s
+    """Wide snapshots -> long gauge rows (connection, sample, gauge,
+    label, value); both families unioned; null values are not emitted.
+    Op rates use the exporter's fixed 15 s interval (W2)."""
+    s = mon.op_rates(fx.f4_counter_samples(spark, sf_dir), fixed_interval_s=15, keep_all=True)
+    name = F.concat(F.lit("conn-"), F.col("connection_id").cast("string"))
+    lag = F.when((F.col("connection_id") % 3 == 0) & (F.col("event_id") % 2 == 0), (F.col("event_id") % 45))
+    m = s.select(
+        name.alias("connection_name"), "event_id", F.lit(None).cast("string").alias("label"),
+        F.col("connections_current").cast("double").alias("mongodb_connections_current"),
+        (F.col("connections_max") - F.col("connections_current")).cast("double").alias("mongodb_connections_available"),
+        *[F.col(f"{op}_per_s").alias(f"mongodb_ops_{op}_per_sec") for op in ("insert", "query", "update", "delete", "getmore")],
+        F.col("mem_resident_mb").cast("double").alias("mongodb_memory_resident_mb"),
+        F.col("mem_virtual_mb").cast("double").alias("mongodb_memory_virtual_mb"),
+        F.col("bytes_in").cast("double").alias("mongodb_network_bytes_in_total"),
+        F.col("bytes_out").cast("double").alias("mongodb_network_bytes_out_total"),
+        lag.cast("double").alias("mongodb_replication_lag_seconds"),
+        F.col("cache_used_bytes").cast("double").alias("mongodb_wt_cache_used_bytes"),
+        F.col("cache_max_bytes").cast("double").alias("mongodb_wt_cache_max_bytes"))
+    mongo = m.unpivot(["connection_name", "event_id", "label"], MONGO_GAUGES, "gauge", "value") \
+             .withColumn("label", F.when(F.col("gauge") == "mongodb_replication_lag_seconds", F.lit("member=secondary-1")))
+    p = fx.f7_pg_stats(spark, sf_dir)
+    snap = mon.pg_snapshot(p).join(p.select("connection_id", "event_id", "uptime_s"), ["connection_id", "event_id"])
+    q = snap.select(
+        name.alias("connection_name"), "event_id", F.lit(None).cast("string").alias("label"),
+        F.col("connections_current").cast("double").alias("sqlmon_connections_current"),
+        F.lit(800.0).alias("sqlmon_connections_max"),
+        F.col("sessions_active").cast("double").alias("sqlmon_connections_active"),
+        F.col("sessions_idle").cast("double").alias("sqlmon_connections_idle"),
+        F.col("tps").cast("double").alias("sqlmon_transactions_per_sec"),
+        F.lit(None).cast("double").alias("sqlmon_queries_per_sec"),
+        F.col("cache_hit_ratio").cast("double").alias("sqlmon_cache_hit_ratio"),
+        F.col("uptime_s").cast("double").alias("sqlmon_uptime_seconds"),
+        F.col("sessions_active").cast("double").alias("sqlmon_active_queries"),
+        F.lit(None).cast("double").alias("sqlmon_table_size_bytes"),
+        F.lit(None).cast("double").alias("sqlmon_table_rows"),
+        F.col("replica_lag_s").cast("double").alias("sqlmon_replication_lag_seconds"),
+        F.col("is_replica").cast("double").alias("sqlmon_is_replica"))
+    sql = q.unpivot(["connection_name", "event_id", "label"], SQL_GAUGES, "gauge", "value")
+    tables = _table_sizes(spark, sf_dir).orderBy(F.col("size_bytes").desc(), "table_name").limit(10)
+    per_table = tables.select(
+        F.lit("warehouse").alias("connection_name"), F.lit(0).cast("long").alias("event_id"),
+        F.concat(F.lit("schema=public,table_name="), F.col("table_name")).alias("label"),
+        F.explode(F.array(
+            F.struct(F.lit("sqlmon_table_size_bytes").alias("gauge"), F.col("size_bytes").cast("double").alias("value")),
+            F.struct(F.lit("sqlmon_table_rows").alias("gauge"), F.col("n_rows").cast("double").alias("value")))).alias("g"))
+    per_table = per_table.select("connection_name", "event_id", "label", "g.gauge", "g.value")
+    return mongo.unionByName(sql).unionByName(per_table).filter(F.col("value").isNotNull())
+
+
+_GAUGES_SQL = with_ctes(F4, F7_PG, _SIZES_SQL) + """,
+lagged AS (SELECT *, lag(ts_ms) OVER w AS prev_ts, lag("insert") OVER w AS p_insert, lag(query) OVER w AS p_query,
+                  lag("update") OVER w AS p_update, lag("delete") OVER w AS p_delete, lag(getmore) OVER w AS p_getmore
+           FROM f4 WINDOW w AS (PARTITION BY connection_id ORDER BY ts_ms, event_id)),
+mw AS (
+  SELECT 'conn-' || CAST(connection_id AS VARCHAR) AS connection_name, event_id,
+         CAST(connections_current AS DOUBLE) AS mongodb_connections_current,
+         CAST(connections_max - connections_current AS DOUBLE) AS mongodb_connections_available,
+         CASE WHEN prev_ts IS NULL THEN 0.0 ELSE greatest(0.0, ("insert" - p_insert) / 15.0) END AS mongodb_ops_insert_per_sec,
+         CASE WHEN prev_ts IS NULL THEN 0.0 ELSE greatest(0.0, (query - p_query) / 15.0) END AS mongodb_ops_query_per_sec,
+         CASE WHEN prev_ts IS NULL THEN 0.0 ELSE greatest(0.0, ("update" - p_update) / 15.0) END AS mongodb_ops_update_per_sec,
+         CASE WHEN prev_ts IS NULL THEN 0.0 ELSE greatest(0.0, ("delete" - p_delete) / 15.0) END AS mongodb_ops_delete_per_sec,
+         CASE WHEN prev_ts IS NULL THEN 0.0 ELSE greatest(0.0, (getmore - p_getmore) / 15.0) END AS mongodb_ops_getmore_per_sec,
+         CAST(mem_resident_mb AS DOUBLE) AS mongodb_memory_resident_mb, CAST(mem_virtual_mb AS DOUBLE) AS mongodb_memory_virtual_mb,
+         CAST(bytes_in AS DOUBLE) AS mongodb_network_bytes_in_total, CAST(bytes_out AS DOUBLE) AS mongodb_network_bytes_out_total,
+         CASE WHEN connection_id % 3 = 0 AND event_id % 2 = 0 THEN CAST(event_id % 45 AS DOUBLE) END AS mongodb_replication_lag_seconds,
+         CAST(cache_used_bytes AS DOUBLE) AS mongodb_wt_cache_used_bytes, CAST(cache_max_bytes AS DOUBLE) AS mongodb_wt_cache_max_bytes
+  FROM lagged
+),
+sw AS (
+  SELECT 'conn-' || CAST(connection_id AS VARCHAR) AS connection_name, event_id,
+         CAST(sessions_total + 1 AS DOUBLE) AS sqlmon_connections_current, 800.0 AS sqlmon_connections_max,
+         CAST(sessions_active AS DOUBLE) AS sqlmon_connections_active, CAST(sessions_idle AS DOUBLE) AS sqlmon_connections_idle,
+         CASE WHEN uptime_s > 0 THEN round(xact / uptime_s, 2) ELSE 0.0 END AS sqlmon_transactions_per_sec,
+         CAST(NULL AS DOUBLE) AS sqlmon_queries_per_sec,
+         CASE WHEN blks_hit + blks_read > 0 THEN round(blks_hit / (blks_hit + blks_read), 4) END AS sqlmon_cache_hit_ratio,
+         CAST(uptime_s AS DOUBLE) AS sqlmon_uptime_seconds, CAST(sessions_active AS DOUBLE) AS sqlmon_active_queries,
+         CAST(NULL AS DOUBLE) AS sqlmon_table_size_bytes, CAST(NULL AS DOUBLE) AS sqlmon_table_rows,
+         CASE WHEN is_replica THEN replica_lag_s END AS sqlmon_replication_lag_seconds,
+         CAST(CAST(is_replica AS INTEGER) AS DOUBLE) AS sqlmon_is_replica
   FROM f7pg
 ),
+top10 AS (SELECT * FROM sizes ORDER BY size_bytes DESC, table_name LIMIT 10),
 g AS (
-  SELECT 'conn-' || CAST(connection_id AS VARCHAR) AS connection_name, event_id, gauge, value FROM (
-    UNPIVOT (SELECT connection_id, event_id,
-                    CAST(connections_current AS DOUBLE) AS mongodb_connections_current,
-                    CAST(mem_resident_mb AS DOUBLE) AS mongodb_mem_resident_mb,
-                    CAST(bytes_in AS DOUBLE) AS mongodb_network_bytes_in,
-                    CAST(query AS DOUBLE) AS mongodb_op_query_total,
-                    CAST(cache_max_bytes AS DOUBLE) AS mongodb_wt_cache_max_bytes FROM f4)
-    ON COLUMNS(* EXCLUDE (connection_id, event_id)) INTO NAME gauge VALUE value)
+  SELECT connection_name, event_id,
+         CASE WHEN gauge = 'mongodb_replication_lag_seconds' THEN 'member=secondary-1' END AS label, gauge, value
+  FROM (UNPIVOT mw ON COLUMNS(* EXCLUDE (connection_name, event_id)) INTO NAME gauge VALUE value)
+  UNION ALL
+  SELECT connection_name, event_id, CAST(NULL AS VARCHAR), gauge, value
+  FROM (UNPIVOT sw ON COLUMNS(* EXCLUDE (connection_name, event_id)) INTO NAME gauge VALUE value)
+  UNION ALL
+  SELECT 'warehouse', CAST(0 AS BIGINT), 'schema=public,table_name=' || table_name, 'sqlmon_table_size_bytes',
+         CAST(size_bytes AS DOUBLE) FROM top10
   UNION ALL
-  SELECT 'conn-' || CAST(connection_id AS VARCHAR), event_id, gauge, value FROM (
-    UNPIVOT (SELECT connection_id, event_id, CAST(tps AS DOUBLE) AS sqlmon_tps,
-                    CAST(cache_hit_ratio AS DOUBLE) AS sqlmon_cache_hit_ratio,
-                    CAST(replica_lag_s AS DOUBLE) AS sqlmon_replica_lag_s FROM snap)
-    ON COLUMNS(* EXCLUDE (connection_id, event_id)) INTO NAME gauge VALUE value)
+  SELECT 'warehouse', CAST(0 AS BIGINT), 'schema=public,table_name=' || table_name, 'sqlmon_table_rows',
+         CAST(n_rows AS DOUBLE) FROM top10
 )"""
 
 
 @query("gauge_long", _GAUGES_SQL + "SELECT * FROM g WHERE value IS NOT NULL")
 def gauge_long(spark, sf_dir):
-    """Wide snapshots -> long gauges (Mongo and SQL sets unioned); nulls are not emitted."""
+    """The 14 document and 13 SQL gauges in long form, nulls not emitted."""
     return gauges(spark, sf_dir)
 
 
