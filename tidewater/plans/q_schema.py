@@ -70,11 +70,15 @@ def sample_n_q(spark, sf_dir):
 
 # ---- S8 -------------------------------------------------------------------------
 @query("row_page", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
-ORDER BY o_orderkey LIMIT 50 OFFSET 100""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders) AS total, true AS total_exact
+FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100""")
 def row_page_q(spark, sf_dir):
+    """A page of rows in key order with the table total (exact here;
+    a document collection without a count would report total_exact false)."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return row_page(o, ["o_orderkey"], limit=50, offset=100)
+    total = o.count()
+    return row_page(o, ["o_orderkey"], limit=50, offset=100).withColumns(
+        {"total": F.lit(total).cast("long"), "total_exact": F.lit(True)})
 
 
 # ---- T1-T3 ----------------------------------------------------------------------
