@@ -276,3 +276,16 @@ def test_cdc_stream_resume_and_heartbeat(spark):
     # the stale redelivered insert of key 1 (position 1) is ignored after the update (position 2)
     assert {r["id"]: r["a"] for r in cst.read_target(spark, f"{base}/target").collect()} == {1: "z"}
     assert sum(b["input_rows"] for b in log.batches) == 5
+
+
+def test_key_change_becomes_delete_plus_insert(spark):
+    from tidewater.operators.cdc import split_key_changes
+    ev = spark.createDataFrame(
+        [("db", "t", "update", 5, '{"id":5,"a":"moved"}', 1, 1, 0, None, 1),
+         ("db", "t", "update", 2, '{"id":2,"a":"same"}', 1, 2, 0, None, 2)],
+        "db string, coll string, op string, key long, doc string, pos_hi long, pos_lo long, pos_seq long, "
+        "committed_ms long, old_key long")
+    out = split_key_changes(ev)
+    target = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id long, a string, b string")
+    applied = {r["id"]: (r["a"], r["b"]) for r in cdc.apply_upsert(target, out, "id", COLS).collect()}
+    assert applied == {2: ("same", "d"), 5: ("moved", None)}      # the old row 1 is gone

@@ -57,7 +57,8 @@ def lsn_parts(lsn: Column) -> tuple[Column, Column]:
 
 def normalise_pg(raw: DataFrame, key_col: str) -> DataFrame:
     """Only I/U/D; the key comes from the row (``key ?? old``); truncate
-    and transaction frames are dropped; no commit time. Position = LSN."""
+    and transaction frames are dropped; no commit time. Position = LSN.
+    ``old_key`` is the before-image key of an update (for ``split_key_changes``)."""
     schema = (f"lsn string, action string, schema string, table string, columns string, "
               f"identity struct<{key_col}:bigint>, old struct<{key_col}:bigint>")
     d = parse_once(raw, schema, ["arrival"])
@@ -69,7 +70,9 @@ def normalise_pg(raw: DataFrame, key_col: str) -> DataFrame:
     return (d.select(F.col("schema").alias("db"), F.col("table").alias("coll"), op.alias("op"),
                      key.alias("key"), F.col("columns").alias("doc"),
                      hi.alias("pos_hi"), lo.alias("pos_lo"), F.lit(0).cast("long").alias("pos_seq"),
-                     F.lit(None).cast("long").alias("committed_ms"), "arrival")
+                     F.lit(None).cast("long").alias("committed_ms"), "arrival",
+                     F.when(op == "update", F.coalesce(F.col(f"old.{key_col}"), F.col(f"identity.{key_col}")))
+                     .alias("old_key"))
             .filter(F.col("op").isNotNull()))
 
 
@@ -100,6 +103,23 @@ def normalise_mysql(raw: DataFrame, key_col: str, bucket_size: int = 1_000_000_0
                      (F.col("m.timestamp") * 1000).alias("committed_ms"), "arrival")
 
 
+def split_key_changes(events: DataFrame, old_key: str = "old_key") -> DataFrame:
+    """An update whose before-image key differs from its new key (a primary
+    key change) becomes delete(old key) + insert(new row) at the same
+    position; the delete sorts first (seq * 2 vs seq * 2 + 1). Without this
+    the old row would stay behind. Other events keep their order."""
+    changed = (F.col("op") == "update") & F.col(old_key).isNotNull() & (F.col(old_key) != F.col("key"))
+    cols = [c for c in events.columns if c not in (old_key,)]
+    base = events.withColumn("pos_seq", F.col("pos_seq") * 2 + 1)
+    keep = base.filter(~changed | F.col(old_key).isNull()).drop(old_key)
+    moved = base.filter(changed)
+    dels = moved.select(*[F.lit("delete").alias(c) if c == "op" else F.col(old_key).alias(c) if c == "key"
+                          else F.lit(None).cast("string").alias(c) if c == "doc"
+                          else (F.col("pos_seq") - 1).alias(c) if c == "pos_seq" else F.col(c) for c in cols])
+    ins = moved.select(*[F.lit("insert").alias(c) if c == "op" else F.col(c) for c in cols])
+    return keep.unionByName(dels).unionByName(ins)
+
+
 # -- C4, C5, C13 ------------------------------------------------------------------------------
 def filter_namespaces(events: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     """C4: keep configured namespaces (a literal IN list: the namespace
