@@ -58,19 +58,6 @@ def batch_atomic(rows: DataFrame, ok: Column, batch: Column, ns_cols: list[str])
               .withColumnRenamed("_batch", "batch_id")
 
 
-def outcome(written: DataFrame, skipped: DataFrame, failed: DataFrame, ns_cols: list[str],
-            order_col: str, error_col: str = "error") -> DataFrame:
-    """L1: written / skipped / failed per namespace and the last error (the
-    error of the latest failed row in ``order_col`` order)."""
-    w = written.groupBy(*ns_cols).agg(F.count(F.lit(1)).cast("long").alias("written"))
-    s = skipped.groupBy(*ns_cols).agg(F.sum("_n").cast("long").alias("skipped"))
-    f = failed.groupBy(*ns_cols).agg(F.count(F.lit(1)).cast("long").alias("failed"),
-                                     F.max_by(error_col, order_col).alias("last_error"))
-    j = w.join(s, ns_cols, "full_outer").join(f, ns_cols, "full_outer")
-    return j.select(*ns_cols, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("written", "skipped", "failed")],
-                    "last_error")
-
-
 def verdict(out: DataFrame, threw: Column | None = None) -> DataFrame:
     """L2: threw -> failed; failed rows and nothing written -> failed; failed
     rows and some written -> succeeded with an error entry; else succeeded."""
