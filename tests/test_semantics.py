@@ -289,3 +289,18 @@ def test_key_change_becomes_delete_plus_insert(spark):
     target = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id long, a string, b string")
     applied = {r["id"]: (r["a"], r["b"]) for r in cdc.apply_upsert(target, out, "id", COLS).collect()}
     assert applied == {2: ("same", "d"), 5: ("moved", None)}      # the old row 1 is gone
+
+
+def test_pause_and_reenable(spark):
+    m = 60000
+    samples = [(0, True), (2, True), (3, True), (5, False), (6, True), (8, True), (9, False), (10, True), (12, True),
+               (13, False)]
+    ev = spark.createDataFrame([(7, i, t * m, float(i), c, 1) for i, (t, c) in enumerate(samples)],
+                               "rule_id long, event_id long, ts_ms long, value double, cond boolean, duration_minutes int")
+    changes = spark.createDataFrame([(7, 4 * m, "disable"), (7, 7 * m, "enable")],
+                                    "rule_id long, change_ms long, action string")
+    out = sorted((r["seg"], r["started_ms"] // m, r["fired_ms"] // m, r["resolved_ms"] // m, r["status"])
+                 for r in al.events_with_pauses(ev, changes).collect())
+    # the event open at the disable is closed by the next resolution after re-enabling;
+    # the paused samples (5, 6) are skipped and the clock restarts after the re-enable
+    assert out == [(0, 0, 2, 13, "resolved"), (1, 10, 12, 13, "resolved")]

@@ -112,31 +112,64 @@ def evaluations(metrics: DataFrame, rules: DataFrame) -> DataFrame:
                     condition_met(F.col("value"), F.col("condition"), F.col("threshold")).alias("cond"))
 
 
-def alert_events(evals: DataFrame) -> DataFrame:
+def alert_events(evals: DataFrame, keys: tuple[str, ...] = ("rule_id",)) -> DataFrame:
     """A4 + A6: one event per island of condition-true samples that lasted
     long enough. The first true sample only starts the clock; the event
     fires at the first later sample with ``(t - t0) >= duration minutes``;
-    the next false sample resolves it (status stays ``firing`` otherwise)."""
+    the next false sample resolves it (status stays ``firing`` otherwise).
+    ``keys`` are the state-machine keys (a rule, or a rule's enabled segment)."""
     order = ["ts_ms", "event_id"]
-    d = split_cumsum(evals, ["rule_id"], order, day_bucket(F.col("ts_ms")),
+    k = list(keys)
+    d = split_cumsum(evals, k, order, day_bucket(F.col("ts_ms")),
                      F.when(F.col("cond"), F.lit(0)).otherwise(F.lit(1)), "grp")
     true_s = d.filter("cond")
-    isl = true_s.groupBy("rule_id", "grp").agg(F.min(F.struct(*order)).alias("t0"))
-    cand = (true_s.join(isl, ["rule_id", "grp"])
+    isl = true_s.groupBy(*k, "grp").agg(F.min(F.struct(*order)).alias("t0"))
+    cand = (true_s.join(isl, [*k, "grp"])
             .filter((F.struct(*order) > F.col("t0"))
                     & (F.col("ts_ms") - F.col("t0.ts_ms") >= F.col("duration_minutes") * 60000)))
-    fired = cand.groupBy("rule_id", "grp").agg(
+    fired = cand.groupBy(*k, "grp").agg(
         F.min(F.struct("ts_ms", "event_id", "value", F.col("t0.ts_ms").alias("t0_ms"))).alias("f"))
     resolve = (d.filter(~F.col("cond"))
-               .select("rule_id", (F.col("grp") - 1).alias("grp"), F.col("ts_ms").alias("resolved_ms")))
-    ev = fired.join(resolve, ["rule_id", "grp"], "left")
+               .select(*k, (F.col("grp") - 1).alias("grp"), F.col("ts_ms").alias("resolved_ms")))
+    ev = fired.join(resolve, [*k, "grp"], "left")
     return ev.select(
-        "rule_id", F.col("grp").cast("long").alias("island"), F.col("f.t0_ms").alias("started_ms"),
+        *k, F.col("grp").cast("long").alias("island"), F.col("f.t0_ms").alias("started_ms"),
         F.col("f.ts_ms").alias("fired_ms"), F.col("f.event_id").alias("fired_event_id"),
         F.col("f.value").alias("value"), "resolved_ms",
         F.when(F.col("resolved_ms").isNull(), F.lit("firing")).otherwise(F.lit("resolved")).alias("status"))
 
 
+def with_rule_changes(evals: DataFrame, changes: DataFrame) -> DataFrame:
+    """A13 replayed into evaluation: drop samples taken while the rule is
+    paused (latest change before the sample is a disable) and number the
+    enabled segments (re-enables so far). The as-of state is a keyed forward
+    fill and a running count over the union of samples and changes, both
+    bucketed by day (no whole-rule window)."""
+    from tidewater.functions.windows import split_ffill
+    e = evals.select("*", (F.col("ts_ms") * 2 + 1).alias("_o"), F.lit(None).cast("string").alias("_act"))
+    c = changes.select("rule_id", F.col("change_ms").alias("ts_ms"), (F.col("change_ms") * 2).alias("_o"),
+                       F.col("action").alias("_act"))
+    u = e.unionByName(c, allowMissingColumns=True)
+    b = day_bucket(F.col("ts_ms"))
+    u = split_ffill(u, "_o", b, "_act", "_state", keys=["rule_id"])
+    u = split_cumsum(u, ["rule_id"], ["_o"], b, F.when(F.col("_act") == "enable", 1).otherwise(0), "seg")
+    return (u.filter(F.col("_act").isNull() & (F.coalesce(F.col("_state"), F.lit("enable")) != "disable"))
+            .drop("_o", "_act", "_state"))
+
+
+def events_with_pauses(evals: DataFrame, changes: DataFrame) -> DataFrame:
+    """A4 + A6 + A13: islands per enabled segment; an event left open when
+    its rule was disabled stays ``firing`` until the rule later fires and
+    resolves again (auto-resolve closes every open event of the rule then)."""
+    ev = alert_events(with_rule_changes(evals, changes), keys=("rule_id", "seg"))
+    from pyspark.sql import Window
+    later = Window.partitionBy("rule_id").orderBy("seg").rangeBetween(1, Window.unboundedFollowing)
+    nxt = F.min("resolved_ms").over(later)
+    resolved = F.coalesce(F.col("resolved_ms"), F.when(nxt > F.col("fired_ms"), nxt))
+    return (ev.withColumn("resolved_ms", resolved)
+            .withColumn("status", F.when(F.col("resolved_ms").isNull(), F.lit("firing")).otherwise(F.lit("resolved"))))
+
+
 def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS) -> DataFrame:
     """A5: notify a firing when the rule was never notified or the last
     *notified* firing is more than the cooldown ago (strictly). Greedy, so

@@ -319,3 +319,50 @@ def anti_exclude(spark, sf_dir):
     """Scheduled (enabled) rules that are not currently firing (left anti)."""
     firing = events(spark, sf_dir).filter(F.col("status") == "firing").select("rule_id")
     return rules(spark, sf_dir).filter("enabled").join(firing, "rule_id", "left_anti").select("rule_id", "connection_id")
+
+
+PAUSE_SQL = METRICS_SQL + f""",
+ch AS (
+  SELECT rule_id, {AS_OF_MS - 2 * DAY_MS} AS change_ms, 'disable' AS action FROM f6r WHERE rule_id % 6 = 0
+  UNION ALL
+  SELECT rule_id, {AS_OF_MS - DAY_MS}, 'enable' FROM f6r WHERE rule_id % 12 = 0
+),
+chc AS (SELECT *, sum(CASE WHEN action = 'enable' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY rule_id ORDER BY change_ms ROWS UNBOUNDED PRECEDING) AS seg FROM ch),
+act AS (
+  SELECT e.*, CAST(coalesce(c.seg, 0) AS BIGINT) AS seg
+  FROM evals e ASOF LEFT JOIN chc c ON e.rule_id = c.rule_id AND e.ts_ms >= c.change_ms
+  WHERE coalesce(c.action, 'enable') <> 'disable'
+),
+g AS (SELECT *, CAST(sum(CASE WHEN cond THEN 0 ELSE 1 END) OVER (PARTITION BY rule_id, seg ORDER BY ts_ms, event_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp FROM act),
+t AS (SELECT *, first_value(ts_ms) OVER (PARTITION BY rule_id, seg, grp ORDER BY ts_ms, event_id) AS t0_ts,
+             first_value(event_id) OVER (PARTITION BY rule_id, seg, grp ORDER BY ts_ms, event_id) AS t0_e
+      FROM g WHERE cond),
+c AS (SELECT *, row_number() OVER (PARTITION BY rule_id, seg, grp ORDER BY ts_ms, event_id) AS rn FROM t
+      WHERE (ts_ms > t0_ts OR (ts_ms = t0_ts AND event_id > t0_e)) AND ts_ms - t0_ts >= duration_minutes * 60000),
+res AS (SELECT rule_id, seg, grp - 1 AS grp, ts_ms AS resolved_ms FROM g WHERE NOT cond),
+ev1 AS (
+  SELECT c.rule_id, c.seg, c.grp AS island, c.t0_ts AS started_ms, c.ts_ms AS fired_ms, c.event_id AS fired_event_id,
+         c.value, res.resolved_ms
+  FROM c LEFT JOIN res USING (rule_id, seg, grp) WHERE c.rn = 1
+),
+ev2 AS (
+  SELECT *, min(resolved_ms) OVER (PARTITION BY rule_id ORDER BY seg RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
+  FROM ev1
+)"""
+
+
+@query("alert_pause_replay", PAUSE_SQL + """
+SELECT rule_id, seg, island, started_ms, fired_ms, fired_event_id, round(value, 6) AS value,
+       coalesce(resolved_ms, CASE WHEN nxt > fired_ms THEN nxt END) AS resolved_ms,
+       CASE WHEN coalesce(resolved_ms, CASE WHEN nxt > fired_ms THEN nxt END) IS NULL THEN 'firing' ELSE 'resolved' END AS status
+FROM ev2""")
+def alert_pause_replay(spark, sf_dir):
+    """A13 replayed into A4: samples taken while a rule is paused are skipped;
+    re-enabling clears the clock (islands restart per enabled segment); an
+    event left firing when its rule was disabled is resolved only when the
+    rule later fires and resolves again."""
+    ev = al.events_with_pauses(evals(spark, sf_dir), _rule_changes(rules(spark, sf_dir)))
+    return ev.select("rule_id", F.col("seg").cast("long").alias("seg"), "island", "started_ms", "fired_ms",
+                     "fired_event_id", _r6(F.col("value")).alias("value"), "resolved_ms", "status")
