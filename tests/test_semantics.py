@@ -304,3 +304,14 @@ def test_pause_and_reenable(spark):
     # the event open at the disable is closed by the next resolution after re-enabling;
     # the paused samples (5, 6) are skipped and the clock restarts after the re-enable
     assert out == [(0, 0, 2, 13, "resolved"), (1, 10, 12, 13, "resolved")]
+
+
+def test_bootstrap_modes(spark):
+    src = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id long, a string, b string")
+    dest = spark.createDataFrame([(9, "old", "row")], "id long, a string, b string")
+    ev = _events(spark, [("update", 1, '{"id":1,"a":"early"}', 0, 1),      # before the start: in the snapshot already
+                         ("update", 2, '{"id":2,"b":"tail"}', 2, 2)])
+    snap = {r["id"]: (r["a"], r["b"]) for r in cdc.bootstrap(src, dest, ev, "id", COLS, "snapshot", (1, 0, 0), "db", "t").collect()}
+    assert snap == {1: ("a", "b"), 2: ("c", "tail")}
+    tail = {r["id"]: (r["a"], r["b"]) for r in cdc.bootstrap(src, dest, ev, "id", COLS, "tail", (1, 0, 0), "db", "t").collect()}
+    assert tail == {9: ("old", "row"), 2: (None, "tail")}

@@ -231,6 +231,22 @@ def snapshot_events(target: DataFrame, key: str, columns: dict[str, str], db: st
                          F.lit(None).cast("long").alias("committed_ms"))
 
 
+def bootstrap(source: DataFrame, target: DataFrame, events: DataFrame, key: str, columns: dict[str, str],
+              mode: str, start: tuple[int, int, int], db: str, coll: str) -> DataFrame:
+    """``snapshot`` copies the source (rows at position minus
+    infinity) into an empty destination and applies the tail from the start
+    position captured before the copy, so the overlap is absorbed; ``tail``
+    applies only the events from the start position onto the destination as
+    it is."""
+    tail = events.filter(position() >= F.struct(*[F.lit(v).cast("long") for v in start]))
+    if mode == "snapshot":
+        empty = target.filter(F.lit(False))
+        return apply_upsert(empty, snapshot_events(source, key, columns, db, coll).unionByName(tail), key, columns)
+    if mode == "tail":
+        return apply_upsert(target, tail, key, columns)
+    raise ValueError(f"unknown bootstrap mode {mode}")
+
+
 def after_position(events: DataFrame, hi: int, lo: int, seq: int) -> DataFrame:
     """C12 batch resume: events strictly after the last applied position."""
     return events.filter(position() > F.struct(F.lit(hi).cast("long"), F.lit(lo).cast("long"), F.lit(seq).cast("long")))

@@ -248,9 +248,7 @@ def cdc_snapshot_tail(spark, sf_dir):
     the start position (step 1), applied to an empty destination."""
     valid, _ = clean_events(spark, sf_dir, dedupe=False)
     tgt = target(spark, sf_dir)
-    snap = cdc.snapshot_events(tgt, KEY, COLUMNS, "shop", "orders")
-    tail = valid.filter(F.col("pos_hi") >= 1)
-    return cdc.apply_upsert(tgt.filter(F.lit(False)), snap.unionByName(tail), KEY, COLUMNS)
+    return cdc.bootstrap(tgt, tgt, valid, KEY, COLUMNS, "snapshot", (1, 0, 0), "shop", "orders")
 
 
 @query("cdc_resume", CLEAN_SQL + """,
