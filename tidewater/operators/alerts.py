@@ -170,20 +170,24 @@ def events_with_pauses(evals: DataFrame, changes: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("resolved_ms").isNull(), F.lit("firing")).otherwise(F.lit("resolved"))))
 
 
-def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS) -> DataFrame:
+def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS,
+                 keys: tuple[str, ...] = ("rule_id",)) -> DataFrame:
     """A5: notify a firing when the rule was never notified or the last
     *notified* firing is more than the cooldown ago (strictly). Greedy, so
     evaluated as an ``aggregate`` over each rule's firings in time order.
 
     Firings are first cut into chains at gaps longer than the cooldown (a
     chain's first firing is always notified), so the arrays are per chain;
-    a chain is bounded by its time span over the cooldown, not by data size."""
+    a chain is bounded by its time span over the cooldown, not by data size.
+    ``keys``: the notification state (a rule, or a rule's enabled segment,
+    since re-enabling a rule clears its last-notified time)."""
+    k = list(keys)
     b = day_bucket(F.col("fired_ms"))
-    e = split_lag(events, ["rule_id"], ["fired_ms", "island"], b, ["fired_ms"])
+    e = split_lag(events, k, ["fired_ms", "island"], b, ["fired_ms"])
     starts = F.when(F.col("prev_fired_ms").isNull() | (F.col("fired_ms") - F.col("prev_fired_ms") > cooldown_ms), 1) \
               .otherwise(0)
-    e = split_cumsum(e, ["rule_id"], ["fired_ms", "island"], b, starts, "_chain")
-    chains = e.groupBy("rule_id", "_chain").agg(
+    e = split_cumsum(e, k, ["fired_ms", "island"], b, starts, "_chain")
+    chains = e.groupBy(*k, "_chain").agg(
         F.array_sort(F.collect_list(F.struct("fired_ms", "island"))).alias("fs"))
 
     def step(acc, x):
@@ -194,9 +198,9 @@ def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS) -> Da
 
     init = F.struct(F.lit(None).cast("long").alias("last"),
                     F.array().cast("array<struct<island:bigint,notified:boolean>>").alias("out"))
-    flags = (chains.select("rule_id", F.explode(F.aggregate("fs", init, step)["out"]).alias("o"))
-             .select("rule_id", F.col("o.island").alias("island"), F.col("o.notified").alias("notified")))
-    return events.join(flags, ["rule_id", "island"])
+    flags = (chains.select(*k, F.explode(F.aggregate("fs", init, step)["out"]).alias("o"))
+             .select(*k, F.col("o.island").alias("island"), F.col("o.notified").alias("notified")))
+    return events.join(flags, [*k, "island"])
 
 
 def duration_label(fired_ms: Column, resolved_ms: Column, status: Column) -> Column:

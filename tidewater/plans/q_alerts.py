@@ -353,16 +353,29 @@ ev2 AS (
 )"""
 
 
-@query("alert_pause_replay", PAUSE_SQL + """
-SELECT rule_id, seg, island, started_ms, fired_ms, fired_event_id, round(value, 6) AS value,
-       coalesce(resolved_ms, CASE WHEN nxt > fired_ms THEN nxt END) AS resolved_ms,
-       CASE WHEN coalesce(resolved_ms, CASE WHEN nxt > fired_ms THEN nxt END) IS NULL THEN 'firing' ELSE 'resolved' END AS status
-FROM ev2""")
+@query("alert_pause_replay", "WITH RECURSIVE " + PAUSE_SQL[len("WITH "):] + """,
+fr AS (SELECT rule_id, seg, island, fired_ms,
+              row_number() OVER (PARTITION BY rule_id, seg ORDER BY fired_ms, island) AS k FROM ev2),
+nt AS (
+  SELECT rule_id, seg, k, island, fired_ms, true AS notified, fired_ms AS last FROM fr WHERE k = 1
+  UNION ALL
+  SELECT f.rule_id, f.seg, f.k, f.island, f.fired_ms, (f.fired_ms - n.last) > 1800000,
+         CASE WHEN (f.fired_ms - n.last) > 1800000 THEN f.fired_ms ELSE n.last END
+  FROM nt n JOIN fr f ON f.rule_id = n.rule_id AND f.seg = n.seg AND f.k = n.k + 1
+)
+SELECT e.rule_id, e.seg, e.island, e.started_ms, e.fired_ms, e.fired_event_id, round(e.value, 6) AS value,
+       coalesce(e.resolved_ms, CASE WHEN e.nxt > e.fired_ms THEN e.nxt END) AS resolved_ms,
+       CASE WHEN coalesce(e.resolved_ms, CASE WHEN e.nxt > e.fired_ms THEN e.nxt END) IS NULL THEN 'firing' ELSE 'resolved' END
+         AS status,
+       n.notified
+FROM ev2 e JOIN nt n USING (rule_id, seg, island)""")
 def alert_pause_replay(spark, sf_dir):
     """A13 replayed into A4: samples taken while a rule is paused are skipped;
     re-enabling clears the clock (islands restart per enabled segment); an
     event left firing when its rule was disabled is resolved only when the
-    rule later fires and resolves again."""
-    ev = al.events_with_pauses(evals(spark, sf_dir), _rule_changes(rules(spark, sf_dir)))
+    rule later fires and resolves again. Notification cooldown chains restart
+    per enabled segment."""
+    ev = materialize(al.events_with_pauses(evals(spark, sf_dir), _rule_changes(rules(spark, sf_dir))))
+    ev = al.notify_flags(ev, keys=("rule_id", "seg"))      # re-enabling clears the last-notified time
     return ev.select("rule_id", F.col("seg").cast("long").alias("seg"), "island", "started_ms", "fired_ms",
-                     "fired_event_id", _r6(F.col("value")).alias("value"), "resolved_ms", "status")
+                     "fired_event_id", _r6(F.col("value")).alias("value"), "resolved_ms", "status", "notified")
