@@ -315,3 +315,17 @@ def test_bootstrap_modes(spark):
     assert snap == {1: ("a", "b"), 2: ("c", "tail")}
     tail = {r["id"]: (r["a"], r["b"]) for r in cdc.bootstrap(src, dest, ev, "id", COLS, "tail", (1, 0, 0), "db", "t").collect()}
     assert tail == {9: ("old", "row"), 2: (None, "tail")}
+
+
+def test_read_documents_as_variant(spark):
+    from tidewater.session import checkpoint_dir
+    from tidewater.sources.tables import documents_from_text, read_documents
+    path = checkpoint_dir(spark, "docs_in")
+    spark.createDataFrame([('{"_id":1,"a":{"b":2}}',), ('{"_id":2,"a":null,"c":"x"}',)], "value string") \
+         .coalesce(1).write.text(path)
+    docs = read_documents(spark, path).withColumns({"database": F.lit("d"), "coll": F.lit("c"),
+                                                    "doc_id": F.variant_get("doc", "$._id", "bigint")})
+    s = by_name(infer.infer_schema(docs))
+    assert s["a"]["type"] == "jsonb" and s["a"]["nullable"] and s["c"]["type"] == "string"
+    t = documents_from_text(spark.createDataFrame([('{"k":1}',)], "doc_text string"))
+    assert t.select(F.variant_get("doc", "$.k", "int")).first()[0] == 1

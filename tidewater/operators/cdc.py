@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidewater.functions.windows import split_ffill
 
 POS = ["pos_hi", "pos_lo", "pos_seq"]
-EVENT_COLS = ["db", "coll", "op", "key", "doc", *POS, "committed_ms"]
 
 
 # -- C1-C3 normalisers ---------------------------------------------------------------------

@@ -114,7 +114,9 @@ def current_ops(ops: DataFrame, ns_contains: str | None = None, op_equals: str |
     duration = microseconds/1000 when positive, else seconds*1000; then the
     optional user filters (each skipped when empty)."""
     ns = F.coalesce(F.col("ns"), F.lit(""))
-    keep = ~(ns.startswith("admin.") | ns.startswith("local.") | ns.startswith("config."))
+    keep = F.lit(True)
+    for prefix in SYSTEM_NS_PREFIXES:
+        keep &= ~ns.startswith(prefix)
     keep &= ~((ns == "") & (F.col("op") == "none"))
     dur = F.when(F.col("microsecs_running") > 0, F.col("microsecs_running") / 1000.0) \
            .otherwise(F.col("secs_running") * 1000.0)

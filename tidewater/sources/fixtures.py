@@ -253,9 +253,6 @@ def f4_replica_members(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("set_id", "member_id", "sample_ts", state.alias("state"), "optime"))
 
 
-OP_NAMES = ["query", "insert", "update", "remove", "getmore", "command"]
-
-
 def f5_oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one profiled operation per event. db = 'db<user % 10>' except
     user % 10 = 0 -> 'admin'; ns = db.event_type (null when event_id % 13 = 0);

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import cdc
 
-POS_T = "struct<pos_hi:bigint,pos_lo:bigint,pos_seq:bigint>"
-
-
 def _versions(spark: SparkSession, target: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
