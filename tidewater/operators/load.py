@@ -119,3 +119,20 @@ def reconcile(source: DataFrame, target: DataFrame, ns_cols: list[str], key: str
                     (F.coalesce("src_rows", F.lit(0)) - F.coalesce("dst_rows", F.lit(0))).alias("diff"),
                     ((F.col("src_xor") == F.col("dst_xor")) & (F.col("src_sum") == F.col("dst_sum"))
                      & (F.col("src_rows") == F.col("dst_rows"))).alias("matches"))
+
+
+def write_load(rows: DataFrame, bad: Column, error: Column, path: str, ns_cols: list[str],
+               mode: str = "overwrite") -> DataFrame:
+    """S9/S12 sink: one distributed write of the mapped rows, partitioned by
+    status (``written`` rows, ``rejected`` rows with their error), so valid
+    rows and rejects come from a single pass; ``overwrite`` is
+    drop-and-create, ``append`` create-if-missing. Returns the per-namespace
+    counts read back from the written files (partition pruning, no rescan of
+    the source)."""
+    out = rows.withColumn("status", F.when(bad, F.lit("rejected")).otherwise(F.lit("written"))) \
+              .withColumn("error", F.when(bad, error))
+    out = out.drop(*[c for c in out.columns if c.startswith("_")])     # working columns stay behind
+    out.write.mode(mode).partitionBy("status").parquet(path)
+    back = rows.sparkSession.read.parquet(path)
+    return back.groupBy(*ns_cols, "status").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                                                 F.max("error").alias("error"))

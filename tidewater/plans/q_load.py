@@ -196,3 +196,18 @@ def reconcile_counts(spark, sf_dir):
         skipped.select("coll", "doc_id"), ["coll", "doc_id"], "left_semi")
     dst = written.select("coll", "doc_id").unionByName(existing)
     return load.reconcile(docs, dst, ["coll"], "doc_id")
+
+
+@query("load_write", LOAD_SQL + """
+SELECT database, coll, CASE WHEN bad THEN 'rejected' ELSE 'written' END AS status, CAST(count(*) AS BIGINT) AS n_rows,
+       max(CASE WHEN bad THEN 'invalid value for score' END) AS error
+FROM d GROUP BY 1, 2, 3""")
+def load_write(spark, sf_dir):
+    """The load written once (valid rows and rejects in one job,
+    partitioned by status under the shared folder) and counted back."""
+    from tidewater.session import checkpoint_dir
+    docs = crm_docs(spark, sf_dir)
+    rows = mp.map_doc_rows(docs, load_cols(spark, sf_dir), "pg", keep=["database", "coll", "doc_id"])
+    return load.write_load(rows, F.size("_bad") > 0,
+                           F.concat(F.lit("invalid value for "), F.array_join("_bad", ",")),
+                           checkpoint_dir(spark, "load_target"), ["database", "coll"])
