@@ -329,3 +329,11 @@ def test_read_documents_as_variant(spark):
     assert s["a"]["type"] == "jsonb" and s["a"]["nullable"] and s["c"]["type"] == "string"
     t = documents_from_text(spark.createDataFrame([('{"k":1}',)], "doc_text string"))
     assert t.select(F.variant_get("doc", "$.k", "int")).first()[0] == 1
+
+
+def test_infer_on_a_deterministic_sample(spark):
+    d = docs_of(spark, ['{"_id":%d,"a":%d}' % (i, i) for i in range(40)])
+    s1 = infer.infer_schema(d, sample=10, seed=7).collect()
+    s2 = infer.infer_schema(d.repartition(3), sample=10, seed=7).collect()
+    assert {r["column_name"]: r["n_docs"] for r in s1} == {"_id": 10, "a": 10}
+    assert sorted(map(tuple, s1)) == sorted(map(tuple, s2))          # same sample whatever the partitioning
