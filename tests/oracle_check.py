@@ -71,6 +71,37 @@ def _key(row):
                  for x in row)
 
 
+def _family_spark(t) -> str:
+    from pyspark.sql import types as T
+    for k, v in ((T.IntegerType, "int32"), (T.LongType, "int64"), (T.ShortType, "int16"), (T.ByteType, "int8"),
+                 (T.DoubleType, "float64"), (T.FloatType, "float32"), (T.StringType, "string"), (T.BooleanType, "bool"),
+                 (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp"), (T.DateType, "date"),
+                 (T.DecimalType, "decimal"), (T.BinaryType, "binary")):
+        if isinstance(t, k):
+            return v
+    if isinstance(t, T.ArrayType):
+        return "list<" + _family_spark(t.elementType) + ">"
+    return type(t).__name__
+
+
+def _family_duck(s: str) -> str:
+    s = str(s).upper()
+    if s.endswith("[]"):
+        return "list<" + _family_duck(s[:-2]) + ">"
+    if s.startswith("DECIMAL"):
+        return "decimal"
+    return {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+            "FLOAT": "float32", "VARCHAR": "string", "BOOLEAN": "bool", "TIMESTAMP": "timestamp", "DATE": "date",
+            "BLOB": "binary", "JSON": "string", "TIMESTAMP WITH TIME ZONE": "timestamp"}.get(s, s)
+
+
+def type_diffs(spark_df, con, sql) -> list:
+    """Column type families that differ between the Spark result and the oracle."""
+    st = {f.name: _family_spark(f.dataType) for f in spark_df.schema.fields}
+    dt = {d[0]: _family_duck(d[1]) for d in con.execute("SELECT * FROM (" + sql + ") LIMIT 0").description}
+    return [(c, st.get(c), dt.get(c)) for c in sorted(set(st) | set(dt)) if st.get(c) != dt.get(c)]
+
+
 def compare(spark_df, con, sql):
     sc, sr = rows_of_spark(spark_df)
     dc, dr = rows_of_duck(con, sql)
@@ -102,6 +133,9 @@ def main(argv):
             df = fn(spark, sf_dir)
             if name in sqls:
                 ok, msg = compare(df, con, sqls[name])
+                td = type_diffs(df, con, sqls[name])
+                if ok and td:
+                    msg += f"  (type families differ: {td})"
             else:
                 n = df.count()
                 ok, msg = True, f"{n} rows (no oracle)"
