@@ -250,3 +250,29 @@ FROM typed WHERE ptype IN ('int', 'double')
 GROUP BY database, coll, path""")
 def profile_numeric_q(spark, sf_dir):
     return infer.profile_numeric(_user_docs(spark, sf_dir))
+
+
+@query("approx_counts", """
+WITH st AS (
+  SELECT 't_' || CAST(p_partkey AS VARCHAR) AS table_name,
+         CASE WHEN p_partkey % 13 = 0 THEN -1.0 ELSE CAST(count(l_orderkey) AS DOUBLE) END AS pg_reltuples,
+         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE count(l_orderkey) END AS mysql_table_rows
+  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey
+)
+SELECT table_name, CASE WHEN pg_reltuples >= 0 THEN CAST(pg_reltuples AS BIGINT) END AS pg_approx,
+       CASE WHEN mysql_table_rows > 0 THEN CAST(mysql_table_rows AS BIGINT) END AS mysql_approx,
+       CAST(coalesce(CASE WHEN pg_reltuples >= 0 THEN CAST(pg_reltuples AS BIGINT) END, 0)
+            + coalesce(CASE WHEN mysql_table_rows > 0 THEN CAST(mysql_table_rows AS BIGINT) END, 0) AS BIGINT) AS approx_total
+FROM st""")
+def approx_counts_q(spark, sf_dir):
+    """Catalog statistics per table t_<partkey> (row count = its lineitems;
+    never analysed when key % 13 = 0 in PG, reported as 0 when % 17 = 0 in MySQL)."""
+    from tidewater.sources.tables import approx_counts
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    li = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    st = p.join(li, p.p_partkey == li.l_partkey, "left").select(
+        F.concat(F.lit("t_"), F.col("p_partkey").cast("string")).alias("table_name"),
+        F.when(F.col("p_partkey") % 13 == 0, F.lit(-1.0)).otherwise(F.coalesce("n", F.lit(0)).cast("double"))
+        .alias("pg_reltuples"),
+        F.when(F.col("p_partkey") % 17 == 0, F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).alias("mysql_table_rows"))
+    return approx_counts(st)

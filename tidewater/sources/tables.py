@@ -118,3 +118,14 @@ def row_page(df: DataFrame, order_cols: list[str], limit: int, offset: int = 0)
     lim = min(max(int(limit), 1), 1000)
     off = max(int(offset), 0)
     return df.orderBy(*order_cols).offset(off).limit(lim)
+
+
+def approx_counts(stats: DataFrame) -> DataFrame:
+    """Approximate row counts from catalog statistics: PG ``reltuples``
+    (negative = never analysed -> unknown), MySQL ``table_rows`` (0 ->
+    unknown); ``approx_total`` sums the known ones (unknown counts as 0, as
+    the preview totals do)."""
+    pg = F.when(F.col("pg_reltuples") >= 0, F.col("pg_reltuples").cast("long"))
+    my = F.when(F.col("mysql_table_rows") > 0, F.col("mysql_table_rows").cast("long"))
+    return stats.select("table_name", pg.alias("pg_approx"), my.alias("mysql_approx"),
+                        (F.coalesce(pg, F.lit(0)) + F.coalesce(my, F.lit(0))).cast("long").alias("approx_total"))
