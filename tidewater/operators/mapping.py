@@ -191,6 +191,13 @@ def generated_id(df: DataFrame, cols: list[str], ordinal: Column | None = None)
     return F.substring(F.sha2(text, 256), 1, 24)
 
 
+def json_literal(x: Column) -> Column:
+    """The JSON literal of one scalar (number, quoted and escaped string,
+    true/false, null): the element text of a one-item JSON array."""
+    js = F.to_json(F.array(x))
+    return js.substr(F.lit(2), F.length(js) - 2)
+
+
 def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFrame, DataFrame]:
     """X3 (pg -> doc), X4 (mysql -> doc), X8-X11. Returns (documents with
     ``_id`` and JSON text ``doc``, warnings). Single PK -> ``_id`` (native
@@ -205,7 +212,7 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
     def conv(c: Col) -> Column:
         x = F.col(c.name)
         if c.type == "long":
-            return F.when(x.between(-2147483648, 2147483647), F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)) \
+            return F.when(x.between(-2147483648, 2147483647), json_literal(x)) \
                     .otherwise(F.concat(F.lit('{"$numberLong":"'), x.cast("string"), F.lit('"}')))
         if c.type == "decimal":
             t = x.cast("string")
@@ -215,22 +222,20 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
             return F.when(b, F.lit("true")).when(~b, F.lit("false"))
         if c.type in ("json", "jsonb"):
             p = F.try_parse_json(x.cast("string"))
-            return F.when(p.isNotNull(), F.to_json(p)).otherwise(F.to_json(F.array(x.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(x.cast("string")))) - 2))
+            return F.when(p.isNotNull(), F.to_json(p)).otherwise(json_literal(x.cast("string")))
         if c.type in ("timestamp", "date"):
             iso = F.date_format(x.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
             return F.when(x.isNotNull(), F.concat(F.lit('{"$date":"'), iso, F.lit('"}')))
         if c.type == "binary":
             return F.when(x.isNotNull(), F.concat(F.lit('{"$binary":"'), F.base64(x), F.lit('"}')))
-        js = F.to_json(F.array(x))
-        return js.substr(F.lit(2), F.length(js) - 2)
+        return json_literal(x)
 
     def kv(c: Col) -> Column:
         return F.when(F.col(c.name).isNotNull(), F.concat(F.lit('"' + c.name + '":'), conv(c)))
 
     if len(pks) == 1:
         pk = pks[0]
-        id_json = (F.to_json(F.array(F.col(pk.name).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(pk.name).cast("string")))) - 2)
-                   if source == "mysql" else conv(pk))
+        id_json = json_literal(F.col(pk.name).cast("string")) if source == "mysql" else conv(pk)
         body = [kv(c) for c in cols if c.name != pk.name]
         id_col = id_json
         extra = []
