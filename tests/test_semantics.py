@@ -337,3 +337,31 @@ def test_infer_on_a_deterministic_sample(spark):
     s2 = infer.infer_schema(d.repartition(3), sample=10, seed=7).collect()
     assert {r["column_name"]: r["n_docs"] for r in s1} == {"_id": 10, "a": 10}
     assert sorted(map(tuple, s1)) == sorted(map(tuple, s2))          # same sample whatever the partitioning
+
+
+def test_current_ops_filters_and_duration(spark):
+    ops = spark.createDataFrame(
+        [(1, "admin.x", "query", 5, 0), (2, None, "none", 0, 0), (3, "shop.Orders", "query", 0, 2),
+         (4, "shop.items", "update", 150000, 0), (5, None, "query", 10, 0)],
+        "op_id long, ns string, op string, microsecs_running long, secs_running long")
+    got = {r["op_id"]: (r["ns"], r["duration_ms"]) for r in mon.current_ops(ops).collect()}
+    assert got == {3: ("shop.Orders", 2000.0), 4: ("shop.items", 150.0), 5: ("", 0.01)}
+    assert [r["op_id"] for r in mon.current_ops(ops, ns_contains="ORDERS").collect()] == [3]
+    assert [r["op_id"] for r in mon.current_ops(ops, op_equals="update", min_ms=100).collect()] == [4]
+
+
+def test_index_suggestions_rank_filter_keys(spark):
+    ops = spark.createDataFrame([('{"find":"a","filter":{"x":1,"$comment":"c"}}',),
+                                 ('{"update":"a","q":{"x":2,"y":1}}',), ('{"aggregate":"b","query":{"z":1}}',),
+                                 ('{"find":"c"}',)], "command string")
+    got = {(r["collection"], r["field"]): (r["n_ops"], r["suggestion"]) for r in mon.index_suggestions(ops).collect()}
+    assert got == {("a", "x"): (2, "db.a.createIndex({ x: 1 })"), ("a", "y"): (1, "db.a.createIndex({ y: 1 })"),
+                   ("b", "z"): (1, "db.b.createIndex({ z: 1 })")}
+
+
+def test_slow_queries_caps(spark):
+    rows = [(i, "db1" if i % 2 else "admin", f"db1.c{i}", "query", 150.0 + i, i * 1000) for i in range(130)]
+    ops = spark.createDataFrame(rows, "op_id long, db string, ns string, op string, millis double, ts_ms long")
+    got = mon.slow_queries(ops, threshold_ms=100, per_db=50, top=100).collect()
+    assert len(got) == 50 and all(r["db"] == "db1" for r in got)          # system db dropped, 50 per db
+    assert [r["op_id"] for r in got][:2] == [129, 127]                      # newest first
