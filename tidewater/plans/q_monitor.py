@@ -412,3 +412,23 @@ def gauge_select(spark, sf_dir):
     g = gauges(spark, sf_dir)
     return (g.filter((F.col("gauge") == "sqlmon_cache_hit_ratio") & F.col("connection_name").rlike("^(conn-1.*)$"))
             .select("connection_name", "event_id", F.round(F.col("value") * 100, 4).alias("hit_pct")))
+
+
+@query("collection_sizes", """
+SELECT db, coll, data_size, CAST(rank() OVER (PARTITION BY db ORDER BY data_size DESC) AS BIGINT) AS size_rank
+FROM (SELECT n_name AS db, 'c' || CAST(l_partkey % 100 AS VARCHAR) AS coll,
+             CAST(round(sum(l_extendedprice * 100)) AS BIGINT) AS data_size
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+      WHERE l_partkey % 100 < 95
+      GROUP BY 1, 2)""")
+def collection_sizes(spark, sf_dir):
+    """Collections of each database by size, largest first; views
+    (collection ids 95-99 here) are excluded. The rank is per database."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice") \
+        .filter(F.col("l_partkey") % 100 < 95)
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    g = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+         .groupBy(F.col("n_name").alias("db"), F.concat(F.lit("c"), (F.col("l_partkey") % 100).cast("string")).alias("coll"))
+         .agg(F.round(F.sum(F.col("l_extendedprice") * 100)).cast("long").alias("data_size")))
+    return g.withColumn("size_rank", F.rank().over(Window.partitionBy("db").orderBy(F.col("data_size").desc())).cast("long"))
