@@ -6,8 +6,9 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.oracle_check import compare, duck
+from tidewater.plans import catalog
 
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
