@@ -5,7 +5,7 @@ confirm the hit. Tier two, for pre-tokens that are no single token: a heap of ad
 of bytes merges the pair of lowest rank, leftmost first; stale heap entries are skipped. A pre-token of n bytes takes
 n log n steps, so very long runs of letters are no trouble.
 
-Pre-tokens are the matches of the public split pattern; matches never reach over a chunk's end (see ``CHUNK``), so a
+Pre-tokens are the matches of the public split pattern; matches never reach over a chunk's end (see ``ChunkEncoder``), so a
 chunk goes through both tiers once and its ids are remembered while the memo has room.
 
 Defined results: a null or empty text has no ids (and the digests of no bytes); repeated rows are encoded one by one;
@@ -18,6 +18,8 @@ import base64
 import hashlib
 import heapq
 from array import array
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import MEMO_ENTRIES, PieceMemo, map_rows, read_table
+from tidewater.llm.common import MEMO_ENTRIES, ChunkEncoder, map_rows, read_table
 
 
 class PerfectHash:
@@ -79,7 +81,7 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.bytes = [self.rank(bytes([b])) for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
-        self.memo = PieceMemo(lambda chunk: array("i", self.encode_chunk(chunk)).tobytes(), b"".join)
+        self.memo = ChunkEncoder(lambda chunk: array("i", self.encode_chunk(chunk)).tobytes())
 
     def rank(self, token: bytes) -> int:
         """The rank of a token, -1 if the vocabulary doesn't have it."""
@@ -132,7 +134,12 @@ class ByteBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return array("i", b"".join(self.memo.pieces(text))).tolist()
+        return self.memo.text(text).tolist()
+
+    def encode_column(self, column: pa.Array) -> Iterator[list[int]]:
+        for _, _, ids, begin in self.memo.slices(column):
+            for a, b in pairwise(begin.tolist()):
+                yield ids[a:b].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -142,7 +149,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """doc_id and the ids of each text."""
     def make():
         bpe = ByteBPE.of(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-        return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bpe.encode(t.as_py() or "") for t in b.column("text")], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(bpe.encode_column(b.column("text"))), pa.list_(pa.int32()))], names=["doc_id", "ids"])
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>")
 
 
@@ -161,8 +168,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, of_ids, of_bytes = [], [], []
-            for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
+            for ids in bpe.encode_column(batch.column("text")):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(map(bpe.texts.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -7,53 +7,85 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.session import checkpoint_dir
 
-#: A chunk ends before a blank or line feed that follows a character which is white space to no engine, or between a
-#: letter or number and one of a few ASCII signs. Every pre-token pattern in use starts a new match there, so chunks can
-#: be encoded on their own.
-CHUNK = re.compile(r"\s*[^\W_]+(?=[.,;:!?%$&*#])|\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
-#: With this in a text, not every blank starts a chunk.
-WIDE_GAP = re.compile(r"\s ")
+#: A chunk ends before a blank that follows no white space, and between a letter or number and one of a few ASCII signs.
+#: Every pre-token pattern in use starts a new match there, so chunks can be encoded on their own.
+SIGN = r"([\pL\pN])([.,;:!?%$&*#])"
+#: A text with this is a single chunk: white space of any engine before a blank, or the byte that marks chunks' ends.
+UNSPLIT = r"[\s\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 
-#: Entries of a per-process memo before it is emptied; with ``LONG``, bounds the memory of a Python worker.
-MEMO_ENTRIES = 400_000
+#: Entries of a young generation of a memo; with ``LONG``, bounds the memory of a Python worker.
+MEMO_ENTRIES = 600_000
 #: Keys of this length or more are not remembered.
 LONG = 100
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 16 << 20
 
 
 class Memo(dict):
-    """Remembers what ``make`` gives for a key."""
+    """Remembers what ``make`` gives for a key, in two generations: keys not asked for while a generation fills go."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) < LONG:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) >= LONG:
+                return value
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
-class PieceMemo:
-    """Pieces of a text's encoding, in order, one for each blank-separated part. ``encode``: the encoding of a chunk;
-    ``join``: of several encodings. Parts seen before are looked up, and so are the chunks of new parts."""
-
-    def __init__(self, encode: Callable, join: Callable):
-        chunk = Memo(encode)
-        self.whole = lambda text: join(list(map(chunk.__getitem__, CHUNK.findall(text))))
-        self.after_blank = Memo(lambda part: self.whole(" " + part))
-
-    def pieces(self, text: str) -> list:
-        if WIDE_GAP.search(text):
-            return [self.whole(text)]
-        first, *rest = text.split(" ")
-        return [self.whole(first), *map(self.after_blank.__getitem__, rest)]
+class ChunkEncoder:
+    """Encodes texts to ids (32 bits) chunk by chunk. ``encode``: the ids of a chunk as bytes. Arrow splits a column into
+    chunks and codes equal ones, so each distinct chunk of a run of texts is looked up once."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.memo = Memo(encode)
+
+    def text(self, text: str) -> np.ndarray:
+        return self.column(pa.array([text]))[0]
+
+    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """from, to, ids, ends for runs of rows, see ``column``."""
+        column = column.fill_null("")
+        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
+            yield at, to, *self.column(column.slice(at, to - at))
+            at = to
+
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), and where each text's ids begin, with the end of the last."""
+        unsplit = pc.match_substring_regex(column, UNSPLIT)
+        marked = pc.replace_substring(pc.replace_substring_regex(column, SIGN, r"\1\x00\2".replace(r"\x00", "\0")), " ", "\0 ")
+        parts = pc.split_pattern(pc.if_else(unsplit, "", marked), "\0")
+        begin = parts.offsets.to_numpy().astype(np.int64)
+        first = begin[:-1] - begin[0]
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        blobs = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
+        alone = np.flatnonzero(unsplit.to_numpy(zero_copy_only=False))
+        codes[first[alone]] = len(blobs) + np.arange(len(alone))
+        blobs += [self.memo[column[i].as_py()] for i in alone.tolist()]
+        length = np.array(list(map(len, blobs)), np.int64) // 4
+        values = np.frombuffer(b"".join(blobs), "<u4")
+        starts = np.cumsum(length) - length
+        n = length[codes]
+        ends = np.cumsum(n)
+        ids = values[np.repeat((starts[codes] - (ends - n)).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, np.append((ends - n)[first], ends[-1])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import read_table
-from tidewater.llm.tokens import ChunkEncoder
+from tidewater.llm.tokens import encoder, with_end
 
 CAPACITY = 2048
 #: Ids whose remainders are planned together.
@@ -152,30 +152,31 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
 
     ``path``: tokenizer file of the tokenizers library (the 50k byte-level vocabulary if None)."""
     def run(batches):
-        encoder = ChunkEncoder.of("byte_bpe_50k.json" if path is None else path)
+        encode = encoder("byte_bpe_50k.json" if path is None else path)
         base = np.int64(TaskContext.get().partitionId()) << np.int64(40)
-        end = np.array([end_id], "<u4").tobytes()
-        ids, blobs, held = [], [], 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush():
-            nonlocal base, ids, blobs, held
-            lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+            nonlocal base
+            doc_id = pa.concat_arrays([d for d, _, _ in held])
+            ids = np.concatenate([i for _, i, _ in held])
+            lengths = np.concatenate([np.diff(b) for _, _, b in held])
+            held.clear()
+            begin = np.cumsum(lengths) - lengths
             p = pack_group(lengths, capacity)
             p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            crc = [zlib.crc32(memoryview(blobs[d])[4 * s:4 * (s + n)]) for d, s, n in p[:, :3].tolist()]
-            cols = [np.array(ids, np.int64)[p[:, 0]], p[:, 1], p[:, 2], np.array(crc, np.int64), lengths[p[:, 0]], base + p[:, 3], p[:, 4], p[:, 5]]
+            at = begin[p[:, 0]] + p[:, 1]
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + p[:, 2]).tolist(), strict=True)]
+            out = [doc_id.take(pa.array(p[:, 0])), *map(pa.array, (p[:, 1], p[:, 2], np.array(crc, np.int64), lengths[p[:, 0]], base + p[:, 3], p[:, 4], p[:, 5]))]
             base += p[:, 3].max() + 1
-            ids, blobs, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                blobs.append(encoder.encode(text.as_py() or "") + end)
-                ids.append(doc_id)
-                held += len(blobs[-1]) // 4
-                if held >= group_tokens:
+            for a, b, ids, begin in encode.slices(batch.column("text")):
+                held.append((batch.column("doc_id").slice(a, b - a), *with_end(ids, begin, end_id)))
+                if sum(len(i) for _, i, _ in held) >= group_tokens:
                     yield flush()
-        if blobs:
+        if held:
             yield flush()
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, and Parquet token files.
 
-``ChunkEncoder`` encodes a text chunk by chunk and remembers the ids of chunks it has seen: pre-tokens never reach
-over a chunk's end, so the ids are those of the whole text (tests hold them against the library's own).
+Texts are encoded chunk by chunk, and the ids of chunks seen before are looked up: pre-tokens never reach over a chunk's
+end, so the ids are those of the whole text (tests hold them against the library's own).
 
 ``write_tokens`` writes ids as Parquet list columns: dictionary encoding for the ids, delta encoding (format version 2)
 for the integer columns beside them, row groups and pages of a set size, column and offset indexes. A reader of
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import PieceMemo, read_table
+from tidewater.llm.common import ChunkEncoder, read_table
 from tidewater.session import checkpoint_dir
 
 #: Bytes of a row group, bytes of a page and rows of a page in token files.
@@ -34,42 +34,32 @@ ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 5000
 TOKENS = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; one for each tokenizer file and Python process."""
-
-    held: dict[str, "ChunkEncoder"] = {}
-
-    @classmethod
-    def of(cls, name: str) -> "ChunkEncoder":
-        if name not in cls.held:
-            cls.held[name] = cls(name)
-        return cls.held[name]
-
-    def __init__(self, name: str):
+def encoder(name: str, held: dict[str, ChunkEncoder] = {}) -> ChunkEncoder:  # noqa: B006
+    """The encoder for a tokenizer file (a path, or a name among the public ones); one for each Python process."""
+    if name not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         encode = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name)).encode
-        self.memo = PieceMemo(lambda chunk: array("I", encode(chunk, add_special_tokens=False).ids).tobytes(), b"".join)
+        held[name] = ChunkEncoder(lambda chunk: array("I", encode(chunk, add_special_tokens=False).ids).tobytes())
+    return held[name]
+
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.memo.pieces(text))
+def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of texts with the end id after each."""
+    return np.insert(ids, begin[1:], np.uint32(end_id)), begin + np.arange(len(begin))
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, n_files: int | None = None) -> None:
     """Encode ``doc_id, text`` and write token files in ascending doc_id order to ``out``."""
     def run(batches):
-        encoder = ChunkEncoder.of("word_bpe_49k.json" if path is None else path)
+        encode = encoder("word_bpe_49k.json" if path is None else path)
         part, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                blobs = [encoder.encode(t.as_py() or "") + end for t in rows.column("text")]
-                n = np.array([len(b) // 4 for b in blobs], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends[:-1]), pa.array(n), ids], names=[f.split()[0] for f in TOKENS.split(", ")])
-                start += int(ends[-1])
+            for a, b, ids, begin in encode.slices(batch.column("text")):
+                ids, begin = with_end(ids, begin, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(start + begin[:-1]), pa.array(np.diff(begin)), lists], names=[f.split()[0] for f in TOKENS.split(", ")])
+                start += int(begin[-1])
 
     rows = docs.select("doc_id", "text")
     ranged = rows.repartitionByRange(n_files, "doc_id") if n_files else rows.repartitionByRange("doc_id")
