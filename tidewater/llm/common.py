@@ -19,11 +19,11 @@ SIGN = r"([\pL\pN])([.,;:!?%$&*#])"
 UNSPLIT = r"[\s\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 
 #: Entries of a young generation of a memo; with ``LONG``, bounds the memory of a Python worker.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 500_000
 #: Keys of this length or more are not remembered.
 LONG = 100
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 12 << 20
 
 
 class Memo(dict):
@@ -50,8 +50,10 @@ class ChunkEncoder:
     """Encodes texts to ids (32 bits) chunk by chunk. ``encode``: the ids of a chunk as bytes. Arrow splits a column into
     chunks and codes equal ones, so each distinct chunk of a run of texts is looked up once."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.memo = Memo(encode)
+    def __init__(self, encode: Callable[[str], bytes], fold: bool = False):
+        """``fold``: the encoder drops white space and lower-cases, so A-Z is lower-cased before, but in texts with
+        combining marks, where that could change which characters are composed."""
+        self.memo, self.fold = Memo(encode), fold
 
     def text(self, text: str) -> np.ndarray:
         return self.column(pa.array([text]))[0]
@@ -68,8 +70,10 @@ class ChunkEncoder:
 
     def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null), and where each text's ids begin, with the end of the last."""
+        if self.fold:
+            column = pc.if_else(pc.match_substring_regex(column, r"\pM"), column, pc.ascii_lower(column))
         unsplit = pc.match_substring_regex(column, UNSPLIT)
-        marked = pc.replace_substring(pc.replace_substring_regex(column, SIGN, r"\1\x00\2".replace(r"\x00", "\0")), " ", "\0 ")
+        marked = pc.replace_substring(pc.replace_substring_regex(column, SIGN, r"\1\x00\2".replace(r"\x00", "\0")), " ", "\0" if self.fold else "\0 ")
         parts = pc.split_pattern(pc.if_else(unsplit, "", marked), "\0")
         begin = parts.offsets.to_numpy().astype(np.int64)
         first = begin[:-1] - begin[0]

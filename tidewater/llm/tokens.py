@@ -39,8 +39,9 @@ def encoder(name: str, held: dict[str, ChunkEncoder] = {}) -> ChunkEncoder:  # n
     if name not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        encode = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name)).encode
-        held[name] = ChunkEncoder(lambda chunk: array("I", encode(chunk, add_special_tokens=False).ids).tobytes())
+        tokenizer = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
+        encode, normal = tokenizer.encode, tokenizer.normalizer
+        held[name] = ChunkEncoder(lambda chunk: array("I", encode(chunk, add_special_tokens=False).ids).tobytes(), fold=normal is not None and normal.normalize_str("A\n a") == "a a" and not encode(" ").ids)
     return held[name]
 
 
@@ -64,7 +65,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     rows = docs.select("doc_id", "text")
     ranged = rows.repartitionByRange(n_files, "doc_id") if n_files else rows.repartitionByRange("doc_id")
     (ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, TOKENS).write
-     .option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
+     .option("compression", "snappy").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
      .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
      .parquet(out))
 
