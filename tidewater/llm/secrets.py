@@ -65,23 +65,23 @@ def spans_of(text: Column, kind: str, nth: int, pattern: str, group: int, least:
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Rows with a candidate: doc_id, row_id, owner, repository, spans (array of start, nth, end, kind, value hash)."""
+    """Rows with a candidate: doc_id, row_id, text_hash, owner, repository, spans (array of start, nth, end, kind, value hash)."""
     kinds = [*BASE.items(), *ADDED.items()]
     found = F.concat(*(spans_of(F.col("text"), kind, i, *rest) for i, (kind, rest) in enumerate(kinds)))
-    return (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.col(owner).alias("owner"), F.col(repository).cast("string").alias("repository"), found.alias("spans"))
+    return (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.xxhash64("text").alias("text_hash"), F.col(owner).alias("owner"), F.col(repository).cast("string").alias("repository"), found.alias("spans"))
             .withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"], s["nth"], s["end"], s["kind"], F.sha2(s["value"], 256).alias("hash")))))
 
 
 def verdicts(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """One row for each value hash: n_documents, n_owners, live (few owners have it)."""
-    each = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    """One row for each value hash: n_repositories, n_owners, live (few owners have it)."""
+    each = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash")).distinct()
     by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return (by_owner.groupBy("hash").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_owners"))
+    return (by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
             .withColumn("live", F.col("n_owners") < copied_owners))
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """For each row: doc_id, row_id and its spans in order (start, nth, end, kind, hash, base, live); base spans and
+    """For each row: doc_id, row_id, text_hash and its spans in order (start, nth, end, kind, hash, base, live); base spans and
     live-looking added ones. ``nth`` is the kind's place in the list of kinds."""
     rows = saved(candidates(docs, owner, repository), "secrets")
     found = rows.where(F.size("spans") > 0)
@@ -91,21 +91,24 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", cop
     spans = (known.where(base | F.col("live")).groupBy("row_id")
              .agg(F.array_sort(F.collect_list(F.struct("start", "nth", "end", "kind", "hash", base.alias("base"), "live"))).alias("spans")))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return rows.select("doc_id", "row_id").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
+    return rows.select("doc_id", "row_id", "text_hash").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
 def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """All documents and columns; values of spans that look live are replaced by ``mark`` (for kinds with a prefix, the
     whole span is). Copied examples stay."""
-    marked = docs.withColumn("row_id", F.monotonically_increasing_id())
-    spans = scan(docs).select("row_id", F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
+    spans = (scan(docs).select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
+             .dropDuplicates(["doc_id", "text_hash"]).alias("found"))  # equal rows have equal spans
+    names = docs.columns
+    marked = docs.toDF(*(f"c_{n}" for n in names)).withColumnRenamed("c_text", "text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     walked = F.aggregate(F.col("spans"), zero, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         s["end"].alias("at"),
         F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], mark).otherwise("")).alias("out"))))
     text = F.concat(walked["out"], F.substring(F.col("text"), walked["at"] + 1, F.length("text")))
-    return (marked.join(spans, "row_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
-            .select(*docs.columns))
+    same = F.col("c_doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(text).alias("text")
+    return marked.join(spans, same, "left").select(*(masked if n == "text" else F.col(f"c_{n}").alias(n) for n in names))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
