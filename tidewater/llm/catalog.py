@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, pack, quality, secrets, tokens, toxicity
+from tidewater.llm import ann, bpe, minhash, pack, quality, secrets, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_permutation_index": ann.op1_permutation_index,
         "op2_bpe": bpe.op2_bpe,
         "op4_quality": quality.op4_quality,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_secrets": secrets.op7_secrets,
+        "op8_minhash": minhash.op8_minhash,
         "op9_token_files": tokens.op9_token_files,
         "op10_pack": pack.op10_pack,
     }
