@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewater.llm import ann, bpe, minhash, pack, quality, secrets, tokens, toxicity
+from tidewater.llm import ann, bpe, lines, minhash, pack, quality, secrets, suffixes, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_permutation_index": ann.op1_permutation_index,
         "op2_bpe": bpe.op2_bpe,
+        "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_quality": quality.op4_quality,
+        "op5_line_dedup": lines.op5_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_secrets": secrets.op7_secrets,
         "op8_minhash": minhash.op8_minhash,
