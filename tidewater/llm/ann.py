@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_rows, read_table, saved
 
-N_PIVOTS, PREFIX, SHARE, LEAST = 512, 128, 0.08, 400
+N_PIVOTS, PREFIX, SHARE, LEAST = 512, 96, 0.08, 400
 #: Vectors and queries that a task holds.
 BLOCK, QUERY_BLOCK = 8192, 4096
 
@@ -74,13 +74,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, query_i
     flat = near.ravel()
     by_pivot = np.argsort(flat, kind="stable")
     ends = np.searchsorted(flat[by_pivot], np.arange(int(flat.max()) + 2))
-    posted, place = by_pivot // length, by_pivot % length
+    posted, worth = by_pivot // length, (length - by_pivot % length).astype(np.float64)
     ranked = max(least, k + 1, math.ceil(share * n))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q, vector, order in zip(query_ids, queries, query_near, strict=True):
         files = [(i, ends[p], ends[p + 1]) for i, p in enumerate(order.tolist()) if p + 1 < len(ends)]
         who = np.concatenate([posted[a:b] for _, a, b in files])
-        gain = np.concatenate([length - np.maximum(place[a:b], i) for i, a, b in files])
+        gain = np.concatenate([np.minimum(worth[a:b], length - i) for i, a, b in files])
         total = np.bincount(who, gain, n)  # the higher, the nearer by footrule
         if n > ranked:
             last = np.partition(total, n - ranked)[n - ranked]

@@ -8,8 +8,9 @@ similarity 0.85 (0.8) shares none of the ``BANDS`` buckets with a probability of
 
 Copies (equal sets) are one class, represented by the smallest doc_id. Links between classes are found without all
 pairs of a bucket: in each round every bucket names one hub, members in another component than the hub are verified
-against it on the full sets, and components are joined. After ``HUB_ROUNDS`` rounds the pairs left in buckets that
-still hold several components are verified one by one, so that no link between components that share a bucket is lost.
+against it on the full sets, and components are joined. After ``HUB_ROUNDS`` rounds, the classes of buckets that still
+hold several components are compared exactly: those of different components that share one of their rarest shingles
+(prefix filter, see ``rare_pairs``) are verified pair by pair, so that no link between them is lost.
 
 Hot buckets are never collected: hubs come from an aggregate, and pairs from joins that adaptive execution splits.
 Tables between rounds are written to the shared folder.
@@ -26,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Memo, map_rows, mix64, read_table, saved
@@ -137,6 +139,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, lambda: step, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``members`` (rep, label, n) with different labels that can be similar enough: such sets share
+    one of the shingles that are rarest among the members, n - ceil(percent n / 100) + 1 of each."""
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("set")]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), list(map(len, parts)))), pa.array(np.concatenate(parts))], names=["rep", "shingle"])
+    there = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "set")
+    each = map_rows(there, lambda: step, "rep long, shingle long")
+    counts = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("times"))
+    alone = counts.where("times = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    more = members.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("rarest", F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    shared = each.join(counts.where("times > 1").select("shingle", "times"), "shingle").join(more.where("alone < rarest"), "rep")
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("times", "shingle"))
+    posted = saved(shared.withColumn("nth", nth).where(F.col("alone") + F.col("nth") <= F.col("rarest")).select("shingle", "rep", "label", "n", (F.col("n") - F.col("alone")).alias("common")), "rare-shingles")
+    other = posted.select("shingle", F.struct("rep", "label", "n", "common").alias("y"))
+    most = F.least("common", "y.common")  # the intersection has so many, the union the rest, at best
+    return (posted.join(other, "shingle").where((F.col("rep") < F.col("y.rep")) & (F.col("label") != F.col("y.label")) & (100 * most >= percent * (F.col("n") + F.col("y.n") - most)))
+            .select(F.col("rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
 def joined(edges: DataFrame, name: str) -> DataFrame:
     """node, label: the least node of each node's connected component, for the nodes of ``edges`` (a, b).
 
@@ -178,12 +200,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                      .select(F.least("rep", "hub.hub").alias("a"), F.greatest("rep", "hub.hub").alias("b")).distinct())
         else:
             open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-            left = saved(now.join(open_keys, "key", "left_semi"), "open-buckets")
+            left = saved(now.join(open_keys, "key", "left_semi").select("rep", "label", "n").distinct(), "open-members")
             if left.isEmpty():
                 break
-            other = left.select("key", F.struct(F.col("rep").alias("hub"), "label", "n").alias("hub"))
-            pairs = (left.join(other, "key").where((F.col("rep") < F.col("hub.hub")) & (F.col("label") != F.col("hub.label")) & close)
-                     .select(F.col("rep").alias("a"), F.col("hub.hub").alias("b")).distinct())
+            pairs = rare_pairs(left, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, f"pairs-{r}")
@@ -208,8 +228,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one of each group of near duplicates stays, all columns as they were; of rows with the
     same doc_id one stays."""
-    kept = components(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = components(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

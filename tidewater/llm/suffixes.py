@@ -17,7 +17,7 @@ smallest doc_id of each such run decides. Covered bytes are joined to spans for
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose none; doc_id is the key: rows that
 repeat a doc_id are one document to the others, and none of them removes from the other; an empty table gives no row;
-further columns stay in ``clean``.
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_rows, mix64, read_table, saved, utf8_of
 
-LENGTH, GRAM, PROOF = 50, 12, 32
+LENGTH, GRAM, PROOF = 50, 12, 44
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes of segments in a shard, and the bytes of segments for each byte of text (from the lengths above).
-SHARD_BYTES, BLOW_UP = 16 << 20, 3.5
+SHARD_BYTES, BLOW_UP = 12 << 20, 3.5
 #: Bytes of text that a task cuts into segments at a time.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 16 << 20
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -61,6 +61,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - done)], x[width - done:]) if width > done else x
 
 
+def least_hashes(data: np.ndarray, size: int, width: int) -> np.ndarray:
+    """The least hash of ``width`` grams of ``size`` bytes from each place on; block by block, as blocks stay in the
+    processor's cache."""
+    n = len(data) - size - width + 2
+    out = np.empty(max(0, n), np.uint64)
+    for at in range(0, n, 1 << 16):
+        to = min(n, at + (1 << 16))
+        out[at:to] = sliding_min(gram_hashes(data[at:to + size + width - 2], size), width)
+    return out
+
+
 def runs(values: np.ndarray, most: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal values, cut at ``breaks`` (true: starts anew) and after ``most``."""
     new = np.empty(len(values), bool)
@@ -89,7 +100,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     total = int(size.sum())
     if total < LENGTH:
         return data, *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64)
-    least = sliding_min(gram_hashes(data[:total], GRAM), WINDOWS)
+    least = least_hashes(data[:total], GRAM, WINDOWS)
     breaks = np.zeros(len(least), bool)
     breaks[begin[begin < len(least)]] = True
     inside = np.maximum(0, begin + size - LENGTH + 1)  # strings from here on would cross the text's end
@@ -142,15 +153,16 @@ class Columns:
     """The transform and the common prefixes of the rounds, in files that are read and written in order."""
 
     def __init__(self, folder: str):
-        self.names = [os.path.join(folder, x) for x in ("symbols", "prefixes")]
+        self.names = [[os.path.join(folder, f"{x}{i}") for x in ("symbols", "prefixes")] for i in range(2)]
 
     def read(self, dtype) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.names[0], dtype), np.fromfile(self.names[1], np.uint8)
+        return np.fromfile(self.names[0][0], dtype), np.fromfile(self.names[0][1], np.uint8)
 
     def write(self, symbols: np.ndarray, prefixes: np.ndarray) -> None:
-        for name, column in zip(self.names, (symbols, prefixes), strict=True):
-            column.tofile(f"{name}.new")
-            os.replace(f"{name}.new", name)
+        """To the other pair of files, which is the one to read from then on."""
+        self.names.reverse()
+        for name, column in zip(self.names[0], (symbols, prefixes), strict=True):
+            column.tofile(name)
 
 
 def places(symbols: np.ndarray, n_strings: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +174,17 @@ def places(symbols: np.ndarray, n_strings: int) -> tuple[np.ndarray, np.ndarray]
     return order, to
 
 
+def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The least of x from start to before end, for each valid range. Ranges go by descending start, so that the
+    stretch between two ranges costs nothing."""
+    some = np.flatnonzero(valid)
+    some = some[np.argsort(-start[some])]
+    out = np.zeros(len(start), np.int64)
+    if len(some):
+        out[some] = np.minimum.reduceat(np.append(x, np.uint8(0)), np.column_stack([start[some], end[some]]).ravel())[::2]
+    return out
+
+
 def collection(data: np.ndarray, length: np.ndarray, folder: str, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Transform and common prefixes (up to ``depth``, with the suffix before) of all suffixes of the strings that lie
     one after the other in ``data``; the empty suffixes come first, by string."""
@@ -186,10 +209,8 @@ def collection(data: np.ndarray, length: np.ndarray, folder: str, depth: int = L
         first, last = order[np.maximum(t - 1, 0)], order[np.minimum(t + 1, len(order) - 1)]
         has_first = (t > 0) & (old[first] == old[at])
         has_last = (t + 1 < len(order)) & (old[last] == old[at])
-        padded = np.append(prefix, np.uint8(0))
-        low = lambda a, b: np.minimum.reduceat(padded, np.column_stack([a, b]).ravel())[::2] if len(a) else np.zeros(0, np.uint8)
-        before = np.where(has_first, np.minimum(low(np.where(has_first, first + 1, 0), np.where(has_first, at + 1, 1)).astype(np.int64) + 1, depth), 0)
-        after = np.where(has_last, np.minimum(low(np.where(has_last, at + 1, 0), np.where(has_last, last + 1, 1)).astype(np.int64) + 1, depth), 0)
+        before = np.where(has_first, np.minimum(range_min(prefix, first + 1, at + 1, has_first) + 1, depth), 0)
+        after = np.where(has_last, np.minimum(range_min(prefix, at + 1, last + 1, has_last) + 1, depth), 0)
         n = len(old) + len(new)
         added = np.zeros(n, bool)
         added[new] = True
@@ -226,7 +247,7 @@ def string_classes(data: np.ndarray, length: np.ndarray, folder: str) -> np.ndar
 def candidates(data: np.ndarray, start: np.ndarray, length: np.ndarray, several: np.ndarray) -> np.ndarray:
     """Which segments can hold a string that another has: each string's least hash of PROOF-byte grams is compared.
     ``several``: segments that more than one document has."""
-    least = sliding_min(gram_hashes(data, PROOF), LENGTH - PROOF + 1)
+    least = least_hashes(data, PROOF, LENGTH - PROOF + 1)
     strings = length - LENGTH + 1
     value = gather(least, start, strings)
     owner = np.repeat(np.arange(len(start)), strings)
@@ -257,7 +278,7 @@ def shard_spans(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[np.
     length = count + LENGTH - 1
     begin = np.cumsum(length) - length
     # equal segments once: by a hash of their bytes (two gram hashes cover a segment of up to 2 LENGTH bytes whole)
-    h = gram_hashes(np.append(data, np.zeros(8, np.uint8)), 48)
+    h = least_hashes(np.append(data, np.zeros(8, np.uint8)), 48, 1)
     key = np.zeros(len(begin), [("a", np.uint64), ("b", np.uint64), ("n", np.int64)])
     key["a"], key["b"], key["n"] = h[begin], h[begin + length - 48], length
     del h
