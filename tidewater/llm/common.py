@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -102,9 +103,17 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = checkpoint_dir(spark, f"llm-{name}")
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of steps that nothing refers to any more; it acts when the driver
+    collects its garbage, which a driver with much memory seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply ``make()``'s function to each Arrow batch; ``make`` runs once in each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
