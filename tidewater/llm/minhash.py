@@ -152,9 +152,9 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     more = members.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("rarest", F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
     shared = each.join(counts.where("times > 1").select("shingle", "times"), "shingle").join(more.where("alone < rarest"), "rep")
     nth = F.row_number().over(W.partitionBy("rep").orderBy("times", "shingle"))
-    posted = saved(shared.withColumn("nth", nth).where(F.col("alone") + F.col("nth") <= F.col("rarest")).select("shingle", "rep", "label", "n", (F.col("n") - F.col("alone")).alias("common")), "rare-shingles")
-    other = posted.select("shingle", F.struct("rep", "label", "n", "common").alias("y"))
-    most = F.least("common", "y.common")  # the intersection has so many, the union the rest, at best
+    posted = saved(shared.withColumn("nth", nth).where(F.col("alone") + F.col("nth") <= F.col("rarest")).select("shingle", "rep", "label", "n", (F.col("n") - F.col("alone") - F.col("nth") + 1).alias("left")), "rare-shingles")
+    other = posted.select("shingle", F.struct("rep", "label", "n", "left").alias("y"))
+    most = F.least("left", "y.left")  # from their first common shingle on they share so many at most
     return (posted.join(other, "shingle").where((F.col("rep") < F.col("y.rep")) & (F.col("label") != F.col("y.label")) & (100 * most >= percent * (F.col("n") + F.col("y.n") - most)))
             .select(F.col("rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
