@@ -186,19 +186,21 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     "latest carrier per column" is one ``max_by`` per column in ONE per-key
     aggregation (partial, one shuffle of the events); the target is merged
     with one full outer join on the key. Redelivered duplicates carry the
-    same position and value, so the result is idempotent without a de-dup."""
+    same position and value, so the result is idempotent without a de-dup.
+    A target with ``db`` and ``coll`` columns is merged per namespace."""
+    ns = [c for c in ("db", "coll") if c in target.columns]
     cols = [c for c in columns if c != key]
     p = position()
-    ev = events.select("key", "op", p.alias("_p"), doc_map().alias("_m"))
+    ev = events.select(*ns, "key", "op", p.alias("_p"), doc_map().alias("_m"))
     is_del = F.col("op") == "delete"
     aggs = [F.max_by("op", "_p").alias("_last_op")]
     for c in cols:
         carrier = F.when(is_del | F.map_contains_key("_m", c), F.col("_p"))
         aggs.append(F.max_by(F.struct(is_del.alias("d"), _typed(c, columns[c]).alias("v")), carrier).alias(c + "__s"))
-    changes = ev.groupBy("key").agg(*aggs)
-    tgt = target.select(F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
-    m = tgt.join(changes, "key", "full_outer")
-    out = [F.col("key").alias(key)]
+    changes = ev.groupBy(*ns, "key").agg(*aggs)
+    tgt = target.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
+    m = tgt.join(changes, [*ns, "key"], "full_outer")
+    out = [*ns, F.col("key").alias(key)]
     for c in cols:
         s = F.col(c + "__s")
         out.append(F.when(s.isNotNull(), F.when(s["d"], F.lit(None)).otherwise(s["v"]))
@@ -209,11 +211,12 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
 def apply_replace(target: DataFrame, events: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """Document-target semantics: the last whole document replaces the
     row (missing fields become null); a delete removes it."""
+    ns = [c for c in ("db", "coll") if c in target.columns]
     cols = [c for c in columns if c != key]
-    last = collapse(events).select("key", F.col("op").alias("_last_op"), doc_map().alias("_m"))
-    tgt = target.select(F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
-    m = tgt.join(last, "key", "full_outer")
-    out = [F.col("key").alias(key)]
+    last = collapse(events).select(*ns, "key", F.col("op").alias("_last_op"), doc_map().alias("_m"))
+    tgt = target.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
+    m = tgt.join(last, [*ns, "key"], "full_outer")
+    out = [*ns, F.col("key").alias(key)]
     for c in cols:
         out.append(F.when(F.col("_last_op").isNull(), F.col(c + "__t")).otherwise(_typed(c, columns[c]))
                    .cast(columns[c]).alias(c))

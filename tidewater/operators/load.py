@@ -12,15 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _existing_on(existing_keys: DataFrame, key: str, ns_cols: list[str]) -> list[str]:
+    """A key present in one namespace says nothing about the others; existing
+    keys without namespace columns are those of a single-collection target."""
+    return [*(c for c in ns_cols if c in existing_keys.columns), key]
+
+
 def insert_only(rows: DataFrame, existing_keys: DataFrame, key: str, ns_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Unordered insert into a document target. Duplicates of a key
     inside the load and keys already in the target are skipped; returns
     (inserted, skipped with a count ``_n`` per row). dropDuplicates plus a
-    left anti / semi join on the key; no per-row lookups."""
-    keys = existing_keys.select(key).distinct()
+    left anti / semi join on the namespace (where the existing keys carry it)
+    and the key; no per-row lookups."""
+    on = _existing_on(existing_keys, key, ns_cols)
+    keys = existing_keys.select(*on).distinct()
     first = rows.dropDuplicates([*ns_cols, key])
-    inserted = first.join(keys, key, "left_anti")
-    skipped_existing = first.join(keys, key, "left_semi").select(*ns_cols, key, F.lit(1).alias("_n"))
+    inserted = first.join(keys, on, "left_anti")
+    skipped_existing = first.join(keys, on, "left_semi").select(*ns_cols, key, F.lit(1).alias("_n"))
     dups = (rows.groupBy(*ns_cols, key).agg((F.count(F.lit(1)) - 1).alias("_n")).filter(F.col("_n") > 0))
     return inserted, skipped_existing.unionByName(dups)
 
@@ -32,8 +40,9 @@ def outcome_one_pass(rows: DataFrame, existing_keys: DataFrame, key: str, ns_col
     key already exists, every other one is skipped. One join against the
     existing keys, a per-key aggregate (partial, so hot keys combine map-side)
     and a per-namespace aggregate."""
-    ex = existing_keys.select(key).distinct().withColumn("_exists", F.lit(True))
-    r = rows.select(*ns_cols, key, bad.alias("_bad"), error.alias("_err")).join(ex, key, "left")
+    on = _existing_on(existing_keys, key, ns_cols)
+    ex = existing_keys.select(*on).distinct().withColumn("_exists", F.lit(True))
+    r = rows.select(*ns_cols, key, bad.alias("_bad"), error.alias("_err")).join(ex, on, "left")
     k = r.groupBy(*ns_cols, key).agg(
         F.count_if(F.col("_bad")).alias("bad_rows"), F.count_if(~F.col("_bad")).alias("good_rows"),
         F.max(F.coalesce("_exists", F.lit(False))).alias("exists"),
