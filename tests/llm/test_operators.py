@@ -299,8 +299,8 @@ def test_secrets_base_spans(rows, small, spark):
 
 
 def test_secrets_ownership(spark, none):
-    key = "ghp_" + "b" * 36
-    out = [(i, f"x {key} {'password=' + 'same' * 3}" + (" ghp_" + "c" * 36 if i == 1 else ""), "en", f"s{i}", 0, 1, "x", "y", 2, "z") for i in range(5)]
+    key = "ghp_" + "Zy" * 18
+    out = [(i, f"x {key} {'password=' + 'same' * 3}" + (" ghp_" + "Qx" * 18 if i == 1 else ""), "en", f"s{i}", 0, 1, "x", "y", 2, "z") for i in range(5)]
     df = spark.createDataFrame(out, SCHEMA)
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(df).collect()}
     assert got == {i: ["assign", "github"] if i == 1 else ["assign"] for i in range(5)}  # the copied key is an example

@@ -71,12 +71,7 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
 
 def line_fails(line: bytes) -> str | None:
     """The rule that a line with a word breaks, None if it passes."""
-    visible = len(line.translate(None, b" \t\n\r\x0b\x0c"))
-    if len(line) - len(line.translate(None, SYMBOL_BYTES)) > MAX_SYMBOL_SHARE * visible:
-        return "punctuation"
     text = line.decode("utf-8", "replace")
-    if not any(map(str.isalnum, text)):
-        return "punctuation"
     low = text.strip().lower()
     if low in MENU:
         return "navigation"
@@ -84,6 +79,9 @@ def line_fails(line: bytes) -> str | None:
         items = SEPARATORS.split(low)
         if len(items) >= MENU_ITEMS and all(len(i.split()) <= 3 for i in items):
             return "navigation"
+    visible = len(line.translate(None, b" \t\n\r\x0b\x0c"))
+    if len(line) - len(line.translate(None, SYMBOL_BYTES)) > MAX_SYMBOL_SHARE * visible or not any(map(str.isalnum, text)):
+        return "punctuation"
     if BOILERPLATE_RE.search(low):
         return "boilerplate"
     words = line.split()

@@ -110,7 +110,7 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def logistic(rows: list[np.ndarray], labels: np.ndarray, n: int, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias for rows of feature indexes and soft labels: gradient steps scaled by each weight's history."""
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     w, b, seen, seen_b = np.zeros(n), -2.0, np.full(n, 1e-8), 1e-8
