@@ -33,9 +33,9 @@ from tidewater.llm.common import map_rows, read_table, texts_of
 #: About how many labelled rows the lexicon, the label model and the classifier are fitted on.
 MAX_TRAIN_ROWS = 20_000
 #: Entries of the lexicon at most, the least toxic texts that have an entry, and the least share of toxic texts.
-MAX_LEXICON, MIN_TEXTS, MIN_SHARE = 2000, 6, 0.9
+MAX_LEXICON, MIN_TEXTS, MIN_SHARE = 2000, 5, 0.8
 N_LISTS = 12
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 ADDRESS = frozenset(("you", "your", "he", "she", "they", "is", "are", "du", "sie", "er", "tu", "vous", "il", "elle", "usted", "es"))
 PREDICT_FROM = 0.7
 WORD = re.compile(r"[^\W\d_]+")
