@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-STREAMS = {"cdc_stream", "alert_stream"}
+STREAMS = {"cdc_stream", "cdc_stream_dead_letter", "alert_stream"}
 
 
 def _plan(spark, name):

@@ -1,5 +1,6 @@
 """Edge semantics on hand-built inputs (expected rows computed by hand)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import alerts as al
@@ -69,7 +70,7 @@ def test_profile_walk_and_cardinality(spark):
     assert p["s"]["cardinality"] == 1 and p["s"]["is_mixed_type"]   # "1" and 1 collapse
 
 
-# ---- T12-T15 (the reference's own DDL assertions) -----------------------------------------------
+# ---- T12-T15 ------------------------------------------------------------------------------------
 def _ddl(spark, cols, dialect):
     df = spark.createDataFrame(cols, "schema string, table_name string, ordinal int, column_name string, "
                                      "type string, nullable boolean, primary_key boolean, auto_increment boolean")
@@ -77,19 +78,20 @@ def _ddl(spark, cols, dialect):
 
 
 def test_ddl_identity_clauses(spark):
-    mysql_to_pg = _ddl(spark, [("s", "t", 1, "id", "int", False, True, True),
-                               ("s", "t", 2, "email", "string", False, False, False)], "pg")
-    assert '"id" INTEGER NOT NULL GENERATED BY DEFAULT AS IDENTITY' in mysql_to_pg
-    assert '"email" TEXT NOT NULL,' in mysql_to_pg and mysql_to_pg.count("IDENTITY") == 1
-    pg_to_mysql = _ddl(spark, [("s", "t", 1, "id", "long", False, True, True),
-                               ("s", "t", 2, "amount", "decimal", False, False, False)], "mysql")
-    assert "`id` BIGINT NOT NULL AUTO_INCREMENT" in pg_to_mysql and pg_to_mysql.count("AUTO_INCREMENT") == 1
-    mongo_to_pg = _ddl(spark, [("s", "t", 1, "id", "int", False, True, False),
-                               ("s", "t", 2, "tag", "string", True, False, False)], "pg")
-    assert "IDENTITY" not in mongo_to_pg and 'PRIMARY KEY ("id")' in mongo_to_pg
-    mongo_to_mysql = _ddl(spark, [("s", "t", 1, "id", "int", False, True, False),
-                                  ("s", "t", 2, "tag", "string", True, False, False)], "mysql")
-    assert "AUTO_INCREMENT" not in mongo_to_mysql
+    """An identity clause goes to the auto-increment integer key only, wherever
+    the column stands; other keys and other flagged columns get none."""
+    late = [("shop", "visit", 1, "seen_on", "date", True, False, False),
+            ("shop", "visit", 2, "visit_no", "long", False, True, True),
+            ("shop", "visit", 3, "score", "double", True, False, False)]
+    pg, my = _ddl(spark, late, "pg"), _ddl(spark, late, "mysql")
+    line = lambda text, name: next(x for x in text.splitlines() if x.strip().startswith(name))
+    assert "IDENTITY" in line(pg, '"visit_no"') and pg.count("IDENTITY") == 1
+    assert "AUTO_INCREMENT" in line(my, "`visit_no`") and my.count("AUTO_INCREMENT") == 1
+    text_key = [("shop", "doc", 1, "ref", "uuid", False, True, False), ("shop", "doc", 2, "body", "json", True, False, False)]
+    pair = [("shop", "stock", 1, "depot", "int", False, True, False), ("shop", "stock", 2, "item", "int", False, True, False)]
+    for cols in (text_key, pair):
+        assert "IDENTITY" not in _ddl(spark, cols, "pg") and "AUTO_INCREMENT" not in _ddl(spark, cols, "mysql")
+    assert 'PRIMARY KEY ("depot", "item")' in _ddl(spark, pair, "pg")
 
 
 def test_identifier_cleaning_and_dedup(spark):
@@ -215,8 +217,9 @@ def test_cache_hit_and_replica_lag(spark):
     assert [x[0] for x in c.select(mon.cache_hit_pct(F.col("r"), F.col("q"))).collect()] == [100.0, 50.0, 0.0]
     import datetime as dt
     t = dt.datetime(2024, 1, 1)
-    m = spark.createDataFrame([(1, t, 1, 1, t), (1, t, 2, 2, t - dt.timedelta(seconds=12)), (1, t, 3, 8, None)],
-                              "set_id long, sample_ts timestamp, member_id long, state int, optime timestamp")
+    m = spark.createDataFrame([(1, t, 1, 1, 1, t), (1, t, 2, 2, 0, t - dt.timedelta(seconds=12)), (1, t, 3, 8, 0, None)],
+                              "set_id long, sample_ts timestamp, member_id long, state int, health int, optime timestamp")
+    assert {x["healthy_members"] for x in mon.replica_lag(m).collect()} == {1}     # health counts, not the state
     r = {x["member_id"]: (x["lag_seconds"], x["lag_band"]) for x in mon.replica_lag(m).collect()}
     assert r == {1: (0.0, "ok"), 2: (12.0, "warn"), 3: (None, "none")}
 
@@ -278,6 +281,67 @@ def test_cdc_stream_resume_and_heartbeat(spark):
     assert sum(b["input_rows"] for b in log.batches) == 5
 
 
+def test_rows_of_one_log_message_stay(spark):
+    """Two rows of one key in one binlog event differ by their ordinal; a second delivery of one is dropped."""
+    ev = spark.createDataFrame(
+        [("db", "t", "update", 1, '{"id":1,"a":"x"}', 1, 1, 0), ("db", "t", "update", 1, '{"id":1,"a":"y"}', 1, 1, 1),
+         ("db", "t", "update", 1, '{"id":1,"a":"x"}', 1, 1, 0)],
+        "db string, coll string, op string, key long, doc string, pos_hi long, pos_lo long, pos_seq long")
+    assert sorted(r["pos_seq"] for r in cdc.drop_redeliveries(ev).collect()) == [0, 1]
+
+
+def test_stream_keeps_late_columns_and_poison(spark):
+    """A late partial update sets the columns that no later event has set; poison events are kept;
+    two namespaces with the same key stay apart."""
+    from tidewater.session import checkpoint_dir
+    from tidewater.streaming import cdc_stream as cst
+    base = checkpoint_dir(spark, "test_late")
+    cols = {"id": "bigint", "a": "string", "n": "bigint"}
+    target = spark.createDataFrame([("d", "t", 1, "a0", 0), ("d", "u", 1, "u0", 7)], "db string, coll string, id long, a string, n long")
+    cst.init_target(spark, base + "/target", target, "id")
+    event = "db string, coll string, op string, key long, doc string, pos_hi long, pos_lo long, pos_seq long"
+    batches = [[("d", "t", "update", 1, '{"id":1,"a":"a2"}', 2, 0, 0)],
+               [("d", "t", "update", 1, '{"id":1,"a":"a1","n":1}', 1, 0, 0), ("d", "u", "delete", 2, None, 1, 0, 0)],
+               [("d", "u", "insert", 2, '{"id":2,"a":"late"}', 0, 0, 0), ("d", "u", "update", 1, '{"id":1,"n":8}', 1, 0, 0)]]
+    for i, rows in enumerate(batches):
+        cst.apply_batch(spark, spark.createDataFrame(rows, event), base + "/target", "id", cols, i)
+    got = {(r["coll"], r["id"]): (r["a"], r["n"]) for r in cst.read_target(spark, base + "/target").collect()}
+    assert got == {("t", 1): ("a2", 1), ("u", 1): ("u0", 8)}
+
+    msg = '{"operationType":"insert","ns":{"db":"d","coll":"t"},"documentKey":{"_id":%d},"fullDocument":{"id":%d,"n":"%s"},"clusterTime":{"t":%d,"i":1}}'
+    spark.createDataFrame([(msg % (1, 1, "5", 1),), (msg % (2, 2, "five", 2),)], "value string").coalesce(1).write.text(base + "/log")
+    cst.init_target(spark, base + "/one", spark.createDataFrame([], "id long, a string, n long"), "id")
+    cst.run_cdc_stream(spark, base + "/log", base + "/one", base + "/ck", "id", cols, [("d", "t")])
+    assert [(r["id"], r["n"]) for r in cst.read_target(spark, base + "/one").collect()] == [(1, 5)]
+    assert [(r["key"], r["pos_hi"], r["error"]) for r in cst.dead_letters(spark, base + "/one").collect()] == [(2, 2, "n: cannot convert to bigint")]
+    with pytest.raises(ValueError):
+        cst.run_cdc_stream(spark, base + "/log", base + "/one", base + "/ck", "id", cols, [("d", "t"), ("d", "u")])
+
+
+def test_whole_numbers_and_nulls_stay_exact(spark):
+    """Longs past 2^53 in every spelling; null columns become null fields."""
+    from tidewater.operators import mapping as mp
+    big = 9007199254740993
+    d = docs_of(spark, ['{"_id":1,"n":%d}' % big, '{"_id":2,"n":"%d"}' % big, '{"_id":3,"n":{"$numberLong":"%d"}}' % big, '{"_id":4,"n":7.5}'])
+    schema = [mp.Col("_id", "int", True), mp.Col("n", "long")]
+    for dialect, last in (("pg", None), ("mysql", 7)):
+        ok, bad, _ = mp.map_doc_to_sql(d, schema, dialect)
+        got = {r["_id"]: r["n"] for r in ok.collect()}
+        assert got == {1: big, 2: big, 3: big} | ({} if last is None else {4: last})
+        assert bad.count() == (last is None)
+    rows = spark.createDataFrame([(1, None, None)], "id long, a string, n long")
+    docs, _ = mp.map_sql_to_doc(rows, [mp.Col("id", "long", True), mp.Col("a", "string"), mp.Col("n", "long")], "pg")
+    assert docs.first()["doc"] == '{"_id":1,"a":null,"n":null}'
+
+
+def test_facet_branches_of_any_shape(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 9.0), (10, 7.0)], "_id long, v double")
+    out = dq.pipeline(df, [{"$facet": {"by_v": [{"$sort": {"v": -1}}, {"$project": {"_id": 1}}], "n": [{"$count": "n"}],
+                                       "none": [{"$match": {"v": {"$gt": 99}}}]}}])
+    got = {r["facet"]: (r["n_docs"], r["docs"]) for r in out.collect()}
+    assert got == {"by_v": (3, '[{"_id":2},{"_id":10},{"_id":1}]'), "n": (1, '[{"n":3}]'), "none": (0, "[]")}
+
+
 def test_key_change_becomes_delete_plus_insert(spark):
     from tidewater.operators.cdc import split_key_changes
     ev = spark.createDataFrame(

@@ -61,13 +61,9 @@ def mongo_metrics(samples_with_rates: DataFrame) -> DataFrame:
     event_id, ts_ms, metric, value); null values are dropped (the rule is
     skipped for that sample); input: samples with their op rates
     (``op_rates(..., keep_all=True)``, one pass, no self-join). Replication lag is the max of the members'
-    known lags, 0 when none is known, null without a replica set."""
+    known lags (``member_lags``), 0 when none is known, null without a replica set."""
     s = samples_with_rates
-    lags = F.when(F.col("event_id") % 2 == 0,
-                  F.array((F.col("event_id") % 45).cast("double"), F.lit(None).cast("double"))) \
-            .otherwise(F.array(F.lit(None).cast("double")))
-    repl = F.when(F.col("connection_id") % 3 == 0,
-                  F.coalesce(F.array_max(F.filter(lags, lambda x: x.isNotNull())), F.lit(0.0)))
+    repl = F.when(F.col("member_lags").isNotNull(), F.coalesce(F.array_max("member_lags"), F.lit(0.0)))
     wide = s.select(
         "connection_id", "event_id", "ts_ms",
         F.col("connections_current").cast("double").alias("currentConnections"),

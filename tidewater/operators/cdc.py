@@ -133,8 +133,10 @@ def position(cols=POS) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def drop_redeliveries(events: DataFrame, pos_cols=("pos_hi", "pos_lo")) -> DataFrame:
-    """At-least-once delivery -> one event per (namespace, key, position)."""
+def drop_redeliveries(events: DataFrame, pos_cols=tuple(POS)) -> DataFrame:
+    """At-least-once delivery -> one event per (namespace, key, position).
+    The position includes the row ordinal, so several rows of one key in one
+    log message all stay."""
     return events.dropDuplicates(["db", "coll", "key", *pos_cols])
 
 
@@ -175,6 +177,22 @@ def _typed(c: str, t: str, m: str = "_m") -> Column:
     return F.col(m)[c].try_cast(t)
 
 
+def column_changes(events: DataFrame, ns: list[str], key: str, columns: dict[str, str]) -> DataFrame:
+    """Per key the last operation (``_last_op``) with its position (``_last``)
+    and, for each column c, ``c__s``: position p, delete flag d and value v of
+    the latest event that carried it (a delete carries every column)."""
+    p = position()
+    ev = events.select(*ns, "key", "op", p.alias("_p"), doc_map().alias("_m"))
+    is_del = F.col("op") == "delete"
+    aggs = [F.max_by("op", "_p").alias("_last_op"), F.max("_p").alias("_last")]
+    for c in columns:
+        if c != key:
+            carrier = F.when(is_del | F.map_contains_key("_m", c), F.col("_p"))
+            carried = F.struct(F.col("_p").alias("p"), is_del.alias("d"), _typed(c, columns[c]).alias("v"))
+            aggs.append(F.max_by(carried, carrier).alias(c + "__s"))
+    return ev.groupBy(*ns, "key").agg(*aggs)
+
+
 def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """C7 (+C9): SQL-target semantics. An upsert sets only the columns present
     in its document; a delete removes the row and resets every column, so
@@ -190,14 +208,7 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     A target with ``db`` and ``coll`` columns is merged per namespace."""
     ns = [c for c in ("db", "coll") if c in target.columns]
     cols = [c for c in columns if c != key]
-    p = position()
-    ev = events.select(*ns, "key", "op", p.alias("_p"), doc_map().alias("_m"))
-    is_del = F.col("op") == "delete"
-    aggs = [F.max_by("op", "_p").alias("_last_op")]
-    for c in cols:
-        carrier = F.when(is_del | F.map_contains_key("_m", c), F.col("_p"))
-        aggs.append(F.max_by(F.struct(is_del.alias("d"), _typed(c, columns[c]).alias("v")), carrier).alias(c + "__s"))
-    changes = ev.groupBy(*ns, "key").agg(*aggs)
+    changes = column_changes(events, ns, key, columns)
     tgt = target.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
     m = tgt.join(changes, [*ns, "key"], "full_outer")
     out = [*ns, F.col("key").alias(key)]

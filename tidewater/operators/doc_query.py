@@ -150,7 +150,7 @@ def project(df: DataFrame, projection: dict | None) -> DataFrame:
     if not projection:
         return df.drop(KEYS) if KEYS in df.columns else df
     inc = [k for k, v in projection.items() if v and k != "_id"]
-    if inc:
+    if inc or projection.get("_id"):
         cols = (["_id"] if projection.get("_id", 1) and "_id" in df.columns else []) + inc
         return df.select(*[F.col(c).alias(c) for c in cols])
     drop = [k for k, v in projection.items() if not v] + ([KEYS] if KEYS in df.columns else [])
@@ -163,15 +163,15 @@ def sort_cols(sort: dict | None) -> list[Column]:
 
 
 def find(df: DataFrame, filter: dict | None = None, projection: dict | None = None, sort: dict | None = None,
-         skip: int = 0, limit: int | None = 50) -> DataFrame:
-    """Q1-Q4: filter, sort, skip, limit (1..1000), then project."""
+         skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Q1-Q4: filter, sort, skip, limit (if given), then project."""
     out = df.filter(filter_expr(df, filter))
     if sort:
         out = out.orderBy(*sort_cols(sort))
     if skip:
         out = out.offset(max(0, int(skip)))
     if limit is not None:
-        out = out.limit(min(max(int(limit), 1), 1000))
+        out = out.limit(max(int(limit), 1))
     return project(out, projection)
 
 
@@ -306,19 +306,20 @@ def _unwind(df: DataFrame, spec: Any) -> DataFrame:
     return df.select(*others, gen.alias(path))
 
 
-def pipeline(df: DataFrame, stages: list[dict], limit: int | None = 1000,
+def pipeline(df: DataFrame, stages: list[dict], limit: int | None = None,
              collections: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Q6-Q15: run stages in order; the caller limit (1..10000, default 1000)
-    is appended as a final $limit (None = none, for facet branches)."""
+    """Q6-Q15: run stages in order; the caller limit, if given, is
+    appended as a final $limit."""
     order: dict = {}
     out = df
-    for st in stages:
+    for i, st in enumerate(stages):
         (op, spec), = st.items()
         if op == "$match":
             out = out.filter(filter_expr(out, spec))
         elif op == "$sort":
             order = dict(spec)
-            out = out.orderBy(*sort_cols(spec))
+            if not (i + 1 < len(stages) and "$group" in stages[i + 1]):
+                out = out.orderBy(*sort_cols(spec))      # $group takes the order from the sort keys
         elif op == "$limit":
             out = out.limit(int(spec))
         elif op == "$skip":
@@ -348,32 +349,39 @@ def pipeline(df: DataFrame, stages: list[dict], limit: int | None = 1000,
         else:
             raise ValueError(f"unsupported stage {op}")
     if limit is not None:
-        out = out.limit(min(max(int(limit), 1), 10000))
+        out = out.limit(max(int(limit), 1))
     return out
 
 
-def facet(df: DataFrame, branches: dict[str, list[dict]], collections=None, id_col: str = "_id") -> DataFrame:
-    """Q15 $facet: each branch runs over the same (cached-by-reuse) input; the
-    output has one row per branch with its document ids in branch order.
+def _keeps_order(stages: list[dict]) -> bool:
+    """Whether the output of the stages is in the order of a $sort."""
+    ops = [next(iter(st)) for st in stages]
+    return "$sort" in ops and not {"$group", "$count", "$facet"} & set(ops[ops.index("$sort"):])
+
+
+def facet(df: DataFrame, branches: dict[str, list[dict]], collections=None) -> DataFrame:
+    """Q15 $facet: each branch runs over the same input; one row per branch
+    with its number of documents and the documents as a JSON array, in the
+    branch's order (without a $sort: by their text). A branch is one array
+    by definition, bounded in the source system by the size of a document.
     Branch outputs are unioned and grouped by branch name, never crossed."""
-    parts = []
+    parts = [df.sparkSession.createDataFrame([(name, None, None) for name in branches], "facet string, _o long, doc string")]
     for name, stages in branches.items():
-        b = pipeline(df, stages, limit=None, collections=collections)
-        order = F.monotonically_increasing_id()
-        parts.append(b.select(F.lit(name).alias("facet"), order.alias("_o"),
-                              F.to_json(F.struct(*[F.col(c) for c in b.columns])).alias("doc"),
-                              F.col(id_col).cast("string").alias("_idv")))
+        b = pipeline(df, stages, collections=collections)
+        order = F.monotonically_increasing_id() if _keeps_order(stages) else F.lit(0).cast("long")
+        parts.append(b.select(F.lit(name).alias("facet"), order.alias("_o"), F.to_json(F.struct(*[F.col(c) for c in b.columns])).alias("doc")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
+    each = F.collect_list(F.when(F.col("doc").isNotNull(), F.struct("_o", "doc")))
     return u.groupBy("facet").agg(
-        F.count(F.lit(1)).cast("long").alias("n_docs"),
-        F.array_join(F.array_sort(F.collect_list("_idv")), ",").alias("ids"))
+        F.count("doc").cast("long").alias("n_docs"),
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(each), lambda s: s["doc"]), ","), F.lit("]")).alias("docs"))
 
 
 def coll_stats(docs: DataFrame, ns_cols: list[str], text_col: str = "doc_text") -> DataFrame:
     """Q16: count, size (bytes of the JSON text) and average object size."""
     return docs.groupBy(*ns_cols).agg(
         F.count(F.lit(1)).cast("long").alias("count"),
-        F.sum(F.length(text_col)).cast("long").alias("size"),
-        F.round(F.avg(F.length(text_col)), 4).alias("avg_obj_size"))
+        F.sum(F.octet_length(text_col)).cast("long").alias("size"),
+        F.round(F.avg(F.octet_length(text_col)), 4).alias("avg_obj_size"))

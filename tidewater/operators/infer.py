@@ -186,7 +186,8 @@ def walk_paths(docs: DataFrame, ns_cols=NS, id_col: str = "doc_id", max_depth: i
 def profile_fields(docs: DataFrame, ns_cols=NS, id_col: str = "doc_id", max_depth: int = 5,
                    distinct_cap: int = 1000, approximate: bool = False) -> DataFrame:
     """Per path types, isMixedType, presencePercent, nullRate,
-    cardinality (distinct ``String(value)`` of scalars, capped)."""
+    cardinality (distinct ``String(value)`` of scalars; the true count, and
+    whether it is above ``distinct_cap``, where a display would cut it)."""
     p = walk_paths(docs, ns_cols, id_col, max_depth)
     scalar = F.col("ptype").isin("string", "int", "double", "boolean")
     sval = F.when(scalar, js_string(F.col("value")))
@@ -202,7 +203,7 @@ def profile_fields(docs: DataFrame, ns_cols=NS, id_col: str = "doc_id", max_dept
         (F.size("types") > 1).alias("is_mixed_type"),
         F.round(F.col("cnt") / F.col("n_docs") * 100, 4).alias("presence_percent"),
         F.round(F.col("null_cnt") / F.col("n_docs") * 100, 4).alias("null_rate"),
-        F.least(F.col("n_distinct"), F.lit(distinct_cap)).cast("long").alias("cardinality"),
+        F.col("n_distinct").cast("long").alias("cardinality"), (F.col("n_distinct") > distinct_cap).alias("cardinality_capped"),
     )
 
 

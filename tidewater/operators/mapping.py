@@ -91,14 +91,18 @@ def doc_value(v: Column, raw_json: Column, ctype: str, dialect: str) -> tuple[Co
                .otherwise(raw_json))
         return val, F.lit(True)
     if ctype in ("int", "long"):
-        if dialect == "mysql":   # Math.trunc / parseInt
-            num = F.when(_is_num(st), dbl).when(st == "STRING", s.try_cast("double"))
+        # whole numbers never pass through a double, which holds 53 bits
+        whole = F.when(st.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "bigint")) \
+                 .when(st == "STRING", s.try_cast("bigint")) \
+                 .when(_tag(st, "$numberLong"), F.try_variant_get(v, "$['$numberLong']", "string").try_cast("bigint"))
+        num = F.when(_is_num(st), dbl).when(st == "STRING", s.try_cast("double"))
+        if dialect == "mysql":   # fractions are truncated
             val = F.when(num.isNotNull(), F.when(num < 0, F.ceil(num)).otherwise(F.floor(num)))
         else:                    # the value (or its text) must be an integer for the column
-            num = F.when(_is_num(st), dbl).when(st == "STRING", s.try_cast("double")) \
-                   .when(_tag(st, "$numberLong"), F.try_variant_get(v, "$['$numberLong']", "string").try_cast("double"))
             val = F.when(num == F.floor(num), num)
-        out = val.try_cast("bigint" if ctype == "long" else "int")
+        out = F.coalesce(whole, val.try_cast("bigint"))
+        if ctype == "int":
+            out = out.try_cast("int")
         return out, ~present | out.isNotNull()
     if ctype in ("double", "float"):
         out = F.when(_is_num(st), dbl).when(st == "STRING", s.try_cast("double"))
@@ -204,7 +208,7 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
     type from PG, text from MySQL) removed from the body; composite PK ->
     generated ``_id`` + ``pk`` sub-document (MySQL keeps the PK columns in
     the body too); no PK -> generated ``_id``. Longs outside int32 are
-    tagged ``$numberLong``; decimals ``$numberDecimal``; JSON text parsed;
+    tagged ``$numberLong``; a null column stays as a null field; decimals ``$numberDecimal``; JSON text parsed;
     booleans from MySQL tinyint(1) are ``v != 0``."""
     pks = [c for c in cols if c.primary_key]
     names = [c.name for c in cols]
@@ -231,7 +235,7 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
         return json_literal(x)
 
     def kv(c: Col) -> Column:
-        return F.when(F.col(c.name).isNotNull(), F.concat(F.lit('"' + c.name + '":'), conv(c)))
+        return F.concat(F.lit('"' + c.name + '":'), F.coalesce(conv(c), F.lit("null")))
 
     if len(pks) == 1:
         pk = pks[0]

@@ -93,7 +93,7 @@ def replica_lag(members: DataFrame, set_col: str = "set_id", ts_col: str = "samp
     w = Window.partitionBy(set_col, ts_col)
     state_name = F.coalesce(map_literal(STATE_NAMES)[F.col("state")], F.lit("UNKNOWN"))
     primary_opt = F.max(F.when(F.col("state") == 1, F.col("optime"))).over(w)
-    healthy = F.col("state").isin(1, 2, 7)
+    healthy = F.col("health") == 1
     d = members.select("*", state_name.alias("state_name"), primary_opt.alias("_p"),
                        F.count_if(healthy).over(w).alias("healthy_members"),
                        F.count(F.lit(1)).over(w).alias("members"))

@@ -119,7 +119,7 @@ _F3_FULL = """'{"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || ',"o_custkey":'
 
 F3 = """
 f3 AS (
-  SELECT 'shop' AS db, coll, op, key, doc, CAST(step AS BIGINT) AS pos_hi, key AS pos_lo, CAST(d.seq AS BIGINT) AS pos_seq,
+  SELECT 'shop' AS db, coll, op, key, doc, CAST(step AS BIGINT) AS pos_hi, key AS pos_lo, CAST(0 AS BIGINT) AS pos_seq, d.seq AS delivery,
          base_ms + step * 3600000 AS committed_ms
   FROM (
     SELECT o_orderkey AS key, (epoch_us(o_orderdate) // 1000) AS base_ms,
@@ -175,7 +175,7 @@ F4_REPLICA = """
 f4r AS (
   SELECT user_id % 10 AS set_id, user_id AS member_id, date_trunc('hour', ts) AS sample_ts,
          CASE WHEN user_id < 10 THEN 1 WHEN user_id % 7 = 0 THEN 8 WHEN user_id % 5 = 0 THEN 7 ELSE 2 END AS state,
-         max(ts) AS optime
+         max(ts) AS optime, min(CASE WHEN (user_id >= 10 AND user_id % 7 = 0) OR user_id % 25 = 0 THEN 0 ELSE 1 END) AS health
   FROM events GROUP BY 1, 2, 3, 4
 )"""
 
@@ -263,10 +263,10 @@ f6r AS (
 
 F3_RAW_MONGO = """
 f3mongo AS (
-  SELECT pos_hi * 1000000000 + key * 2 + pos_seq AS arrival,
+  SELECT pos_hi * 1000000000 + key * 2 + delivery AS arrival,
          '{"operationType":"' || CASE WHEN op = 'insert' AND pos_hi = 0 AND key % 5 = 0 THEN 'replace' ELSE op END
          || '","ns":{"db":"shop","coll":"' || coll || '"},"documentKey":{"_id":' || CAST(key AS VARCHAR) || '}'
-         || CASE WHEN op <> 'delete' AND NOT (op = 'update' AND key % 13 = 0) THEN ',"fullDocument":' || doc ELSE '' END
+         || CASE WHEN op <> 'delete' AND NOT (op = 'update' AND key % 26 = 0) THEN ',"fullDocument":' || doc ELSE '' END
          || ',"clusterTime":{"t":' || CAST(pos_hi + 1700000000 AS VARCHAR) || ',"i":' || CAST(key AS VARCHAR) || '}}' AS raw
   FROM f3
   UNION ALL
@@ -284,19 +284,19 @@ f3pgl AS (
   SELECT *, hex(pos_hi) || '/' || hex(pos_lo * 16) AS lsn FROM f3
 ),
 f3pg AS (
-  SELECT pos_hi * 1000000000 + key * 4 + pos_seq + 1 AS arrival,
+  SELECT pos_hi * 1000000000 + key * 4 + delivery + 1 AS arrival,
          '{"lsn":"' || lsn || '","action":"' || CASE op WHEN 'insert' THEN 'I' WHEN 'update' THEN 'U' ELSE 'D' END
          || '","schema":"public","table":"' || coll || '"'
          || CASE WHEN op = 'delete' THEN ',"identity":{"o_orderkey":' || CAST(key AS VARCHAR) || '}' ELSE ',"columns":' || doc END
          || '}' AS raw
   FROM f3pgl
   UNION ALL
-  SELECT pos_hi * 1000000000 + key * 4, '{"lsn":"' || lsn || '","action":"B"}' FROM f3pgl WHERE pos_seq = 0 AND key % 10 = 0
+  SELECT pos_hi * 1000000000 + key * 4, '{"lsn":"' || lsn || '","action":"B"}' FROM f3pgl WHERE delivery = 0 AND key % 10 = 0
   UNION ALL
-  SELECT pos_hi * 1000000000 + key * 4 + 3, '{"lsn":"' || lsn || '","action":"C"}' FROM f3pgl WHERE pos_seq = 0 AND key % 10 = 0
+  SELECT pos_hi * 1000000000 + key * 4 + 3, '{"lsn":"' || lsn || '","action":"C"}' FROM f3pgl WHERE delivery = 0 AND key % 10 = 0
   UNION ALL
   SELECT 8000000000 + key, '{"lsn":"9/' || hex(key * 16) || '","action":"T","schema":"public","table":"orders"}'
-  FROM f3pgl WHERE pos_seq = 0 AND pos_hi = 0 AND key % 100 = 1
+  FROM f3pgl WHERE delivery = 0 AND pos_hi = 0 AND key % 100 = 1
 )"""
 
 F3_RAW_MYSQL = """
@@ -306,7 +306,7 @@ f3myg AS (
          string_agg(CASE op WHEN 'insert' THEN doc WHEN 'update' THEN '{"before":null,"after":' || doc || '}'
                     ELSE '{"o_orderkey":' || CAST(key AS VARCHAR) || '}' END, ',' ORDER BY key) AS rows,
          min(committed_ms) AS committed_ms, max(CAST(pos_hi = 0 AND key % 11 = 0 AS INTEGER)) AS dup
-  FROM f3 WHERE pos_seq = 0 GROUP BY 1, 2, 3, 4
+  FROM f3 WHERE delivery = 0 GROUP BY 1, 2, 3, 4
 ),
 f3my AS (
   SELECT pos_hi * 1000000000 + grp * 8 + CAST(coll = 'archive' AS INTEGER) * 4 + 1 + c.copy AS arrival,
@@ -315,5 +315,5 @@ f3my AS (
   FROM f3myg, unnest(CASE WHEN dup = 1 THEN [0, 2] ELSE [0] END) AS c(copy)
   UNION ALL
   SELECT pos_hi * 1000000000, '{"type":"rotate","next_file":"binlog.' || lpad(CAST(pos_hi + 1 AS VARCHAR), 6, '0') || '","position":4}'
-  FROM (SELECT DISTINCT pos_hi FROM f3 WHERE pos_seq = 0)
+  FROM (SELECT DISTINCT pos_hi FROM f3 WHERE delivery = 0)
 )"""

@@ -20,7 +20,7 @@ _OPS = ["insert", "query", "update", "delete", "getmore", "command"]
 # ---- Spark building blocks ---------------------------------------------------------------
 def metrics(spark, sf_dir):
     s = fx.f4_counter_samples(spark, sf_dir)
-    return al.mongo_metrics(mon.op_rates(s, keep_all=True))
+    return al.mongo_metrics(mon.op_rates(s, keep_all=True).withColumn("member_lags", fx.member_lags()))
 
 
 def rules(spark, sf_dir):

@@ -28,7 +28,7 @@ def clean_events(spark, sf_dir, dedupe: bool = True):
     """C4 + C13 + C15: configured namespace, redeliveries dropped, poison split
     off. Applying needs no de-dup (apply is idempotent under redelivery), so
     the apply queries skip that shuffle; counts and listings keep it."""
-    ev = cdc.filter_namespaces(fx.f3_changes(spark, sf_dir), ALLOWED)
+    ev = cdc.filter_namespaces(fx.f3_changes(spark, sf_dir).drop("delivery"), ALLOWED)
     if dedupe:
         ev = cdc.drop_redeliveries(ev)
     return cdc.validate(ev, COLUMNS, KEY)
@@ -48,7 +48,7 @@ def _valid_pred(doc="doc"):
 
 CLEAN_SQL = with_ctes(F3) + f""",
 ev AS (SELECT * FROM f3 WHERE db = 'shop' AND coll = 'orders'),
-dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db, coll, key, pos_hi, pos_lo ORDER BY pos_seq) AS rn
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db, coll, key, pos_hi, pos_lo, pos_seq ORDER BY delivery) AS rn
                       FROM ev) WHERE rn = 1),
 valid AS (SELECT *, pos_hi * 1000000000000 + pos_lo * 100 + pos_seq AS p FROM dd WHERE {_valid_pred()}),
 dead AS (SELECT * FROM dd WHERE NOT ({_valid_pred()}))"""
@@ -259,13 +259,14 @@ def cdc_resume(spark, sf_dir):
     of step 0, read back from the applied events as one scalar)."""
     valid, _ = clean_events(spark, sf_dir)
     ck = valid.filter(F.col("pos_hi") == 0).agg(F.max(cdc.position()).alias("p")).first()["p"]
-    return cdc.after_position(valid, ck["pos_hi"], ck["pos_lo"], ck["pos_seq"]).select(
+    start = tuple(ck) if ck is not None else (-1, -1, -1)      # nothing applied yet: from the beginning
+    return cdc.after_position(valid, *start).select(
         "key", "op", "pos_hi", "pos_lo", "pos_seq")
 
 
 # ---- C14-C16, C20 ---------------------------------------------------------------------------------------------
 _ALL_SQL = with_ctes(F3) + f""",
-dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db, coll, key, pos_hi, pos_lo ORDER BY pos_seq) AS rn
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db, coll, key, pos_hi, pos_lo, pos_seq ORDER BY delivery) AS rn
                       FROM f3) WHERE rn = 1),
 valid AS (SELECT * FROM dd WHERE {_valid_pred()}),
 dead AS (SELECT *, pos_hi * 1000000000000 + pos_lo * 100 + pos_seq AS p,

@@ -206,22 +206,30 @@ def agg_count(spark, sf_dir):
     return dq.pipeline(orders(spark, sf_dir), [{"$match": {"o_totalprice": {"$gt": 200000}}}, {"$count": "n"}])
 
 
-@query("agg_facet", ORDERS_SQL + """
-SELECT 'by_status' AS facet, CAST(count(*) AS BIGINT) AS n_docs, string_agg(s, ',' ORDER BY s) AS ids
-FROM (SELECT DISTINCT o_orderstatus AS s FROM od)
+@query("agg_facet", ORDERS_SQL + """,
+st AS (SELECT '{"_id":"' || o_orderstatus || '","n":' || CAST(count(*) AS VARCHAR) || '}' AS doc FROM od GROUP BY o_orderstatus),
+tp AS (SELECT '{"_id":' || CAST(_id AS VARCHAR) || ',"o_orderstatus":"' || o_orderstatus || '"}' AS doc,
+              row_number() OVER (ORDER BY o_totalprice DESC, _id) AS rn FROM od)
+SELECT 'by_status' AS facet, CAST(count(*) AS BIGINT) AS n_docs, '[' || coalesce(string_agg(doc, ',' ORDER BY doc), '') || ']' AS docs FROM st
 UNION ALL
-SELECT 'top', CAST(count(*) AS BIGINT), string_agg(CAST(_id AS VARCHAR), ',' ORDER BY CAST(_id AS VARCHAR))
-FROM (SELECT _id FROM od ORDER BY o_totalprice DESC, _id LIMIT 3)""")
+SELECT 'top', CAST(count(*) AS BIGINT), '[' || coalesce(string_agg(doc, ',' ORDER BY rn), '') || ']' FROM tp WHERE rn <= 3
+UNION ALL
+SELECT 'dear', CAST(1 AS BIGINT), '[{"n":' || CAST(count(*) AS VARCHAR) || '}]' FROM od WHERE o_totalprice > 200000
+UNION ALL
+SELECT 'nothing', CAST(0 AS BIGINT), '[]'""")
 def agg_facet(spark, sf_dir):
-    """Q15 $facet: two sub-pipelines over one input, one row per branch."""
+    """Q15 $facet: sub-pipelines of any shape over one input, one row per
+    branch with its documents in branch order (empty array: no document)."""
     return dq.pipeline(orders(spark, sf_dir), [{"$facet": {
         "by_status": [{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}],
-        "top": [{"$sort": {"o_totalprice": -1, "_id": 1}}, {"$limit": 3}]}}], limit=None)
+        "top": [{"$sort": {"o_totalprice": -1, "_id": 1}}, {"$limit": 3}, {"$project": {"_id": 1, "o_orderstatus": 1}}],
+        "dear": [{"$match": {"o_totalprice": {"$gt": 200000}}}, {"$count": "n"}],
+        "nothing": [{"$match": {"o_totalprice": {"$lt": 0}}}, {"$project": {"_id": 1}}]}}])
 
 
 @query("coll_stats", with_ctes(F1_TEXT) + """
-SELECT database, coll, CAST(count(*) AS BIGINT) AS count, CAST(sum(length(doc_text)) AS BIGINT) AS size,
-       round(avg(length(doc_text)), 4) AS avg_obj_size
+SELECT database, coll, CAST(count(*) AS BIGINT) AS count, CAST(sum(strlen(doc_text)) AS BIGINT) AS size,
+       round(avg(strlen(doc_text)), 4) AS avg_obj_size
 FROM f1t GROUP BY database, coll""")
 def coll_stats(spark, sf_dir):
     """Q16: collection count, size and average object size."""

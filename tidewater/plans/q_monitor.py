@@ -87,7 +87,7 @@ _STATE_SQL = "CASE state " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in mon.STA
 r AS (
   SELECT *, {_STATE_SQL} AS state_name,
          max(CASE WHEN state = 1 THEN optime END) OVER (PARTITION BY set_id, sample_ts) AS p,
-         count(*) FILTER (WHERE state IN (1, 2, 7)) OVER (PARTITION BY set_id, sample_ts) AS healthy_members,
+         count(*) FILTER (WHERE health = 1) OVER (PARTITION BY set_id, sample_ts) AS healthy_members,
          count(*) OVER (PARTITION BY set_id, sample_ts) AS members
   FROM f4r
 ),

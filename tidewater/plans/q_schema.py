@@ -232,10 +232,14 @@ SELECT database, coll, path, array_to_string(list_sort(list(DISTINCT ptype) FILT
        count(DISTINCT ptype) FILTER (WHERE ptype <> 'null') > 1 AS is_mixed_type,
        round(count(*) / any_value(n_docs) * 100, 4) AS presence_percent,
        round(count(*) FILTER (WHERE ptype = 'null') / any_value(n_docs) * 100, 4) AS null_rate,
-       CAST(least(count(DISTINCT CASE
+       CAST(count(DISTINCT CASE
             WHEN ptype IN ('int') AND abs(CAST(v AS DOUBLE)) < 9e15 THEN CAST(CAST(CAST(v AS DOUBLE) AS BIGINT) AS VARCHAR)
             WHEN ptype IN ('int', 'double') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR)
-            WHEN ptype IN ('string', 'boolean') THEN json_extract_string(v, '$') END), 1000) AS BIGINT) AS cardinality
+            WHEN ptype IN ('string', 'boolean') THEN json_extract_string(v, '$') END) AS BIGINT) AS cardinality,
+       count(DISTINCT CASE
+            WHEN ptype IN ('int') AND abs(CAST(v AS DOUBLE)) < 9e15 THEN CAST(CAST(CAST(v AS DOUBLE) AS BIGINT) AS VARCHAR)
+            WHEN ptype IN ('int', 'double') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR)
+            WHEN ptype IN ('string', 'boolean') THEN json_extract_string(v, '$') END) > 1000 AS cardinality_capped
 FROM typed JOIN nd USING (database, coll)
 GROUP BY database, coll, path""")
 def profile_fields_q(spark, sf_dir):

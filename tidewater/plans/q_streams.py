@@ -45,13 +45,25 @@ SELECT * FROM applied""")
 def cdc_stream(spark, sf_dir):
     """The document change log streamed in delivery order onto the
     destination snapshot (even keys), one new target version per micro-batch."""
+    return cst.read_target(spark, _drained(spark, sf_dir))
+
+
+def _drained(spark, sf_dir) -> str:
+    """The target of a stream that has read the whole document change log."""
     base = checkpoint_dir(spark, "cdc_stream")
     raw = fx.f3_raw_mongo(spark, sf_dir).withColumn("step", F.floor(F.col("arrival") / 1_000_000_000))
     _write_in_order(raw.select("raw", "step"), "step", f"{base}/log", "text")
     cst.init_target(spark, f"{base}/target", q_cdc.target(spark, sf_dir), q_cdc.KEY)
     cst.run_cdc_stream(spark, f"{base}/log", f"{base}/target", f"{base}/_checkpoint", q_cdc.KEY, q_cdc.COLUMNS,
                        q_cdc.ALLOWED, max_files_per_trigger=64)
-    return cst.read_target(spark, f"{base}/target")
+    return f"{base}/target"
+
+
+@query("cdc_stream_dead_letter", with_ctes(F3, F3_RAW_MONGO) + _NORM_MONGO + """
+SELECT coll, key, op, pos_hi, pos_lo, 'o_totalprice: cannot convert to double' AS error FROM dd WHERE NOT (""" + q_cdc._valid_pred() + """)""")
+def cdc_stream_dead_letter(spark, sf_dir):
+    """The poison events that the stream met, kept with their error."""
+    return cst.dead_letters(spark, _drained(spark, sf_dir)).select("coll", "key", "op", "pos_hi", "pos_lo", "error")
 
 
 @query("alert_stream", q_alerts.EVENTS_SQL + """

@@ -7,7 +7,7 @@ grows with the tables it is derived from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.sources.tables import fan_out_small, read_table
@@ -184,9 +184,10 @@ def f3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.lit("shop").alias("db"), "coll", F.col("e.op").alias("op"), "key", F.col("e.doc").alias("doc"),
         F.col("e.step").cast("long").alias("pos_hi"), F.col("key").alias("pos_lo"),
-        F.explode(dup).alias("pos_seq"),
+        F.lit(0).cast("long").alias("pos_seq"),
         (F.col("base_ms") + F.col("e.step") * F.lit(3600000)).alias("committed_ms"),
-    ).withColumn("pos_seq", F.col("pos_seq").cast("long"))
+        F.explode(dup).alias("delivery"),
+    )
 
 
 # -- F4 counters / F5 op log (from events) ----------------------------------
@@ -241,16 +242,25 @@ def f4_replica_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4 replica status: replica set = user_id % 10 (connection ``rs<n>``),
     member = user, one status per (set, hour). Member of user id < 10 is the
     primary; others secondary, arbiter (user % 5 = 0) or down (user % 7 = 0).
+    health = 0 for members that are down and for user % 25 = 0.
     optime = the member's latest event in that hour."""
     e = _events(spark, sf_dir)
     u = F.col("user_id")
     m = F.col("member_id")
     state = (F.when(m < 10, F.lit(1)).when(m % 7 == 0, F.lit(8)).when(m % 5 == 0, F.lit(7))
              .otherwise(F.lit(2)))
+    health = F.when((state == 8) | (m % 25 == 0), F.lit(0)).otherwise(F.lit(1))
     return (e.groupBy((u % 10).alias("set_id"), u.alias("member_id"),
                       F.date_trunc("hour", "ts").alias("sample_ts"))
             .agg(F.max("ts").alias("optime"))
-            .select("set_id", "member_id", "sample_ts", state.alias("state"), "optime"))
+            .select("set_id", "member_id", "sample_ts", state.alias("state"), health.alias("health"), "optime"))
+
+
+def member_lags() -> Column:
+    """known lags in seconds of a sample's replica members (null entries:
+    unknown); null for a server without a replica set (connection % 3 > 0)."""
+    known = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 45).cast("double"))
+    return F.when(F.col("connection_id") % 3 == 0, F.array(known, F.lit(None).cast("double")))
 
 
 def f5_oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,13 +403,13 @@ def f3_raw_mongo(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = f3_changes(spark, sf_dir)
     k, hi = F.col("key"), F.col("pos_hi")
     op_type = F.when((F.col("op") == "insert") & (hi == 0) & (k % 5 == 0), F.lit("replace")).otherwise(F.col("op"))
-    has_full = (F.col("op") != "delete") & ~((F.col("op") == "update") & (k % 13 == 0))
+    has_full = (F.col("op") != "delete") & ~((F.col("op") == "update") & (k % 26 == 0))
     raw = F.concat(
         F.lit('{"operationType":"'), op_type, F.lit('","ns":{"db":"shop","coll":"'), F.col("coll"),
         F.lit('"},"documentKey":{"_id":'), _s(k), F.lit("}"),
         F.when(has_full, F.concat(F.lit(',"fullDocument":'), F.col("doc"))).otherwise(F.lit("")),
         F.lit(',"clusterTime":{"t":'), _s(hi + MONGO_EPOCH_S), F.lit(',"i":'), _s(k), F.lit("}}"))
-    msgs = e.select((hi * 1000000000 + k * 2 + F.col("pos_seq")).alias("arrival"), raw.alias("raw"))
+    msgs = e.select((hi * 1000000000 + k * 2 + F.col("delivery")).alias("arrival"), raw.alias("raw"))
     o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     drop = o.filter(F.col("k") % 50 == 0).select(
         (F.lit(9000000000) + F.col("k") * 2).alias("arrival"),
@@ -424,15 +434,15 @@ def f3_raw_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit(',"columns":'), F.col("doc")))
     raw = F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"'), action, F.lit('","schema":"public","table":"'),
                    F.col("coll"), F.lit('"'), body, F.lit("}"))
-    msgs = e.select((F.col("pos_hi") * 1000000000 + k * 4 + F.col("pos_seq") + 1).alias("arrival"), raw.alias("raw"))
-    frames = e.filter((F.col("pos_seq") == 0) & (k % 10 == 0)).select(
+    msgs = e.select((F.col("pos_hi") * 1000000000 + k * 4 + F.col("delivery") + 1).alias("arrival"), raw.alias("raw"))
+    frames = e.filter((F.col("delivery") == 0) & (k % 10 == 0)).select(
         F.explode(F.array(
             F.struct((F.col("pos_hi") * 1000000000 + k * 4).alias("arrival"),
                      F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"B"}')).alias("raw")),
             F.struct((F.col("pos_hi") * 1000000000 + k * 4 + 3).alias("arrival"),
                      F.concat(F.lit('{"lsn":"'), lsn, F.lit('","action":"C"}')).alias("raw")))).alias("f"))
     frames = frames.select("f.arrival", "f.raw")
-    trunc = e.filter((F.col("pos_seq") == 0) & (F.col("pos_hi") == 0) & (k % 100 == 1)).select(
+    trunc = e.filter((F.col("delivery") == 0) & (F.col("pos_hi") == 0) & (k % 100 == 1)).select(
         (F.lit(8000000000) + k).alias("arrival"),
         F.concat(F.lit('{"lsn":"9/'), F.hex(k * 16), F.lit('","action":"T","schema":"public","table":"orders"}'))
         .alias("raw"))
@@ -444,7 +454,7 @@ def f3_raw_mysql(spark: SparkSession, sf_dir: str) -> DataFrame:
     to four rows; update rows carry before/after; a rotate message opens each
     step's file (the file name is not repeated on row events). Messages of a
     group that holds a redelivered key are sent twice."""
-    e = f3_changes(spark, sf_dir).filter(F.col("pos_seq") == 0)
+    e = f3_changes(spark, sf_dir).filter(F.col("delivery") == 0)
     k = F.col("key")
     row = (F.when(F.col("op") == "insert", F.col("doc"))
            .when(F.col("op") == "update", F.concat(F.lit('{"before":null,"after":'), F.col("doc"), F.lit("}")))

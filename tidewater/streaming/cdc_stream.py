@@ -1,11 +1,13 @@
 """Continuous CDC apply with Structured Streaming.
 
 ``readStream`` (change-log text files) -> normalise -> namespace filter ->
-validate -> ``foreachBatch``: collapse the micro-batch, merge it into the
-current target version with the C7 rules and write the result as a new
-version directory. The state table keeps, per key, the last applied
-position and a tombstone flag, so a redelivered event at or before that
-position is ignored (exactly-once effect on top of at-least-once input).
+validate -> ``foreachBatch``: merge the micro-batch into the current target
+version with the C7 rules and write the result as a new version directory.
+The state table keeps, per key, a tombstone flag and the position of the last
+event and of the last carrier of every column, so a redelivered event changes
+nothing and a late one only what no later event has set. Poison events go to
+``<target>_dead_letter``. With columns db and coll a target holds several
+namespaces.
 The stream checkpoint is the resume cursor (C12); a version is published by
 a ``_SUCCESS``-style marker only after its files are complete.
 """
@@ -49,47 +51,63 @@ def current_state(spark: SparkSession, target: str) -> DataFrame | None:
 def read_target(spark: SparkSession, target: str) -> DataFrame:
     """The live rows of the latest committed version."""
     s = current_state(spark, target)
-    return s.filter(~F.col("_deleted")).drop("_pos", "_deleted")
+    return s.filter(~F.col("_deleted")).drop("_pos", "_deleted", "_col_pos")
 
 
 def init_target(spark: SparkSession, target: str, snapshot: DataFrame, key: str) -> None:
     """Seed version 0 from the snapshot, every row at position minus infinity."""
     neg = F.struct(*[F.lit(-1).cast("long").alias(c) for c in cdc.POS])
     path = f"{target}/v={0:012d}"
-    snapshot.select("*", neg.alias("_pos"), F.lit(False).alias("_deleted")).write.mode("overwrite").parquet(path)
+    places = F.struct(*[neg.alias(c) for c in snapshot.columns if c not in (key, "db", "coll")])
+    snapshot.select("*", places.alias("_col_pos"), neg.alias("_pos"), F.lit(False).alias("_deleted")).write.mode("overwrite").parquet(path)
     _mark(spark, path)
 
 
 def apply_batch(spark: SparkSession, events: DataFrame, target: str, key: str, columns: dict[str, str],
                 batch_id: int) -> None:
-    """Merge one micro-batch into the latest version (idempotent per batch_id:
-    a retried batch rewrites the same version from the same predecessor)."""
+    """Merge one micro-batch into the latest version. Each column takes the
+    value of the later position, the state's or the batch's, so redelivered
+    and late events give the same table as the batch apply in any order of
+    arrival (and a retried batch rewrites the same version)."""
     vs = [v for v in _versions(spark, target) if v <= batch_id]
     prev = spark.read.parquet(f"{target}/v={vs[-1]:012d}")
-    applied = prev.select(F.col(key).alias("key"), F.col("_pos").alias("_applied"))
-    fresh = (events.join(applied, "key", "left")
-             .filter(F.col("_applied").isNull() | (cdc.position() > F.col("_applied")))
-             .drop("_applied"))
-    live = prev.filter(~F.col("_deleted")).drop("_pos", "_deleted")
-    new_live = cdc.apply_upsert(live, fresh, key, columns)
-    pos = (prev.select(F.col(key).alias("key"), "_pos")
-           .unionByName(fresh.groupBy("key").agg(F.max(cdc.position()).alias("_pos")))
-           .groupBy("key").agg(F.max("_pos").alias("_pos")))
-    alive = new_live.withColumnRenamed(key, "key").withColumn("_alive", F.lit(True))
-    state = pos.join(alive, "key", "left").select(
-        F.col("key").alias(key), *[F.col(c) for c in columns if c != key], "_pos",
-        F.col("_alive").isNull().alias("_deleted"))
+    ns = [c for c in ("db", "coll") if c in prev.columns]
+    cols = [c for c in columns if c != key]
+    old = prev.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols],
+                      "_col_pos", F.col("_pos").alias("_old"), F.col("_deleted").alias("_was_deleted"))
+    m = old.join(cdc.column_changes(events, ns, key, columns), [*ns, "key"], "full_outer")
+
+    def later(new, known):
+        return new.isNotNull() & (known.isNull() | (new >= known))
+
+    values, places = [], []
+    for c in cols:
+        s, known = F.col(c + "__s"), F.col("_col_pos")[c]
+        new = later(s["p"], known)
+        values.append(F.when(new, F.when(~s["d"], s["v"])).otherwise(F.col(c + "__t")).cast(columns[c]).alias(c))
+        places.append(F.when(new, s["p"]).otherwise(known).alias(c))
+    new = later(F.col("_last"), F.col("_old"))
+    state = m.select(*ns, F.col("key").alias(key), *values, F.struct(*places).alias("_col_pos"),
+                     F.when(new, F.col("_last")).otherwise(F.col("_old")).alias("_pos"),
+                     F.when(new, F.col("_last_op") == "delete").otherwise(F.col("_was_deleted")).alias("_deleted"))
     path = f"{target}/v={batch_id + 1:012d}"
     state.write.mode("overwrite").parquet(path)
     _mark(spark, path)
 
 
+def dead_letters(spark: SparkSession, target: str) -> DataFrame:
+    """The poison events of all micro-batches, once each, with position and error."""
+    return spark.read.parquet(f"{target}_dead_letter").dropDuplicates(["db", "coll", "key", *cdc.POS])
+
+
 def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str,
                    columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1,
                    progress=None):
     """Drain the change log with ``availableNow`` (or leave running with a
     processing-time trigger in production); returns the finished query.
     ``progress`` (a ``ProgressLog``) receives the per-batch heartbeat."""
+    if len(allowed) > 1 and not {"db", "coll"} <= set(current_state(spark, target).columns):
+        raise ValueError("a target of several namespaces needs the columns db and coll")
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
            .load(log_path).select(F.col("value").alias("raw"), F.lit(0).cast("long").alias("arrival")))
     ev = cdc.filter_namespaces(cdc.normalise_mongo(raw), allowed)
@@ -99,7 +117,8 @@ def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint:
         # (bounded by the trigger size; recomputable from its fixed offsets)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            valid, _dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
+            valid, dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
+            dead.write.mode("overwrite").parquet(f"{target}_dead_letter/batch={batch_id}")
             apply_batch(spark, valid, target, key, columns, batch_id)
         finally:
             batch.unpersist()
