@@ -397,7 +397,7 @@ MONGO_EPOCH_S = 1700000000
 
 def f3_raw_mongo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-stream messages: insert (replace for k % 5 = 0 at step 0), update
-    (no fullDocument when k % 13 = 0, which the normaliser skips), delete;
+    (no fullDocument when k % 26 = 0, which the normaliser skips), delete;
     plus drop (k % 50 = 0) and invalidate (k % 60 = 1) noise. clusterTime
     (t, i) = (epoch + step, k); ``arrival`` is the delivery order."""
     e = f3_changes(spark, sf_dir)
