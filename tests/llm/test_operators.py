@@ -78,6 +78,21 @@ def test_ann_recall_on_random_vectors(spark):
     assert len(got) == 60 and np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["gaussian", "mixed", "wide"])
+def test_ann_recall_on_vectors_of_differing_lengths(spark, lengths):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(12000, 64))
+    if lengths != "gaussian":
+        size = rng.uniform(0.5, 1.5, 12000) if lengths == "mixed" else np.exp(rng.normal(0, 0.5, 12000))
+        x *= (size / np.linalg.norm(x, axis=1))[:, None]
+    indexed = ann.index(ann.usable(vectors(spark, x))).cache()
+    got = collections.defaultdict(set)
+    for r in ann.search(indexed, indexed.where("vec_id % 200 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = np.mean([len(got[q] & set(exact(x, q)[0])) / 20 for q in range(0, 12000, 200)])
+    assert len(got) == 60 and recall >= 0.9
+
+
 def test_ann_small_is_exact_with_bad_vectors_ties_and_lengths(spark):
     x = np.random.default_rng(1).normal(size=(60, 5)) * np.arange(1, 61)[:, None]
     x[7] = x[8] = x[9]
