@@ -267,6 +267,21 @@ def test_line_dedup(rows, small, none):
     assert lines.clean(rows).count() == rows.count()
 
 
+def test_line_dedup_takes_short_lines(spark):
+    """Lines of any number of words, also long ones of few different words; four words are near to five."""
+    texts = ["Home\nhome page of\nha ha ha ha ha ha ha\na b c d\n\n \nx y z", "Home\nof page home\nha ha\na b c d e\nx y", "\t\nv w\na b c\nq r s t u\nHome Home", "t s r q\nHome\nz y x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, gone = [], set()
+    for d, t in enumerate(texts):
+        for i, line in enumerate(t.split("\n")):
+            if w := set(words(line)):
+                if any(100 * len(w & v) >= 80 * len(w | v) for v in sets):
+                    gone.add((d, i))
+                sets.append(w)
+    assert gone == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 4), (3, 0), (3, 1), (3, 2)}
+    assert {(r.doc_id, r.line_no) for r in lines.removed_lines(df).collect()} == gone
+
+
 def test_line_dedup_runs_no_python(small):
     plan = lines.clean(small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
