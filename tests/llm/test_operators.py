@@ -373,6 +373,17 @@ def test_minhash_keeps_one(rows, none):
     assert minhash.keep_one(none).count() == 0
 
 
+def test_minhash_null_and_repeated_ids(spark):
+    """Rows go only if their sets are equal to or linked with those of a row that stays, whatever their ids."""
+    far, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    out = [(None, far), (None, far + " extra"), (None, other), (None, ""), (None, ""), (None, None), (7, third), (7, NEAR), (7, NEAR), (7, ""), (7, " "), (5, NEAR + " extra"), (8, far.upper()), (None, "a b"), (None, "a b"), (9, third), (4, "one"), (4, "two")]
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text if (r.text or "").strip() else "") for r in minhash.keep_one(df).collect())
+    assert got == collections.Counter([(8, far.upper()), (None, other), (None, ""), (None, ""), (None, ""), (7, third), (5, NEAR + " extra"), (7, ""), (None, "a b"), (4, "one"), (4, "two")])
+    rows = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(df).collect())
+    assert rows[7, 56, 5, False] == 2 and rows[7, 56, 7, True] == 1 and rows[9, 56, 7, False] == 1 and rows[None, 57, 8, False] == 1 and rows[None, 56, None, True] == 1
+
+
 def test_chain_of_near_copies_is_one_component(spark):
     """Each is near to the next only; hubs link few, the exact rest links all."""
     texts = [" ".join(f"w{i}" for i in range(4 * s, 4 * s + 100)) for s in range(25)]

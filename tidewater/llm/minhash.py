@@ -6,7 +6,7 @@ most, and mostly after a few; a bin keeps its least value. Bins of two sets agre
 similarity, and agree less unevenly than independent minima would. Bands of ``ROWS`` bins form bucket keys: a pair of
 similarity 0.85 (0.8) shares none of the ``BANDS`` buckets with a probability of 6e-9 (3e-6).
 
-Copies (equal sets) are one class, represented by the smallest doc_id. Links between classes are found without all
+Copies (equal sets) are one class with a written number, represented by the row of the smallest doc_id. Links between classes are found without all
 pairs of a bucket: in each round every bucket names one hub, members in another component than the hub are verified
 against it on the full sets, and components are joined. After ``HUB_ROUNDS`` rounds, the classes of buckets that still
 hold several components are compared exactly: those of different components that share one of their rarest shingles
@@ -16,8 +16,9 @@ Hot buckets are never collected: hubs come from an aggregate, and pairs from joi
 Tables between rounds are written to the shared folder.
 
 Defined results: texts without a word have an empty set and are linked with nothing; texts with fewer words than a
-shingle are one shingle; repeated rows are copies; an empty table gives no row; further columns are ignored by
-``components`` and kept by ``keep_one``.
+shingle are one shingle; repeated rows are copies; rows that repeat a doc_id with other texts are linked by their texts
+only; a row with a null doc_id is a document of its own, and a component without any doc_id has the id null; an empty
+table gives no row; further columns are ignored by ``components`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,8 +99,13 @@ def hasher() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_a, text_b (two hashes of the text, which tell rows of one doc_id apart)."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"))
+
+
 def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null if empty), keys (bucket keys)."""
+    """doc_id, text_a, text_b, n_shingles, set_hash (null if empty), keys (bucket keys)."""
     def make():
         memo = hasher()
 
@@ -112,17 +118,18 @@ def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
                 n += map(len, sets)
                 digest += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 keys += [next(found) if len(s) else [] for s in sets]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "keys"])
+            there = [batch.column(c) for c in ("doc_id", "text_a", "text_b")]
+            return pa.RecordBatch.from_arrays([*there, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_a", "text_b", "n_shingles", "set_hash", "keys"])
         return step
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return map_rows(with_text_key(docs), make, "doc_id long, text_a long, text_b long, n_shingles long, set_hash binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its set (sorted 64-bit hashes in a binary column)."""
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """rep and its set (sorted 64-bit hashes in a binary column) for ``rep, text``."""
     def make():
         memo = hasher()
-        return lambda b: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size, memo)], pa.binary())], names=["doc_id", "set"])
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, set binary")
+        return lambda b: pa.RecordBatch.from_arrays([b.column("rep"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size, memo)], pa.binary())], names=["rep", "set"])
+    return map_rows(texts.select("rep", "text"), make, "rep long, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,8 +141,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     return map_rows(both, lambda: step, "a long, b long")
 
 
@@ -145,7 +152,7 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("set")]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), list(map(len, parts)))), pa.array(np.concatenate(parts))], names=["rep", "shingle"])
-    there = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "set")
+    there = sets.join(members.select("rep"), "rep", "left_semi").select("rep", "set")
     each = map_rows(there, lambda: step, "rep long, shingle long")
     counts = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("times"))
     alone = counts.where("times = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
@@ -175,16 +182,23 @@ def joined(edges: DataFrame, name: str) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of ``doc_id, text``: doc_id, n_shingles, component_id, kept."""
+def first_row() -> Column:
+    """The row that stands for several: the smallest doc_id, null ones last; then by text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_a", "text_b"))
+
+
+def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For each row: doc_id, text_a, text_b, n_shingles, set_hash, label (the number of its component, null if the set is
+    empty); and for each component: label, first (its row of the smallest doc_id)."""
     rows = saved(sketch_rows(docs, size), "sketches")
-    classes = rows.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = saved(classes, "classes")
+    classes = rows.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(first_row().alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     posted = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     members = saved(posted.join(shared, "key"), "buckets")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
+    involved = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_a", "text_b")))
+    same = (F.col("text_a") == F.col("first_text_a")) & (F.col("text_b") == F.col("first_text_b")) & F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+    sets = saved(full_sets(with_text_key(docs).join(involved, same), size).dropDuplicates(["rep"]), "sets")
     labels = None  # node -> label of the classes that have a link
     edges = tested = None
     for r in range(HUB_ROUNDS + 1):
@@ -216,20 +230,38 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
             labels = joined(edges, f"round-{r}")
-    known = rows.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "rep"), "set_hash", "left")
     if labels is not None:
-        known = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     else:
-        known = known.withColumn("label", F.lit(None).cast("long"))
-    component = F.coalesce("label", "rep", "doc_id")
+        classes = classes.withColumn("label", F.lit(None).cast("long"))
+    classes = classes.select("set_hash", F.coalesce("label", "rep").alias("label"), "first")
+    known = rows.select("doc_id", "text_a", "text_b", "n_shingles", "set_hash").join(classes.select("set_hash", "label"), "set_hash", "left")
+    return known, classes.groupBy("label").agg(F.min("first").alias("first"))
+
+
+def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """For each row of ``doc_id, text``: doc_id, n_shingles, component_id (its smallest doc_id), kept (the row has that id)."""
+    known, firsts = linked(docs, size, percent)
+    known = known.join(firsts.select("label", F.col("first.doc_id").alias("smallest"), F.lit(True).alias("full")), "label", "left")
+    component = F.when(F.col("full"), F.col("smallest")).otherwise(F.col("doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each group of near duplicates stays, all columns as they were; of rows with the
-    same doc_id one stays."""
-    kept = components(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents of which one of each group of near duplicates stays, all columns as they were. Texts without a word
+    stay, but of those with the same doc_id one."""
+    known, firsts = linked(docs, size, percent)
+    empty = known.where(F.col("set_hash").isNull())
+    kept = (firsts.select("first.doc_id", "first.text_a", "first.text_b", F.lit(False).alias("each"))
+            .unionByName(empty.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(first_row().alias("first")).select("first.doc_id", "first.text_a", "first.text_b", F.lit(False).alias("each")))
+            .unionByName(empty.where(F.col("doc_id").isNull()).select("doc_id", "text_a", "text_b", F.lit(True).alias("each")).distinct()))
+    kept = kept.select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "text_a", "text_b", "each")))
+    text_a, text_b = F.xxhash64("c_text"), F.xxhash64(F.lit(1), "c_text")
+    same = (text_a == F.col("kept_text_a")) & (text_b == F.col("kept_text_b")) & F.col("c_doc_id").eqNullSafe(F.col("kept_doc_id"))
+    rows = docs.toDF(*(f"c_{n}" for n in docs.columns)).join(kept, same)
+    rows = rows.withColumn("kept_row", F.when(F.col("kept_each"), F.monotonically_increasing_id()))  # null: equal rows are one
+    rows = rows.dropDuplicates(["kept_doc_id", "kept_text_a", "kept_text_b", "kept_row"])
+    return rows.select(*(F.col(f"c_{n}").alias(n) for n in docs.columns))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
