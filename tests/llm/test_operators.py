@@ -230,6 +230,20 @@ def test_quality_lines_and_clean(rows, none):
     assert quality.clean(none).count() == 0 and quality.quality(none).count() == 0
 
 
+@pytest.mark.parametrize("phrase", quality.BOILERPLATE)
+def test_quality_keeps_long_lines_that_mention_a_phrase(phrase):
+    text = f"The book explains in its second part why {phrase} is what most visitors of such a place look for first, and then " + NEAR
+    assert quality.line_fails(text.encode()) is None
+    assert quality.verdict(text.encode())[:3] == (False, True, [text.encode()])
+    assert quality.line_fails(f"Please note: {phrase}!".encode()) == "boilerplate"
+
+
+def test_quality_removes_long_furniture():
+    banner = b"This site uses cookies to show you better pages. By staying here you accept our privacy policy and our terms of use."
+    filler = b"Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
+    assert quality.line_fails(banner) == quality.line_fails(filler) == "boilerplate"
+
+
 def test_quality_agrees_with_labels(spark):
     q = quality.op4_quality(spark, TENTH).join(spark.read.parquet(f"{TENTH}/labels.parquet"), "doc_id").where("not base_failed")
     wrong, n = q.where("kept != (quality = 1)").count(), q.count()

@@ -6,8 +6,9 @@ Each line is judged on its own, by its characters and words:
   has words and no letter or digit at all;
 * navigation: at least ``menu_items`` short items stand between menu separators (``|``, ``»``, ``›``, ``>``, ``·``), or the
   whole line is a menu phrase;
-* boilerplate: it has a phrase of a fixed list (scripts, cookies, rights, filler), or repeats an earlier line of the
-  document.
+* boilerplate: it has phrases of a fixed list (scripts, cookies, rights, filler) and little else (at most
+  ``FEW_WORDS`` words besides for each different phrase), is filler by half of its words, or repeats an earlier line of
+  the document. A longer line that mentions a phrase is text.
 * repetition: over half of its words stand next to the same word.
 
 Lines that fail are removed; a document is rejected if less than ``min_kept_share`` of its visible characters stay. The
@@ -37,7 +38,12 @@ SEPARATORS = re.compile(r"\s*[|»›>·]\s*")
 #: Phrases of page furniture, lower case.
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie", "all rights reserved", "terms of use", "terms of service", "privacy policy", "sign up for our newsletter", "subscribe to", "click here", "page not found", "read more")
 MENU = frozenset(("home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "menu", "search", "next", "previous", "back", "back to top", "share", "print", "skip to content"))
-BOILERPLATE_RE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+BOILERPLATE_RE = re.compile(f"({'|'.join(map(re.escape, BOILERPLATE))})\\w*")
+#: Words that page furniture has besides each phrase.
+FEW_WORDS = 8
+#: The words of filler text, which is a line's own however long it is.
+FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
+WORD_RE = re.compile(r"\w+")
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -69,6 +75,18 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, repeat_words(words)
 
 
+def is_furniture(low: str) -> bool:
+    """Whether phrases of ``BOILERPLATE`` make up most of a line in lower case."""
+    found = set(BOILERPLATE_RE.findall(low))
+    if not found:
+        return False
+    besides = sum(any(map(str.isalnum, w)) for w in BOILERPLATE_RE.sub("", low).split())
+    if besides <= FEW_WORDS * len(found):
+        return True
+    words = WORD_RE.findall(low) if "lorem ipsum" in found else []
+    return 2 * sum(w in FILLER for w in words) > len(words)
+
+
 def line_fails(line: bytes) -> str | None:
     """The rule that a line with a word breaks, None if it passes."""
     text = line.decode("utf-8", "replace")
@@ -82,7 +100,7 @@ def line_fails(line: bytes) -> str | None:
     visible = len(line.translate(None, b" \t\n\r\x0b\x0c"))
     if len(line) - len(line.translate(None, SYMBOL_BYTES)) > MAX_SYMBOL_SHARE * visible or not any(map(str.isalnum, text)):
         return "punctuation"
-    if BOILERPLATE_RE.search(low):
+    if is_furniture(low):
         return "boilerplate"
     words = line.split()
     if len(words) >= 8 and sum(a == b for a, b in zip(words, words[1:], strict=False)) * 2 > len(words):
