@@ -354,6 +354,23 @@ def test_secrets_ownership(spark, none):
     assert secrets.mask(df).columns == df.columns and secrets.mask(none).count() == 0 and secrets.scan(none).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    body = "\n".join("Ab+/" * 16 for _ in range(200))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F1E2D3C4B5A69788796A5B4C3D2E1F0\n\n"
+    block = lambda inside: f"-----BEGIN RSA PRIVATE KEY-----\n{inside}\n-----END RSA PRIVATE KEY-----"
+    user, long = "u" * 70, "Zy3" * 29 + "k"
+    assert len(body) > 10000 and len(long) == 88
+    texts = {
+        f"mongodb://account:{long}@host/db": "[secret]@host/db", f"see https://{user}:{'t' * 65}@host": "see [secret]@host",
+        f"a {block(body)} b": "a [secret] b", f"a {block(head + body[:500])} b": "a [secret] b",
+        "-----BEGIN RSA PRIVATE KEY----- alone, " + block("QUJD"): "-----BEGIN RSA PRIVATE KEY----- alone, [secret]",
+        "x" * 200000 + "://" + "y" * 200000: None, "-----BEGIN PRIVATE KEY----- " * 5000: None, "http://" + "u" * 100000 + ":" + "p" * 100000: None,
+        "-----BEGIN PRIVATE KEY-----" + "k:v, " * 100000: None,
+    }
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", 0, 1, "x", "y", 2, "z") for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.text for r in secrets.mask(df).collect()} == {i: t if want is None else want for i, (t, want) in enumerate(texts.items())}
+
+
 # op8
 
 def brute_components(texts, k, percent):

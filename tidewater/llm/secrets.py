@@ -29,16 +29,18 @@ BASE = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 20),
     "hex": (r"([0-9a-f]{24,})", 1, 24),  # a run of 24 or more starts where a shorter pattern's run would
 }
-#: Kinds that the method adds; a value that at least ``COPIED_OWNERS`` owners share is an example and adds no span.
+#: Kinds that the method adds, of any length: a key runs, over header lines too, to the next marker of five hyphens, which
+#: must be its end; user names and passwords of an address run to the next delimiter (no way back, so a text without one
+#: is read once). A value that at least ``COPIED_OWNERS`` owners share is an example and adds no span.
 ADDED = {
-    "private_key": (r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}-----END [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1),
+    "private_key": (r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?>[\s\S]*?-----)END [A-Z0-9 ]*PRIVATE KEY-----)", 1, 1),
     "github": (r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40),
     "slack": (r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 15),
     "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 28),
     "google": (r"(AIza[A-Za-z0-9_-]{35})", 1, 39),
     "stripe": (r"([sr]k_live_[A-Za-z0-9]{16,})", 1, 24),
     "bearer": (r"([bB]earer\x20+)([A-Za-z0-9+/_.=-]{20,})", 2, 20),
-    "url": (r"([a-z][a-z0-9+]{1,15}://[^\s/:@\"']{1,64}:)([^\s/:@\"']{3,64})(?=@)", 2, 3),
+    "url": (r"([a-z][a-z0-9+]{1,15}://[^\s/:@\"']++:)([^\s/:@\"']{3,}+)(?=@)", 2, 3),
 }
 #: Text that every match of a kind holds: a plain search for it comes before the pattern.
 SURE = {"access": "AKIA", "private_key": "PRIVATE KEY-----", "github": "gh", "slack": "xox", "jwt": "eyJ", "google": "AIza", "stripe": "k_live_", "bearer": "earer", "url": "://"}
