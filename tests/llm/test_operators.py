@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -181,6 +182,17 @@ def test_suffix_repeated_rows_and_none(rows, none, tmp_path, spark):
     assert suffixes.op3_suffix_dedup(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_suffix_shared_passage_is_shipped_once_a_task(spark, tmp_path):
+    """However many documents have a passage, a shard gets its segments once for each stretch of text a task cuts."""
+    passage = " ".join(f"footer{k * k}" for k in range(40))
+    df = spark.createDataFrame([(i, f"{i:04d} {passage} {i * 7919:09d}", "en") for i in range(1000)], "doc_id long, text string, lang string").repartition(3)
+    blobs = [zstandard.ZstdDecompressor().decompress(r.data) for r in suffixes.packed(df, 8).collect()]
+    assert 1 <= sum(blob.count(passage[150:200].encode()) for blob in blobs) <= 3
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute_spans(text_of(df))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=8))
 def test_columns_are_the_suffix_order(tmp_path_factory, strings):

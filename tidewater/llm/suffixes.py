@@ -2,14 +2,18 @@
 
 Every string of ``LENGTH`` bytes is assigned to a shard by its minimizer (the least hash of its ``GRAM``-byte grams), so
 equal strings meet in one shard. Strings that follow each other and have the same minimizer form a segment of at most
-LENGTH + WINDOWS - 1 bytes; a segment is shipped once, packed with others of its task and shard and compressed.
+LENGTH + WINDOWS - 1 bytes. Equal segments of the texts that a task cuts at a time become one, with the least and the
+greatest doc_id that have it, before they are shipped, packed with others of their task and shard and compressed; so a
+shard gets a passage once for each ``PACK_BYTES`` of text at most, not once for each document. What a shard finds for a
+segment (the earliest document of each string) is joined back to its occurrences by a 128-bit key and the length, a
+plain join that adaptive execution splits.
 
 A shard builds the Burrows-Wheeler transform and the longest common prefixes of its segments column by column: round j
 inserts, for each segment, the suffix of j bytes; the place follows from the symbols before it in the transform (a
 stable sort of the last round's transform), and the common prefixes with both neighbours from the least prefixes
 between occurrences of its first symbol. The transform and the prefixes stream through two files each, read and written
 in order once a round, in a folder of the task that goes with it. Rounds are bounded by the longest segment, whatever
-the documents' lengths. Segments that occur several times in a shard are inserted once, and those that share no gram of
+the documents' lengths. Segments that come to a shard several times are inserted once, and those that share no gram of
 ``PROOF`` bytes chosen by its hash with another segment or document can't hold a repeated string and are left out.
 
 In the finished order, strings of LENGTH bytes are equal where all prefixes between them are at least LENGTH; the
@@ -26,6 +30,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -112,27 +117,38 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, text[fits], start[fits], count[fits], least[start[fits]]
 
 
-def packed(docs: DataFrame, n_shards: int) -> DataFrame:
-    """shard, and blobs of the segments of many texts: doc_id, start, strings of each; their bytes."""
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=3).compress
+def segment_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each segment, of its first and its last 48 bytes, which cover a segment of up to 2 * 48 bytes whole."""
+    def part(at: np.ndarray) -> np.ndarray:
+        wide = gather(data, at, np.full(len(at), 48)).view("<u8").reshape(-1, 6)
+        h = mix64(wide[:, 0])
+        for k in range(1, 6):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, k])
+        return h
+    return part(start), part(start + length - 48)
+
+
+def distinct(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key occurs first, and the number of each entry's key."""
+    order = np.lexsort((length, b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (a, b, length)])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def bounds_of(which: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of ``low`` and the greatest of ``high`` for each of ``n`` keys."""
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, which, low)
+    np.maximum.at(most, which, high)
+    return least, most
 
-        def flush(ids: list, texts: list):
-            data, text, start, count, least = segments(texts)
-            begin = np.cumsum([0, *map(len, texts)])
-            shard = (mix64(least) % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-            ids = np.array(ids, np.int64)
-            rows = []
-            for k in range(n_shards):
-                i = order[bounds[k]:bounds[k + 1]]
-                if len(i):
-                    d = ids[text[i]]
-                    head = np.concatenate([np.diff(d, prepend=np.int64(0)).view(np.uint8), (start[i] - begin[text[i]]).astype(np.int32).view(np.uint8), count[i].astype(np.uint8)])
-                    rows.append((k, len(i), press(head.tobytes()), press(gather(data, start[i], count[i] + LENGTH - 1).tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "n", "head", "data"]) if rows else None
 
+def cut(docs: DataFrame, flush: Callable[[list, list], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What ``flush`` makes of the ids and texts of about ``PACK_BYTES``, for texts that can lose a byte."""
+    def run(batches):
         ids, texts, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8_of(batch), strict=True):
@@ -146,7 +162,42 @@ def packed(docs: DataFrame, n_shards: int) -> DataFrame:
                     ids, texts, held = [], [], 0
         if texts and (out := flush(ids, texts)) is not None:
             yield out
-    return docs.select("doc_id", "text").mapInArrow(run, "shard int, n int, head binary, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, n_shards: int) -> DataFrame:
+    """shard, and blobs of the different segments of many texts: least and greatest doc_id, strings of each; their bytes."""
+    def flush(ids: list, texts: list) -> pa.RecordBatch | None:
+        press = zstandard.ZstdCompressor(level=3).compress
+        data, text, start, count, least = segments(texts)
+        if not len(start):
+            return None
+        pick, which = distinct(*segment_keys(data, start, count + LENGTH - 1), count)
+        doc = np.array(ids, np.int64)[text]
+        low, high = bounds_of(which, len(pick), doc, doc)
+        shard = (mix64(least[pick]) % np.uint64(n_shards)).astype(np.int64)
+        order = np.lexsort((pick, shard))
+        bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
+        rows = []
+        for k in range(n_shards):
+            i = order[bounds[k]:bounds[k + 1]]
+            if len(i):
+                head = np.concatenate([np.diff(low[i], prepend=np.int64(0)).view(np.uint8), (high[i] - low[i]).view(np.uint8), count[pick[i]].astype(np.uint8)])
+                rows.append((k, len(i), press(head.tobytes()), press(gather(data, start[pick[i]], count[pick[i]] + LENGTH - 1).tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "n", "head", "data"])
+    return cut(docs, flush, "shard int, n int, head binary, data binary")
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """a, b, n (key and strings of a segment), doc_id, start: one row for each segment of each text."""
+    def flush(ids: list, texts: list) -> pa.RecordBatch | None:
+        data, text, start, count, _ = segments(texts)
+        if not len(start):
+            return None
+        a, b = segment_keys(data, start, count + LENGTH - 1)
+        begin = np.cumsum([0, *map(len, texts)])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a.view(np.int64), b.view(np.int64), count.astype(np.int32), np.array(ids, np.int64)[text], (start - begin[text]).astype(np.int32))], names=["a", "b", "n", "doc_id", "start"])
+    return cut(docs, flush, "a long, b long, n int, doc_id long, start int")
 
 
 class Columns:
@@ -264,32 +315,26 @@ def candidates(data: np.ndarray, start: np.ndarray, length: np.ndarray, several:
     return found
 
 
-def shard_spans(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, start and length of the bytes to remove, from one shard's segments."""
+def shard_earliest(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """a, b, n of one shard's segments that a document can lose bytes of, and the least doc_id of each of their strings."""
     grow = zstandard.ZstdDecompressor().decompress
-    ids, starts, counts = [], [], []
+    lows, highs, counts = [], [], []
     for n, head in heads:
         head = np.frombuffer(grow(head), np.uint8)
-        ids.append(np.cumsum(head[:8 * n].view(np.int64)))
-        starts.append(head[8 * n:12 * n].view(np.int32).astype(np.int64))
-        counts.append(head[12 * n:].astype(np.int64))
-    doc, at, count = map(np.concatenate, (ids, starts, counts))
+        lows.append(np.cumsum(head[:8 * n].view(np.int64)))
+        highs.append(lows[-1] + head[8 * n:16 * n].view(np.int64))
+        counts.append(head[16 * n:].astype(np.int64))
+    low, high, count = map(np.concatenate, (lows, highs, counts))
     data = np.frombuffer(b"".join(map(grow, blobs)), np.uint8)
     length = count + LENGTH - 1
     begin = np.cumsum(length) - length
-    # equal segments once: by a hash of their bytes (two gram hashes cover a segment of up to 2 LENGTH bytes whole)
-    h = least_hashes(np.append(data, np.zeros(8, np.uint8)), 48, 1)
-    key = np.zeros(len(begin), [("a", np.uint64), ("b", np.uint64), ("n", np.int64)])
-    key["a"], key["b"], key["n"] = h[begin], h[begin + length - 48], length
-    del h
-    _, pick, which = np.unique(key, return_index=True, return_inverse=True)
-    low, high = np.full(len(pick), np.iinfo(np.int64).max), np.full(len(pick), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, doc)
-    np.maximum.at(high, which, doc)
+    a, b = segment_keys(data, begin, length)
+    pick, which = distinct(a, b, count)
+    low, high = bounds_of(which, len(pick), low, high)
     use = np.flatnonzero(candidates(data, begin[pick], length[pick], low < high))
     none = (np.zeros(0, np.int64),) * 3
     if not len(use):
-        return none
+        return *none, []
     folder = tempfile.mkdtemp(prefix="columns-")
     try:
         classes = string_classes(gather(data, begin[pick[use]], length[pick[use]]), length[pick[use]], folder)
@@ -298,21 +343,28 @@ def shard_spans(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[np.
     strings = count[pick[use]]
     earliest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(earliest, classes, np.repeat(low[use], strings))
+    earliest = earliest[classes]
     first = np.cumsum(strings) - strings
-    number = np.full(len(pick), -1)
-    number[use] = np.arange(len(use))
-    seg = np.flatnonzero(number[which] >= 0)
-    k = number[which[seg]]
-    n = strings[k]
-    gone = gather(earliest[classes], first[k], n) < np.repeat(doc[seg], n)
-    place = np.repeat(at[seg], n) + np.arange(len(gone)) - np.repeat(np.cumsum(n) - n, n)
-    owner = np.repeat(seg, n)
+    some = np.flatnonzero(np.logical_or.reduceat(earliest < np.repeat(high[use], strings), first))
+    at = pick[use[some]]
+    return a[at].view(np.int64), b[at].view(np.int64), count[at], [earliest[f:f + n].tobytes() for f, n in zip(first[some].tolist(), strings[some].tolist(), strict=True)]
+
+
+def spans_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The bytes to remove of occurrences with the earliest document of each of their strings."""
+    n = batch.column("n").to_numpy().astype(np.int64)
+    doc, at = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
+    earliest = np.frombuffer(b"".join(batch.column("earliest").to_pylist()), np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    gone = earliest < doc[owner]
+    place = np.arange(len(gone)) - np.repeat(np.cumsum(n) - n, n)
     new = gone & ~(np.append(False, gone[:-1]) & np.append(False, owner[1:] == owner[:-1]))
     from_ = np.flatnonzero(new)
     if not len(from_):
-        return none
+        return None
     size = np.add.reduceat(gone.astype(np.int64), from_)
-    return doc[owner[from_]], place[from_], size + LENGTH - 1
+    who = owner[from_]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[who], (at[who] + place[from_]).astype(np.int32), (size + LENGTH - 1).astype(np.int32))], names=["doc_id", "start", "length"])
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -321,9 +373,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     n_shards = max(8, int(total * BLOW_UP / SHARD_BYTES) + 1)
 
     def run(group: pa.Table) -> pa.Table:
-        found = shard_spans(list(zip(group.column("n").to_pylist(), group.column("head").to_pylist(), strict=True)), group.column("data").to_pylist())
-        return pa.table({"doc_id": found[0], "start": found[1].astype(np.int32), "length": found[2].astype(np.int32)})
-    return packed(docs, n_shards).groupBy("shard").applyInArrow(run, "doc_id long, start int, length int")
+        a, b, n, earliest = shard_earliest(list(zip(group.column("n").to_pylist(), group.column("head").to_pylist(), strict=True)), group.column("data").to_pylist())
+        return pa.table({"a": a, "b": b, "n": n.astype(np.int32), "earliest": pa.array(earliest, pa.binary())})
+    found = saved(packed(docs, n_shards).groupBy("shard").applyInArrow(run, "a long, b long, n int, earliest binary"), "repeated")
+    there = occurrences(docs).join(found, ["a", "b", "n"]).select("doc_id", "start", "n", "earliest")
+    return map_rows(there, lambda: spans_of, "doc_id long, start int, length int")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
