@@ -182,6 +182,14 @@ def test_suffix_repeated_rows_and_none(rows, none, tmp_path, spark):
     assert suffixes.op3_suffix_dedup(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_suffix_rows_of_one_id_lose_their_own_bytes(spark, tmp_path):
+    other = " ".join(f"other{k * k}" for k in range(30))
+    out = [(1, PASSAGE), (2, PASSAGE + NEAR), (2, other), (2, other), (2, NEAR), (3, other + "!")]
+    spark.createDataFrame(out, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.op3_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == collections.Counter([(1, len(PASSAGE), 0), (2, len(PASSAGE + NEAR), len(PASSAGE)), (2, len(other), 0), (2, len(other), 0), (2, len(NEAR), 0), (3, len(other) + 1, len(other))])
+
+
 def test_suffix_shared_passage_is_shipped_once_a_task(spark, tmp_path):
     """However many documents have a passage, a shard gets its segments once for each stretch of text a task cuts."""
     passage = " ".join(f"footer{k * k}" for k in range(40))

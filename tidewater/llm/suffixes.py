@@ -19,8 +19,9 @@ the documents' lengths. Segments that come to a shard several times are inserted
 In the finished order, strings of LENGTH bytes are equal where all prefixes between them are at least LENGTH; the
 smallest doc_id of each such run decides. Covered bytes are joined to spans for each document.
 
-Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose none; doc_id is the key: rows that
-repeat a doc_id are one document to the others, and none of them removes from the other; an empty table gives no row;
+Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose none; rows that
+repeat a doc_id are one document to the others, and none of them removes from the other, but each loses the bytes of its
+own text only (rows are told apart by doc_id and a hash of the text); an empty table gives no row;
 further columns are ignored.
 """
 
@@ -146,28 +147,29 @@ def bounds_of(which: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> t
     return least, most
 
 
-def cut(docs: DataFrame, flush: Callable[[list, list], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """What ``flush`` makes of the ids and texts of about ``PACK_BYTES``, for texts that can lose a byte."""
+def cut(docs: DataFrame, flush: Callable[[list, list, list], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What ``flush`` makes of the ids, text hashes and texts of about ``PACK_BYTES``, for texts that can lose a byte."""
     def run(batches):
-        ids, texts, held = [], [], 0
+        ids, hashes, texts, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8_of(batch), strict=True):
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), utf8_of(batch), strict=True):
                 if doc_id is not None and len(text) >= LENGTH:
                     ids.append(doc_id)
+                    hashes.append(text_hash)
                     texts.append(text)
                     held += len(text)
                 if held >= PACK_BYTES:
-                    if (out := flush(ids, texts)) is not None:
+                    if (out := flush(ids, hashes, texts)) is not None:
                         yield out
-                    ids, texts, held = [], [], 0
-        if texts and (out := flush(ids, texts)) is not None:
+                    ids, hashes, texts, held = [], [], [], 0
+        if texts and (out := flush(ids, hashes, texts)) is not None:
             yield out
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame, n_shards: int) -> DataFrame:
     """shard, and blobs of the different segments of many texts: least and greatest doc_id, strings of each; their bytes."""
-    def flush(ids: list, texts: list) -> pa.RecordBatch | None:
+    def flush(ids: list, hashes: list, texts: list) -> pa.RecordBatch | None:
         press = zstandard.ZstdCompressor(level=3).compress
         data, text, start, count, least = segments(texts)
         if not len(start):
@@ -189,15 +191,15 @@ def packed(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """a, b, n (key and strings of a segment), doc_id, start: one row for each segment of each text."""
-    def flush(ids: list, texts: list) -> pa.RecordBatch | None:
+    """a, b, n (key and strings of a segment), doc_id, text_hash, start: one row for each segment of each text."""
+    def flush(ids: list, hashes: list, texts: list) -> pa.RecordBatch | None:
         data, text, start, count, _ = segments(texts)
         if not len(start):
             return None
         a, b = segment_keys(data, start, count + LENGTH - 1)
         begin = np.cumsum([0, *map(len, texts)])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a.view(np.int64), b.view(np.int64), count.astype(np.int32), np.array(ids, np.int64)[text], (start - begin[text]).astype(np.int32))], names=["a", "b", "n", "doc_id", "start"])
-    return cut(docs, flush, "a long, b long, n int, doc_id long, start int")
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a.view(np.int64), b.view(np.int64), count.astype(np.int32), np.array(ids, np.int64)[text], np.array(hashes, np.int64)[text], (start - begin[text]).astype(np.int32))], names=["a", "b", "n", "doc_id", "text_hash", "start"])
+    return cut(docs, flush, "a long, b long, n int, doc_id long, text_hash long, start int")
 
 
 class Columns:
@@ -364,11 +366,11 @@ def spans_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         return None
     size = np.add.reduceat(gone.astype(np.int64), from_)
     who = owner[from_]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[who], (at[who] + place[from_]).astype(np.int32), (size + LENGTH - 1).astype(np.int32))], names=["doc_id", "start", "length"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[who], batch.column("text_hash").to_numpy()[who], (at[who] + place[from_]).astype(np.int32), (size + LENGTH - 1).astype(np.int32))], names=["doc_id", "text_hash", "start", "length"])
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, length of covered bytes; spans of one document may touch or overlap."""
+    """doc_id, text_hash, start, length of covered bytes; spans of one text may touch or overlap."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(8, int(total * BLOW_UP / SHARD_BYTES) + 1)
 
@@ -376,14 +378,14 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         a, b, n, earliest = shard_earliest(list(zip(group.column("n").to_pylist(), group.column("head").to_pylist(), strict=True)), group.column("data").to_pylist())
         return pa.table({"a": a, "b": b, "n": n.astype(np.int32), "earliest": pa.array(earliest, pa.binary())})
     found = saved(packed(docs, n_shards).groupBy("shard").applyInArrow(run, "a long, b long, n int, earliest binary"), "repeated")
-    there = occurrences(docs).join(found, ["a", "b", "n"]).select("doc_id", "start", "n", "earliest")
-    return map_rows(there, lambda: spans_of, "doc_id long, start int, length int")
+    there = occurrences(docs).join(found, ["a", "b", "n"]).select("doc_id", "text_hash", "start", "n", "earliest")
+    return map_rows(there, lambda: spans_of, "doc_id long, text_hash long, start int, length int")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     spans = saved(removed_spans(docs), "covered")
-    each = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return docs.join(each, F.col("doc_id") == F.col("span_id"), "left").drop("span_id")
+    each = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_text")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return docs.join(each, (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_text")), "left").drop("span_id", "span_text")
 
 
 def kept_parts(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int]:
