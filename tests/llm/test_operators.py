@@ -301,6 +301,18 @@ def test_line_dedup(rows, small, none):
     assert lines.clean(rows).count() == rows.count()
 
 
+def test_line_dedup_null_ids(spark, tmp_path):
+    """Rows with a null doc_id are documents of their own, after the others."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "alone here with its own few words"
+    out = [(None, f"{a}\n{b}"), (None, f"{b} more\n{a}"), (None, c), (None, f"{a}\n{b}"), (3, f"{a} too\n{c}"), (4, "x y z")]
+    df = spark.createDataFrame(out, "doc_id long, text string").coalesce(1)
+    kept = collections.Counter((r.doc_id, r.text) for r in lines.clean(df).collect())
+    assert kept == collections.Counter([(None, b), (None, ""), (None, ""), (None, ""), (3, f"{a} too\n{c}"), (4, "x y z")])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.removed_lines) for r in lines.op5_line_dedup(spark, str(tmp_path)).collect())
+    assert got == collections.Counter([(None, 2, 1, "0"), (None, 2, 2, "0,1"), (None, 1, 1, "0"), (None, 2, 2, "0,1"), (3, 2, 0, ""), (4, 1, 0, "")])
+
+
 def test_line_dedup_takes_short_lines(spark):
     """Lines of any number of words, also long ones of few different words; four words are near to five."""
     texts = ["Home\nhome page of\nha ha ha ha ha ha ha\na b c d\n\n \nx y z", "Home\nof page home\nha ha\na b c d e\nx y", "\t\nv w\na b c\nq r s t u\nHome Home", "t s r q\nHome\nz y x"]
