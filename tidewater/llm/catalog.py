@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import ann, bpe, lines, minhash, pack, quality, secrets, suffixes, tokens, toxicity
+from tidewater.llm import ann, bpe, html, lines, merkle, minhash, pack, phrases, quality, secrets, suffixes, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_token_files": tokens.op9_token_files,
         "op10_pack": pack.op10_pack,
+        "op11_html_text": html.op11_html_text,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle": merkle.OP12_SQL, "op13_phrases": phrases.OP13_SQL}
