@@ -141,6 +141,19 @@ def test_chunks_change_no_id(text):
         assert tokens.encoder(name).text(text).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["İ,", "İ. Yılmaz", "x İ!y", "İİ;", "A, İ. B, c", "\u0307,", "ǅ,Ω.", "ẞ! ﬁ,"])
+def test_letters_whose_lower_case_ends_with_a_mark(text):
+    assert tokens.encoder("word_bpe_49k.json").text(text).tolist() == tokens_lib("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+
+
+def test_letters_with_marks_in_lower_case_are_known():
+    """``MARKED_LOWER`` has every letter whose lower case holds a combining mark."""
+    import sys
+    import unicodedata
+    marked = [c for c in map(chr, range(sys.maxunicode + 1)) if not unicodedata.category(c).startswith("M") and any(unicodedata.category(x).startswith("M") for x in c.lower())]
+    assert marked == ["İ"]
+
+
 def tokens_lib(name, held={}):  # noqa: B006
     return held.setdefault(name, Tokenizer.from_file(P.path(name))) if name in held else held.setdefault(name, Tokenizer.from_file(P.path(name)))
 

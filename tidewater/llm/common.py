@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from tidewater.session import checkpoint_dir
 #: Every pre-token pattern in use starts a new match there, so chunks can be encoded on their own.
 SIGN = r"([\pL\pN])([.,;:!?%$&*#])"
 #: A text with this is a single chunk: white space of any engine before a blank, or the byte that marks chunks' ends.
+#: When lower-casing, also the one letter whose lower case ends with a combining mark, which a sign after it would join.
+MARKED_LOWER = r"\x{0130}"
 UNSPLIT = r"[\s\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 
 #: Entries of a young generation of a memo; with ``LONG``, bounds the memory of a Python worker.
@@ -73,7 +76,7 @@ class ChunkEncoder:
         """The ids of all texts (none null), and where each text's ids begin, with the end of the last."""
         if self.fold:
             column = pc.if_else(pc.match_substring_regex(column, r"\pM"), column, pc.ascii_lower(column))
-        unsplit = pc.match_substring_regex(column, UNSPLIT)
+        unsplit = pc.match_substring_regex(column, f"{UNSPLIT}|{MARKED_LOWER}" if self.fold else UNSPLIT)
         marked = pc.replace_substring(pc.replace_substring_regex(column, SIGN, r"\1\x00\2".replace(r"\x00", "\0")), " ", "\0" if self.fold else "\0 ")
         parts = pc.split_pattern(pc.if_else(unsplit, "", marked), "\0")
         begin = parts.offsets.to_numpy().astype(np.int64)
@@ -107,6 +110,24 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m", rows: int = 64) -> Iterator[None]:
+    """Jobs started in here pass Python batches of about ``size`` at most and read Parquet ``rows`` rows at a time: for
+    rows of long texts or arrays, of which the usual thousands would fill an executor's memory."""
+    held = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that ``saved`` wrote and nothing will read again."""
     spark = df.sparkSession

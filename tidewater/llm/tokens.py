@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ChunkEncoder, read_table
+from tidewater.llm.common import ChunkEncoder, read_table, small_batches
 from tidewater.session import checkpoint_dir
 
 #: Bytes of a row group, bytes of a page and rows of a page in token files.
-ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 5000
+ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 256 << 10, 5000
+#: Text passed to Python at a time, and rows read at a time: few, since a row may be a very long text.
+BATCH, ROWS = "4m", 1024
 TOKENS = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
@@ -64,10 +66,11 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
     rows = docs.select("doc_id", "text")
     ranged = rows.repartitionByRange(n_files, "doc_id") if n_files else rows.repartitionByRange("doc_id")
-    (ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, TOKENS).write
-     .option("compression", "snappy").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
-     .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
-     .parquet(out))
+    with small_batches(docs.sparkSession, BATCH, ROWS):
+        (ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, TOKENS).write
+         .option("compression", "snappy").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
+         .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
+         .parquet(out))
 
 
 def read_spans(spark: SparkSession, files: str) -> DataFrame:
