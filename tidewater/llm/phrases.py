@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewater.llm.common import Memo, map_rows, mix64, read_table, saved
+from tidewater.llm.common import map_rows, mix64, read_table, saved, small_batches
 
 MOST_WORDS, LEAST, WANTED = 5, 100, 2000
 #: Frequency of the first frontier's words, in units of the least frequency, and its growth.
 FIRST, STEP = 8, 16
 #: Bits of a filter, and bytes of text in a run.
 BITS, RUN_BYTES = 1 << 25, 4 << 20
+#: Words whose hashes a task remembers.
+KNOWN = 150_000
 SEPARATORS = r"[.,;:!?\n\v\f\r]+"
 
 
@@ -47,10 +49,26 @@ def hash_of(word: str, seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Hashes(dict):
+    """The hash of a word and a second one that tells apart words of one hash. ``fresh`` gets the words not remembered."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed, self.fresh = seed, []
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= KNOWN:
+            self.clear()
+        self.fresh.append(word)
+        self[word] = both = hash_of(word, self.seed), hash_of(word, ~self.seed & 0xFFFF)
+        return both
+
+
 def runs(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, tokens (64-bit hashes of words, 0 where a piece ends), words, hashes, counts of runs of texts."""
+    """lang, tokens (64-bit hashes of words, 0 where a piece ends), hashes, seconds (second hashes), counts, and as words
+    and named the words that the task didn't see before and their hashes, of runs of texts."""
     def make():
-        known = Memo(lambda word: hash_of(word, seed))
+        known = Hashes(seed)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs = batch.column("lang").fill_null("und").dictionary_encode()
@@ -63,15 +81,18 @@ def runs(docs: DataFrame, seed: int) -> DataFrame:
                     to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN_BYTES)))
                     out.append((lang, *coded(texts.slice(at, to - at), known)))
                     at = to
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["lang", "tokens", "words", "hashes", "counts"])
+            longs = pa.list_(pa.int64())
+            kinds = (pa.string(), pa.binary(), longs, longs, longs, pa.list_(pa.string()), longs)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "tokens", "hashes", "seconds", "counts", "words", "named"])
 
         return run
 
-    return map_rows(docs.select("lang", "text"), make, "lang string, tokens binary, words array<string>, hashes array<long>, counts array<long>")
+    return map_rows(docs.select("lang", "text"), make, "lang string, tokens binary, hashes array<long>, seconds array<long>, counts array<long>, words array<string>, named array<long>")
 
 
-def coded(texts: pa.Array, known: Memo) -> tuple[bytes, list[str], np.ndarray, np.ndarray]:
-    """The hashes of the words of texts with a 0 before each piece, and the different words with hash and count."""
+def coded(texts: pa.Array, known: Hashes) -> tuple:
+    """The hashes of the words of texts with a 0 before each piece; both hashes and the count of each different word;
+    the words that are new to ``known`` and their hashes."""
     texts = pc.replace_substring_regex(pc.ascii_lower(texts), SEPARATORS, " \n ")
     texts = pc.replace_substring(pc.binary_join_element_wise("\n", texts, " "), "\t", " ")
     words = pc.split_pattern(texts, " ").flatten().dictionary_encode()
@@ -79,10 +100,11 @@ def coded(texts: pa.Array, known: Memo) -> tuple[bytes, list[str], np.ndarray, n
     codes = words.indices.to_numpy()
     count = np.bincount(codes, minlength=len(different))
     real = np.array([w not in ("", "\n") for w in different], bool)
-    hashes = np.array([known[w] if r else 0 for w, r in zip(different, real.tolist(), strict=True)], np.int64)
+    known.fresh = []
+    both = np.array([known[w] if r else (0, 0) for w, r in zip(different, real.tolist(), strict=True)], np.int64).reshape(-1, 2)
     if "" in different:
         codes = codes[codes != different.index("")]
-    return np.append(hashes[codes], 0).tobytes(), [w for w, r in zip(different, real.tolist(), strict=True) if r], hashes[real], count[real]
+    return np.append(both[codes, 0], 0).tobytes(), both[real, 0], both[real, 1], count[real], known.fresh, [hash_of(w, known.seed) for w in known.fresh]
 
 
 def start_of(lang: str) -> np.uint64:
@@ -134,11 +156,12 @@ def summed(words: list[np.ndarray], h: np.ndarray, before: np.ndarray, after: np
     return [np.stack([w[first] for w in words], 1), np.diff(np.append(first, len(h))), np.minimum.reduceat(before, first), np.maximum.reduceat(before, first), np.minimum.reduceat(after, first), np.maximum.reduceat(after, first)]
 
 
-def counted(corpus: DataFrame, lengths: dict[int, dict], least: int) -> DataFrame:
+def counted(corpus: DataFrame, lengths: dict[int, dict], may_follow, least: int) -> DataFrame:
     """lang, p, a, alone: the phrases of each length in ``lengths`` that occur ``least`` times or more and pass its filters
-    (length of a prefix -> filter of phrases). ``alone``: no occurrence-wide neighbour on either side."""
+    (length of a prefix -> filter of phrases); ``may_follow``: the filter of frequent words, others are in no phrase. ``alone``: no occurrence-wide neighbour on either side."""
     def make():
         filters = {m: {k: np.frombuffer(f.value, np.uint32) for k, f in each.items()} for m, each in lengths.items()}
+        follow = np.frombuffer(may_follow.value, np.uint32)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
@@ -155,6 +178,8 @@ def counted(corpus: DataFrame, lengths: dict[int, dict], least: int) -> DataFram
                             continue
                         word = t[at + (k - 1)]
                         inside = word != 0
+                        if k > 1:
+                            inside[inside] = passes(follow, grown(start_of(lang), word[inside]))
                         at, word = at[inside], word[inside]
                         h = grown(start_of(lang) if h is None else h[inside], word)
                         if k in each:
@@ -199,13 +224,21 @@ def lift(a: str, n: str, left: str, right: str) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, wanted: int = WANTED, most_words: int = MOST_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``wanted`` phrases."""
+    with small_batches(docs.sparkSession):
+        return found_in(docs, least, wanted, most_words)
+
+
+def found_in(docs: DataFrame, least: int, wanted: int, most_words: int) -> DataFrame:
     for seed in range(1 << 30):
         corpus = saved(runs(docs, seed), "phrases-corpus")
-        each = corpus.select("lang", F.inline(F.arrays_zip("hashes", "counts", "words")))
-        words = saved(each.groupBy("lang", "hashes").agg(F.sum("counts").alias("a"), F.min("words").alias("word"), F.max("words").alias("other")), "phrases-words")
-        if words.where("word <> other").isEmpty():
+        each = corpus.select("lang", F.inline(F.arrays_zip("hashes", "seconds", "counts")))
+        words = saved(each.groupBy("lang", "hashes").agg(F.sum("counts").alias("a"), F.min("seconds").alias("second"), F.max("seconds").alias("other")), "phrases-words")
+        if words.groupBy("hashes").agg(F.min("second").alias("x"), F.max("other").alias("y")).where("x <> y").isEmpty():
             break
-    frequent = saved(words.where(F.col("a") >= least).select("lang", F.array("hashes").alias("p"), "a", "word"), "phrases-frequent")
+    often = words.where(F.col("a") >= least)
+    named = corpus.select(F.inline(F.arrays_zip(F.col("named").alias("hashes"), F.col("words").alias("word"))))
+    named = named.join(often.select("hashes").distinct(), "hashes", "left_semi").groupBy("hashes").agg(F.min("word").alias("word"))
+    frequent = saved(often.join(named, "hashes").select("lang", F.array("hashes").alias("p"), "a", "word"), "phrases-frequent")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"), F.max("a").alias("most"))
     open_langs = saved(totals.where(F.col("most") >= least), "phrases-langs")
     totals = open_langs
@@ -217,7 +250,7 @@ def collocations(docs: DataFrame, least: int = LEAST, wanted: int = WANTED, most
         here = corpus.join(F.broadcast(open_langs.select("lang")), "lang", "left_semi") if few(open_langs) else corpus.join(open_langs.select("lang"), "lang", "left_semi")
         filters, new = {1: filter_of(frontier)}, None
         for m in range(2, most_words + 1):
-            level = counted(here, {m: filters}, least)
+            level = counted(here, {m: filters}, may_follow, least)
             first = frontier.select("lang", F.col("p")[0].alias("first"))  # what passed wrongly belongs to another frontier
             level = saved(level.withColumn("first", F.col("p")[0]).join(first, ["lang", "first"], "left_semi").drop("first"), f"phrases-{m}")
             new = level if new is None else new.unionByName(level)
@@ -231,7 +264,7 @@ def collocations(docs: DataFrame, least: int = LEAST, wanted: int = WANTED, most
         missing = saved(ends.join(counts, ["lang", "p"], "left_anti"), "phrases-missing")
         if not missing.isEmpty():
             starts = filter_of(missing.select("lang", F.slice("p", 1, 1).alias("p")).distinct())
-            more = counted(here, {m: {1: starts, m: filter_of(missing.where(size == m))} for m in range(2, most_words)}, least)
+            more = counted(here, {m: {1: starts, m: filter_of(missing.where(size == m))} for m in range(2, most_words)}, may_follow, least)
             counts = counts.unionByName(saved(more.join(missing, ["lang", "p"], "left_semi").select("lang", "p", "a"), "phrases-ends"))
         counts = saved(counts.groupBy("lang", "p").agg(F.max("a").alias("a")), "phrases-counts")
         fresh = scored(kept, counts, totals)
