@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import keys as keys_of
 from tidewater.functions.windows import split_ffill
 
 POS = ["pos_hi", "pos_lo", "pos_seq"]
@@ -29,17 +30,21 @@ MONGO_MSG = ("operationType string, ns struct<db:string,coll:string>, documentKe
              "fullDocument string, clusterTime struct<t:bigint,i:bigint>")
 
 
-def normalise_mongo(raw: DataFrame) -> DataFrame:
-    """insert/replace -> insert, update, delete; drop/invalidate/rename and
+def normalise_mongo(raw: DataFrame, any_key: bool = False) -> DataFrame:
+    """``any_key``: documents are keyed by values of any type (object ids, text, numbers, documents), and ``key`` is their
+    canonical text (see ``tidewater.functions.keys``); else by whole numbers.
+
+    C1: insert/replace -> insert, update, delete; drop/invalidate/rename and
     messages without a namespace or (for insert/update) a fullDocument are
     skipped. Position (t, i); committedAt = t * 1000. Each message is parsed
     once (``from_json`` into a struct; the document stays JSON text)."""
-    d = parse_once(raw, MONGO_MSG, ["arrival"])
+    d = parse_once(raw, MONGO_MSG.replace("_id:bigint", "_id:variant") if any_key else MONGO_MSG, ["arrival"])
+    key = keys_of.key(keys_of.of_variant(F.col("documentKey._id"))) if any_key else F.col("documentKey._id")
     t = F.col("operationType")
     op = (F.when(t.isin("insert", "replace"), F.lit("insert")).when(t == "update", F.lit("update"))
           .when(t == "delete", F.lit("delete")))
     d = d.select("arrival", op.alias("op"), F.col("ns.db").alias("db"), F.col("ns.coll").alias("coll"),
-                 F.col("documentKey._id").alias("key"), F.col("fullDocument").alias("full"),
+                 key.alias("key"), F.col("fullDocument").alias("full"),
                  F.col("clusterTime.t").alias("pos_hi"), F.col("clusterTime.i").alias("pos_lo"))
     d = d.filter(F.col("op").isNotNull() & F.col("coll").isNotNull()
                  & ((F.col("op") == "delete") | F.col("full").isNotNull()))
@@ -54,24 +59,43 @@ def lsn_parts(lsn: Column) -> tuple[Column, Column]:
             F.conv(F.split_part(lsn, F.lit("/"), F.lit(2)), 16, 10).cast("long"))
 
 
-def normalise_pg(raw: DataFrame, key_col: str) -> DataFrame:
-    """Only I/U/D; the key comes from the row (``key ?? old``); truncate
+def _texts(kinds: dict[str, str]) -> str:
+    return "struct<" + ", ".join(f"`{c}`:string" for c in kinds) + ">"
+
+
+def _row_key(kinds: dict[str, str], *rows: Column) -> Column:
+    """The canonical key of columns of the given SQL types, each from the first of the rows (structs of texts) that has it."""
+    return keys_of.key(*[F.when(c.isNotNull(), keys_of.of_column(c, kind)) for name, kind in kinds.items() for c in [F.coalesce(*[r[name] for r in rows])]])
+
+
+def normalise_pg(raw: DataFrame, key_col: str | dict[str, str]) -> DataFrame:
+    """``key_col``: the key's column if it is a whole number, or its columns with their SQL types; ``key`` and
+    ``old_key`` are canonical texts then (see ``tidewater.functions.keys``).
+
+    C2: only I/U/D; the key comes from the row (``key ?? old``); truncate
     and transaction frames are dropped; no commit time. Position = LSN.
     ``old_key`` is the before-image key of an update (for ``split_key_changes``)."""
-    schema = (f"lsn string, action string, schema string, table string, columns string, "
-              f"identity struct<{key_col}:bigint>, old struct<{key_col}:bigint>")
+    one = isinstance(key_col, str)
+    schema = "lsn string, action string, schema string, table string, columns string, " + (
+        f"identity struct<{key_col}:bigint>, old struct<{key_col}:bigint>" if one else "identity {0}, old {0}".format(_texts(key_col)))
     d = parse_once(raw, schema, ["arrival"])
     action = F.col("action")
     hi, lo = lsn_parts(F.col("lsn"))
     op = F.when(action == "I", F.lit("insert")).when(action == "U", F.lit("update")).when(action == "D", F.lit("delete"))
-    key = F.coalesce(F.get_json_object(F.col("columns"), f"$.{key_col}").cast("long"),
-                     F.col(f"identity.{key_col}"), F.col(f"old.{key_col}"))
+    if one:
+        key = F.coalesce(F.get_json_object(F.col("columns"), f"$.{key_col}").cast("long"),
+                         F.col(f"identity.{key_col}"), F.col(f"old.{key_col}"))
+        before = F.coalesce(F.col(f"old.{key_col}"), F.col(f"identity.{key_col}"))
+    else:
+        d = d.select("*", F.inline(F.array(F.struct(F.from_json("columns", _texts(key_col)).alias("_new")))))
+        now, old, identity = F.col("_new"), F.col("old"), F.col("identity")
+        key, before = _row_key(key_col, now, identity, old), _row_key(key_col, old, identity, now)
+        before = F.when(old.isNotNull() | identity.isNotNull(), before)
     return (d.select(F.col("schema").alias("db"), F.col("table").alias("coll"), op.alias("op"),
                      key.alias("key"), F.col("columns").alias("doc"),
                      hi.alias("pos_hi"), lo.alias("pos_lo"), F.lit(0).cast("long").alias("pos_seq"),
                      F.lit(None).cast("long").alias("committed_ms"), "arrival",
-                     F.when(op == "update", F.coalesce(F.col(f"old.{key_col}"), F.col(f"identity.{key_col}")))
-                     .alias("old_key"))
+                     F.when(op == "update", before).alias("old_key"))
             .filter(F.col("op").isNotNull()))
 
 
@@ -79,8 +103,10 @@ MYSQL_MSG = ("type string, next_file string, schema string, table string, positi
              "rows array<string>")
 
 
-def normalise_mysql(raw: DataFrame, key_col: str, bucket_size: int = 1_000_000_000) -> DataFrame:
-    """One binlog message carries many rows (posexplode); update rows take
+def normalise_mysql(raw: DataFrame, key_col: str | dict[str, str], bucket_size: int = 1_000_000_000) -> DataFrame:
+    """``key_col``: as for ``normalise_pg``.
+
+    C3: one binlog message carries many rows (posexplode); update rows take
     ``after``; the current file is carried forward from the last rotate
     (a bucketed forward fill, not a global window). Position = (file number,
     event position, row ordinal); commit time = timestamp * 1000."""
@@ -95,7 +121,11 @@ def normalise_mysql(raw: DataFrame, key_col: str, bucket_size: int = 1_000_000_0
           .otherwise(F.lit("delete")))
     doc = (F.when(typ == "update_rows", F.get_json_object("row", "$.after"))
            .when(typ == "write_rows", F.col("row")))
-    key = F.get_json_object(F.coalesce(doc, F.col("row")), f"$.{key_col}").cast("long")
+    if isinstance(key_col, str):
+        key = F.get_json_object(F.coalesce(doc, F.col("row")), f"$.{key_col}").cast("long")
+    else:
+        ev = ev.select("*", F.inline(F.array(F.struct(F.from_json(F.coalesce(doc, F.col("row")), _texts(key_col)).alias("_keyed")))))
+        key = _row_key(key_col, F.col("_keyed"))
     return ev.select(F.col("m.schema").alias("db"), F.col("m.table").alias("coll"), op.alias("op"), key.alias("key"),
                      doc.alias("doc"), F.split_part("file", F.lit("."), F.lit(2)).cast("long").alias("pos_hi"),
                      F.col("m.position").alias("pos_lo"), F.col("ordinal").cast("long").alias("pos_seq"),
@@ -141,14 +171,14 @@ def drop_redeliveries(events: DataFrame, pos_cols=tuple(POS)) -> DataFrame:
 
 
 # -- C15 validity ------------------------------------------------------------------------------
-def validate(events: DataFrame, columns: dict[str, str], key: str) -> tuple[DataFrame, DataFrame]:
+def validate(events: DataFrame, columns: dict[str, str], key: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Split events into (valid, dead_letter). An event is poison when it
     has no key or a present, non-null field does not convert to the target
     column type; the dead letter keeps the position and the error text."""
     errs = [F.when(F.col("key").isNull(), F.lit("missing key"))]
     d = events.withColumn("_dm", doc_map())
     for c, t in columns.items():
-        if c == key:
+        if c in ([key] if isinstance(key, str) else key):
             continue
         raw = F.col("_dm")[c]
         errs.append(F.when(raw.isNotNull() & raw.try_cast(t).isNull(), F.lit(f"{c}: cannot convert to {t}")))
@@ -177,7 +207,21 @@ def _typed(c: str, t: str, m: str = "_m") -> Column:
     return F.col(m)[c].try_cast(t)
 
 
-def column_changes(events: DataFrame, ns: list[str], key: str, columns: dict[str, str]) -> DataFrame:
+def _keyed_target(target: DataFrame, ns: list[str], key: str | list[str], columns: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """The target keyed as the events are (``key``: one native column, or a list of columns whose canonical text the
+    events carry; other columns as ``<name>__t``), and the key columns of the merged rows."""
+    names = [key] if isinstance(key, str) else list(key)
+    rest = [F.col(c).alias(c + "__t") for c in columns if c not in names]
+    if isinstance(key, str):
+        return target.select(*ns, F.col(key).alias("key"), *rest), [F.col("key").alias(key)]
+    canonical = keys_of.key(*[keys_of.of_column(F.col(c), columns[c]) for c in names])
+    tgt = target.select(*ns, canonical.alias("key"), *[F.col(c).alias(c + "__k") for c in names], *rest)
+    out = [F.coalesce(F.col(c + "__k"), keys_of.typed(keys_of.part(F.col("key"), i), columns[c])).cast(columns[c]).alias(c)
+           for i, c in enumerate(names)]
+    return tgt, out
+
+
+def column_changes(events: DataFrame, ns: list[str], key: str | list[str], columns: dict[str, str]) -> DataFrame:
     """Per key the last operation (``_last_op``) with its position (``_last``)
     and, for each column c, ``c__s``: position p, delete flag d and value v of
     the latest event that carried it (a delete carries every column)."""
@@ -185,16 +229,19 @@ def column_changes(events: DataFrame, ns: list[str], key: str, columns: dict[str
     ev = events.select(*ns, "key", "op", p.alias("_p"), doc_map().alias("_m"))
     is_del = F.col("op") == "delete"
     aggs = [F.max_by("op", "_p").alias("_last_op"), F.max("_p").alias("_last")]
+    names = [key] if isinstance(key, str) else key
     for c in columns:
-        if c != key:
+        if c not in names:
             carrier = F.when(is_del | F.map_contains_key("_m", c), F.col("_p"))
             carried = F.struct(F.col("_p").alias("p"), is_del.alias("d"), _typed(c, columns[c]).alias("v"))
             aggs.append(F.max_by(carried, carrier).alias(c + "__s"))
     return ev.groupBy(*ns, "key").agg(*aggs)
 
 
-def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """C7 (+C9): SQL-target semantics. An upsert sets only the columns present
+def apply_upsert(target: DataFrame, events: DataFrame, key: str | list[str], columns: dict[str, str]) -> DataFrame:
+    """``key``: the key column, or a list of key columns if the events carry canonical keys (of any types, one or more).
+
+    C7 (+C9): SQL-target semantics. An upsert sets only the columns present
     in its document; a delete removes the row and resets every column, so
     after the last delete each column takes the value of the latest event
     that carried it. Key-only inserts therefore create absent rows and leave
@@ -207,11 +254,11 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     same position and value, so the result is idempotent without a de-dup.
     A target with ``db`` and ``coll`` columns is merged per namespace."""
     ns = [c for c in ("db", "coll") if c in target.columns]
-    cols = [c for c in columns if c != key]
+    cols = [c for c in columns if c not in ([key] if isinstance(key, str) else key)]
     changes = column_changes(events, ns, key, columns)
-    tgt = target.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
+    tgt, key_out = _keyed_target(target, ns, key, columns)
     m = tgt.join(changes, [*ns, "key"], "full_outer")
-    out = [*ns, F.col("key").alias(key)]
+    out = [*ns, *key_out]
     for c in cols:
         s = F.col(c + "__s")
         out.append(F.when(s.isNotNull(), F.when(s["d"], F.lit(None)).otherwise(s["v"]))
@@ -219,15 +266,17 @@ def apply_upsert(target: DataFrame, events: DataFrame, key: str, columns: dict[s
     return m.filter(F.col("_last_op").isNull() | (F.col("_last_op") != "delete")).select(*out)
 
 
-def apply_replace(target: DataFrame, events: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """Document-target semantics: the last whole document replaces the
+def apply_replace(target: DataFrame, events: DataFrame, key: str | list[str], columns: dict[str, str]) -> DataFrame:
+    """``key``: as for ``apply_upsert``.
+
+    C8: document-target semantics: the last whole document replaces the
     row (missing fields become null); a delete removes it."""
     ns = [c for c in ("db", "coll") if c in target.columns]
-    cols = [c for c in columns if c != key]
+    cols = [c for c in columns if c not in ([key] if isinstance(key, str) else key)]
     last = collapse(events).select(*ns, "key", F.col("op").alias("_last_op"), doc_map().alias("_m"))
-    tgt = target.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols])
+    tgt, key_out = _keyed_target(target, ns, key, columns)
     m = tgt.join(last, [*ns, "key"], "full_outer")
-    out = [*ns, F.col("key").alias(key)]
+    out = [*ns, *key_out]
     for c in cols:
         out.append(F.when(F.col("_last_op").isNull(), F.col(c + "__t")).otherwise(_typed(c, columns[c]))
                    .cast(columns[c]).alias(c))
