@@ -20,23 +20,60 @@ KEYS = "_keys"
 
 
 # -- filters ---------------------------------------------------------------------------------
-def _field(df: DataFrame, path: str) -> Column:
-    return F.col(path)
-
-
-def _dtype(df: DataFrame, path: str):
-    t = df.schema
-    for part in path.split("."):
-        if not isinstance(t, T.StructType) or part not in t.fieldNames():
-            return None
-        t = t[part].dataType
-    return t
-
+class Scope:
+    """What paths of a filter start from: the columns of a collection, or an element of an array of documents."""
+
+    def __init__(self, fields: T.StructType, column, keys: Column | None = None):
+        self.fields, self.column, self.keys = fields, column, keys
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Scope:
+        return cls(df.schema, F.col, F.col(KEYS) if KEYS in df.columns else None)
+
+    def plain(self, path: str) -> Column | None:
+        """The column of a path without arrays on its way (the last field may be one), so that filters reach the scan."""
+        kind: T.DataType = self.fields
+        for name in path.split("."):
+            if not isinstance(kind, T.StructType) or name not in kind.fieldNames():
+                return None
+            kind = kind[name].dataType
+        if self.column is F.col:
+            return F.col(path)
+        out = self.column(path.split(".")[0])
+        for name in path.split(".")[1:]:
+            out = out[name]
+        return out
 
-def _present(df: DataFrame, path: str) -> Column:
-    if KEYS in df.columns and "." not in path:
-        return F.array_contains(F.col(KEYS), path)
-    return _field(df, path).isNotNull()
+    def any(self, path: str, pred, missing: bool = False, whole: bool = False) -> Column:
+        """Whether a value that the path reaches holds ``pred(column, type)``. A step on an array of documents goes to
+        each of them (a number: to that element only); a last field that is an array is tried as a whole and by its
+        elements (``whole``: as a whole only). ``missing``: what a path without such a field gives."""
+        first, *rest = path.split(".")
+        if first not in self.fields.fieldNames():
+            return F.lit(missing)
+        return _reach(self.column(first), self.fields[first].dataType, rest, pred, missing, whole)
+
+
+def _reach(c: Column, kind: T.DataType, rest: list[str], pred, missing: bool, whole: bool) -> Column:
+    if not rest:
+        if isinstance(kind, T.ArrayType) and not whole:
+            each = F.coalesce(F.exists(c, lambda x: F.coalesce(pred(x, kind.elementType), F.lit(False))), F.lit(False))
+            return F.coalesce(pred(c, kind), F.lit(False)) | each
+        return pred(c, kind)
+    name, *more = rest
+    if isinstance(kind, T.StructType):
+        if name not in kind.fieldNames():
+            return F.lit(missing)
+        return _reach(c[name], kind[name].dataType, more, pred, missing, whole)
+    if isinstance(kind, T.ArrayType):
+        if name.isdigit():
+            inside = _reach(F.get(c, F.lit(int(name))), kind.elementType, more, pred, missing, whole)
+            return (c.isNotNull() & (F.size(c) > int(name)) & inside) if not missing else (c.isNull() | (F.size(c) <= int(name)) | inside)
+        if not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            return F.lit(missing)
+        found = F.exists(c, lambda x: F.coalesce(_reach(x, kind.elementType, [name, *more], pred, missing, whole), F.lit(False)))
+        return F.coalesce(found, F.lit(missing))
+    return F.lit(missing)
 
 
 _TYPE_NAMES = {"string": T.StringType, "bool": T.BooleanType, "int": T.IntegerType, "long": T.LongType,
@@ -49,66 +86,115 @@ def _known(c: Column, pred: Column) -> Column:
     return c.isNotNull() & pred
 
 
-def _eq(df, path, v) -> Column:
-    c = _field(df, path)
+def _comparable(kind: T.DataType, v: Any) -> bool:
+    """Values of unlike types never match (a number and an array, a text and a document)."""
+    if isinstance(v, list):
+        return isinstance(kind, T.ArrayType)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return False
+    if isinstance(v, str):
+        return not isinstance(kind, (T.NumericType, T.BooleanType))
+    if isinstance(v, bool):
+        return isinstance(kind, T.BooleanType)
+    return not (isinstance(v, (int, float)) and isinstance(kind, (T.StringType, T.BooleanType)))
+
+
+def _literal(v: Any) -> Column:
+    return F.array(*[_literal(x) for x in v]) if isinstance(v, list) else F.lit(v)
+
+
+def _compare(v: Any, test) -> Any:
+    return lambda c, kind: _known(c, test(c, _literal(v))) if _comparable(kind, v) else F.lit(False)
+
+
+_COMPARE = {"$eq": lambda c, v: c == v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v}
+
+
+def _present(scope: Scope, path: str) -> Column:
+    if scope.keys is not None and "." not in path:
+        return F.array_contains(scope.keys, path)
+    return scope.any(path, lambda c, _: c.isNotNull(), whole=True)
+
+
+def _eq(scope: Scope, path: str, v: Any) -> Column:
     if v is None:
-        return c.isNull()
-    if isinstance(_dtype(df, path), T.ArrayType) and not isinstance(v, list):
-        return _known(c, F.array_contains(c, F.lit(v)))
-    return _known(c, c == F.lit(v))
+        return scope.any(path, lambda c, _: c.isNull(), missing=True)
+    return scope.any(path, _compare(v, _COMPARE["$eq"]))
+
+
+def _elem_match(spec: dict) -> Any:
+    """A test of one array: whether one of its elements holds all of ``spec``, a filter of documents or operators."""
+    def test(c: Column, kind: T.DataType) -> Column:
+        if not isinstance(kind, T.ArrayType):
+            return F.lit(False)
+        inner = kind.elementType
+        if all(k.startswith("$") and k not in ("$and", "$or", "$nor") for k in spec):
+            one = lambda x: _cond(Scope(T.StructType([T.StructField("x", inner)]), lambda _: x), "x", spec)
+        elif isinstance(inner, T.StructType):
+            one = lambda x: filter_on(Scope(inner, lambda name: x[name]), spec)
+        else:
+            return F.lit(False)
+        return F.coalesce(F.exists(c, lambda x: F.coalesce(one(x), F.lit(False))), F.lit(False))
+    return test
 
 
-def _op(df: DataFrame, path: str, op: str, v: Any) -> Column:
-    c = _field(df, path)
+def _op(scope: Scope, path: str, op: str, v: Any) -> Column:
     if op == "$eq":
-        return _eq(df, path, v)
+        return _eq(scope, path, v)
     if op == "$ne":
-        return ~_eq(df, path, v)
-    if op in ("$gt", "$gte", "$lt", "$lte"):
-        cmp = {"$gt": c > F.lit(v), "$gte": c >= F.lit(v), "$lt": c < F.lit(v), "$lte": c <= F.lit(v)}[op]
-        return _known(c, cmp)
+        return ~_eq(scope, path, v)
+    if op in _COMPARE:
+        return scope.any(path, _compare(v, _COMPARE[op]))
     if op == "$in":
+        c = scope.plain(path)
         vals = [x for x in v if x is not None]
-        m = _known(c, c.isin(vals)) if vals else F.lit(False)
-        return m | c.isNull() if None in v else m
+        kind = _dtype_of(scope, path)
+        if c is not None and not isinstance(kind, T.ArrayType):
+            vals = [x for x in vals if _comparable(kind, x)]
+            m = _known(c, c.isin(vals)) if vals else F.lit(False)
+            return m | c.isNull() if None in v else m
+        out = F.lit(False)
+        for x in v:
+            out = out | _eq(scope, path, x)
+        return out
     if op == "$nin":
-        return ~_op(df, path, "$in", v)
+        return ~_op(scope, path, "$in", v)
     if op == "$exists":
-        return _present(df, path) if v else ~_present(df, path)
+        return _present(scope, path) if v else ~_present(scope, path)
     if op == "$regex":
-        return _known(c, c.rlike(v))
+        return scope.any(path, lambda c, kind: _known(c, c.rlike(v)) if isinstance(kind, T.StringType) else F.lit(False))
     if op == "$size":
-        return _known(c, F.size(c) == F.lit(v))
+        return scope.any(path, lambda c, kind: _known(c, F.size(c) == F.lit(v)) if isinstance(kind, T.ArrayType) else F.lit(False), whole=True)
     if op == "$all":
-        return F.coalesce(F.forall(F.array(*[F.lit(x) for x in v]), lambda x: F.array_contains(c, x)), F.lit(False)) \
-            if v else F.lit(False)
+        out = F.lit(bool(v))
+        for x in v:
+            out = out & (_op(scope, path, "$elemMatch", x["$elemMatch"]) if isinstance(x, dict) and "$elemMatch" in x else _eq(scope, path, x))
+        return out
     if op == "$elemMatch":
-        return F.coalesce(F.exists(c, lambda x: _elem_pred(x, v)), F.lit(False))
+        return scope.any(path, _elem_match(v), whole=True)
     if op == "$type":
-        t = _dtype(df, path)
         if v == "null":
-            return c.isNull() & _present(df, path)
-        ok = t is not None and isinstance(t, _TYPE_NAMES[v])
-        return c.isNotNull() & F.lit(ok)
+            return scope.any(path, lambda c, _: c.isNull()) & _present(scope, path)
+        return scope.any(path, lambda c, kind: c.isNotNull() & F.lit(isinstance(kind, _TYPE_NAMES[v])))
     if op == "$not":
-        return ~_cond(df, path, v)
+        return ~_cond(scope, path, v)
     raise ValueError(f"unsupported query operator {op}")
 
 
-def _elem_pred(x: Column, spec: Any) -> Column:
-    if not isinstance(spec, dict):
-        return x == F.lit(spec)
-    out = F.lit(True)
-    for op, v in spec.items():
-        p = {"$eq": x == F.lit(v), "$ne": x != F.lit(v), "$gt": x > F.lit(v), "$gte": x >= F.lit(v),
-             "$lt": x < F.lit(v), "$lte": x <= F.lit(v)}.get(op)
-        if p is None:
-            raise ValueError(f"unsupported $elemMatch operator {op}")
-        out = out & p
-    return out
+def _dtype_of(scope: Scope, path: str):
+    kind: T.DataType = scope.fields
+    for part in path.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.fieldNames():
+            return None
+        kind = kind[part].dataType
+    return kind
+
+
+def _dtype(df: DataFrame, path: str):
+    return _dtype_of(Scope.of(df), path)
 
 
-def _cond(df: DataFrame, path: str, spec: Any) -> Column:
+def _cond(scope: Scope, path: str, spec: Any) -> Column:
     if isinstance(spec, dict) and spec and all(k.startswith("$") for k in spec):
         opts = spec.get("$options", "")
         out = F.lit(True)
@@ -117,33 +203,38 @@ def _cond(df: DataFrame, path: str, spec: Any) -> Column:
                 continue
             if op == "$regex" and "i" in opts:
                 v = "(?i)" + v
-            out = out & _op(df, path, op, v)
+            out = out & _op(scope, path, op, v)
         return out
-    return _eq(df, path, spec)
+    return _eq(scope, path, spec)
 
 
-def filter_expr(df: DataFrame, q: dict | None) -> Column:
-    """Q1: a filter document -> one boolean Column (missing fields never raise)."""
+def filter_on(scope: Scope, q: dict | None) -> Column:
     out = F.lit(True)
     for k, v in (q or {}).items():
         if k == "$and":
             part = F.lit(True)
             for sub in v:
-                part = part & filter_expr(df, sub)
+                part = part & filter_on(scope, sub)
         elif k == "$or":
             part = F.lit(False)
             for sub in v:
-                part = part | filter_expr(df, sub)
+                part = part | filter_on(scope, sub)
         elif k == "$nor":
             part = F.lit(True)
             for sub in v:
-                part = part & ~filter_expr(df, sub)
+                part = part & ~filter_on(scope, sub)
         else:
-            part = _cond(df, k, v)
+            part = _cond(scope, k, v)
         out = out & part
     return out
 
 
+def filter_expr(df: DataFrame, q: dict | None) -> Column:
+    """Q1: a filter document -> one boolean Column (missing fields never raise). A path goes through arrays: it holds if
+    any value it reaches does, and a negated operator holds if none does. Of an empty array nothing is reached."""
+    return filter_on(Scope.of(df), q)
+
+
 # -- find --------------------------------------------------------------------------------------
 def project(df: DataFrame, projection: dict | None) -> DataFrame:
     """Q2: inclusion (``_id`` kept unless excluded) or exclusion projection."""
@@ -278,15 +369,46 @@ def _group(df: DataFrame, spec: dict, order: dict) -> DataFrame:
 
 
 def _lookup(df: DataFrame, spec: dict, collections: dict[str, DataFrame]) -> DataFrame:
-    """Q12 $lookup: left equi-join into an array (empty when no match). The
-    foreign side is grouped first, so the join is one row per local key."""
+    """Q12 $lookup: a left equi-join into an array (empty when no match), in the order of the foreign collection. A null
+    or missing field matches null or missing ones; an array, on either side, matches by each of its elements, and a
+    foreign document that several elements match is there once. The foreign side is grouped by key first, so a frequent
+    key (null too) is joined as one row and no pairs of documents are shuffled."""
     right = collections[spec["from"]]
     lf, ff, name = spec["localField"], spec["foreignField"], spec["as"]
-    grouped = right.groupBy(F.col(ff).alias("_fk")).agg(
-        F.collect_list(F.struct(*[F.col(c) for c in right.columns])).alias(name))
-    j = df.join(grouped, df[lf] == grouped["_fk"], "left").drop("_fk")
-    empty = F.array().cast(grouped.schema[name].dataType)
-    return j.withColumn(name, F.coalesce(F.col(name), empty))
+    lists = [isinstance(_dtype(x, f), T.ArrayType) for x, f in ((df, lf), (right, ff))]
+    docs = F.struct(*[F.col(c) for c in right.columns])
+    keyed = right.select(F.monotonically_increasing_id().alias("_fid"), F.col(ff).alias("_fk"), docs.alias("_doc"))  # ids before elements
+    keyed = keyed.select("_fid", _elements(F.col("_fk"), lists[1]).alias("_fk"), "_doc")
+    grouped = keyed.groupBy("_fk").agg(F.array_sort(F.collect_list(F.struct("_fid", "_doc")), _by_id).alias(name))
+    found = lambda c: F.coalesce(F.transform(c, lambda m: m["_doc"]), F.array().cast(T.ArrayType(grouped.schema[name].dataType.elementType["_doc"].dataType)))
+    if not any(lists):
+        j = df.join(grouped.withColumnRenamed(name, "_found"), df[lf].eqNullSafe(grouped["_fk"]), "left")
+        return j.withColumn(name, found(F.col("_found"))).drop("_fk", "_found")
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    each = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(lf).alias("_lk"), whole.alias("_row"))
+    each = each.select("_rid", "_row", _elements(F.col("_lk"), lists[0], outer=True).alias("_lk"))
+    if lists[0]:  # an element of its own says that there are none
+        each = each.select("_rid", "_row", F.col("_lk")["k"].alias("_lk"), F.col("_lk").isNotNull().alias("_any"))
+    else:
+        each = each.withColumn("_any", F.lit(True))
+    j = each.join(grouped.withColumnRenamed(name, "_found"), each["_any"] & each["_lk"].eqNullSafe(grouped["_fk"]), "left")
+    first = F.first("_row").alias("_row")
+    out = j.groupBy("_rid").agg(first, F.flatten(F.collect_list("_found")).alias("_found"))
+    once = F.array_sort(F.filter("_found", lambda m, i: ~F.exists(F.slice("_found", F.lit(1), i), lambda e: e["_fid"] == m["_fid"])), _by_id) if all(lists) else F.array_sort("_found", _by_id)
+    return out.select("_row.*", found(once).alias(name))
+
+
+def _by_id(x: Column, y: Column) -> Column:
+    return F.when(x["_fid"] < y["_fid"], -1).when(x["_fid"] > y["_fid"], 1).otherwise(0)
+
+
+def _elements(c: Column, is_list: bool, outer: bool = False) -> Column:
+    """A row for each different element of an array (null: one row of null; ``outer``: wrapped in a struct, and a null
+    instead if there is none), or the value itself."""
+    if not is_list:
+        return c
+    items = F.when(c.isNull(), F.array(F.get(c, F.lit(0)))).otherwise(F.array_distinct(c))
+    return F.explode_outer(F.transform(items, lambda x: F.struct(x.alias("k")))) if outer else F.explode(items)
 
 
 def _unwind(df: DataFrame, spec: Any) -> DataFrame:

@@ -234,3 +234,76 @@ FROM f1t GROUP BY database, coll""")
 def coll_stats(spark, sf_dir):
     """Q16: collection count, size and average object size."""
     return dq.coll_stats(fx.f1_documents_text(spark, sf_dir), ["database", "coll"])
+
+
+# ---- arrays on a path (Q1, Q6, Q12) ----------------------------------------------------------------------------------
+BASKETS_SQL = """
+WITH items AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem),
+baskets AS (SELECT o_orderkey AS _id, o_orderpriority AS priority FROM orders)"""
+
+
+def baskets(spark, sf_dir):
+    """Orders as documents with an array of item documents (part, qty, flag, in order) and one of quantities; orders
+    without items have no such fields."""
+    li = read_table(spark, sf_dir, "lineitem")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag")).alias("item"))
+    lists = li.groupBy(F.col("l_orderkey").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderpriority").alias("priority"))
+    return o.join(lists, "_id", "left").withColumn("qtys", F.transform("items", lambda x: x["qty"]))
+
+
+FIND_ARRAY = {"items.qty": {"$gt": 45}, "items.flag": {"$in": ["R", "A"], "$ne": "N"}, "items.0.qty": {"$lt": 40}, "qtys": {"$not": {"$size": 1}},
+              "$or": [{"items.part": {"$exists": True}, "qtys": 10}, {"priority": {"$regex": "^[12]"}}]}
+
+
+@query("find_array", BASKETS_SQL + """
+SELECT _id, priority FROM baskets b WHERE
+  EXISTS (FROM items WHERE l_orderkey = _id AND l_quantity > 45) AND EXISTS (FROM items WHERE l_orderkey = _id AND l_returnflag IN ('R', 'A'))
+  AND NOT EXISTS (FROM items WHERE l_orderkey = _id AND l_returnflag = 'N') AND EXISTS (FROM items WHERE l_orderkey = _id AND pos = 0 AND l_quantity < 40)
+  AND (SELECT count(*) FROM items WHERE l_orderkey = _id) <> 1
+  AND (EXISTS (FROM items WHERE l_orderkey = _id AND l_quantity = 10) OR regexp_matches(priority, '^[12]'))""")
+def find_array(spark, sf_dir):
+    """Q1: paths through arrays of documents, by element and by place; any element matches, a negation means none."""
+    return dq.find(baskets(spark, sf_dir), FIND_ARRAY, {"priority": 1})
+
+
+FIND_ELEM = {"items": {"$elemMatch": {"qty": {"$gte": 30, "$lt": 48}, "$or": [{"flag": "A"}, {"part": {"$lt": 500}}]}}, "qtys": {"$elemMatch": {"$gt": 5, "$lt": 20}},
+             "items.flag": {"$all": ["N", "R"]}, "$nor": [{"items": {"$elemMatch": {"qty": 1}}}]}
+
+
+@query("find_elem_match", BASKETS_SQL + """
+SELECT _id FROM baskets WHERE
+  EXISTS (FROM items WHERE l_orderkey = _id AND l_quantity >= 30 AND l_quantity < 48 AND (l_returnflag = 'A' OR l_partkey < 500))
+  AND EXISTS (FROM items WHERE l_orderkey = _id AND l_quantity > 5 AND l_quantity < 20)
+  AND EXISTS (FROM items WHERE l_orderkey = _id AND l_returnflag = 'N') AND EXISTS (FROM items WHERE l_orderkey = _id AND l_returnflag = 'R')
+  AND NOT EXISTS (FROM items WHERE l_orderkey = _id AND l_quantity = 1)""")
+def find_elem_match(spark, sf_dir):
+    """Q1: $elemMatch holds all conditions on one element, of documents and of numbers; $all; $nor."""
+    return dq.find(baskets(spark, sf_dir), FIND_ELEM, {"_id": 1})
+
+
+def _parts(spark, sf_dir):
+    """Parts with an array of codes, their key and its half; no codes (null) for p % 40 = 0."""
+    k = F.col("p_partkey")
+    return read_table(spark, sf_dir, "part").select(
+        k.alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"),
+        F.when(k % 40 != 0, F.array(k, F.floor(k / 2).cast("long"), k)).alias("codes"))
+
+
+@query("agg_lookup_array", """
+WITH codes AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, unnest([p_partkey, p_partkey // 2]) AS code FROM part WHERE p_partkey % 40 <> 0
+  UNION ALL SELECT p_partkey, CAST(p_size AS BIGINT), NULL FROM part WHERE p_partkey % 40 = 0),
+wanted AS (SELECT DISTINCT l_orderkey AS _id, l_partkey AS code FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 10 <> 1
+  UNION ALL SELECT DISTINCT o_orderkey, CAST(NULL AS BIGINT) FROM orders WHERE o_orderkey % 10 <> 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)),
+found AS (SELECT DISTINCT _id, p_partkey, p_size FROM wanted w JOIN codes c ON w.code IS NOT DISTINCT FROM c.code)
+SELECT o_orderkey AS _id, count(p_partkey) AS n_parts, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes, CAST(min(p_partkey) AS BIGINT) AS first_part
+FROM orders LEFT JOIN found ON _id = o_orderkey GROUP BY o_orderkey""")
+def agg_lookup_array(spark, sf_dir):
+    """Q12: part codes of an order's items (no items: null; o % 10 = 1: an empty array) looked up in the parts' code
+    arrays: by element on both sides, null matches null, a part once whatever the number of its codes that match."""
+    b = baskets(spark, sf_dir)
+    local = b.select("_id", F.when(F.col("_id") % 10 == 1, F.array().cast("array<bigint>")).otherwise(F.transform("items", lambda x: x["part"])).alias("parts"))
+    out = dq.pipeline(local, [{"$lookup": {"from": "part", "localField": "parts", "foreignField": "codes", "as": "found"}}], collections={"part": _parts(spark, sf_dir)})
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["p_size"])
+    return out.select("_id", F.size("found").cast("long").alias("n_parts"), total.alias("sizes"), F.array_min(F.transform("found", lambda x: x["p_partkey"])).alias("first_part"))
