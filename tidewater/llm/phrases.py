@@ -37,9 +37,11 @@ MOST_WORDS, LEAST, WANTED = 5, 100, 2000
 #: Frequency of the first frontier's words, in units of the least frequency, and its growth.
 FIRST, STEP = 8, 16
 #: Bits of a filter, and bytes of text in a run.
-BITS, RUN_BYTES = 1 << 25, 4 << 20
+BITS, RUN_BYTES = 1 << 24, 1 << 20
 #: Words whose hashes a task remembers.
-KNOWN = 150_000
+KNOWN = 100_000
+#: Bytes of rows passed to Python at a time, and rows read at a time: a run's row is about as long as its text.
+BATCH, ROWS = "4m", 16
 SEPARATORS = r"[.,;:!?\n\v\f\r]+"
 
 
@@ -68,6 +70,7 @@ def runs(docs: DataFrame, seed: int) -> DataFrame:
     """lang, tokens (64-bit hashes of words, 0 where a piece ends), hashes, seconds (second hashes), counts, and as words
     and named the words that the task didn't see before and their hashes, of runs of texts."""
     def make():
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         known = Hashes(seed)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,6 +163,7 @@ def counted(corpus: DataFrame, lengths: dict[int, dict], may_follow, least: int)
     """lang, p, a, alone: the phrases of each length in ``lengths`` that occur ``least`` times or more and pass its filters
     (length of a prefix -> filter of phrases); ``may_follow``: the filter of frequent words, others are in no phrase. ``alone``: no occurrence-wide neighbour on either side."""
     def make():
+        pa.set_memory_pool(pa.system_memory_pool())
         filters = {m: {k: np.frombuffer(f.value, np.uint32) for k, f in each.items()} for m, each in lengths.items()}
         follow = np.frombuffer(may_follow.value, np.uint32)
 
@@ -224,7 +228,7 @@ def lift(a: str, n: str, left: str, right: str) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, wanted: int = WANTED, most_words: int = MOST_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``wanted`` phrases."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH, ROWS):
         return found_in(docs, least, wanted, most_words)
 
 
