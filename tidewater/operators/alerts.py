@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import map_literal
-from tidewater.functions.windows import day_bucket, split_cumsum, split_lag
+from tidewater.functions.windows import DAY_MS, day_bucket, split_cumsum, split_ffill, split_lag
 from tidewater.operators.monitor import OP_COUNTERS
+from tidewater.session import materialize
 
 NOTIFY_COOLDOWN_MS = 30 * 60 * 1000
 
@@ -141,7 +142,6 @@ def with_rule_changes(evals: DataFrame, changes: DataFrame) -> DataFrame:
     enabled segments (re-enables so far). The as-of state is a keyed forward
     fill and a running count over the union of samples and changes, both
     bucketed by day (no whole-rule window)."""
-    from tidewater.functions.windows import split_ffill
     e = evals.select("*", (F.col("ts_ms") * 2 + 1).alias("_o"), F.lit(None).cast("string").alias("_act"))
     c = changes.select("rule_id", F.col("change_ms").alias("ts_ms"), (F.col("change_ms") * 2).alias("_o"),
                        F.col("action").alias("_act"))
@@ -169,34 +169,44 @@ def events_with_pauses(evals: DataFrame, changes: DataFrame) -> DataFrame:
 def notify_flags(events: DataFrame, cooldown_ms: int = NOTIFY_COOLDOWN_MS,
                  keys: tuple[str, ...] = ("rule_id",)) -> DataFrame:
     """A5: notify a firing when the rule was never notified or the last
-    *notified* firing is more than the cooldown ago (strictly). Greedy, so
-    evaluated as an ``aggregate`` over each rule's firings in time order.
-
-    Firings are first cut into chains at gaps longer than the cooldown (a
-    chain's first firing is always notified), so the arrays are per chain;
-    a chain is bounded by its time span over the cooldown, not by data size.
+    *notified* firing is more than the cooldown ago (strictly).
+
+    After a notified firing the next one is the first firing more than the
+    cooldown later: a pointer from each firing to another, found by one
+    backward fill over firings and the ends of their cooldowns. A firing
+    whose previous one is that far away is notified in any case; the others
+    that are, are those the pointers lead to from there. They are found by
+    doubling: round j joins pointers of 2^j steps with themselves, and the
+    marks then follow them from the longest down. So the rounds are the
+    logarithm of the longest chain, every join is on (rule, time) and spread
+    evenly, and no task holds a rule's firings, however long a rule keeps
+    firing at short gaps.
     ``keys``: the notification state (a rule, or a rule's enabled segment,
     since re-enabling a rule clears its last-notified time)."""
     k = list(keys)
-    b = day_bucket(F.col("fired_ms"))
-    e = split_lag(events, k, ["fired_ms", "island"], b, ["fired_ms"])
-    starts = F.when(F.col("prev_fired_ms").isNull() | (F.col("fired_ms") - F.col("prev_fired_ms") > cooldown_ms), 1) \
-              .otherwise(0)
-    e = split_cumsum(e, k, ["fired_ms", "island"], b, starts, "_chain")
-    chains = e.groupBy(*k, "_chain").agg(
-        F.array_sort(F.collect_list(F.struct("fired_ms", "island"))).alias("fs"))
-
-    def step(acc, x):
-        ok = acc["last"].isNull() | ((x["fired_ms"] - acc["last"]) > F.lit(cooldown_ms))
-        return F.struct(F.when(ok, x["fired_ms"]).otherwise(acc["last"]).alias("last"),
-                        F.concat(acc["out"], F.array(F.struct(x["island"].alias("island"), ok.alias("notified"))))
-                        .alias("out"))
-
-    init = F.struct(F.lit(None).cast("long").alias("last"),
-                    F.array().cast("array<struct<island:bigint,notified:boolean>>").alias("out"))
-    flags = (chains.select(*k, F.explode(F.aggregate("fs", init, step)["out"]).alias("o"))
-             .select(*k, F.col("o.island").alias("island"), F.col("o.notified").alias("notified")))
-    return events.join(flags, [*k, "island"])
+    firsts = materialize(events.groupBy(*k, F.col("fired_ms").alias("t")).agg(F.min("island").alias("first_island")))
+    gaps = split_lag(firsts.select(*k, "t"), k, ["t"], day_bucket(F.col("t")), ["t"])
+    seeds = materialize(gaps.filter(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > cooldown_ms)).select(*k, "t"))
+    # latest first; a firing at the very end of a cooldown comes after that end, so it isn't seen from it
+    ends = firsts.select(*k, (-(F.col("t") + cooldown_ms) * 2 - 1).alias("o"), F.lit(None).cast("long").alias("at"), F.col("t").alias("a"))
+    seen = firsts.select(*k, (-F.col("t") * 2).alias("o"), F.col("t").alias("at"), F.lit(None).cast("long").alias("a"))
+    follow = split_ffill(seen.unionByName(ends), "o", F.floor(F.col("o") / (2 * DAY_MS)), "at", "b", keys=k)
+    follow = follow.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(*k, "a", "b")
+    step = materialize(follow.join(seeds.withColumnRenamed("t", "b"), [*k, "b"], "left_anti").select(*k, "a", "b"))
+    steps = []
+    while not step.isEmpty():
+        steps.append(step)
+        further = step.select(*k, F.col("a").alias("b"), F.col("b").alias("c"))
+        step = materialize(step.join(further, [*k, "b"]).select(*k, "a", F.col("c").alias("b")))
+    marked = seeds
+    for step in reversed(steps):
+        reached = marked.withColumnRenamed("t", "a").join(step, [*k, "a"]).select(*k, F.col("b").alias("t"))
+        marked = marked.unionByName(reached)
+        marked = materialize(marked) if len(steps) > 4 else marked
+    marked = marked.withColumn("_marked", F.lit(True))
+    flags = firsts.join(marked, [*k, "t"], "left").withColumnRenamed("t", "fired_ms")
+    notified = F.col("_marked").isNotNull() & (F.col("island") == F.col("first_island"))
+    return events.join(flags, [*k, "fired_ms"]).withColumn("notified", notified).drop("_marked", "first_island")
 
 
 def duration_label(fired_ms: Column, resolved_ms: Column, status: Column) -> Column:

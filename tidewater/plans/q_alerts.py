@@ -11,6 +11,7 @@ from tidewater.plans.fixture_sql import F4, F6_RULES, F7_PG, with_ctes
 from tidewater.plans.registry import query
 from tidewater.session import materialize
 from tidewater.sources import fixtures as fx
+from tidewater.sources.tables import read_table
 
 AS_OF_MS = 1706659200000  # 2024-01-31T00:00:00Z, after every event
 DAY_MS = 86_400_000
@@ -161,6 +162,22 @@ def alert_notify(spark, sf_dir):
     return al.notify_flags(events(spark, sf_dir)).select("rule_id", "island", "fired_ms", "notified")
 
 
+@query("alert_notify_dense", """
+WITH RECURSIVE fired AS (SELECT user_id % 5 AS rule_id, event_id AS island, epoch_us(ts) // 1000 AS fired_ms FROM events),
+fr AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY fired_ms, island) AS k FROM fired),
+nt AS (
+  SELECT rule_id, k, island, fired_ms, true AS notified, fired_ms AS last FROM fr WHERE k = 1
+  UNION ALL
+  SELECT f.rule_id, f.k, f.island, f.fired_ms, (f.fired_ms - n.last) > 1800000, CASE WHEN (f.fired_ms - n.last) > 1800000 THEN f.fired_ms ELSE n.last END
+  FROM nt n JOIN fr f ON f.rule_id = n.rule_id AND f.k = n.k + 1)
+SELECT rule_id, island, fired_ms, notified FROM nt""")
+def alert_notify_dense(spark, sf_dir):
+    """A5 on rules that fire all the time: every event of a fifth of the users is a firing of one rule, most of them
+    within the cooldown of the one before."""
+    fired = read_table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("rule_id"), F.col("event_id").alias("island"), fx.epoch_ms("ts").alias("fired_ms"))
+    return al.notify_flags(fired).select("rule_id", "island", "fired_ms", "notified")
+
+
 def _acks(ev):
     """Ack requests (keyed by event) a user issued 0-60 minutes after firing, for rules with id % 4 = 0."""
     return ev.filter(F.col("rule_id") % 4 == 0).select(
