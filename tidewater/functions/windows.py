@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
 DAY_MS = 86_400_000
 
 
@@ -79,13 +81,17 @@ def split_ffill(df: DataFrame, order: str, bucket: Column, col: str, out: str, k
 def dup_ordinal(df: DataFrame, key: Column, out: str = "_dup") -> DataFrame:
     """1..n among rows sharing ``key`` (e.g. a hash of identical rows) without
     a window over a possibly huge group: number rows inside each (key,
-    input partition), then add the counts of the key's earlier partitions
-    (a small per-(key, partition) table). Which identical row gets which
-    number may vary, the set of numbers per key is always 1..n."""
-    d = df.withColumn("_k", key).withColumn("_pid", F.spark_partition_id())
+    partition), then add the counts of the key's earlier partitions
+    (a small per-(key, partition) table). The rows are written with their
+    partition first (a reliable checkpoint), so the count and the numbering
+    read the same partitions, whatever is planned or run again. Which
+    identical row gets which number may vary, the set of numbers per key is
+    always 1..n. A null key is a key."""
+    d = materialize(df.withColumn("_k", key).withColumn("_pid", F.spark_partition_id()))
     counts = d.groupBy("_k", "_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_k", "_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    offs = counts.select(F.col("_k").alias("_k2"), F.col("_pid").alias("_pid2"), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     local = Window.partitionBy("_k", "_pid").orderBy("_k")
-    return (d.withColumn("_rn", F.row_number().over(local)).join(offs, ["_k", "_pid"])
-            .withColumn(out, F.col("_rn") + F.col("_off")).drop("_k", "_pid", "_rn", "_off"))
+    return (d.withColumn("_rn", F.row_number().over(local))
+            .join(offs, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_pid") == F.col("_pid2")))
+            .withColumn(out, F.col("_rn") + F.col("_off")).drop("_k", "_pid", "_k2", "_pid2", "_rn", "_off"))

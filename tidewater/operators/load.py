@@ -8,7 +8,11 @@ are CASE expressions over those aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -145,3 +149,26 @@ def write_load(rows: DataFrame, bad: Column, error: Column, path: str, ns_cols:
     back = rows.sparkSession.read.parquet(path)
     return back.groupBy(*ns_cols, "status").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                                                  F.max("error").alias("error"))
+
+
+def in_parallel(spark: SparkSession, namespaces: list[str], work: Callable[[str], DataFrame], workers: int = 4) -> DataFrame:
+    """``work(namespace)`` for several namespaces at a time, at most
+    ``workers`` (0 or less: 1), each serial inside and in a scheduler pool of
+    its own, so that small namespaces share the cluster with a large one
+    (under ``spark.scheduler.mode=FAIR``). ``work`` writes and returns its
+    counts (namespace, n_rows). A namespace that throws fails alone; one row
+    per namespace with its status, rows and error, in the given order of
+    ``position``. Only the list of namespaces and their counts are on the driver."""
+    def one(namespace: str) -> tuple[int, str]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"load-{namespace}")
+        try:
+            return sum(r.n_rows for r in work(namespace).collect()), ""
+        except Exception as e:  # noqa: BLE001  (any failure is the namespace's own, and reported)
+            return 0, str(e).strip().split("\n")[0] or type(e).__name__
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(one), namespaces))
+    rows = [(i, name, "failed" if error else "written", n, error or None) for i, (name, (n, error)) in enumerate(zip(namespaces, found, strict=True))]
+    return spark.createDataFrame(rows, "position int, namespace string, status string, n_rows long, error string")

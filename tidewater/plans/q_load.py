@@ -211,3 +211,33 @@ def load_write(spark, sf_dir):
     return load.write_load(rows, F.size("_bad") > 0,
                            F.concat(F.lit("invalid value for "), F.array_join("_bad", ",")),
                            checkpoint_dir(spark, "load_target"), ["database", "coll"])
+
+
+STRICT = "FURNITURE"
+
+
+@query("load_parallel", LOAD_SQL + f"""
+SELECT coll, CASE WHEN coll = '{STRICT}' AND count(*) FILTER (WHERE bad) > 0 THEN 'failed' ELSE 'written' END AS status,
+       CAST(CASE WHEN coll = '{STRICT}' AND count(*) FILTER (WHERE bad) > 0 THEN 0 ELSE count(*) FILTER (WHERE NOT bad) END AS BIGINT) AS n_rows,
+       CASE WHEN coll = '{STRICT}' AND count(*) FILTER (WHERE bad) > 0 THEN 'invalid value for score' END AS error
+FROM d GROUP BY coll""")
+def load_parallel(spark, sf_dir):
+    """The collections loaded side by side, each written to a table of its own; one of them is loaded strictly (its
+    first bad row ends it) and fails without touching the others."""
+    from tidewater.session import checkpoint_dir
+    docs, cols = crm_docs(spark, sf_dir), load_cols(spark, sf_dir)
+    names = sorted(r.coll for r in docs.select("coll").distinct().collect())  # the namespaces to load
+    out = checkpoint_dir(spark, "load_parallel")
+
+    def work(name):
+        rows = mp.map_doc_rows(docs.filter(F.col("coll") == name), cols, "pg", keep=["database", "coll", "doc_id"])
+        error = F.concat(F.lit("invalid value for "), F.array_join("_bad", ","))
+        bad = F.size("_bad") > 0
+        if name == STRICT:
+            bad = F.when(bad, F.raise_error(error).cast("boolean")).otherwise(F.lit(False))
+        counts = load.write_load(rows, bad, error, f"{out}/{name}", ["coll"])
+        return counts.filter(F.col("status") == "written").select(F.col("coll").alias("namespace"), "n_rows")
+
+    found = load.in_parallel(spark, names, work)
+    error = F.regexp_extract("error", "invalid value for \\w+", 0)
+    return found.select(F.col("namespace").alias("coll"), "status", "n_rows", F.when(F.col("error").isNotNull(), F.when(error != "", error).otherwise(F.col("error"))).alias("error"))

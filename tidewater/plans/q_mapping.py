@@ -268,3 +268,17 @@ def map_no_pk(spark, sf_dir):
     ``_id`` (a hash of the row), so re-running the migration gives the same ids."""
     docs, _ = mp.map_sql_to_doc(read_table(spark, sf_dir, "nation"), NATION_COLS, "pg")
     return docs.select(F.get_json_object("doc", "$._id").alias("_id"), F.get_json_object("doc", "$.n_name").alias("n_name"))
+
+
+DUP_COLS = [Col("l_returnflag", "string"), Col("l_linenumber", "int")]
+
+
+@query("map_no_pk_duplicates", """
+SELECT l_returnflag, CAST(l_linenumber AS INTEGER) AS l_linenumber, count(*) AS n_rows, count(*) AS n_ids FROM lineitem GROUP BY 1, 2""")
+def map_no_pk_duplicates(spark, sf_dir):
+    """X10 on a table of few different rows, each there thousands of times: every row has an id of its own."""
+    docs, _ = mp.map_sql_to_doc(read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), DUP_COLS, "pg")
+    each = docs.select(F.get_json_object("doc", "$._id").alias("id"), F.get_json_object("doc", "$.l_returnflag").alias("l_returnflag"),
+                       F.get_json_object("doc", "$.l_linenumber").cast("int").alias("l_linenumber"))
+    each = each.groupBy("l_returnflag", "l_linenumber", "id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("l_returnflag", "l_linenumber").agg(F.sum("n").cast("long").alias("n_rows"), F.count("id").cast("long").alias("n_ids"))
