@@ -416,6 +416,19 @@ def test_secrets_of_any_length(spark):
     assert {r.doc_id: r.text for r in secrets.mask(df).collect()} == {i: t if want is None else want for i, (t, want) in enumerate(texts.items())}
 
 
+def test_secrets_of_hostile_texts_take_linear_time(spark):
+    """Ten million characters of token beginnings, without and with a dot, are read once."""
+    import time
+    runs = ["eyJ" * 3_400_000, "eyJ" * 1_700_000 + "." + "eyJ" * 1_700_000, "ghp_" * 2_000_000]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(runs)], "doc_id long, text string, source string").repartition(3)
+    began = time.time()
+    assert secrets.candidates(df).where("exists(spans, s -> s.kind = 'jwt')").count() == 0
+    assert time.time() - began < 60
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    df = spark.createDataFrame([(1, f"a {token} b", "s"), (2, f"x{token}", "s")], "doc_id long, text string, source string")
+    assert [r.n for r in secrets.candidates(df).selectExpr("doc_id", "size(filter(spans, s -> s.kind = 'jwt')) n").orderBy("doc_id").collect()] == [1, 0]
+
+
 # op8
 
 def brute_components(texts, k, percent):

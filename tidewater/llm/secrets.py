@@ -36,7 +36,8 @@ ADDED = {
     "private_key": (r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?>[\s\S]*?-----)END [A-Z0-9 ]*PRIVATE KEY-----)", 1, 1),
     "github": (r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40),
     "slack": (r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 15),
-    "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 28),
+    # begins where no character of its class stands before, with no way back: a run of them is read once
+    "jwt": (r"((?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 1, 28),
     "google": (r"(AIza[A-Za-z0-9_-]{35})", 1, 39),
     "stripe": (r"([sr]k_live_[A-Za-z0-9]{16,})", 1, 24),
     "bearer": (r"([bB]earer\x20+)([A-Za-z0-9+/_.=-]{20,})", 2, 20),
