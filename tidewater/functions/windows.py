@@ -95,3 +95,26 @@ def dup_ordinal(df: DataFrame, key: Column, out: str = "_dup") -> DataFrame:
     return (d.withColumn("_rn", F.row_number().over(local))
             .join(offs, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_pid") == F.col("_pid2")))
             .withColumn(out, F.col("_rn") + F.col("_off")).drop("_k", "_pid", "_k2", "_pid2", "_rn", "_off"))
+
+
+def row_ordinal(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """1..n per ``keys`` in the order of ``order``, equal to ``row_number`` but
+    without a window over a whole key: the rows are dealt into ranges of
+    (keys, order) and written with their range's number (a reliable
+    checkpoint, so numbering and counts read the same ranges), numbered
+    inside (keys, range), and raised by the rows of the key's earlier ranges
+    (a small table). Rows with equal ``order`` lie in one range; their order
+    is free. Nulls come first, and a null key is a key."""
+    dealt = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    d = materialize(dealt)
+    counts = d.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    offs = counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_range2"),
+                         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_range") == F.col("_range2")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return d.withColumn("_rn", local).join(offs, same).withColumn(out, F.col("_rn") + F.col("_off")) \
+            .drop("_range", "_range2", "_rn", "_off", *names)

@@ -10,6 +10,7 @@ from tidewater.operators.mapping import Col
 from tidewater.plans.fixture_sql import F1_TEXT, F2, with_ctes
 from tidewater.plans.q_mapping import crm_docs, crm_schema
 from tidewater.plans.registry import query
+from tidewater.sources import batch_sink
 from tidewater.sources import fixtures as fx
 from tidewater.sources.tables import read_table
 
@@ -117,18 +118,45 @@ FROM (SELECT 'pg' AS dialect, coll, doc_id // 1000 AS batch_id, bad FROM d
 GROUP BY dialect, coll, batch_id""")
 def load_batch_atomic(spark, sf_dir):
     """S9 (PG COPY, 1000-row batches) and S10 (MySQL, 500-row chunks): a batch
-    or chunk with any bad row writes nothing. Batches are key ranges."""
-    docs = crm_docs(spark, sf_dir)
-    m = F.col("doc").try_cast("map<string,variant>")
-    okc = F.lit(True)
-    for c in load_cols(spark, sf_dir):
-        _, ok = mp.doc_value(m[c.name], F.lit(None).cast("string"), c.type, "pg")
-        okc = okc & ok
-    rows = docs.select("coll", "doc_id", okc.alias("ok"))
-    pg = load.batch_atomic(rows, F.col("ok"), F.floor(F.col("doc_id") / 1000), NS).withColumn("dialect", F.lit("pg"))
-    my = load.batch_atomic(rows, F.col("ok"), F.floor(F.col("doc_id") / 500), NS).withColumn("dialect", F.lit("mysql"))
-    out = pg.unionByName(my)
-    return out.select("dialect", "coll", F.col("batch_id").cast("long").alias("batch_id"), "rows", "bad_rows", "status", "written")
+    or chunk with any bad row writes nothing. Batches are key ranges; what is
+    counted is what landed."""
+    return _landed_batches(spark, sf_dir, lambda rows, size: rows.withColumn("_batch", F.floor(F.col("doc_id") / size)))
+
+
+@query("load_batch_chunks", LOAD_SQL + """,
+b AS (SELECT 'pg' AS dialect, coll, doc_id, bad, (row_number() OVER (PARTITION BY coll ORDER BY doc_id) - 1) // 1000 AS batch_id FROM d
+      UNION ALL SELECT 'mysql', coll, doc_id, bad, (row_number() OVER (PARTITION BY coll ORDER BY doc_id) - 1) // 500 FROM d)
+SELECT dialect, coll, batch_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS bad_rows,
+       CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN 'failed' ELSE 'written' END AS status,
+       CAST(CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN 0 ELSE count(*) END AS BIGINT) AS written
+FROM b GROUP BY dialect, coll, batch_id""")
+def load_batch_chunks(spark, sf_dir):
+    """Full batches of consecutive rows per collection, written
+    batch by batch; a bad row takes its batch with it and no other."""
+    return _landed_batches(spark, sf_dir, lambda rows, size: batch_sink.chunks(rows, NS, "doc_id", size))
+
+
+def _landed_batches(spark, sf_dir, cut):
+    """The load through the batch writer in the batch size of each dialect.
+    A row is bad by the strict conversion of the declared columns, the same
+    for both; counts of rows come from the writer, ``written`` from the files."""
+    from tidewater.session import checkpoint_dir
+    docs, cols = crm_docs(spark, sf_dir), load_cols(spark, sf_dir)
+    rows = mp.map_doc_rows(docs, cols, "pg", keep=["coll", "doc_id"])
+    error = F.when(F.size("_bad") > 0, F.concat(F.lit("invalid value for "), F.array_join("_bad", ",")))
+    rows = rows.withColumn("_why", error)
+    out = None
+    for dialect, size in batch_sink.BATCH_ROWS.items():
+        path = checkpoint_dir(spark, f"load_batches_{dialect}")
+        batch_sink.write_batches(cut(rows, size), F.col("_why"), path, "run-1", NS, F.col("_batch"))
+        told = batch_sink.outcomes(spark, path, rows.select(*NS).schema)
+        found = batch_sink.landed(spark, path, rows.schema).groupBy(*NS, "_batch").agg(F.count(F.lit(1)).alias("written"))
+        part = told.join(found, [*NS, "_batch"], "left").select(
+            F.lit(dialect).alias("dialect"), "coll", F.col("_batch").alias("batch_id"), "rows", "bad_rows",
+            F.when(F.col("bad_rows") > 0, F.lit("failed")).otherwise(F.lit("written")).alias("status"),
+            F.coalesce("written", F.lit(0)).cast("long").alias("written"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("preview_totals", with_ctes(F1_TEXT) + """,
