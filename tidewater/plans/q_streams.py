@@ -4,6 +4,7 @@ batch semantics the stream must reproduce."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.plans import q_alerts, q_cdc
@@ -66,6 +67,49 @@ def cdc_stream_dead_letter(spark, sf_dir):
     return cst.dead_letters(spark, _drained(spark, sf_dir)).select("coll", "key", "op", "pos_hi", "pos_lo", "error")
 
 
+@query("stream_heartbeat", with_ctes(F3, F3_RAW_MONGO) + _NORM_MONGO + """,
+steps AS (SELECT step, row_number() OVER (ORDER BY step) - 1 AS batch_id FROM (SELECT DISTINCT arrival // 1000000000 AS step FROM f3mongo)),
+seen AS (SELECT pos_hi - 1700000000 AS step, count(*) AS events, max(pos_lo) AS last_key FROM ev GROUP BY 1),
+bad AS (SELECT pos_hi - 1700000000 AS step, count(*) AS dead FROM dd WHERE NOT (""" + q_cdc._valid_pred() + """) GROUP BY 1)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(coalesce(events, 0) AS BIGINT) AS events, CAST(coalesce(dead, 0) AS BIGINT) AS dead,
+       CASE WHEN events > 0 THEN step + 1700000000 END AS last_hi, last_key AS last_lo,
+       CAST(sum(coalesce(events, 0)) OVER (ORDER BY batch_id) AS BIGINT) AS total_events
+FROM steps LEFT JOIN seen USING (step) LEFT JOIN bad USING (step)""")
+def stream_heartbeat(spark, sf_dir):
+    """ST5: the heartbeat table of a stream that ends and starts again after
+    every step of the log: a row per micro-batch, whichever run wrote it."""
+    base = checkpoint_dir(spark, "stream_heartbeat")
+    raw = fx.f3_raw_mongo(spark, sf_dir).withColumn("step", F.floor(F.col("arrival") / 1_000_000_000))
+    cst.init_target(spark, f"{base}/target", q_cdc.target(spark, sf_dir), q_cdc.KEY)
+    for step in sorted(r[0] for r in raw.select("step").distinct().collect()):
+        _write_in_order(raw.filter(F.col("step") == step).select("raw", "step"), "step", f"{base}/log", "text")
+        cst.run_cdc_stream(spark, f"{base}/log", f"{base}/target", f"{base}/_checkpoint", q_cdc.KEY, q_cdc.COLUMNS,
+                           q_cdc.ALLOWED, max_files_per_trigger=1_000_000)
+    beats = cst.heartbeats(spark, f"{base}/target")
+    total = F.sum("events").over(Window.orderBy("batch_id"))        # one row per micro-batch
+    return beats.select("batch_id", "events", "dead", F.col("last_position.pos_hi").alias("last_hi"),
+                        F.col("last_position.pos_lo").alias("last_lo"), total.cast("long").alias("total_events"))
+
+
+@query("stream_pause_resume", with_ctes(F3, F3_RAW_MONGO) + _NORM_MONGO + ",\n" + q_cdc.TARGET_SQL + "," + q_cdc._upsert_sql("tgt", "valid")
+       + """
+SELECT * FROM applied""")
+def stream_pause_resume(spark, sf_dir):
+    """C17: the stream runs, is paused after a micro-batch or more, and goes
+    on from there; the table is that of a stream without a pause."""
+    base = checkpoint_dir(spark, "stream_pause")
+    raw = fx.f3_raw_mongo(spark, sf_dir).withColumn("step", F.floor(F.col("arrival") / 1_000_000_000))
+    _write_in_order(raw.select("raw", "step"), "step", f"{base}/log", "text")
+    cst.init_target(spark, f"{base}/target", q_cdc.target(spark, sf_dir), q_cdc.KEY)
+    stream = cst.PausableStream(spark, f"{base}/log", f"{base}/target", f"{base}/_checkpoint", q_cdc.KEY, q_cdc.COLUMNS,
+                                q_cdc.ALLOWED, max_files_per_trigger=16)
+    stream.start()
+    stream.wait_for_batch()
+    stream.pause()
+    stream.drain(resume=True)
+    return cst.read_target(spark, f"{base}/target")
+
+
 @query("alert_stream", q_alerts.EVENTS_SQL + """
 SELECT rule_id, island, started_ms, fired_ms, fired_event_id, round(value, 6) AS value, resolved_ms, status FROM events""")
 def alert_stream(spark, sf_dir):

@@ -14,11 +14,16 @@ a ``_SUCCESS``-style marker only after its files are complete.
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import cdc
+from tidewater.streaming import progress as beats
+
 
 def _versions(spark: SparkSession, target: str) -> list[int]:
     jvm = spark.sparkContext._jvm
@@ -100,12 +105,17 @@ def dead_letters(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}_dead_letter").dropDuplicates(["db", "coll", "key", *cdc.POS])
 
 
-def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str,
-                   columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1,
-                   progress=None):
-    """Drain the change log with ``availableNow`` (or leave running with a
-    processing-time trigger in production); returns the finished query.
-    ``progress`` (a ``ProgressLog``) receives the per-batch heartbeat."""
+class Gate:
+    """``busy`` is held while a micro-batch is applied; none begins once ``shut`` is set."""
+
+    def __init__(self):
+        self.busy, self.shut = threading.Lock(), threading.Event()
+
+
+def _start(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str, columns: dict[str, str],
+           allowed: list[tuple[str, str]], max_files_per_trigger: int, name: str | None, trigger: dict, gate: Gate | None = None):
+    """The stream from the log to the target; each micro-batch leaves its heartbeat in ``<target>_progress``."""
+    gate = gate or Gate()
     if len(allowed) > 1 and not {"db", "coll"} <= set(current_state(spark, target).columns):
         raise ValueError("a target of several namespaces needs the columns db and coll")
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
@@ -113,23 +123,39 @@ def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint:
     ev = cdc.filter_namespaces(cdc.normalise_mongo(raw), allowed)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        with gate.busy:
+            if gate.shut.is_set():
+                raise RuntimeError("paused before the micro-batch began")
+            apply(batch, batch_id)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
         # the micro-batch feeds several joins: read it from the source once
         # (bounded by the trigger size; recomputable from its fixed offsets)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             valid, dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
-            dead.write.mode("overwrite").parquet(f"{target}_dead_letter/batch={batch_id}")
+            dead_path = f"{target}_dead_letter/batch={batch_id}"
+            dead.write.mode("overwrite").parquet(dead_path)
             apply_batch(spark, valid, target, key, columns, batch_id)
+            beats.beat(f"{target}_progress", batch_id, batch, spark.read.schema(dead.schema).parquet(dead_path))
         finally:
             batch.unpersist()
 
+    w = ev.writeStream.queryName(name) if name else ev.writeStream
+    return w.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str,
+                   columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1,
+                   progress=None):
+    """Drain the change log with ``availableNow``; returns the finished
+    query. ``progress`` (a ``ProgressLog``) receives the listener's events;
+    the lasting heartbeat is the table ``heartbeats``."""
     if progress is not None:
         spark.streams.addListener(progress)
     try:
-        w = ev.writeStream
-        if progress is not None and progress.name:
-            w = w.queryName(progress.name)
-        q = w.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = _start(spark, log_path, target, checkpoint, key, columns, allowed, max_files_per_trigger,
+                   progress.name if progress is not None else None, {"availableNow": True})
         q.awaitTermination()
         if progress is not None:
             progress.wait_for(q.lastProgress["batchId"] if q.lastProgress else None)
@@ -137,3 +163,75 @@ def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint:
         if progress is not None:
             spark.streams.removeListener(progress)
     return q
+
+
+def heartbeats(spark: SparkSession, target: str) -> DataFrame:
+    """One row per micro-batch of all runs (see ``progress.heartbeats``)."""
+    return beats.heartbeats(spark, f"{target}_progress")
+
+
+class PausableStream:
+    """C17: a stream that runs until it is paused and goes on where it stood.
+
+    ``start`` runs it with a processing-time trigger; ``pause`` lets the
+    micro-batch under way end, then stops it (a batch that was about to begin
+    is run under its id on resumption); ``drain`` goes on until the log is empty and ends. Each change of status
+    is a row of ``status``, so a new driver sees a paused stream as paused:
+    ``start`` refuses it unless told to resume."""
+
+    def __init__(self, spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str, columns: dict[str, str],
+                 allowed: list[tuple[str, str]], max_files_per_trigger: int = 1):
+        self.spark, self.target, self._query, self._gate = spark, target, None, Gate()
+        self._args = (spark, log_path, target, checkpoint, key, columns, allowed, max_files_per_trigger, None)
+
+    def status(self) -> DataFrame:
+        return beats.status(self.spark, f"{self.target}_status")
+
+    def _now(self) -> str | None:
+        return self.status().agg(F.max_by("status", "seq")).first()[0]
+
+    def _tell(self, new: str) -> None:
+        beats.set_status(self.spark, f"{self.target}_status", new, self.last_batch())
+
+    def last_batch(self) -> int | None:
+        """The last micro-batch that is published in the target."""
+        vs = _versions(self.spark, self.target)
+        return vs[-1] - 1 if vs and vs[-1] > 0 else None
+
+    def start(self, resume: bool = False, every: str = "1 second") -> None:
+        self._begin(resume, {"processingTime": every})
+
+    def _begin(self, resume: bool, trigger: dict) -> None:
+        if self._query is not None and self._query.isActive:
+            raise RuntimeError("the stream is running")
+        if self._now() == "paused" and not resume:
+            raise RuntimeError("the stream is paused")
+        self._tell("running")
+        self._gate = Gate()
+        self._query = _start(*self._args, trigger, self._gate)
+
+    def pause(self) -> None:
+        """A second pause changes nothing."""
+        if self._query is not None:
+            self._gate.shut.set()
+            with self._gate.busy:
+                pass
+            self._query.stop()
+            self._query = None
+        if self._now() != "paused":
+            self._tell("paused")
+
+    def drain(self, resume: bool = False) -> None:
+        self._begin(resume, {"availableNow": True})
+        self._query.awaitTermination()
+        self._query = None
+        self._tell("finished")
+
+    def wait_for_batch(self, timeout_s: float = 300.0) -> bool:
+        """True once a micro-batch is published."""
+        end = time.monotonic() + timeout_s
+        while self.last_batch() is None and time.monotonic() < end:
+            if self._query is not None and self._query.exception() is not None:
+                raise self._query.exception()
+            time.sleep(0.1)
+        return self.last_batch() is not None

@@ -1,10 +1,60 @@
-"""Stream heartbeat (2.15): Structured Streaming's own progress events,
-collected by a listener (batch id, input rows, processed rate, duration)."""
+"""Stream heartbeat (2.15) and pause (C17).
+
+``ProgressLog``: Structured Streaming's own progress events of a running
+query, collected by a listener (batch id, input rows, rate, duration); they
+are gone with the driver. ``beat`` / ``heartbeats``: one row per micro-batch
+in a table beside the target, written under its batch id before the batch is
+committed, so a batch that runs again replaces its row and a restarted stream
+finds all earlier ones. ``set_status`` / ``status``: running, paused,
+finished, one row per change.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from tidewater.operators import cdc
+
+STATUS = "seq long, status string, batch_id long, at timestamp"
+
+
+def beat(path: str, batch_id: int, events: DataFrame, dead: DataFrame) -> None:
+    """Write the batch's row: events read, poison events among them, and the position of the last event."""
+    n = events.agg(F.count(F.lit(1)).cast("long").alias("events"), F.max(F.struct(*cdc.POS)).alias("last_position"))
+    row = n.join(dead.agg(F.count(F.lit(1)).cast("long").alias("dead")))     # one row beside one row
+    row.select("events", "dead", "last_position", F.current_timestamp().alias("at")).coalesce(1) \
+       .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def heartbeats(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of all runs of the stream, once each: batch_id, events, dead, last_position, at."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumnRenamed("batch", "batch_id") \
+                .withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def _last_seq(spark: SparkSession, path: str) -> int:
+    found = status(spark, path).agg(F.max("seq")).first()[0]
+    return -1 if found is None else found
+
+
+def set_status(spark: SparkSession, path: str, new: str, batch_id: int | None) -> None:
+    """Append a change of status; one stream has one driver, which is its only writer."""
+    row = spark.createDataFrame([(_last_seq(spark, path) + 1, new, batch_id)], "seq long, status string, batch_id long")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def status(spark: SparkSession, path: str) -> DataFrame:
+    """The changes of status in order of ``seq`` (empty before the first)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(STATUS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATUS)
+
 
 class ProgressLog(StreamingQueryListener):
     """Keeps one small record per finished micro-batch of the watched query."""
