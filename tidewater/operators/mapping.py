@@ -126,6 +126,9 @@ def doc_value(v: Column, raw_json: Column, ctype: str, dialect: str) -> tuple[Co
         b64 = F.coalesce(F.try_variant_get(v, "$['$binary'].base64", "string"),
                          F.try_variant_get(v, "$['$binary']", "string"), s)
         out = F.try_to_binary(b64, F.lit("base64"))
+        if dialect == "pg":      # what holds no bytes is stored as its JSON (see value_warning)
+            bytes_ = F.when(_holds_bytes(v), F.try_to_binary(_base64_of(v), F.lit("base64")))
+            return F.when(present, F.coalesce(bytes_, F.encode(raw_json, "UTF-8"))), F.lit(True)
         return out, ~present | out.isNotNull()
     if ctype == "objectid":
         return F.coalesce(oid, s), F.lit(True)
@@ -134,12 +137,30 @@ def doc_value(v: Column, raw_json: Column, ctype: str, dialect: str) -> tuple[Co
     raise ValueError(f"unknown canonical type {ctype}")
 
 
-def object_warning(v: Column, ctype: str, dialect: str) -> Column:
-    """``object_to_json`` (MySQL) when an object/array lands in a text column."""
+def _base64_of(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$['$binary'].base64", "string"), F.try_variant_get(v, "$['$binary']", "string"))
+
+
+def _holds_bytes(v: Column) -> Column:
+    return F.try_to_binary(_base64_of(v), F.lit("base64")).isNotNull()
+
+
+def value_warning(v: Column, raw_json: Column, ctype: str, dialect: str) -> Column:
+    """The warning code of one document value, or null: ``object_to_json``
+    (MySQL) when an object/array lands in a text column, ``binary_coerce_failed``
+    (PG) when a value for a binary column holds no bytes and its JSON is
+    stored, ``json_stringify_failed`` when a present value has no JSON text
+    and the column stays null."""
+    st = F.schema_of_variant(v)
+    present = v.isNotNull() & (st != "VOID")
+    code = F.lit(None).cast("string")
     if dialect == "mysql" and ctype in ("string", "mixed", "unknown", "null"):
-        st = F.schema_of_variant(v)
-        return (st.startswith("OBJECT") | st.startswith("ARRAY")) & ~_tag(st, "$oid")
-    return F.lit(False)
+        code = F.when((st.startswith("OBJECT") | st.startswith("ARRAY")) & ~_tag(st, "$oid"), F.lit("object_to_json"))
+    elif dialect == "pg" and ctype == "binary":
+        code = F.when(present & ~_holds_bytes(v), F.lit("binary_coerce_failed"))
+    elif ctype in ("json", "jsonb", "array"):
+        code = F.when(present & raw_json.isNull(), F.lit("json_stringify_failed"))
+    return code
 
 
 def map_doc_rows(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc",
@@ -160,8 +181,8 @@ def map_doc_rows(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc
         val, ok = doc_value(v, raw, c.type, dialect)
         vals.append(val.alias(n))
         oks.append(F.when(~ok, F.lit(n)))
-        w = object_warning(v, c.type, dialect)
-        warns.append(F.when(w, F.struct(F.lit(n).alias("column"), F.lit("object_to_json").alias("code"))))
+        code = value_warning(v, raw, c.type, dialect)
+        warns.append(F.when(code.isNotNull(), F.struct(F.lit(n).alias("column"), code.alias("code"))))
     return stage.select(*keep, *vals, F.array_compact(F.array(*oks)).alias("_bad"),
                         F.array_compact(F.array(*warns)).alias("_warn"))
 
@@ -202,6 +223,60 @@ def json_literal(x: Column) -> Column:
     return js.substr(F.lit(2), F.length(js) - 2)
 
 
+MIXED = ("mixed", "unknown", "null", "time")
+# fixed values: the digits a Decimal128 holds, and the text forms of a number it reads
+DECIMAL128_DIGITS = 34
+DECIMAL128 = r"(?i)^[+-]?(nan|inf(inity)?|(\d++(\.\d*+)?|\.\d++)(e[+-]?\d{1,4})?)$"
+
+
+def is_decimal128(text: Column) -> Column:
+    """The text is a number that a Decimal128 holds without rounding."""
+    mantissa = F.regexp_replace(F.regexp_replace(text, "(?i)e.*$", ""), "[^0-9]", "")
+    digits = F.length(F.regexp_replace(F.regexp_replace(mantissa, "^0++", ""), "0++$", ""))
+    return text.rlike(DECIMAL128) & (digits <= DECIMAL128_DIGITS)
+
+
+def nested(kind: str) -> bool:
+    return kind.startswith(("struct", "array", "map", "variant"))
+
+
+def sql_doc_warning(x: Column, kind: str, ctype: str, source: str) -> Column:
+    """The warning code of one SQL value (of Spark type ``kind``) on its way
+    into a document, or null: ``long_coerce_failed`` / ``decimal_coerce_failed``
+    (the value is kept as text; also from MySQL, where the reference ends the
+    run), ``mixed_to_subdoc`` (from MySQL: an object in a column of no one type)."""
+    if ctype == "long" and kind == "string":
+        return F.when(x.isNotNull() & x.try_cast("bigint").isNull(), F.lit("long_coerce_failed"))
+    if ctype == "decimal":
+        return F.when(x.isNotNull() & ~is_decimal128(x.cast("string")), F.lit("decimal_coerce_failed"))
+    if source == "mysql" and ctype in MIXED and nested(kind):
+        some = x.isNotNull()
+        if kind == "variant":
+            some = F.schema_of_variant(x).startswith("OBJECT") | F.schema_of_variant(x).startswith("ARRAY")
+        return F.when(some, F.lit("mixed_to_subdoc"))
+    return F.lit(None).cast("string")
+
+
+def sql_sql_warning(x: Column, kind: str, ctype: str) -> Column:
+    """``json_stringify_failed``: text in a JSON column that is no JSON; the
+    destination's JSON column would refuse it, so it becomes null."""
+    if ctype in ("json", "jsonb", "array") and kind == "string":
+        return F.when(x.isNotNull() & F.try_parse_json(x).isNull(), F.lit("json_stringify_failed"))
+    return F.lit(None).cast("string")
+
+
+def row_warnings(df: DataFrame, cols: list[Col], source: str, dest: str) -> DataFrame:
+    """Warnings of mapping SQL rows to documents (``dest`` "doc") or to the
+    other SQL engine: (code, column, n_rows), from one pass over the rows."""
+    kinds = dict(df.dtypes)
+    codes = []
+    for c in cols:
+        x = F.col(c.name)
+        code = sql_doc_warning(x, kinds[c.name], c.type, source) if dest == "doc" else sql_sql_warning(x, kinds[c.name], c.type)
+        codes.append(F.when(code.isNotNull(), F.struct(F.lit(c.name).alias("column"), code.alias("code"))))
+    return warning_counts(df.select(F.explode(F.array_compact(F.array(*codes))).alias("w")).select("w.*"))
+
+
 def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFrame, DataFrame]:
     """X3 (pg -> doc), X4 (mysql -> doc), X8-X11. Returns (documents with
     ``_id`` and JSON text ``doc``, warnings). Single PK -> ``_id`` (native
@@ -213,14 +288,21 @@ def map_sql_to_doc(df: DataFrame, cols: list[Col], source: str) -> tuple[DataFra
     pks = [c for c in cols if c.primary_key]
     names = [c.name for c in cols]
 
+    kinds = dict(df.dtypes)
+
     def conv(c: Col) -> Column:
         x = F.col(c.name)
         if c.type == "long":
-            return F.when(x.between(-2147483648, 2147483647), json_literal(x)) \
-                    .otherwise(F.concat(F.lit('{"$numberLong":"'), x.cast("string"), F.lit('"}')))
+            n = x.try_cast("bigint") if kinds[c.name] == "string" else x
+            long_ = F.when(n.between(-2147483648, 2147483647), json_literal(n)) \
+                     .when(n.isNotNull(), F.concat(F.lit('{"$numberLong":"'), n.cast("string"), F.lit('"}')))
+            return F.coalesce(long_, json_literal(x.cast("string"))) if kinds[c.name] == "string" else long_
         if c.type == "decimal":
             t = x.cast("string")
-            return F.when(x.isNotNull(), F.concat(F.lit('{"$numberDecimal":"'), t, F.lit('"}')))
+            return F.when(is_decimal128(t), F.concat(F.lit('{"$numberDecimal":"'), t, F.lit('"}'))) \
+                    .when(x.isNotNull(), json_literal(t))
+        if c.type in MIXED and nested(kinds[c.name]):
+            return F.to_json(x)
         if c.type == "boolean":
             b = (x.cast("double") != 0) if source == "mysql" else x.cast("boolean")
             return F.when(b, F.lit("true")).when(~b, F.lit("false"))
@@ -272,6 +354,7 @@ def map_sql_to_sql(df: DataFrame, cols: list[Col], source: str, dest: str) -> Da
     timestamps -> ISO text. X7 (same engine): identity. Names cleaned for
     the destination everywhere."""
     names = dedup_names([_clean_py(c.name, dest) for c in cols])
+    kinds = dict(df.dtypes)
     out = []
     for c, n in zip(cols, names):
         x = F.col(c.name)
@@ -281,6 +364,8 @@ def map_sql_to_sql(df: DataFrame, cols: list[Col], source: str, dest: str) -> Da
             e = x.cast("boolean").cast("int") if dest == "mysql" else (x.cast("double") != 0)
         elif c.type in ("json", "jsonb", "array"):
             e = x.cast("string")
+            if kinds[c.name] == "string":    # text that is no JSON: null and a warning
+                e = F.when(sql_sql_warning(x, "string", c.type).isNull(), e)
         elif c.type == "date" and dest == "pg":
             e = F.substring(x.cast("string"), 1, 10)
         elif c.type == "timestamp" and dest == "pg":

@@ -234,6 +234,91 @@ def coercion_warnings(spark, sf_dir):
     return warnings
 
 
+LEDGER_COLS = [Col("id", "long", True), Col("big", "long"), Col("amount", "decimal"), Col("note", "json"), Col("extra", "mixed")]
+LEDGER_SQL = """
+WITH src AS (
+  SELECT o_orderkey AS id,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'x' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 5 = 0 THEN NULL
+              WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey + 3000000000 AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS big,
+         CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' WHEN o_orderkey % 19 = 0 THEN repeat('7', 35) WHEN o_orderkey % 3 = 0 THEN NULL
+              ELSE CAST(o_custkey AS VARCHAR) || '.50' END AS amount,
+         CASE WHEN o_orderkey % 11 = 0 THEN '{broken' WHEN o_orderkey % 7 = 0 THEN NULL
+              ELSE '{"s":"' || o_orderstatus || '"}' END AS note,
+         CASE WHEN o_orderkey % 4 <> 0 THEN '{"c":' || CAST(o_custkey AS VARCHAR) || '}' END AS extra
+  FROM orders
+)"""
+
+
+def ledger(spark, sf_dir):
+    """A SQL source over ``orders`` whose drivers hand big integers and decimals over as text, some of it no number; a JSON
+    column with some broken text; a column of no one type that holds objects."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    return o.select(
+        k.cast("long").alias("id"),
+        F.when(k % 13 == 0, F.concat(F.lit("x"), text)).when(k % 5 == 0, F.lit(None).cast("string"))
+         .when(k % 2 == 0, (k + 3000000000).cast("string")).otherwise(text).alias("big"),
+        F.when(k % 17 == 0, F.lit("n/a")).when(k % 19 == 0, F.repeat(F.lit("7"), 35)).when(k % 3 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".50"))).alias("amount"),
+        F.when(k % 11 == 0, F.lit("{broken")).when(k % 7 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit('{"s":"'), F.col("o_orderstatus"), F.lit('"}'))).alias("note"),
+        F.when(k % 4 != 0, F.struct(F.col("o_custkey").alias("c"))).alias("extra"))
+
+
+_LEDGER_BAD = {
+    "long_coerce_failed": ("big", "id % 13 = 0"),
+    "decimal_coerce_failed": ("amount", "amount = 'n/a' OR length(amount) = 35"),
+    "mixed_to_subdoc": ("extra", "extra IS NOT NULL"),
+    "json_stringify_failed": ("note", "note = '{broken'"),
+    "binary_coerce_failed": ("note", "note IS NOT NULL"),
+}
+
+
+def _ledger_warnings(direction: str, codes: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{direction}' AS direction, '{c}' AS code, '{_LEDGER_BAD[c][0]}' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows "
+        f"FROM src WHERE {_LEDGER_BAD[c][1]} HAVING count(*) > 0" for c in codes)
+
+
+@query("coercion_codes", LEDGER_SQL + " UNION ALL ".join([
+    _ledger_warnings("pg-doc", ["long_coerce_failed", "decimal_coerce_failed"]),
+    _ledger_warnings("mysql-doc", ["long_coerce_failed", "decimal_coerce_failed", "mixed_to_subdoc"]),
+    _ledger_warnings("pg-mysql", ["json_stringify_failed"]), _ledger_warnings("mysql-pg", ["json_stringify_failed"]),
+    _ledger_warnings("doc-pg", ["binary_coerce_failed"])]))
+def coercion_codes(spark, sf_dir):
+    """The other five row warnings, by direction: numbers that do not parse,
+    objects in columns of no one type, broken JSON, and text declared binary."""
+    src = ledger(spark, sf_dir)
+    docs = src.select("id", F.to_json(F.struct("id", "note")).alias("doc_text")).withColumn("doc", F.parse_json("doc_text"))
+    parts = {
+        "pg-doc": mp.row_warnings(src, LEDGER_COLS, "pg", "doc"), "mysql-doc": mp.row_warnings(src, LEDGER_COLS, "mysql", "doc"),
+        "pg-mysql": mp.row_warnings(src, LEDGER_COLS, "pg", "mysql"), "mysql-pg": mp.row_warnings(src, LEDGER_COLS, "mysql", "pg"),
+        "doc-pg": mp.map_doc_to_sql(docs, [Col("id", "long"), Col("note", "binary")], "pg")[2]}
+    out = None
+    for direction, w in parts.items():
+        w = w.select(F.lit(direction).alias("direction"), "code", "column", "n_rows")
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+def _number(limit: str) -> str:
+    return f"CASE WHEN big IS NULL THEN 'null' WHEN id % 13 = 0 THEN '\"' || big || '\"' WHEN {limit} THEN '{{\"$numberLong\":\"' || big || '\"}}' ELSE big END"
+
+
+@query("map_coerced_docs", LEDGER_SQL + """
+SELECT id, '{"_id":' || CAST(id AS VARCHAR) || ',"big":' || """ + _number("CAST(big AS BIGINT) > 2147483647") + """
+  || ',"amount":' || CASE WHEN amount IS NULL THEN 'null' WHEN amount = 'n/a' OR length(amount) = 35 THEN '"' || amount || '"'
+                          ELSE '{"$numberDecimal":"' || amount || '"}' END
+  || ',"note":' || CASE WHEN note IS NULL THEN 'null' WHEN note = '{broken' THEN '"{broken"' ELSE note END
+  || ',"extra":' || coalesce(extra, 'null') || '}' AS doc
+FROM src""")
+def map_coerced_docs(spark, sf_dir):
+    """Whole documents, with the values that did not convert kept as text."""
+    docs, _ = mp.map_sql_to_doc(ledger(spark, sf_dir), LEDGER_COLS, "pg")
+    return docs.select(F.col("_id").cast("long").alias("id"), "doc")
+
+
 @query("cdc_mapped", with_ctes(F3, F3_RAW_MONGO) + """,
 n AS (
   SELECT CASE WHEN t IN ('insert', 'replace') THEN 'insert' WHEN t = 'update' THEN 'update' WHEN t = 'delete' THEN 'delete' END AS op,
