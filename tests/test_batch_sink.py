@@ -75,3 +75,13 @@ def test_row_ordinal_equals_row_number(spark):
     got = row_ordinal(rows.repartition(7), ["k"], "o", "n").groupBy("k", "o").agg(F.sort_array(F.collect_list("n")).alias("n")).collect()
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o"))).groupBy("k", "o").agg(F.sort_array(F.collect_list("n")).alias("n")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_an_appended_run_counts_its_own_rows(spark):
+    from tidewater.operators import load
+    path = checkpoint_dir(spark, "runs")
+    rows = spark.range(10).select("id", F.lit("a").alias("ns"))
+    for n, run in ((10, "7"), (4, "8")):
+        got = load.write_load(rows.limit(n), F.col("id") == 3, F.lit("bad"), path, ["ns"], mode="append", run_id=run)
+        assert sorted((r.status, r.n_rows, r.error) for r in got.collect()) == [("rejected", 1, "bad"), ("written", n - 1, None)]
+    assert spark.read.parquet(path).count() == 14

@@ -8,6 +8,7 @@ are CASE expressions over those aggregates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -135,18 +136,20 @@ def reconcile(source: DataFrame, target: DataFrame, ns_cols: list[str], key: str
 
 
 def write_load(rows: DataFrame, bad: Column, error: Column, path: str, ns_cols: list[str],
-               mode: str = "overwrite") -> DataFrame:
+               mode: str = "overwrite", run_id: str | None = None) -> DataFrame:
     """S9/S12 sink: one distributed write of the mapped rows, partitioned by
     status (``written`` rows, ``rejected`` rows with their error), so valid
     rows and rejects come from a single pass; ``overwrite`` is
-    drop-and-create, ``append`` create-if-missing. Returns the per-namespace
-    counts read back from the written files (partition pruning, no rescan of
-    the source)."""
+    drop-and-create, ``append`` create-if-missing. Rows carry their run
+    (``run_id``, by default a new one). Returns the per-namespace counts of
+    this run read back from the written files (partition pruning, no rescan
+    of the source)."""
+    run_id = run_id or uuid.uuid4().hex
     out = rows.withColumn("status", F.when(bad, F.lit("rejected")).otherwise(F.lit("written"))) \
               .withColumn("error", F.when(bad, error))
     out = out.drop(*[c for c in out.columns if c.startswith("_")])     # working columns stay behind
-    out.write.mode(mode).partitionBy("status").parquet(path)
-    back = rows.sparkSession.read.parquet(path)
+    out.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id", "status").parquet(path)
+    back = rows.sparkSession.read.parquet(path).filter(F.col("run_id") == run_id)
     return back.groupBy(*ns_cols, "status").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                                                  F.max("error").alias("error"))
 

@@ -108,10 +108,17 @@ def replica_lag(members: DataFrame, set_col: str = "set_id", ts_col: str = "samp
                     F.col("members").cast("long").alias("members"))
 
 
+def _known(ops: DataFrame, name: str, other: Column | None = None) -> Column:
+    """A column that not every server reports: ``other`` (or null) where it is null or absent."""
+    x = F.col(name) if name in ops.columns else F.lit(None).cast("string" if other is None else ops.select(other).schema[0].dataType)
+    return x if other is None else F.coalesce(x, other)
+
+
 def current_ops(ops: DataFrame, ns_contains: str | None = None, op_equals: str | None = None,
                 min_ms: float = 0) -> DataFrame:
     """M6/M7: running operations minus system namespaces and idle no-ns ops;
-    duration = microseconds/1000 when positive, else seconds*1000; then the
+    duration = microseconds/1000 when positive, else seconds*1000; ``type`` is
+    the description if the server names none; then the
     optional user filters (each skipped when empty)."""
     ns = F.coalesce(F.col("ns"), F.lit(""))
     keep = F.lit(True)
@@ -127,7 +134,11 @@ def current_ops(ops: DataFrame, ns_contains: str | None = None, op_equals: str |
         d = d.filter(F.col("op") == op_equals)
     if min_ms > 0:
         d = d.filter(F.col("duration_ms") >= min_ms)
-    return d.select("op_id", "ns", "op", F.round("duration_ms", 3).alias("duration_ms"))
+    return d.select("op_id", "ns", "op", F.round("duration_ms", 3).alias("duration_ms"),
+                    _known(ops, "type", _known(ops, "desc", F.lit("op"))).alias("type"),
+                    _known(ops, "client", F.lit("")).alias("client"), _known(ops, "desc", F.lit("")).alias("desc"),
+                    _known(ops, "waiting_for_lock", F.lit(False)).alias("waiting_for_lock"),
+                    _known(ops, "command").alias("query"), _known(ops, "plan_summary").alias("plan_summary"))
 
 
 def slow_queries(ops: DataFrame, threshold_ms: float = 100, per_db: int = 50, top: int = 100) -> DataFrame:
@@ -138,7 +149,10 @@ def slow_queries(ops: DataFrame, threshold_ms: float = 100, per_db: int = 50, to
     w = Window.partitionBy("db").orderBy(F.col("ts_ms").desc(), F.col("op_id").desc())
     d = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_db)
     return (d.select("op_id", "db", F.coalesce("ns", F.concat("db", F.lit(".?"))).alias("ns"), "op",
-                     F.col("millis").alias("duration_ms"), "ts_ms")
+                     F.col("millis").alias("duration_ms"), "ts_ms",
+                     *[_known(ops, n, F.lit(0).cast("long")).alias(as_) for n, as_ in
+                       (("keys_examined", "keys_examined"), ("docs_examined", "docs_examined"), ("nreturned", "docs_returned"))],
+                     _known(ops, "command", F.lit("{}")).alias("query"), _known(ops, "plan_summary", F.lit("")).alias("plan_summary"))
             .orderBy(F.col("ts_ms").desc(), F.col("op_id").desc()).limit(top))
 
 

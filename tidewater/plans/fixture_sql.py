@@ -193,7 +193,14 @@ f5 AS (
            || CASE WHEN event_id % 5 = 0 THEN ',"$comment":"probe"' ELSE '' END || '}}' AS command,
          event_type <> 'view' AS active,
          CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE round(value * 1000) END AS BIGINT) AS microsecs_running,
-         CAST(floor(value / 100) AS BIGINT) AS secs_running
+         CAST(floor(value / 100) AS BIGINT) AS secs_running,
+         CASE WHEN event_id % 7 <> 0 THEN 'conn' || CAST(user_id AS VARCHAR) END AS "desc",
+         CASE WHEN event_id % 9 <> 0 THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR) || ':27017' END AS client,
+         event_id % 31 = 0 AS waiting_for_lock,
+         CASE WHEN event_id % 2 = 0 THEN 'COLLSCAN' WHEN event_id % 5 <> 0 THEN 'IXSCAN { k: 1 }' END AS plan_summary,
+         CASE WHEN event_id % 5 <> 0 THEN CAST(floor(value) AS BIGINT) END AS keys_examined,
+         CAST(floor(value * 10) AS BIGINT) AS docs_examined,
+         CASE WHEN event_id % 4 <> 0 THEN CAST(user_id % 100 AS BIGINT) END AS nreturned
   FROM (SELECT *, CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'db' || CAST(user_id % 10 AS VARCHAR) END AS db
         FROM events)
 )"""

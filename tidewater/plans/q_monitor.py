@@ -111,8 +111,10 @@ def _ops_with_state(spark, sf_dir):
 
 
 @query("current_ops", with_ctes(F5) + """
-SELECT op_id, ns, op, round(duration_ms, 3) AS duration_ms FROM (
-  SELECT op_id, coalesce(ns, '') AS ns, CASE WHEN active THEN op ELSE 'none' END AS op,
+SELECT op_id, ns, op, round(duration_ms, 3) AS duration_ms, coalesce("desc", 'op') AS type, coalesce(client, '') AS client,
+       coalesce("desc", '') AS "desc", waiting_for_lock, command AS query, plan_summary
+FROM (
+  SELECT * REPLACE (coalesce(ns, '') AS ns, CASE WHEN active THEN op ELSE 'none' END AS op),
          CASE WHEN microsecs_running > 0 THEN microsecs_running / 1000.0 ELSE secs_running * 1000.0 END AS duration_ms
   FROM f5)
 WHERE NOT (starts_with(ns, 'admin.') OR starts_with(ns, 'local.') OR starts_with(ns, 'config.'))
@@ -124,14 +126,15 @@ def current_ops(spark, sf_dir):
 
 _SLOW_SQL = with_ctes(F5) + """,
 s AS (
-  SELECT op_id, db, coalesce(ns, db || '.?') AS ns, op, millis AS duration_ms, ts_ms,
+  SELECT op_id, db, coalesce(ns, db || '.?') AS ns, op, millis AS duration_ms, ts_ms, coalesce(keys_examined, 0) AS keys_examined,
+         docs_examined, coalesce(nreturned, 0) AS docs_returned, command AS query, coalesce(plan_summary, '') AS plan_summary,
          row_number() OVER (PARTITION BY db ORDER BY ts_ms DESC, op_id DESC) AS rn
   FROM f5 WHERE db NOT IN ('admin', 'local', 'config') AND millis >= 100
 )"""
 
 
 @query("slow_queries", _SLOW_SQL + """
-SELECT op_id, db, ns, op, duration_ms, ts_ms FROM s WHERE rn <= 50 ORDER BY ts_ms DESC, op_id DESC LIMIT 100""")
+SELECT op_id, db, ns, op, duration_ms, ts_ms, keys_examined, docs_examined, docs_returned, query, plan_summary FROM s WHERE rn <= 50 ORDER BY ts_ms DESC, op_id DESC LIMIT 100""")
 def slow_queries(spark, sf_dir):
     return mon.slow_queries(fx.f5_oplog(spark, sf_dir))
 

@@ -35,10 +35,9 @@ def doc_scan(spark, sf_dir):
 
 # ---- S2 -------------------------------------------------------------------------
 @query("table_scan", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT * FROM orders""")
 def table_scan(spark, sf_dir):
-    return read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return read_table(spark, sf_dir, "orders")
 
 
 # ---- S3 -------------------------------------------------------------------------

@@ -107,12 +107,11 @@ def snapshot_write(spark, sf_dir):
 
 
 @query("snapshot_restore", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT * FROM orders""")
 def snapshot_restore(spark, sf_dir):
     """Write two snapshots, restore one (partition-pruned read) over a target."""
     base = checkpoint_dir(spark, "snapshots")
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                                   "o_orderpriority")
+    o = read_table(spark, sf_dir, "orders")
     sinks.snapshot_write(o, base, "run-1").collect()
     sinks.snapshot_write(o.filter(F.col("o_orderkey") % 2 == 0), base, "run-2").collect()
     return sinks.snapshot_restore(spark, base, "run-1", checkpoint_dir(spark, "restore_target"))

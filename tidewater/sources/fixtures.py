@@ -292,6 +292,13 @@ def f5_oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 3 == 0, F.lit(0)).otherwise(F.round(F.col("value") * 1000)).cast("long")
          .alias("microsecs_running"),
         F.floor(F.col("value") / 100).cast("long").alias("secs_running"),
+        F.when(eid % 7 != 0, F.concat(F.lit("conn"), _s(u))).alias("desc"),
+        F.when(eid % 9 != 0, F.concat(F.lit("10.0.0."), _s(u % 250), F.lit(":27017"))).alias("client"),
+        (eid % 31 == 0).alias("waiting_for_lock"),
+        F.when(eid % 2 == 0, F.lit("COLLSCAN")).when(eid % 5 != 0, F.lit("IXSCAN { k: 1 }")).alias("plan_summary"),
+        F.when(eid % 5 != 0, F.floor(F.col("value")).cast("long")).alias("keys_examined"),
+        F.floor(F.col("value") * 10).cast("long").alias("docs_examined"),
+        F.when(eid % 4 != 0, u % 100).cast("long").alias("nreturned"),
     )
 
 

@@ -22,9 +22,11 @@ STATUS = "seq long, status string, batch_id long, at timestamp"
 
 def beat(path: str, batch_id: int, events: DataFrame, dead: DataFrame) -> None:
     """Write the batch's row: events read, poison events among them, and the position of the last event."""
-    n = events.agg(F.count(F.lit(1)).cast("long").alias("events"), F.max(F.struct(*cdc.POS)).alias("last_position"))
-    row = n.join(dead.agg(F.count(F.lit(1)).cast("long").alias("dead")))     # one row beside one row
-    row.select("events", "dead", "last_position", F.current_timestamp().alias("at")).coalesce(1) \
+    position = F.struct(*cdc.POS)
+    both = events.select(position.alias("p"), F.lit(0).alias("dead")).unionByName(dead.select(position.alias("p"), F.lit(1).alias("dead")))
+    row = both.agg(F.count_if(F.col("dead") == 0).cast("long").alias("events"), F.count_if(F.col("dead") == 1).cast("long").alias("dead"),
+                   F.max("p").alias("last_position"))
+    row.withColumn("at", F.current_timestamp()).coalesce(1) \
        .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
