@@ -51,3 +51,8 @@ def test_rate_window_is_not_partitioned_by_connection_alone(spark):
     for line in plan.splitlines():
         if "RangeFrame" in line and "Window [" in line:
             assert "_b" in line          # (connection, day) partitions with a halo, not (connection)
+
+
+@pytest.mark.parametrize("name", ["cdc_norm_mysql", "op_rates", "rate_1m"])
+def test_prefix_scans_leave_no_stage_with_all_rows_in_one_partition(spark, name):
+    assert "SinglePartition" not in _plan(spark, name)

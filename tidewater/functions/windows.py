@@ -97,24 +97,77 @@ def dup_ordinal(df: DataFrame, key: Column, out: str = "_dup") -> DataFrame:
             .withColumn(out, F.col("_rn") + F.col("_off")).drop("_k", "_pid", "_k2", "_pid2", "_rn", "_off"))
 
 
+def _ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows dealt into ranges of (keys, order) of about equal size and
+    written with their range's number (a reliable checkpoint, so all that
+    reads them sees the same ranges). The input is read once. A key's rows,
+    however dense in time, are spread over as many ranges as they fill."""
+    return materialize(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _with_carry(d: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its (keys, range)'s row of ``carry`` (a small table), if there is one; a null key is a key."""
+    names = {k: f"_k{i}" for i, k in enumerate(keys)} | {"_range": "_range2"}
+    right = carry.select(*[F.col(c).alias(names.get(c, c)) for c in carry.columns])
+    same = F.col("_range") == F.col("_range2")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    return d.join(right, same, "left").drop(*names.values())
+
+
+def range_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
+    """``lag(col)`` over ``partition by keys order by order``: the lag inside
+    each (keys, range), and for a range's first row the last row of the key's
+    range before, from a table of one row per (key, range). ``order`` tells
+    all rows of a key apart."""
+    d = _ranges(df, keys, order)
+    w = Window.partitionBy(*keys, "_range").orderBy(*order)
+    rows = d.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols], (F.row_number().over(w) == 1).alias("_first"))
+    last = d.groupBy(*keys, "_range").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    carry = last.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_before"))
+    rows = _with_carry(rows, carry, keys)
+    return rows.select(*df.columns, *[F.when(F.col("_first"), F.col("_before")[c]).otherwise(F.col(prefix + c)).alias(prefix + c) for c in cols])
+
+
+# levels of the tree of ranges in range_ffill: 2 ** 20 ranges at most, far beyond any number of partitions
+LEVELS = 20
+
+
+def range_ffill(df: DataFrame, order: str, col: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """``last(col, ignoreNulls)`` carried forward in ``order``, also without a
+    key: filled inside each range, then seeded with the last value before it.
+    Ranges are leaves of a binary tree: each range's last value goes up to
+    its ancestors, and the ranges before one are at most ``LEVELS`` whole
+    subtrees, whose latest value is its seed. So no task sees all ranges.
+    ``order`` tells the rows of a key apart."""
+    keys = keys or []
+    d = _ranges(df, keys, [order])
+    w = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = d.withColumn("_in", F.last(col, ignorenulls=True).over(w))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    last = d.filter(F.col(col).isNotNull()).groupBy(*keys, "_range").agg(F.max_by(col, order).alias("_v"))
+    up = last.select(*keys, "_range", "_v", levels.alias("_level"))
+    node = F.floor(F.col("_range") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    tree = up.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_level").alias("_l2"), node.alias("_node")) \
+             .agg(F.max(F.struct("_range", "_v")).alias("_latest"))
+    # a range lies right of the subtree beside it on each level where its own node is a right child
+    need = d.select(*keys, "_range").distinct().select("*", levels.alias("_level")).withColumn("_mine", node).filter(F.col("_mine") % 2 == 1)
+    same = (F.col("_level") == F.col("_l2")) & (F.col("_mine") - 1 == F.col("_node"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    seeds = need.join(tree, same).groupBy(*keys, "_range").agg(F.max("_latest")["_v"].alias("_seed"))
+    return _with_carry(rows, seeds, keys).withColumn(out, F.coalesce("_in", "_seed")).drop("_in", "_seed", "_range")
+
+
 def row_ordinal(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """1..n per ``keys`` in the order of ``order``, equal to ``row_number`` but
-    without a window over a whole key: the rows are dealt into ranges of
-    (keys, order) and written with their range's number (a reliable
-    checkpoint, so numbering and counts read the same ranges), numbered
-    inside (keys, range), and raised by the rows of the key's earlier ranges
-    (a small table). Rows with equal ``order`` lie in one range; their order
-    is free. Nulls come first, and a null key is a key."""
-    dealt = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
-    d = materialize(dealt)
+    without a window over a whole key: numbered inside (keys, range) and
+    raised by the rows of the key's earlier ranges (a small table). Rows with
+    equal ``order`` lie in one range; their order is free. Nulls come first,
+    and a null key is a key."""
+    d = _ranges(df, keys, [order])
     counts = d.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    names = [f"_k{i}" for i in range(len(keys))]
-    offs = counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_range2"),
-                         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    same = F.col("_range") == F.col("_range2")
-    for k, n in zip(keys, names, strict=True):
-        same = same & F.col(k).eqNullSafe(F.col(n))
+    offs = counts.select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
-    return d.withColumn("_rn", local).join(offs, same).withColumn(out, F.col("_rn") + F.col("_off")) \
-            .drop("_range", "_range2", "_rn", "_off", *names)
+    return _with_carry(d.withColumn("_rn", local), offs, keys).withColumn(out, F.col("_rn") + F.col("_off")).drop("_range", "_rn", "_off")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import keys as keys_of
-from tidewater.functions.windows import split_ffill
+from tidewater.functions.windows import range_ffill
 
 POS = ["pos_hi", "pos_lo", "pos_seq"]
 
@@ -103,17 +103,17 @@ MYSQL_MSG = ("type string, next_file string, schema string, table string, positi
              "rows array<string>")
 
 
-def normalise_mysql(raw: DataFrame, key_col: str | dict[str, str], bucket_size: int = 1_000_000_000) -> DataFrame:
+def normalise_mysql(raw: DataFrame, key_col: str | dict[str, str]) -> DataFrame:
     """``key_col``: as for ``normalise_pg``.
 
     C3: one binlog message carries many rows (posexplode); update rows take
     ``after``; the current file is carried forward from the last rotate
-    (a bucketed forward fill, not a global window). Position = (file number,
+    (a forward fill over ranges of arrival, not a global window). Position = (file number,
     event position, row ordinal); commit time = timestamp * 1000."""
     d = parse_once(raw, MYSQL_MSG, ["arrival"])
     d = d.select("arrival", F.struct(*[F.col(c) for c in ("type", "schema", "table", "position", "timestamp", "rows")])
                  .alias("m"), "next_file")
-    d = split_ffill(d, "arrival", F.floor(F.col("arrival") / bucket_size), "next_file", "file")
+    d = range_ffill(d, "arrival", "next_file", "file")
     ev = d.filter(F.col("m.type").isin("write_rows", "update_rows", "delete_rows"))
     ev = ev.select("arrival", "m", "file", F.posexplode("m.rows").alias("ordinal", "row"))
     typ = F.col("m.type")

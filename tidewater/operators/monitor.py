@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import map_literal
-from tidewater.functions.windows import DAY_MS, day_bucket, split_lag
+from tidewater.functions.windows import range_lag
 
 OP_COUNTERS = ["insert", "query", "update", "delete", "getmore", "command"]
 
@@ -15,6 +15,7 @@ OP_COUNTERS = ["insert", "query", "update", "delete", "getmore", "command"]
 STATE_NAMES = {0: "STARTUP", 1: "PRIMARY", 2: "SECONDARY", 3: "RECOVERING", 5: "STARTUP2",
                6: "UNKNOWN", 7: "ARBITER", 8: "DOWN", 9: "ROLLBACK", 10: "REMOVED"}
 
+HALO_SHARE = 60       # ranges in a stretch of time: one in 60 samples is also context of the next stretch
 SYSTEM_NS_PREFIXES = ("admin.", "local.", "config.")
 SYSTEM_DATABASES = ("admin", "local", "config")
 
@@ -24,9 +25,10 @@ def op_rates(samples: DataFrame, conn: str = "connection_id", ts_ms: str = "ts_m
              tie: str = "event_id", keep_all: bool = False) -> DataFrame:
     """W1/M1 (W2 with ``fixed_interval_s``): per-sample rate of cumulative
     counters, ``max(0, delta / max(1, seconds since previous sample))``; the
-    first sample of a connection is 0. Lag is computed per (connection, day)
-    and stitched at day edges, so a hot connection is not one task."""
-    d = split_lag(samples, [conn], [ts_ms, tie], day_bucket(F.col(ts_ms)), [ts_ms, *counters])
+    first sample of a connection is 0. Lag is computed per range of
+    (connection, time) and stitched at the ranges' edges, so neither a hot
+    connection nor a dense day of it is one task."""
+    d = range_lag(samples, [conn], [ts_ms, tie], [ts_ms, *counters])
     if fixed_interval_s:
         dt = F.lit(float(fixed_interval_s))
     else:
@@ -46,18 +48,20 @@ def rate_window(samples: DataFrame, counter: str, conn: str = "connection_id", t
     ``(t - range, t]``, divided by the range. No extrapolation; null when
     the window holds fewer than two samples.
 
-    Skew-safe: the range frame runs per (connection, day); samples of the
-    last ``range`` of a day are copied into the next day as frame-only
-    context rows (a halo), so each sample is processed at most twice and a
-    hot connection is spread over its days."""
+    Skew-safe: the range frame runs per connection and stretch of
+    ``HALO_SHARE`` ranges (an hour for a minute's rate); samples of the last
+    ``range`` of a stretch are copied into the next one as frame-only context
+    rows (a halo), so few samples are processed twice and a hot connection is
+    spread over its stretches."""
     rng = range_s * 1000
-    bucket = day_bucket(F.col(ts_ms))
-    d = split_lag(samples, [conn], [ts_ms, tie], bucket, [counter])
+    span = rng * HALO_SHARE
+    bucket = F.floor(F.col(ts_ms) / span).cast("long")
+    d = range_lag(samples, [conn], [ts_ms, tie], [counter])
     inc = (F.when(F.col("prev_" + counter).isNull(), F.lit(None))
            .when(F.col(counter) >= F.col("prev_" + counter), F.col(counter) - F.col("prev_" + counter))
            .otherwise(F.col(counter)))
     d = d.select(conn, tie, ts_ms, inc.cast("double").alias("_inc"), bucket.alias("_b"), F.lit(False).alias("_halo"))
-    halo = (d.filter(F.col(ts_ms) > (F.col("_b") + 1) * F.lit(DAY_MS) - rng)
+    halo = (d.filter(F.col(ts_ms) > (F.col("_b") + 1) * F.lit(span) - rng)
             .withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True)))
     u = d.unionByName(halo)
     w = Window.partitionBy(conn, "_b").orderBy(F.col(ts_ms)).rangeBetween(-(rng - 1), 0)
