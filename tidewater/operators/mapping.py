@@ -200,6 +200,63 @@ def map_doc_to_sql(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "d
     return mapped, rejects, warnings
 
 
+# one canonical type of each way a value is converted, and the types that share it
+FAMILIES = {"string": ("mixed", "unknown", "null", "time", "uuid"), "int": (), "long": (), "float": (), "double": (), "decimal": (),
+            "boolean": (), "date": (), "timestamp": (), "binary": (), "objectid": (), "json": ("jsonb", "array")}
+
+
+def destination_schema(schema: DataFrame, dialect: str, ns_cols: list[str]) -> DataFrame:
+    """The inferred (or overridden) schema of any number of namespaces with each column's cleaned, distinct name."""
+    from tidewater.operators.ddl import clean_ident, dedup_idents
+    named = schema.withColumn("clean_name", clean_ident(F.col("column_name"), dialect))
+    final = dedup_idents(named.select(*ns_cols, "ordinal", "clean_name"), ns_cols)
+    return named.drop("clean_name").join(final, [*ns_cols, "ordinal"])
+
+
+def map_doc_fields(docs: DataFrame, schema: DataFrame, dialect: str, ns_cols: list[str], id_col: str = "doc_id",
+                   doc: str = "doc", text: str = "doc_text") -> DataFrame:
+    """X1/X2 for collections of unlike shape, with the schema as a table: each
+    document's fields are joined with their own collection's columns
+    (``destination_schema``), so nothing of the schema is on the driver and
+    the number of keys is unbounded. One row per field: namespace, id,
+    ``column_name`` (at the destination), ``type``, ``value`` (as text; bytes
+    as base64), ``ok``, ``warning``. Keys without a column are left out."""
+    base = docs.select(*ns_cols, id_col, F.col(doc).try_cast(MAP_VARIANT).alias("_m"),
+                       F.from_json(F.col(text), "map<string,string>").alias("_r"), F.explode(F.json_object_keys(F.col(text))).alias("_key"))
+    fields = base.select(*ns_cols, id_col, "_key", F.element_at("_m", F.col("_key")).alias("_v"), F.element_at("_r", F.col("_key")).alias("_raw"))
+    columns = schema.select(*ns_cols, F.col("column_name").alias("_key"), F.col("final_name").alias("column_name"), "type")
+    f = fields.join(columns, [*ns_cols, "_key"])
+    value, ok, warning = F.lit(None).cast("string"), F.lit(True), F.lit(None).cast("string")
+    for kind, alike in FAMILIES.items():
+        is_kind = F.col("type").isin(kind, *alike)
+        val, good = doc_value(F.col("_v"), F.col("_raw"), kind, dialect)
+        value = F.when(is_kind, F.base64(val) if kind == "binary" else val.cast("string")).otherwise(value)
+        ok = F.when(is_kind, good).otherwise(ok)
+        warning = F.when(is_kind, value_warning(F.col("_v"), F.col("_raw"), kind, dialect)).otherwise(warning)
+    return f.select(*ns_cols, id_col, "column_name", "type", value.alias("value"), ok.alias("ok"), warning.alias("warning"))
+
+
+def field_rows(fields: DataFrame, docs: DataFrame, ns_cols: list[str], id_col: str = "doc_id") -> DataFrame:
+    """One row per document, also of one without a known field: its destination row as a map of texts (``row``)
+    and the columns that did not convert (``failed_columns``, empty if the
+    row can be written). Grouped by document, so a group is one document."""
+    each = fields.select(*ns_cols, id_col, "column_name", "value", "ok")
+    none = docs.select(*ns_cols, id_col, F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("ok"))
+    entry = F.when(F.col("column_name").isNotNull(), F.struct("column_name", F.when(F.col("ok"), F.col("value")).alias("value")))
+    return each.unionByName(none).groupBy(*ns_cols, id_col).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("row"),
+        F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("column_name")))).alias("failed_columns"))
+
+
+def namespace_table(rows: DataFrame, schema: DataFrame) -> DataFrame:
+    """The wide table of one namespace at its write: ``schema`` is that
+    namespace's columns alone, which the engine's column limit bounds."""
+    cols = schema.orderBy("ordinal").select("final_name", "type").collect()
+    cast = [(F.unbase64(F.col("row")[c.final_name]) if c.type == "binary" else F.col("row")[c.final_name].cast(CANONICAL_TO_SPARK[c.type]))
+            .alias(c.final_name) for c in cols]
+    return rows.filter(F.size("failed_columns") == 0).select(*cast)
+
+
 def warning_counts(w: DataFrame) -> DataFrame:
     """Row warnings aggregated: one row per (code, column) with a count."""
     return w.groupBy("code", "column").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))

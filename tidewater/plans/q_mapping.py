@@ -319,6 +319,62 @@ def map_coerced_docs(spark, sf_dir):
     return docs.select(F.col("_id").cast("long").alias("id"), "doc")
 
 
+def shop_docs(spark, sf_dir):
+    """Two collections of unlike shape: ``code`` is a number in one and text in
+    the other, every item has a key of its own, some totals are no number."""
+    p, o = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "orders")
+    k, n = F.col("p_partkey").cast("string"), F.col("o_orderkey").cast("string")
+    items = p.select(F.lit("items").alias("coll"), F.col("p_partkey").alias("doc_id"),
+                     F.concat(F.lit('{"_id":'), k, F.lit(',"code":'), F.col("p_size").cast("string"), F.lit(',"attr.'), k, F.lit('":'), k, F.lit("}")).alias("doc_text"))
+    total = F.when(F.col("o_orderkey") % 29 == 0, F.lit('"n/a"')).otherwise(F.format_string("%.2f", "o_totalprice"))
+    orders = o.select(F.lit("orders").alias("coll"), F.col("o_orderkey").alias("doc_id"),
+                      F.concat(F.lit('{"_id":'), n, F.lit(',"code":"'), F.col("o_orderstatus"), F.lit('","total":'), total,
+                               F.lit(',"meta":{"p":"'), F.col("o_orderpriority"), F.lit('","c":'), F.col("o_custkey").cast("string"), F.lit("}}")).alias("doc_text"))
+    return items.unionByName(orders).withColumn("doc", F.parse_json("doc_text"))
+
+
+def _shop_fields(spark, sf_dir, dialect: str):
+    docs = shop_docs(spark, sf_dir)
+    schema = infer.infer_schema(docs, ns_cols=NS_COLL)
+    # the user's override of a type: totals are numbers
+    schema = schema.withColumn("type", F.when((F.col("coll") == "orders") & (F.col("column_name") == "total"), F.lit("double")).otherwise(F.col("type")))
+    return mp.map_doc_fields(docs, mp.destination_schema(schema, dialect, NS_COLL), dialect, NS_COLL)
+
+
+NS_COLL = ["coll"]
+_SHOP_SQL = """
+WITH f AS (
+  SELECT 'items' AS coll, p_partkey AS doc_id, '_id' AS column_name, 'int' AS type, CAST(p_partkey AS VARCHAR) AS value, true AS ok FROM part
+  UNION ALL SELECT 'items', p_partkey, 'code', 'int', CAST(p_size AS VARCHAR), true FROM part
+  UNION ALL SELECT 'items', p_partkey, 'attr_' || CAST(p_partkey AS VARCHAR), 'int', CAST(p_partkey AS VARCHAR), true FROM part
+  UNION ALL SELECT 'orders', o_orderkey, '_id', 'int', CAST(o_orderkey AS VARCHAR), true FROM orders
+  UNION ALL SELECT 'orders', o_orderkey, 'code', 'string', o_orderstatus, true FROM orders
+  UNION ALL SELECT 'orders', o_orderkey, 'total', 'double',
+                   CASE WHEN o_orderkey % 29 <> 0 THEN CAST(CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS VARCHAR) END, o_orderkey % 29 <> 0 FROM orders
+  UNION ALL SELECT 'orders', o_orderkey, 'meta', 'jsonb', '{"p":"' || o_orderpriority || '","c":' || CAST(o_custkey AS VARCHAR) || '}', true FROM orders
+)"""
+
+
+@query("map_doc_collections", _SHOP_SQL + """
+SELECT coll, doc_id, column_name, type, value, ok FROM f""")
+def map_doc_collections(spark, sf_dir):
+    """Collections of unlike shape through their own schemas, every field of every document."""
+    return _shop_fields(spark, sf_dir, "pg").select("coll", "doc_id", "column_name", "type", "value", "ok")
+
+
+@query("map_doc_rejects", _SHOP_SQL + """
+SELECT coll, CAST(count(*) FILTER (WHERE bad = 0) AS BIGINT) AS written, CAST(count(*) FILTER (WHERE bad > 0) AS BIGINT) AS rejected,
+       max(failed) AS failed_columns
+FROM (SELECT coll, doc_id, count(*) FILTER (WHERE NOT ok) AS bad, max(CASE WHEN NOT ok THEN column_name END) AS failed FROM f GROUP BY 1, 2)
+GROUP BY coll""")
+def map_doc_rejects(spark, sf_dir):
+    """The rows that a load of each collection would write and reject, with the columns at fault."""
+    rows = mp.field_rows(_shop_fields(spark, sf_dir, "mysql"), shop_docs(spark, sf_dir), NS_COLL)
+    bad = F.size("failed_columns") > 0
+    return rows.groupBy("coll").agg(F.count_if(~bad).cast("long").alias("written"), F.count_if(bad).cast("long").alias("rejected"),
+                                    F.max(F.when(bad, F.array_join("failed_columns", ","))).alias("failed_columns"))
+
+
 @query("cdc_mapped", with_ctes(F3, F3_RAW_MONGO) + """,
 n AS (
   SELECT CASE WHEN t IN ('insert', 'replace') THEN 'insert' WHEN t = 'update' THEN 'update' WHEN t = 'delete' THEN 'delete' END AS op,
