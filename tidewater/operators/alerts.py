@@ -99,6 +99,17 @@ def sql_metrics(snap: DataFrame, max_connections: Column) -> DataFrame:
             .filter(F.col("value").isNotNull()))
 
 
+def feed(events: DataFrame, rules: DataFrame, connections: DataFrame | None = None, status: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Events with their rule, newest first: of the connections named (one column ``connection_id``) and of a status,
+    either left out at will; min(limit or 50, 200) rows."""
+    ev = events if status is None else events.filter(F.col("status") == status)
+    r = rules.select("rule_id", "name", "metric", "connection_id")
+    if connections is not None:
+        r = r.join(connections.select("connection_id").distinct(), "connection_id", "left_semi")
+    rows = ev.join(r, "rule_id").select("rule_id", "island", "name", "metric", "connection_id", "status", "fired_ms")
+    return rows.orderBy(F.col("fired_ms").desc(), "rule_id", "island").limit(min(limit or 50, 200))
+
+
 def evaluations(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """A1+A3+A14: every enabled rule against every sample of its connection,
     as an equi-join on (connection, metric) — rules never cross connections."""

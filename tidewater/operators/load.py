@@ -175,3 +175,12 @@ def in_parallel(spark: SparkSession, namespaces: list[str], work: Callable[[str]
         found = list(pool.map(inheritable_thread_target(spark)(one), namespaces))
     rows = [(i, name, "failed" if error else "written", n, error or None) for i, (name, (n, error)) in enumerate(zip(namespaces, found, strict=True))]
     return spark.createDataFrame(rows, "position int, namespace string, status string, n_rows long, error string")
+
+
+def preview_warnings(warnings: DataFrame, namespaces: DataFrame, ns_cols: list[str]) -> DataFrame:
+    """Warnings and infos of each namespace of a dry run (zero where there is none), and their totals (all
+    namespace columns '*'), for the summary above the list."""
+    per = warnings.groupBy(*ns_cols).agg(F.count_if(F.col("severity") == "warn").cast("long").alias("n_warn"), F.count_if(F.col("severity") == "info").cast("long").alias("n_info"))
+    per = namespaces.select(*ns_cols).distinct().join(per, ns_cols, "left").select(*ns_cols, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_warn", "n_info")])
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_warn", "n_info")])
+    return per.unionByName(total.select(*[F.lit("*").alias(c) for c in ns_cols], "n_warn", "n_info"))

@@ -200,6 +200,19 @@ def map_doc_to_sql(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "d
     return mapped, rejects, warnings
 
 
+def map_changes(changes: DataFrame, cols: list[Col], dialect: str, keep: list[str]) -> DataFrame:
+    """Every normalised change event through the document mapper in one pass, with an ``outcome``: ``apply`` (typed
+    columns), ``delete`` (key only, nothing to convert) or ``reject`` (``failed_columns`` names what did not convert; its
+    values are null). No event is lost: outcomes add up to the events."""
+    d = changes.withColumn("doc_text", F.coalesce("doc", F.lit("{}"))).withColumn("doc", F.try_parse_json("doc_text"))
+    names = dedup_names([_clean_py(c.name, dialect) for c in cols])
+    rows = map_doc_rows(d, cols, dialect, keep=list(dict.fromkeys([*keep, "op"])))
+    bad = (F.size("_bad") > 0) & (F.col("op") != "delete")
+    outcome = F.when(F.col("op") == "delete", F.lit("delete")).when(bad, F.lit("reject")).otherwise(F.lit("apply"))
+    return rows.select(*keep, outcome.alias("outcome"), F.when(bad, F.array_join("_bad", ",")).alias("failed_columns"),
+                       *[F.when(~bad, F.col(n)).alias(n) for n in names])
+
+
 # one canonical type of each way a value is converted, and the types that share it
 FAMILIES = {"string": ("mixed", "unknown", "null", "time", "uuid"), "int": (), "long": (), "float": (), "double": (), "decimal": (),
             "boolean": (), "date": (), "timestamp": (), "binary": (), "objectid": (), "json": ("jsonb", "array")}

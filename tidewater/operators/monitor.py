@@ -214,3 +214,10 @@ def mysql_snapshot(wide: DataFrame) -> DataFrame:
         F.when(up > 0, F.round((n("Com_commit") + n("Com_rollback")) / up, 2)).otherwise(F.lit(0.0)).alias("tps"),
         F.when(up > 0, F.round(n("Questions") / up, 2)).otherwise(F.lit(0.0)).alias("qps"),
         F.when(bp > 0, F.round(n("Innodb_buffer_pool_read_requests") / bp, 4)).alias("cache_hit_ratio"))
+
+
+def sorted_report(report: DataFrame, column: str, descending: bool = True, tie: str = "db") -> DataFrame:
+    """A size report sorted by any of its columns; nulls last, ties by name. ``place`` is a row's place from 1."""
+    by = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    order = [by] if column == tie else [by, F.col(tie)]
+    return report.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("place")

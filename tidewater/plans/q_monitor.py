@@ -265,13 +265,16 @@ def active_queries(spark, sf_dir):
             .orderBy("ts_ms", "op_id").limit(25))
 
 
-@query("size_report", """
+SIZE_SQL = """
 SELECT n_name AS db, CAST(round(sum(l_extendedprice * 100)) AS BIGINT) AS data_size,
        CAST(round(sum(l_extendedprice * 60)) AS BIGINT) AS storage_size,
        CAST(count(DISTINCT l_partkey % 100) AS BIGINT) AS n_collections,
        CAST(rank() OVER (ORDER BY round(sum(l_extendedprice * 100)) DESC) AS BIGINT) AS size_rank
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-GROUP BY n_name""")
+GROUP BY n_name"""
+
+
+@query("size_report", SIZE_SQL)
 def size_report(spark, sf_dir):
     """Databases by data size, largest first (rank is the sort key)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice")

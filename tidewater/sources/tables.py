@@ -110,6 +110,15 @@ def sample_rank(k: Column, seed: int = 42) -> Column:
     return (k * F.lit(1103515245) + F.lit(12345 + seed)) % F.lit(2147483647)
 
 
+def catalog_namespaces(catalog: DataFrame, engine: str, database: str | None = None) -> DataFrame:
+    """S3 over a system catalog (``database``, ``name``, ``kind``): ordinary and partitioned tables of PG
+    (``relkind`` r and p), base tables of MySQL; system schemas go, ``database`` picks one; ordered by name."""
+    keep = F.col("kind").isin("r", "p") if engine == "pg" else F.col("kind") == "BASE TABLE"
+    if database is not None:
+        keep = keep & (F.col("database") == database)
+    return list_namespaces(catalog.filter(keep), engine).orderBy("database", "name")
+
+
 def row_page(df: DataFrame, order_cols: list[str], limit: int, offset: int = 0) -> DataFrame:
     """S8 row page: limit clamped to 1..1000, offset >= 0, stable key order.
 
@@ -120,6 +129,14 @@ def row_page(df: DataFrame, order_cols: list[str], limit: int, offset: int = 0)
     return df.orderBy(*order_cols).offset(off).limit(lim)
 
 
+def fetch_rows(df: DataFrame, key: list[str] | None, limit: int, offset: int = 0, documents: bool = False) -> DataFrame:
+    """S8 page with all columns, ``total`` and ``total_exact``. Without a key rows are ordered by their first column
+    and then by the others, so pages neither overlap nor skip rows; equal rows are interchangeable. The total of a
+    document collection is taken from its statistics in the source, so it is not marked exact."""
+    page = row_page(df, key or df.columns, limit, offset)
+    return page.withColumns({"total": F.lit(df.count()).cast("long"), "total_exact": F.lit(not documents)})
+
+
 def approx_counts(stats: DataFrame) -> DataFrame:
     """Approximate row counts from catalog statistics: PG ``reltuples``
     (negative = never analysed -> unknown), MySQL ``table_rows`` (0 ->
