@@ -65,3 +65,39 @@ def test_a_paused_stream_goes_on_where_it_stood(spark):
     assert [r.status for r in again.status().orderBy("seq").collect()] == ["running", "paused", "running", "finished"]
     assert {r.id: r.n for r in cst.read_target(spark, f"{base}/target").collect()} == dict.fromkeys(range(6), 6)
     assert [(r.batch_id, r.events) for r in cst.heartbeats(spark, f"{base}/target").orderBy("batch_id").collect()] == [(i, i + 1) for i in range(6)]
+
+
+def test_change_tables_and_versions_give_one_table(spark):
+    """The table is the same however often it is compacted, in any order of arrival, and after a repeated compaction."""
+    from tidewater.operators import cdc
+    event = "db string, coll string, op string, key long, doc string, pos_hi long, pos_lo long, pos_seq long"
+    rows = []
+    for t in range(1, 13):
+        k = t % 5
+        rows.append(("d", "t", "delete" if t % 4 == 0 else "update", k, None if t % 4 == 0 else f'{{"id":{k},"{"an"[t % 2]}":{t}}}', t, 0, 0))
+    first = spark.createDataFrame([(0, "s", 1), (9, "stays", None)], "id long, a string, n long")
+    want = {tuple(r) for r in cdc.apply_upsert(first, spark.createDataFrame(rows, event), "id", COLS).collect()}
+    for every in (1, 3, 100):
+        for order in (rows, rows[::-1] + rows[:4]):
+            base = checkpoint_dir(spark, f"compact-{every}")
+            cst.init_target(spark, f"{base}/t", first, "id")
+            for i in range(0, len(order), 4):
+                cst.apply_batch(spark, spark.createDataFrame(order[i:i + 4], event), f"{base}/t", "id", COLS, i // 4, compact_every=every)
+            assert {tuple(r) for r in cst.read_target(spark, f"{base}/t").collect()} == want
+            last = (len(order) - 1) // 4
+            cst.compact(spark, f"{base}/t", last)
+            cst.compact(spark, f"{base}/t", last)
+            assert {tuple(r) for r in cst.read_target(spark, f"{base}/t").collect()} == want
+
+
+def test_pg_log_streams_key_changes(spark):
+    from tidewater.operators import cdc
+    base = _seed(spark, "pg-log")
+    msg = '{"lsn":"0/%d","action":"%s","schema":"d","table":"t"%s}'
+    row = lambda k, n: f',"columns":{{"id":{k},"n":{n}}}'
+    lines = [msg % (1, "I", row(1, 1)), msg % (1, "I", row(1, 1)), msg % (2, "B", ""), msg % (3, "U", row(2, 5) + ',"old":{"id":1}'),
+             msg % (4, "I", row(3, 7)), msg % (5, "D", ',"identity":{"id":3}'), "not json", msg % (6, "I", row(4, '"x"'))]
+    _log(spark, base, [(m,) for m in lines])
+    cst.run_cdc_stream(spark, f"{base}/log", f"{base}/target", f"{base}/ck", "id", COLS, [("d", "t")], normalise=lambda raw: cdc.normalise_pg(raw, "id"))
+    assert [(r.id, r.n) for r in cst.read_target(spark, f"{base}/target").collect()] == [(2, 5)]
+    assert [r.key for r in cst.dead_letters(spark, f"{base}/target").collect()] == [4]

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import cdc
 from tidewater.plans import q_alerts, q_cdc
-from tidewater.plans.fixture_sql import F3, F3_RAW_MONGO, with_ctes
+from tidewater.plans.fixture_sql import F3, F3_RAW_MONGO, F3_RAW_PG, with_ctes
 from tidewater.plans.registry import query
 from tidewater.session import checkpoint_dir
 from tidewater.sources import fixtures as fx
@@ -60,6 +61,29 @@ def _drained(spark, sf_dir) -> str:
     return f"{base}/target"
 
 
+@query("cdc_stream_pg", with_ctes(F3, F3_RAW_PG) + """,
+nm AS (
+  SELECT CASE json_extract_string(raw, '$.action') WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' WHEN 'D' THEN 'delete' END AS op,
+         json_extract_string(raw, '$.table') AS coll,
+         CAST(coalesce(json_extract(raw, '$.columns.o_orderkey'), json_extract(raw, '$.identity.o_orderkey')) AS BIGINT) AS key,
+         CAST(json_extract(raw, '$.columns') AS VARCHAR) AS doc,
+         CAST('0x' || split_part(json_extract_string(raw, '$.lsn'), '/', 1) AS BIGINT) * 1000000000000
+           + CAST('0x' || split_part(json_extract_string(raw, '$.lsn'), '/', 2) AS BIGINT) AS p
+  FROM f3pg),
+valid AS (SELECT DISTINCT op, key, doc, p FROM nm WHERE op IS NOT NULL AND coll = 'orders' AND """ + q_cdc._valid_pred() + """),
+""" + q_cdc.TARGET_SQL + "," + q_cdc._upsert_sql("tgt", "valid") + """
+SELECT * FROM applied""")
+def cdc_stream_pg(spark, sf_dir):
+    """The logical-decoding log streamed onto the destination snapshot, key changes split, redeliveries dropped."""
+    base = checkpoint_dir(spark, "cdc_stream_pg")
+    raw = fx.f3_raw_pg(spark, sf_dir).withColumn("step", F.floor(F.col("arrival") / 1_000_000_000))
+    _write_in_order(raw.select("raw", "step"), "step", f"{base}/log", "text")
+    cst.init_target(spark, f"{base}/target", q_cdc.target(spark, sf_dir), q_cdc.KEY)
+    cst.run_cdc_stream(spark, f"{base}/log", f"{base}/target", f"{base}/_checkpoint", q_cdc.KEY, q_cdc.COLUMNS, [("public", "orders")],
+                       max_files_per_trigger=64, normalise=lambda raw: cdc.normalise_pg(raw, q_cdc.KEY))
+    return cst.read_target(spark, f"{base}/target")
+
+
 @query("cdc_stream_dead_letter", with_ctes(F3, F3_RAW_MONGO) + _NORM_MONGO + """
 SELECT coll, key, op, pos_hi, pos_lo, 'o_totalprice: cannot convert to double' AS error FROM dd WHERE NOT (""" + q_cdc._valid_pred() + """)""")
 def cdc_stream_dead_letter(spark, sf_dir):

@@ -1,21 +1,26 @@
 """Continuous CDC apply with Structured Streaming.
 
-``readStream`` (change-log text files) -> normalise -> namespace filter ->
-validate -> ``foreachBatch``: merge the micro-batch into the current target
-version with the C7 rules and write the result as a new version directory.
-The state table keeps, per key, a tombstone flag and the position of the last
-event and of the last carrier of every column, so a redelivered event changes
+``readStream`` (change-log text files of any of the three engines) -> normalise
+-> namespace filter -> validate -> ``foreachBatch``: the micro-batch's changes,
+one row per key with the latest carrier of each column, are written as one
+change table beside the target, so a micro-batch costs what its events cost,
+whatever the size of the target. Every ``COMPACT_EVERY`` micro-batches the change
+tables are merged into a new version of the whole target; readers merge the
+latest version with the change tables after it.
+A version keeps, per key, a tombstone flag and the position of the last event
+and of the last carrier of every column, so a redelivered event changes
 nothing and a late one only what no later event has set. Poison events go to
 ``<target>_dead_letter``. With columns db and coll a target holds several
 namespaces.
-The stream checkpoint is the resume cursor (C12); a version is published by
-a ``_SUCCESS``-style marker only after its files are complete.
+The stream checkpoint is the resume cursor (C12); a version or change table is
+published by a ``_SUCCESS``-style marker only after its files are complete.
 """
 
 from __future__ import annotations
 
 import threading
 import time
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +29,13 @@ from pyspark.sql import functions as F
 from tidewater.operators import cdc
 from tidewater.streaming import progress as beats
 
+#: Micro-batches between two versions of the whole target.
+COMPACT_EVERY = 32
+HIDDEN = ("_col_pos", "_pos", "_deleted")
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
+
+def _versions(spark: SparkSession, target: str, kind: str = "v") -> list[int]:
+    """The numbers of the published versions (``v``: the next micro-batch) or change tables (``d``: their micro-batch)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(target)
@@ -35,7 +45,7 @@ def _versions(spark: SparkSession, target: str) -> list[int]:
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")):
+        if name.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")):
             out.append(int(name[2:]))
     return sorted(out)
 
@@ -46,15 +56,56 @@ def _mark(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
 
 
-def current_state(spark: SparkSession, target: str) -> DataFrame | None:
-    vs = _versions(spark, target)
+def current_state(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame | None:
+    """The latest version with the changes after it (of micro-batches to ``upto``), tombstones and positions included."""
+    vs = [v for v in _versions(spark, target) if upto is None or v <= upto]
     if not vs:
         return None
-    return spark.read.parquet(f"{target}/v={vs[-1]:012d}")
+    state = spark.read.parquet(f"{target}/v={vs[-1]:012d}")
+    late = [f"{target}/d={d:012d}" for d in _versions(spark, target, "d") if d >= vs[-1] and (upto is None or d <= upto)]
+    if not late:
+        return state
+    return _merged(state, _latest(spark.read.option("mergeSchema", True).parquet(*late), state))
+
+
+def _latest(changes: DataFrame, state: DataFrame) -> DataFrame:
+    """One row per key of the rows of several change tables: the latest carrier of each column and the last operation."""
+    ns = [c for c in ("db", "coll") if c in state.columns]
+    carriers = [F.max_by(c, F.col(c)["p"]).alias(c) for c in changes.columns if c.endswith("__s")]
+    return changes.groupBy(*ns, "key").agg(F.max_by("_last_op", "_last").alias("_last_op"), F.max("_last").alias("_last"), *carriers)
+
+
+def _merged(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each column takes the value of the later position, the state's or the changes', so redelivered and late events
+    give the same table as the batch apply in any order of arrival."""
+    ns = [c for c in ("db", "coll") if c in state.columns]
+    cols = state.schema["_col_pos"].dataType.names
+    key = next(c for c in state.columns if c not in (*ns, *cols, *HIDDEN))
+    old = state.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols],
+                       "_col_pos", F.col("_pos").alias("_old"), F.col("_deleted").alias("_was_deleted"))
+    m = old.join(changes, [*ns, "key"], "full_outer")
+
+    def later(new, known):
+        return new.isNotNull() & (known.isNull() | (new >= known))
+
+    out, places = {c: F.col(c) for c in ns} | {key: F.col("key")}, []
+    for c in cols:
+        value, place = F.col(c + "__t"), F.col("_col_pos")[c]
+        if c + "__s" in changes.columns:
+            s = F.col(c + "__s")
+            new = later(s["p"], place)
+            value, place = F.when(new, F.when(~s["d"], s["v"])).otherwise(value), F.when(new, s["p"]).otherwise(place)
+        out[c] = value.cast(state.schema[c].dataType)
+        places.append(place.alias(c))
+    new = later(F.col("_last"), F.col("_old"))
+    out["_col_pos"] = F.struct(*places)
+    out["_pos"] = F.when(new, F.col("_last")).otherwise(F.col("_old"))
+    out["_deleted"] = F.when(new, F.col("_last_op") == "delete").otherwise(F.col("_was_deleted"))
+    return m.select(*[out[c].alias(c) for c in state.columns])
 
 
 def read_target(spark: SparkSession, target: str) -> DataFrame:
-    """The live rows of the latest committed version."""
+    """The live rows of the target as of the last published micro-batch."""
     s = current_state(spark, target)
     return s.filter(~F.col("_deleted")).drop("_pos", "_deleted", "_col_pos")
 
@@ -69,34 +120,23 @@ def init_target(spark: SparkSession, target: str, snapshot: DataFrame, key: str)
 
 
 def apply_batch(spark: SparkSession, events: DataFrame, target: str, key: str, columns: dict[str, str],
-                batch_id: int) -> None:
-    """Merge one micro-batch into the latest version. Each column takes the
-    value of the later position, the state's or the batch's, so redelivered
-    and late events give the same table as the batch apply in any order of
-    arrival (and a retried batch rewrites the same version)."""
-    vs = [v for v in _versions(spark, target) if v <= batch_id]
-    prev = spark.read.parquet(f"{target}/v={vs[-1]:012d}")
-    ns = [c for c in ("db", "coll") if c in prev.columns]
-    cols = [c for c in columns if c != key]
-    old = prev.select(*ns, F.col(key).alias("key"), *[F.col(c).alias(c + "__t") for c in cols],
-                      "_col_pos", F.col("_pos").alias("_old"), F.col("_deleted").alias("_was_deleted"))
-    m = old.join(cdc.column_changes(events, ns, key, columns), [*ns, "key"], "full_outer")
+                batch_id: int, compact_every: int = COMPACT_EVERY) -> None:
+    """Publish the changes of one micro-batch, and after every ``compact_every`` of them a version of the whole target.
+    A micro-batch run again rewrites its own change table with the same rows."""
+    base = spark.read.parquet(f"{target}/v={max(v for v in _versions(spark, target) if v <= batch_id):012d}")
+    ns = [c for c in ("db", "coll") if c in base.columns]
+    path = f"{target}/d={batch_id:012d}"
+    cdc.column_changes(events, ns, key, columns).write.mode("overwrite").parquet(path)
+    _mark(spark, path)
+    if (batch_id + 1) % compact_every == 0:
+        compact(spark, target, batch_id)
 
-    def later(new, known):
-        return new.isNotNull() & (known.isNull() | (new >= known))
 
-    values, places = [], []
-    for c in cols:
-        s, known = F.col(c + "__s"), F.col("_col_pos")[c]
-        new = later(s["p"], known)
-        values.append(F.when(new, F.when(~s["d"], s["v"])).otherwise(F.col(c + "__t")).cast(columns[c]).alias(c))
-        places.append(F.when(new, s["p"]).otherwise(known).alias(c))
-    new = later(F.col("_last"), F.col("_old"))
-    state = m.select(*ns, F.col("key").alias(key), *values, F.struct(*places).alias("_col_pos"),
-                     F.when(new, F.col("_last")).otherwise(F.col("_old")).alias("_pos"),
-                     F.when(new, F.col("_last_op") == "delete").otherwise(F.col("_was_deleted")).alias("_deleted"))
+def compact(spark: SparkSession, target: str, batch_id: int) -> None:
+    """Write the target as of the micro-batch ``batch_id`` as a new version. It reads earlier versions only, so it may
+    be run again after a failure."""
     path = f"{target}/v={batch_id + 1:012d}"
-    state.write.mode("overwrite").parquet(path)
+    current_state(spark, target, batch_id).write.mode("overwrite").parquet(path)
     _mark(spark, path)
 
 
@@ -113,14 +153,15 @@ class Gate:
 
 
 def _start(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str, columns: dict[str, str],
-           allowed: list[tuple[str, str]], max_files_per_trigger: int, name: str | None, trigger: dict, gate: Gate | None = None):
+           allowed: list[tuple[str, str]], max_files_per_trigger: int, name: str | None, trigger: dict, gate: Gate | None = None,
+           normalise: Callable[[DataFrame], DataFrame] = cdc.normalise_mongo):
     """The stream from the log to the target; each micro-batch leaves its heartbeat in ``<target>_progress``."""
     gate = gate or Gate()
     if len(allowed) > 1 and not {"db", "coll"} <= set(current_state(spark, target).columns):
         raise ValueError("a target of several namespaces needs the columns db and coll")
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
            .load(log_path).select(F.col("value").alias("raw"), F.lit(0).cast("long").alias("arrival")))
-    ev = cdc.filter_namespaces(cdc.normalise_mongo(raw), allowed)
+    ev = cdc.filter_namespaces(normalise(raw), allowed)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with gate.busy:
@@ -133,7 +174,8 @@ def _start(spark: SparkSession, log_path: str, target: str, checkpoint: str, key
         # (bounded by the trigger size; recomputable from its fixed offsets)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            valid, dead = cdc.validate(cdc.drop_redeliveries(batch), columns, key)
+            events = cdc.split_key_changes(batch) if "old_key" in batch.columns else batch
+            valid, dead = cdc.validate(cdc.drop_redeliveries(events), columns, key)
             dead_path = f"{target}_dead_letter/batch={batch_id}"
             dead.write.mode("overwrite").parquet(dead_path)
             apply_batch(spark, valid, target, key, columns, batch_id)
@@ -147,15 +189,16 @@ def _start(spark: SparkSession, log_path: str, target: str, checkpoint: str, key
 
 def run_cdc_stream(spark: SparkSession, log_path: str, target: str, checkpoint: str, key: str,
                    columns: dict[str, str], allowed: list[tuple[str, str]], max_files_per_trigger: int = 1,
-                   progress=None):
+                   progress=None, normalise: Callable[[DataFrame], DataFrame] = cdc.normalise_mongo):
     """Drain the change log with ``availableNow``; returns the finished
-    query. ``progress`` (a ``ProgressLog``) receives the listener's events;
+    query. ``normalise`` turns raw messages (``raw``, ``arrival``) into change events,
+    row by row: the change stream's, or those of a PG log. ``progress`` (a ``ProgressLog``) receives the listener's events;
     the lasting heartbeat is the table ``heartbeats``."""
     if progress is not None:
         spark.streams.addListener(progress)
     try:
         q = _start(spark, log_path, target, checkpoint, key, columns, allowed, max_files_per_trigger,
-                   progress.name if progress is not None else None, {"availableNow": True})
+                   progress.name if progress is not None else None, {"availableNow": True}, normalise=normalise)
         q.awaitTermination()
         if progress is not None:
             progress.wait_for(q.lastProgress["batchId"] if q.lastProgress else None)
@@ -195,8 +238,8 @@ class PausableStream:
 
     def last_batch(self) -> int | None:
         """The last micro-batch that is published in the target."""
-        vs = _versions(self.spark, self.target)
-        return vs[-1] - 1 if vs and vs[-1] > 0 else None
+        done = [v - 1 for v in _versions(self.spark, self.target)] + _versions(self.spark, self.target, "d")
+        return max(done) if done and max(done) >= 0 else None
 
     def start(self, resume: bool = False, every: str = "1 second") -> None:
         self._begin(resume, {"processingTime": every})
