@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line is similar to."""
-    return counted(lines.clean(docs))
+    """The documents without the lines that an earlier line is similar to; those that have no word left are copies and go."""
+    return counted(lines.clean(docs, drop_emptied=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import collections
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SMALL, brute_components, brute_lines, brute_quality, text_of, tiles
-from tidewater.llm import quality
+from tidewater.llm import lines, quality
 from tidewater.llm.common import saved
 
 
@@ -38,7 +39,17 @@ def test_quality_stage(stages):
 def test_line_stage(stages):
     before, after = text_of(stages[1]), text_of(stages[2])
     gone = brute_lines(before)
-    assert after == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in before.items()}
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in before.items()}
+    assert after == {d: t for d, t in want.items() if t.split() or not gone[d]}
+    assert len(after) < len(before)
+
+
+def test_emptied_documents_go(spark):
+    rows = [(1, "one two three four five\nsix"), (2, "six\n\none two three four five"), (3, "one two three four five\nnew words"), (4, ""), (5, None), (6, " \n"), (None, "six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_lines", F.lit(1)).withColumn("row", F.lit(2))
+    got = {r.doc_id: r.text for r in lines.clean(docs, drop_emptied=True).collect()}
+    assert got == {1: rows[0][1], 3: "new words", 4: "", 5: None, 6: " \n"}
+    assert lines.clean(docs).count() == 7 and lines.clean(docs, drop_emptied=True).columns == docs.columns
 
 
 def test_near_stage(stages):
