@@ -109,3 +109,13 @@ def test_preview_counts_namespaces_without_warnings(spark):
     assert got == {("d", "a", 1, 2), ("d", "b", 0, 0), ("*", "*", 1, 2)}
     empty = load.preview_warnings(w.limit(0), ns.limit(0), ["database", "coll"])
     assert {tuple(r) for r in empty.collect()} == {("*", "*", 0, 0)}
+
+
+def test_dry_run_names_and_types(spark):
+    schema = spark.createDataFrame([("d", "a", 1, "_id", "objectid", True, True), ("d", "a", 2, "x.y", "long", True, False), ("d", "a", 3, "x_y", "mixed", False, False), ("d", "b", 1, "_id", "int", False, True)],
+                                   "database string, coll string, ordinal int, column_name string, type string, nullable boolean, primary_key boolean")
+    told = spark.createDataFrame([("d", "a", "x_y"), ("d", "a", "x_y"), ("d", "b", None)], "database string, coll string, column_name string")
+    got = {(r.coll, r.ordinal): (r.dest_name, r.dest_type, r.nullable, r.n_warnings) for r in load.dry_run(schema, told, "pg", ["database", "coll"]).collect()}
+    assert got[("a", 1)][2:] == (False, 0) and got[("a", 2)] == ("x_y", "BIGINT", True, 0) and got[("b", 1)][3] == 0
+    assert got[("a", 3)][1:] == ("TEXT", False, 2) and got[("a", 3)][0] != "x_y" and len(got) == 4
+    assert load.dry_run(schema.limit(0), told, "mysql", ["database", "coll"]).count() == 0

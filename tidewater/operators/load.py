@@ -184,3 +184,16 @@ def preview_warnings(warnings: DataFrame, namespaces: DataFrame, ns_cols: list[s
     per = namespaces.select(*ns_cols).distinct().join(per, ns_cols, "left").select(*ns_cols, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_warn", "n_info")])
     total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_warn", "n_info")])
     return per.unionByName(total.select(*[F.lit("*").alias(c) for c in ns_cols], "n_warn", "n_info"))
+
+
+def dry_run(schema: DataFrame, warnings: DataFrame, dialect: str, ns_cols: list[str]) -> DataFrame:
+    """L4: what a migration would create, without a write: each inferred column with its name and type at the
+    destination, whether it may be null there (a key may not), and how many warnings it has. One row per column."""
+    from tidewater.functions.types import canonical_to_mysql, canonical_to_pg
+    from tidewater.operators.mapping import destination_schema
+    at = canonical_to_pg if dialect == "pg" else canonical_to_mysql
+    named = destination_schema(schema, dialect, ns_cols).select(
+        *ns_cols, "ordinal", "column_name", F.col("final_name").alias("dest_name"), at(F.col("type")).alias("dest_type"),
+        (F.col("nullable") & ~F.col("primary_key")).alias("nullable"), "primary_key")
+    told = warnings.filter(F.col("column_name").isNotNull()).groupBy(*ns_cols, "column_name").agg(F.count(F.lit(1)).cast("long").alias("n_warnings"))
+    return named.join(told, [*ns_cols, "column_name"], "left").withColumn("n_warnings", F.coalesce("n_warnings", F.lit(0).cast("long")))

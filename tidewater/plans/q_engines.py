@@ -1,4 +1,4 @@
-"""Scans, exports, feeds and mappings in their whole-row and per-engine forms: what S1, S3, S8, S14, S16, S19, L5, O4, A2,
+"""Scans, exports, feeds and mappings in their whole-row and per-engine forms: what S1, S3, S8, S14, S16, S19, L4, L5, O4, A2,
 A9 and C18 ask for beside the queries of the other modules."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from tidewater.operators import cdc, infer, load
 from tidewater.operators import mapping as mp
 from tidewater.operators import monitor as mon
 from tidewater.operators.mapping import Col
-from tidewater.plans import q_alerts, q_monitor, q_schema
+from tidewater.plans import q_alerts, q_ddl, q_monitor, q_schema
 from tidewater.plans.fixture_sql import F1_TEXT, F2, F3, F3_RAW_MONGO, F4, F7_MY, F7_PG, with_ctes
 from tidewater.plans.q_mapping import crm_docs
 from tidewater.plans.registry import query
@@ -140,6 +140,23 @@ def preview_warnings(spark, sf_dir):
     return load.preview_warnings(infer.schema_warnings(schema), schema, ["database", "coll"])
 
 
+# ---- L4: the plan of a dry run ----------------------------------------------------------------------
+@query("dry_run_plan", "WITH s AS (" + q_schema._INFER_EMPTY_SQL + "),\nw AS (" + q_schema._WARN_SQL + """),
+n AS (SELECT database, coll, column_name, count(*) AS n FROM w WHERE column_name IS NOT NULL GROUP BY ALL)
+""" + "\nUNION ALL\n".join(f"""
+SELECT '{d}' AS dest, s.database, s.coll, s.ordinal, s.column_name, {clean.format(x='s.column_name')} AS dest_name,
+       coalesce({q_ddl.sql_case('s.type', kinds)}, 'TEXT') AS dest_type, s.nullable AND NOT s.primary_key AS nullable, s.primary_key,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_warnings
+FROM s LEFT JOIN n USING (database, coll, column_name)""" for d, clean, kinds in (
+    ("pg", q_ddl.PG_CLEAN_SQL, q_ddl.CANONICAL_TO_PG), ("mysql", q_ddl.MY_CLEAN_SQL, q_ddl.CANONICAL_TO_MYSQL))))
+def dry_run_plan(spark, sf_dir):
+    """L4: the columns that a migration of the collections would create in PG and in MySQL."""
+    schema = infer.infer_schema(q_schema._user_docs(spark, sf_dir), namespaces=q_schema._region_namespaces(spark, sf_dir))
+    told = infer.schema_warnings(schema)
+    both = [load.dry_run(schema, told, d, ["database", "coll"]).withColumn("dest", F.lit(d)) for d in ("pg", "mysql")]
+    return both[0].unionByName(both[1])
+
+
 # ---- O4: reports by any column --------------------------------------------------------------------
 _BY = [("data_size", True), ("storage_size", False), ("n_collections", True), ("db", False)]
 
