@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.sources.tables import computed_once
+
 KEYS = "_keys"
 
 
@@ -385,30 +387,45 @@ def _lookup(df: DataFrame, spec: dict, collections: dict[str, DataFrame]) -> Dat
         j = df.join(grouped.withColumnRenamed(name, "_found"), df[lf].eqNullSafe(grouped["_fk"]), "left")
         return j.withColumn(name, found(F.col("_found"))).drop("_fk", "_found")
     whole = F.struct(*[F.col(c) for c in df.columns])
-    each = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(lf).alias("_lk"), whole.alias("_row"))
-    each = each.select("_rid", "_row", _elements(F.col("_lk"), lists[0], outer=True).alias("_lk"))
-    if lists[0]:  # an element of its own says that there are none
-        each = each.select("_rid", "_row", F.col("_lk")["k"].alias("_lk"), F.col("_lk").isNotNull().alias("_any"))
-    else:
-        each = each.withColumn("_any", F.lit(True))
-    j = each.join(grouped.withColumnRenamed(name, "_found"), each["_any"] & each["_lk"].eqNullSafe(grouped["_fk"]), "left")
-    first = F.first("_row").alias("_row")
-    out = j.groupBy("_rid").agg(first, F.flatten(F.collect_list("_found")).alias("_found"))
-    once = F.array_sort(F.filter("_found", lambda m, i: ~F.exists(F.slice("_found", F.lit(1), i), lambda e: e["_fid"] == m["_fid"])), _by_id) if all(lists) else F.array_sort("_found", _by_id)
-    return out.select("_row.*", found(once).alias(name))
+    lk = F.col("_lk")
+    items = F.when(lk.isNull(), F.array(F.get(lk, F.lit(0)))).otherwise(F.array_distinct(lk)) if lists[0] else F.array(lk)
+    rows = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(lf).alias("_lk"), whole.alias("_row"))
+    rows = computed_once(rows, items.alias("_items")).drop("_lk")
+    # a document of one element has its matches from the join; only those of several are regrouped
+    one = rows.filter(F.size("_items") <= 1).select("_rid", "_row", F.get("_items", F.lit(0)).alias("_lk"), (F.size("_items") == 1).alias("_any"))
+    out = _matched(one, grouped.withColumnRenamed(name, "_found")).select("_row", "_found")
+    if lists[0]:
+        several = rows.filter(F.size("_items") > 1).select("_rid", "_row", F.explode("_items").alias("_lk"), F.lit(True).alias("_any"))
+        j = _matched(several, grouped.withColumnRenamed(name, "_found"))
+        j = j.groupBy("_rid").agg(F.first("_row").alias("_row"), F.flatten(F.collect_list("_found")).alias("_found"))
+        j = computed_once(j.withColumnRenamed("_found", "_each"), F.array_sort("_each", _by_id).alias("_found"))
+        again = lambda m, i: (i > 0) & (F.get("_found", i - 1)["_fid"] == m["_fid"])
+        out = out.unionByName(j.select("_row", (F.filter("_found", lambda m, i: ~again(m, i)) if lists[1] else F.col("_found")).alias("_found")))
+    return out.select("_row.*", found(F.col("_found")).alias(name))
+
+
+#: Documents of a key beyond which its group is copied, once for each so many, and the most copies.
+HOT_DOCS, MOST_COPIES = 256, 64
+
+
+def _matched(each: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``each`` (_rid, _row, _lk, _any) left joined with its key's ``_found``. The rows of a key with many documents are
+    dealt over copies of its group, so that its arrays, as many as such rows, are not all made in one task."""
+    copies = F.least(F.lit(MOST_COPIES), F.ceil(F.size("_found") / HOT_DOCS)).cast("int")
+    hot = grouped.filter(F.size("_found") > HOT_DOCS).select(F.col("_fk").alias("_hk"), copies.alias("_copies"))
+    dealt = each.join(hot, each["_any"] & each["_lk"].eqNullSafe(hot["_hk"]), "left")
+    dealt = dealt.withColumn("_at", F.pmod(F.xxhash64("_rid"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_hk", "_copies")
+    spread = grouped.select("_fk", "_found", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_copy"))
+    return dealt.join(spread, dealt["_any"] & dealt["_lk"].eqNullSafe(spread["_fk"]) & (dealt["_at"] == spread["_copy"]), "left")
 
 
 def _by_id(x: Column, y: Column) -> Column:
     return F.when(x["_fid"] < y["_fid"], -1).when(x["_fid"] > y["_fid"], 1).otherwise(0)
 
 
-def _elements(c: Column, is_list: bool, outer: bool = False) -> Column:
-    """A row for each different element of an array (null: one row of null; ``outer``: wrapped in a struct, and a null
-    instead if there is none), or the value itself."""
-    if not is_list:
-        return c
-    items = F.when(c.isNull(), F.array(F.get(c, F.lit(0)))).otherwise(F.array_distinct(c))
-    return F.explode_outer(F.transform(items, lambda x: F.struct(x.alias("k")))) if outer else F.explode(items)
+def _elements(c: Column, is_list: bool) -> Column:
+    """A row for each different element of an array (null: one row of null), or the value itself."""
+    return F.explode(F.when(c.isNull(), F.array(F.get(c, F.lit(0)))).otherwise(F.array_distinct(c))) if is_list else c
 
 
 def _unwind(df: DataFrame, spec: Any) -> DataFrame:
