@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import js_string, resolve_type, variant_canonical_type
+from tidewater.sources.tables import computed_once
 
 NS = ("database", "coll")
 MAP_VARIANT = "map<string,variant>"
@@ -25,8 +26,9 @@ def explode_fields(docs: DataFrame, ns_cols=NS, id_col: str = "doc_id",
     stays a variant null; a missing key produces no row)."""
     m = F.col(doc_col).try_cast(MAP_VARIANT)
     if text_col and text_col in docs.columns:
-        base = docs.select(*ns_cols, id_col, m.alias("_m"),
-                           F.posexplode(F.json_object_keys(F.col(text_col))).alias("pos", "key"))
+        # once per document, not once per key
+        base = computed_once(docs.select(*ns_cols, id_col, doc_col, text_col), m.alias("_m"), F.json_object_keys(F.col(text_col)).alias("_keys"))
+        base = base.select(*ns_cols, id_col, "_m", F.posexplode("_keys").alias("pos", "key"))
         return base.select(*ns_cols, id_col, "pos", "key", F.element_at("_m", F.col("key")).alias("value"))
     return docs.select(*ns_cols, id_col, F.posexplode(m).alias("pos", "key", "value"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.types import CANONICAL_TO_SPARK, js_string
+from tidewater.sources.tables import computed_once
 
 MAP_VARIANT = "map<string,variant>"
 
@@ -170,10 +171,9 @@ def map_doc_rows(docs: DataFrame, cols: list[Col], dialect: str, doc: str = "doc
     both valid rows and rejects from one pass use this directly."""
     keep = keep or []
     names = dedup_names([_clean_py(c.name, dialect) for c in cols])
-    m = F.col(doc).try_cast(MAP_VARIANT)
-    # stage 1: each field's value and its type signature, computed once per row
-    stage = docs.select(*keep, F.col(text).alias("_text"), m.alias("_m"))
-    stage = stage.select(*keep, "_text", *[F.col("_m")[c.name].alias(f"_v{i}") for i, c in enumerate(cols)])
+    # stage 1: each field's value, computed once per row; filters on what failed or warned stay above it
+    stage = computed_once(docs.select(*keep, F.col(text).alias("_text"), F.col(doc).alias("_doc")), F.col("_doc").try_cast(MAP_VARIANT).alias("_m"))
+    stage = computed_once(stage.select(*keep, "_text", "_m"), *[F.col("_m")[c.name].alias(f"_v{i}") for i, c in enumerate(cols)])
     vals, oks, warns = [], [], []
     for i, (c, n) in enumerate(zip(cols, names)):
         v = F.col(f"_v{i}")
@@ -234,11 +234,13 @@ def map_doc_fields(docs: DataFrame, schema: DataFrame, dialect: str, ns_cols: li
     the number of keys is unbounded. One row per field: namespace, id,
     ``column_name`` (at the destination), ``type``, ``value`` (as text; bytes
     as base64), ``ok``, ``warning``. Keys without a column are left out."""
-    base = docs.select(*ns_cols, id_col, F.col(doc).try_cast(MAP_VARIANT).alias("_m"),
-                       F.from_json(F.col(text), "map<string,string>").alias("_r"), F.explode(F.json_object_keys(F.col(text))).alias("_key"))
+    base = computed_once(docs.select(*ns_cols, id_col, F.col(doc).alias("_doc"), F.col(text).alias("_text")), F.col("_doc").try_cast(MAP_VARIANT).alias("_m"),
+                         F.from_json("_text", "map<string,string>").alias("_r"), F.json_object_keys("_text").alias("_keys"))
+    base = base.select(*ns_cols, id_col, "_m", "_r", F.explode("_keys").alias("_key"))
     fields = base.select(*ns_cols, id_col, "_key", F.element_at("_m", F.col("_key")).alias("_v"), F.element_at("_r", F.col("_key")).alias("_raw"))
     columns = schema.select(*ns_cols, F.col("column_name").alias("_key"), F.col("final_name").alias("column_name"), "type")
-    f = fields.join(columns, [*ns_cols, "_key"])
+    # dealt by document again: a collection's documents all have the same few keys, which lie in few tasks of the join
+    f = fields.join(columns, [*ns_cols, "_key"]).repartition(*ns_cols, id_col)
     value, ok, warning = F.lit(None).cast("string"), F.lit(True), F.lit(None).cast("string")
     for kind, alike in FAMILIES.items():
         is_kind = F.col("type").isin(kind, *alike)
