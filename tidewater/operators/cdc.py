@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import keys as keys_of
 from tidewater.functions.windows import range_ffill
+from tidewater.sources.tables import computed_once
 
 POS = ["pos_hi", "pos_lo", "pos_seq"]
 
@@ -136,17 +137,17 @@ def split_key_changes(events: DataFrame, old_key: str = "old_key") -> DataFrame:
     """An update whose before-image key differs from its new key (a primary
     key change) becomes delete(old key) + insert(new row) at the same
     position; the delete sorts first (seq * 2 vs seq * 2 + 1). Without this
-    the old row would stay behind. Other events keep their order."""
+    the old row would stay behind. Other events keep their order. One pass: the
+    log is read and parsed once."""
+    cols = [c for c in events.columns if c != old_key]
+    base = events.select(F.inline(F.array(F.struct(*events.columns)))).withColumn("pos_seq", F.col("pos_seq") * 2 + 1)
     changed = (F.col("op") == "update") & F.col(old_key).isNotNull() & (F.col(old_key) != F.col("key"))
-    cols = [c for c in events.columns if c not in (old_key,)]
-    base = events.withColumn("pos_seq", F.col("pos_seq") * 2 + 1)
-    keep = base.filter(~changed | F.col(old_key).isNull()).drop(old_key)
-    moved = base.filter(changed)
-    dels = moved.select(*[F.lit("delete").alias(c) if c == "op" else F.col(old_key).alias(c) if c == "key"
-                          else F.lit(None).cast("string").alias(c) if c == "doc"
-                          else (F.col("pos_seq") - 1).alias(c) if c == "pos_seq" else F.col(c) for c in cols])
-    ins = moved.select(*[F.lit("insert").alias(c) if c == "op" else F.col(c) for c in cols])
-    return keep.unionByName(dels).unionByName(ins)
+    same = F.struct(*cols)
+    gone = F.struct(*[F.lit("delete").alias(c) if c == "op" else F.col(old_key).alias(c) if c == "key"
+                      else F.lit(None).cast("string").alias(c) if c == "doc"
+                      else (F.col("pos_seq") - 1).alias(c) if c == "pos_seq" else F.col(c) for c in cols])
+    new = F.struct(*[F.lit("insert").alias(c) if c == "op" else F.col(c) for c in cols])
+    return base.select(F.inline(F.when(changed, F.array(gone, new)).when(~changed | F.col(old_key).isNull(), F.array(same))))
 
 
 # -- C4, C5, C13 ------------------------------------------------------------------------------
@@ -176,7 +177,7 @@ def validate(events: DataFrame, columns: dict[str, str], key: str | list[str]) -
     has no key or a present, non-null field does not convert to the target
     column type; the dead letter keeps the position and the error text."""
     errs = [F.when(F.col("key").isNull(), F.lit("missing key"))]
-    d = events.withColumn("_dm", doc_map())
+    d = computed_once(events, doc_map().alias("_dm"))
     for c, t in columns.items():
         if c in ([key] if isinstance(key, str) else key):
             continue
