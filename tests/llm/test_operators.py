@@ -341,6 +341,18 @@ def test_line_dedup_takes_short_lines(spark):
     assert {(r.doc_id, r.line_no) for r in lines.removed_lines(df).collect()} == gone
 
 
+def test_long_unlike_lines_are_not_verified(spark, monkeypatch):
+    """Lines of 150 words that share frequent words only: nearly no pair passes the filters, and near ones are found."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{k}" for k in rng.choice(1500, 150, replace=False)) for _ in range(300)]
+    texts += [t.rsplit(" ", 5)[0] for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tried, real = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    assert {r.doc_id for r in lines.removed_lines(df).collect()} == set(range(300, 320))
+    assert sum(tried) < 100
+
+
 def test_line_dedup_runs_no_python(small):
     plan = lines.clean(small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
