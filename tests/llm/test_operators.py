@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -214,6 +215,25 @@ def test_suffix_shared_passage_is_shipped_once_a_task(spark, tmp_path):
     assert got == brute_spans(text_of(df))
 
 
+def test_segment_keys_take_little_memory():
+    """Keys tell segments apart by all their bytes, and no array of an index a byte is made for them."""
+    data = np.random.default_rng(0).integers(0, 256, 400_000, np.uint8)
+    start = np.arange(0, 390_000, 4)
+    length = np.full(len(start), 2 * 48 - 8)
+    tracemalloc.start()
+    a, b = suffixes.segment_keys(data, start, length)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * len(start)
+    whole = data.tobytes()
+    for i in (0, 1, len(start) - 1):
+        for at, key in ((start[i], a[i]), (start[i] + 40, b[i])):
+            h = suffixes.mix64(np.frombuffer(whole[at:at + 8], "<u8"))
+            for k in range(8, 48, 8):
+                h = suffixes.mix64(h * np.uint64(0x9E3779B97F4A7C15) + np.frombuffer(whole[at + k:at + k + 8], "<u8"))
+            assert h[0] == key
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=8))
 def test_columns_are_the_suffix_order(tmp_path_factory, strings):
