@@ -212,3 +212,15 @@ def test_phrases_filter_holds_all_of_its_phrases(spark):
     words = phrases.np.arange(10000)
     held = phrases.passes(bits, phrases.grown(phrases.grown(phrases.start_of("en"), words), words * 7))
     assert held[:5000].all() and held[5000:].mean() < 0.01
+
+
+def test_phrases_words_are_named_once_before_any_join(spark, monkeypatch):
+    """Many runs name the same words; what joins the frequent words has a row a word."""
+    runs = spark.createDataFrame([([1, 2, 3], ["a", "b", "c"])] * 40 + [([4, 1], ["d", "a"])], "named array<long>, words array<string>").repartition(5)
+    assert sorted(map(tuple, phrases.names(runs).collect())) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    joins = []
+    real = type(runs).join
+    monkeypatch.setattr(type(runs), "join", lambda self, other, on=None, how=None: joins.append((on, how)) or real(self, other, on, how))
+    df = spark.createDataFrame([("en", "a b c a b d")] * 5, "lang string, text string")
+    assert phrases.collocations(df, 3, 5).count() > 0
+    assert [how for on, how in joins if on == "hashes"] == [None]  # all runs' rows met the frequent words in a left_semi one

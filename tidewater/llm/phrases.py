@@ -226,6 +226,12 @@ def lift(a: str, n: str, left: str, right: str) -> Column:
     return F.expr(f"(cast(1000 as decimal(4, 0)) * {wide(a)} * {wide(n)}) div ({wide(left)} * {wide(right)})")
 
 
+def names(corpus: DataFrame) -> DataFrame:
+    """hashes, word: one row for each word, however many runs name it."""
+    each = corpus.select(F.inline(F.arrays_zip(F.col("named").alias("hashes"), F.col("words").alias("word"))))
+    return each.groupBy("hashes").agg(F.min("word").alias("word"))
+
+
 def collocations(docs: DataFrame, least: int = LEAST, wanted: int = WANTED, most_words: int = MOST_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``wanted`` phrases."""
     with small_batches(docs.sparkSession, BATCH, ROWS):
@@ -240,9 +246,7 @@ def found_in(docs: DataFrame, least: int, wanted: int, most_words: int) -> DataF
         if words.groupBy("hashes").agg(F.min("second").alias("x"), F.max("other").alias("y")).where("x <> y").isEmpty():
             break
     often = words.where(F.col("a") >= least)
-    named = corpus.select(F.inline(F.arrays_zip(F.col("named").alias("hashes"), F.col("words").alias("word"))))
-    named = named.join(often.select("hashes").distinct(), "hashes", "left_semi").groupBy("hashes").agg(F.min("word").alias("word"))
-    frequent = saved(often.join(named, "hashes").select("lang", F.array("hashes").alias("p"), "a", "word"), "phrases-frequent")
+    frequent = saved(often.join(names(corpus), "hashes").select("lang", F.array("hashes").alias("p"), "a", "word"), "phrases-frequent")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"), F.max("a").alias("most"))
     open_langs = saved(totals.where(F.col("most") >= least), "phrases-langs")
     totals = open_langs
