@@ -215,6 +215,24 @@ def test_suffix_shared_passage_is_shipped_once_a_task(spark, tmp_path):
     assert got == brute_spans(text_of(df))
 
 
+def test_suffix_occurrences_are_not_shuffled(spark, monkeypatch):
+    """Shards answer packs, whose directories know the places; no row for each segment of each text meets a join."""
+    monkeypatch.setattr(suffixes, "PACK_BYTES", 20_000)
+    passage = " ".join(f"footer{k * k}" for k in range(40))
+    df = spark.createDataFrame([(i, f"{i:04d} {passage} {i * 7919:09d} {passage[100:200]}") for i in range(300)], "doc_id long, text string").repartition(3)
+    rows = suffixes.packed(df, 8).collect()
+    packs = {r.pack for r in rows}
+    assert sorted(r.pack for r in rows if r.shard < 0) == sorted(packs) and len(packs) > 5
+    spans = suffixes.removed_spans(df)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+    gone = collections.defaultdict(set)
+    for r in spans.collect():
+        gone[r.doc_id].update(range(r.start, r.start + r.length))
+    texts = text_of(df)
+    assert {d: len(gone[d]) for d in texts} == {d: v[1] for d, v in brute_spans(texts).items()}
+
+
 def test_segment_keys_take_little_memory():
     """Keys tell segments apart by all their bytes, and no array of an index a byte is made for them."""
     data = np.random.default_rng(0).integers(0, 256, 400_000, np.uint8)

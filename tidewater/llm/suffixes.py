@@ -4,15 +4,16 @@ Every string of ``LENGTH`` bytes is assigned to a shard by its minimizer (the le
 equal strings meet in one shard. Strings that follow each other and have the same minimizer form a segment of at most
 LENGTH + WINDOWS - 1 bytes. Equal segments of the texts that a task cuts at a time become one, with the least and the
 greatest doc_id that have it, before they are shipped, packed with others of their task and shard and compressed; so a
-shard gets a passage once for each ``PACK_BYTES`` of text at most, not once for each document. What a shard finds for a
-segment (the earliest document of each string) is joined back to its occurrences by a 128-bit key and the length, a
-plain join that adaptive execution splits.
+shard gets a passage once for each ``PACK_BYTES`` of text at most, not once for each document. Which segments lie where
+in a pack's documents stays in a directory of the pack (about a byte for each different segment); a shard answers each
+pack with the places in its blob of the segments that lose bytes and the earliest document of each of their strings, so
+occurrences are never shuffled.
 
 A shard builds the Burrows-Wheeler transform and the longest common prefixes of its segments column by column: round j
 inserts, for each segment, the suffix of j bytes; the place follows from the symbols before it in the transform (a
 stable sort of the last round's transform), and the common prefixes with both neighbours from the least prefixes
-between occurrences of its first symbol. The transform and the prefixes stream through two files each, read and written
-in order once a round, in a folder of the task that goes with it. Rounds are bounded by the longest segment, whatever
+between occurrences of its first symbol. The transform and the prefixes stream through two mapped files each, read and
+written in order once a round, in a folder of the task that goes with it. Rounds are bounded by the longest segment, whatever
 the documents' lengths. Segments that come to a shard several times are inserted once, and those that share no gram of
 ``PROOF`` bytes chosen by its hash with another segment or document can't hold a repeated string and are left out.
 
@@ -28,6 +29,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import shutil
 import tempfile
@@ -36,6 +38,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +47,24 @@ from tidewater.llm.common import map_rows, mix64, read_table, saved, utf8_of
 LENGTH, GRAM, PROOF = 50, 12, 44
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes of segments in a shard, and the bytes of segments for each byte of text (from the lengths above).
-SHARD_BYTES, BLOW_UP = 12 << 20, 3.5
+SHARD_BYTES, BLOW_UP = 8 << 20, 3.5
 #: Bytes of text that a task cuts into segments at a time.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 10 << 20
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` bytes from each place on (size: a multiple of 4, 8 at least)."""
     n = len(data) - size + 1
-    wide = lambda at: np.array(np.ndarray((n,), "<u8", data, at, (1,)))
-    h = mix64(wide(0))
-    for at in [*range(8, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + wide(at))
-    return h
+    wide = lambda at, n: np.array(np.ndarray((n,), "<u8", data, at, (1,)))
+    if size < 16:
+        h = mix64(wide(0, n))
+        return mix64(h * np.uint64(0x9E3779B97F4A7C15) + wide(size - 8, n)) if size % 8 else h
+    h, done = mix64(wide(0, len(data) - 7)), 8
+    while done < size:  # from two hashes of ``done`` bytes, which may overlap
+        step = min(done, size - done)
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * done) + h[step:]
+        done += step
+    return mix64(h)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,13 +139,15 @@ def segment_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tup
 
 
 def distinct(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different key occurs first, and the number of each entry's key."""
-    order = np.lexsort((length, b, a))
+    """Where each different key occurs first, and the number of each entry's key. (Keys of one mixed hash, if there ever
+    are, may come apart; equal segments that do only cost a second entry.)"""
+    mixed = mix64(a * np.uint64(0x9E3779B97F4A7C15) + b) + length.astype(np.uint64)
+    order = np.argsort(mixed)
     new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (a, b, length)])
+    new[1:] = np.logical_or.reduce([np.diff(x[order]) != 0 for x in (a, b, length)])
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    return order[new], which
+    return (np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order), which
 
 
 def bounds_of(which: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,54 +179,59 @@ def cut(docs: DataFrame, flush: Callable[[list, list, list], pa.RecordBatch | No
 
 
 def packed(docs: DataFrame, n_shards: int) -> DataFrame:
-    """shard, and blobs of the different segments of many texts: least and greatest doc_id, strings of each; their bytes."""
+    """For each pack of many texts and shard a row with a blob of the different segments there: least and greatest doc_id,
+    strings of each; their bytes. And a row for each pack, with a negative shard, that holds its directory: ids, text
+    hashes and numbers of segments of its texts; shard and strings of each different segment, by first place, and the
+    step of these numbers from each segment in the texts to the next."""
     def flush(ids: list, hashes: list, texts: list) -> pa.RecordBatch | None:
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=1).compress
         data, text, start, count, least = segments(texts)
         if not len(start):
             return None
         pick, which = distinct(*segment_keys(data, start, count + LENGTH - 1), count)
+        by_place = np.argsort(pick)
+        number = np.empty(len(pick), np.int64)
+        number[by_place] = np.arange(len(pick))
+        pick, which = pick[by_place], number[which]
         doc = np.array(ids, np.int64)[text]
         low, high = bounds_of(which, len(pick), doc, doc)
-        shard = (mix64(least[pick]) % np.uint64(n_shards)).astype(np.int64)
-        order = np.lexsort((pick, shard))
+        shard = (mix64(least[pick]) % np.uint64(n_shards)).astype(np.int32)
+        known = np.array([ids, hashes], np.int64).tobytes()
+        # told by its contents too: answers to another cut of the texts, by a lost task, would meet no directory
+        task = TaskContext.get()
+        nth[0] += 1
+        pack = int.from_bytes(hashlib.blake2b(known + f"{task.partitionId() if task else 0} {nth[0]}".encode(), digest_size=8).digest(), "little", signed=True)
+        directory = known + np.bincount(text, minlength=len(ids)).astype(np.int32).tobytes()
+        inside = shard.tobytes() + count[pick].astype(np.uint8).tobytes() + np.diff(which, prepend=np.int64(0)).astype(np.int32).tobytes()
+        dense = zstandard.ZstdCompressor(level=3).compress
+        rows = [(pack, -1 - pack % n_shards, len(pick), dense(directory), dense(inside))]
+        order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-        rows = []
         for k in range(n_shards):
             i = order[bounds[k]:bounds[k + 1]]
             if len(i):
                 head = np.concatenate([np.diff(low[i], prepend=np.int64(0)).view(np.uint8), (high[i] - low[i]).view(np.uint8), count[pick[i]].astype(np.uint8)])
-                rows.append((k, len(i), press(head.tobytes()), press(gather(data, start[pick[i]], count[pick[i]] + LENGTH - 1).tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "n", "head", "data"])
-    return cut(docs, flush, "shard int, n int, head binary, data binary")
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """a, b, n (key and strings of a segment), doc_id, text_hash, start: one row for each segment of each text."""
-    def flush(ids: list, hashes: list, texts: list) -> pa.RecordBatch | None:
-        data, text, start, count, _ = segments(texts)
-        if not len(start):
-            return None
-        a, b = segment_keys(data, start, count + LENGTH - 1)
-        begin = np.cumsum([0, *map(len, texts)])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a.view(np.int64), b.view(np.int64), count.astype(np.int32), np.array(ids, np.int64)[text], np.array(hashes, np.int64)[text], (start - begin[text]).astype(np.int32))], names=["a", "b", "n", "doc_id", "text_hash", "start"])
-    return cut(docs, flush, "a long, b long, n int, doc_id long, text_hash long, start int")
+                rows.append((pack, k, len(i), press(head.tobytes()), press(gather(data, start[pick[i]], count[pick[i]] + LENGTH - 1).tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["pack", "shard", "n", "head", "data"])
+    nth = [0]  # of a task's packs
+    return cut(docs, flush, "pack long, shard int, n int, head binary, data binary")
 
 
 class Columns:
-    """The transform and the common prefixes of the rounds, in files that are read and written in order."""
+    """The transform and the common prefixes of the rounds, in mapped files that are read and written in order."""
 
-    def __init__(self, folder: str):
-        self.names = [[os.path.join(folder, f"{x}{i}") for x in ("symbols", "prefixes")] for i in range(2)]
+    def __init__(self, folder: str, most: int, dtype):
+        self.pairs = [[np.memmap(os.path.join(folder, f"{x}{i}"), t, "w+", shape=(most,)) for x, t in (("symbols", dtype), ("prefixes", np.uint8))] for i in range(2)]
+        self.n = 0
 
-    def read(self, dtype) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.names[0][0], dtype), np.fromfile(self.names[0][1], np.uint8)
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.asarray(x[:self.n]) for x in self.pairs[0])
 
-    def write(self, symbols: np.ndarray, prefixes: np.ndarray) -> None:
-        """To the other pair of files, which is the one to read from then on."""
-        self.names.reverse()
-        for name, column in zip(self.names[0], (symbols, prefixes), strict=True):
-            column.tofile(name)
+    def fresh(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The other pair of files, for ``n`` entries, which is the one to read from then on."""
+        self.pairs.reverse()
+        self.n = n
+        return self.read()
 
 
 def places(symbols: np.ndarray, n_strings: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +243,20 @@ def places(symbols: np.ndarray, n_strings: int) -> tuple[np.ndarray, np.ndarray]
     return order, to
 
 
+def numbers_of(symbols: np.ndarray, counts: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers in the stable order of the entries ``at``, which are grouped by symbol and ascend in each group, as the
+    order's entries do. ``counts``: of each symbol."""
+    ends = np.cumsum(counts)
+    mine = symbols[at]
+    bounds = [0, *(np.flatnonzero(mine[1:] != mine[:-1]) + 1).tolist(), len(at)]
+    out = np.empty(len(at), np.int64)
+    for i, k in itertools.pairwise(bounds):
+        symbol = int(mine[i])
+        begin = int(ends[symbol - 1]) if symbol else 0
+        out[i:k] = np.searchsorted(order[begin:int(ends[symbol])], at[i:k]) + begin
+    return out
+
+
 def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """The least of x from start to before end, for each valid range. Ranges go by descending start, so that the
     stretch between two ranges costs nothing."""
@@ -247,18 +276,22 @@ def collection(data: np.ndarray, length: np.ndarray, folder: str, depth: int = L
     dtype = np.uint8 if not (data == 0).any() else np.uint16
     text = data.astype(dtype) + (1 if dtype == np.uint16 else 0)  # 0 is the end of a string
     symbol = lambda i, j: np.where(j < length[i], text[np.minimum(begin[i] + length[i] - 1 - j, len(text) - 1)], 0).astype(dtype)
-    files = Columns(folder)
+    files = Columns(folder, m + len(data), dtype)
     who = np.arange(m)
-    files.write(symbol(who, 0), np.zeros(m, np.uint8))
+    symbols, prefixes = files.fresh(m)
+    symbols[:], prefixes[:] = symbol(who, 0), 0
+    tally = lambda column: np.bincount(column, minlength=257)
+    counts = tally(symbols)
     at = who.copy()  # place of each string's longest suffix so far
     for j in range(1, int(length.max()) + 1):
-        old, prefix = files.read(dtype)
+        old, prefix = files.read()
         active = length[who] >= j
-        who, at = who[active], at[active]
-        order, to = places(old, m)
-        new = to[at]
-        shift = m - int((old == 0).sum())
-        t = new - shift  # the entry's number in the stable order
+        who, at = who[active], at[active]  # ascending places, so that the columns are read in order
+        group = np.argsort(old[at], kind="stable")
+        who, at = who[group], at[group]
+        order = np.argsort(old, kind="stable")
+        t = numbers_of(old, counts, order, at)
+        new = t + m - int(counts[0])  # the place of the longer suffix
         # the least prefix between an entry and the entries before and after it with the same symbol
         first, last = order[np.maximum(t - 1, 0)], order[np.minimum(t + 1, len(order) - 1)]
         has_first = (t > 0) & (old[first] == old[at])
@@ -268,16 +301,17 @@ def collection(data: np.ndarray, length: np.ndarray, folder: str, depth: int = L
         n = len(old) + len(new)
         added = np.zeros(n, bool)
         added[new] = True
-        symbols, prefixes = np.empty(n, dtype), np.empty(n, np.uint8)
-        symbols[new] = symbol(who, np.int64(j))
+        symbols, prefixes = files.fresh(n)
+        more = symbol(who, np.int64(j))
+        counts += tally(more)
+        symbols[new] = more
         symbols[~added] = old
         prefixes[~added] = prefix
         behind = new + 1 < n
         prefixes[(new + 1)[behind]] = after[behind]
         prefixes[new] = before
-        files.write(symbols, prefixes)
         at = new
-    return files.read(dtype)
+    return files.read()
 
 
 def string_classes(data: np.ndarray, length: np.ndarray, folder: str) -> np.ndarray:
@@ -318,8 +352,9 @@ def candidates(data: np.ndarray, start: np.ndarray, length: np.ndarray, several:
     return found
 
 
-def shard_earliest(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """a, b, n of one shard's segments that a document can lose bytes of, and the least doc_id of each of their strings."""
+def shard_earliest(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each blob of one shard: the places there of the segments that a document of its pack can lose bytes of, and the
+    least doc_id of each of their strings."""
     grow = zstandard.ZstdDecompressor().decompress
     lows, highs, counts = [], [], []
     for n, head in heads:
@@ -331,13 +366,12 @@ def shard_earliest(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[
     data = np.frombuffer(b"".join(map(grow, blobs)), np.uint8)
     length = count + LENGTH - 1
     begin = np.cumsum(length) - length
-    a, b = segment_keys(data, begin, length)
-    pick, which = distinct(a, b, count)
-    low, high = bounds_of(which, len(pick), low, high)
-    use = np.flatnonzero(candidates(data, begin[pick], length[pick], low < high))
-    none = (np.zeros(0, np.int64),) * 3
+    pick, which = distinct(*segment_keys(data, begin, length), count)
+    first_doc, last_doc = bounds_of(which, len(pick), low, high)
+    use = np.flatnonzero(candidates(data, begin[pick], length[pick], first_doc < last_doc))
+    none = np.zeros(0, np.int64)
     if not len(use):
-        return *none, []
+        return [(none, none)] * len(heads)
     folder = tempfile.mkdtemp(prefix="columns-")
     try:
         classes = string_classes(gather(data, begin[pick[use]], length[pick[use]]), length[pick[use]], folder)
@@ -345,42 +379,90 @@ def shard_earliest(heads: list[tuple[int, bytes]], blobs: list[bytes]) -> tuple[
         shutil.rmtree(folder, ignore_errors=True)
     strings = count[pick[use]]
     earliest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(earliest, classes, np.repeat(low[use], strings))
+    np.minimum.at(earliest, classes, np.repeat(first_doc[use], strings))
     earliest = earliest[classes]
     first = np.cumsum(strings) - strings
-    some = np.flatnonzero(np.logical_or.reduceat(earliest < np.repeat(high[use], strings), first))
-    at = pick[use[some]]
-    return a[at].view(np.int64), b[at].view(np.int64), count[at], [earliest[f:f + n].tobytes() for f, n in zip(first[some].tolist(), strings[some].tolist(), strict=True)]
+    least = np.full(len(pick), np.iinfo(np.int64).max)
+    least[use] = np.minimum.reduceat(earliest, first)
+    place = np.zeros(len(pick), np.int64)
+    place[use] = first
+    out, end = [], 0
+    for n, _ in heads:
+        mine, end = slice(end, end + n), end + n
+        lose = np.flatnonzero(least[which[mine]] < high[mine])
+        out.append((lose, gather(earliest, place[which[mine][lose]], count[mine][lose])))
+    return out
+
+
+def answers(group: pa.Table) -> pa.Table:
+    """What a shard finds for each pack (places in its blob, earliest documents); directories pass."""
+    columns = [group.column(c).to_pylist() for c in ("pack", "shard", "n", "head", "data")]
+    if columns[1][0] < 0:
+        return group.select(["pack", "shard", "head", "data"])
+    pack, shard, n, head, data = columns
+    press = zstandard.ZstdCompressor(level=3).compress
+    rows = [(p, k, press(np.diff(lose, prepend=np.int64(0)).astype(np.int32).tobytes()), press(earliest.tobytes()))
+            for p, k, (lose, earliest) in zip(pack, shard, shard_earliest(list(zip(n, head, strict=True)), data), strict=True) if len(lose)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["pack", "shard", "head", "data"])
 
 
-def spans_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """The bytes to remove of occurrences with the earliest document of each of their strings."""
-    n = batch.column("n").to_numpy().astype(np.int64)
-    doc, at = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
-    earliest = np.frombuffer(b"".join(batch.column("earliest").to_pylist()), np.int64)
+def covered(doc: np.ndarray, text_hash: np.ndarray, at: np.ndarray, n: np.ndarray, earliest: np.ndarray) -> list[np.ndarray]:
+    """doc_id, text_hash, start, length of the bytes to remove of occurrences, by the earliest document of each of their strings."""
     owner = np.repeat(np.arange(len(n)), n)
     gone = earliest < doc[owner]
     place = np.arange(len(gone)) - np.repeat(np.cumsum(n) - n, n)
     new = gone & ~(np.append(False, gone[:-1]) & np.append(False, owner[1:] == owner[:-1]))
     from_ = np.flatnonzero(new)
-    if not len(from_):
-        return None
-    size = np.add.reduceat(gone.astype(np.int64), from_)
+    size = np.add.reduceat(gone.astype(np.int64), from_) if len(from_) else from_
     who = owner[from_]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[who], batch.column("text_hash").to_numpy()[who], (at[who] + place[from_]).astype(np.int32), (size + LENGTH - 1).astype(np.int32))], names=["doc_id", "text_hash", "start", "length"])
+    return [doc[who], text_hash[who], (at[who] + place[from_]).astype(np.int32), (size + LENGTH - 1).astype(np.int32)]
+
+
+def spans_of(group: pa.Table) -> pa.Table:
+    """The bytes to remove of the documents of one pack, from its directory and the answers of the shards."""
+    grow = zstandard.ZstdDecompressor().decompress
+    shards, heads, blobs = (group.column(c).to_pylist() for c in ("shard", "head", "data"))
+    d = next((i for i, k in enumerate(shards) if k < 0), None)
+    if d is None:
+        raise RuntimeError("answers to a pack that is not there: the documents were cut anew in between")
+    head, inside = grow(heads[d]), grow(blobs[d])
+    n_docs = len(head) // 20
+    ids, hashes = np.frombuffer(head, np.int64, 2 * n_docs).reshape(2, n_docs)
+    per_doc = np.frombuffer(head, np.int32, n_docs, 16 * n_docs)
+    total = int(per_doc.sum())
+    n = (len(inside) - 4 * total) // 5
+    shard = np.frombuffer(inside, np.int32, n)
+    strings = np.frombuffer(inside, np.uint8, n, 4 * n).astype(np.int64)
+    which = np.cumsum(np.frombuffer(inside, np.int32, total, 5 * n), dtype=np.int64)
+    order = np.argsort(shard, kind="stable")  # the segments as they lie in the shards' blobs
+    begin = np.searchsorted(shard[order], np.array(shards))
+    place = np.full(n, -1)
+    answer, held = [], 0
+    for i, k in enumerate(shards):
+        if k >= 0:
+            lose = order[begin[i] + np.cumsum(np.frombuffer(grow(heads[i]), np.int32), dtype=np.int64)]
+            place[lose] = held + np.cumsum(strings[lose]) - strings[lose]
+            answer.append(np.frombuffer(grow(blobs[i]), np.int64))
+            held += len(answer[-1])
+    earliest = np.concatenate([np.zeros(0, np.int64), *answer])
+    text = np.repeat(np.arange(n_docs), per_doc)
+    size = strings[which]
+    at = np.cumsum(size) - size  # segments lie side by side from each text's start
+    at -= np.repeat(at[(np.cumsum(per_doc) - per_doc).clip(max=max(0, total - 1))], per_doc)
+    lost = np.flatnonzero(place[which] >= 0)
+    parts = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]]
+    for i in range(0, len(lost), 1 << 15):
+        o = lost[i:i + (1 << 15)]
+        parts.append(covered(ids[text[o]], hashes[text[o]], at[o], size[o], gather(earliest, place[which[o]], size[o])))
+    return pa.table(list(map(np.concatenate, zip(*parts, strict=True))), names=["doc_id", "text_hash", "start", "length"])
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, length of covered bytes; spans of one text may touch or overlap."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(8, int(total * BLOW_UP / SHARD_BYTES) + 1)
-
-    def run(group: pa.Table) -> pa.Table:
-        a, b, n, earliest = shard_earliest(list(zip(group.column("n").to_pylist(), group.column("head").to_pylist(), strict=True)), group.column("data").to_pylist())
-        return pa.table({"a": a, "b": b, "n": n.astype(np.int32), "earliest": pa.array(earliest, pa.binary())})
-    found = saved(packed(docs, n_shards).groupBy("shard").applyInArrow(run, "a long, b long, n int, earliest binary"), "repeated")
-    there = occurrences(docs).join(found, ["a", "b", "n"]).select("doc_id", "text_hash", "start", "n", "earliest")
-    return map_rows(there, lambda: spans_of, "doc_id long, text_hash long, start int, length int")
+    found = saved(packed(docs, n_shards).groupBy("shard").applyInArrow(answers, "pack long, shard int, head binary, data binary"), "repeated")
+    return found.groupBy("pack").applyInArrow(spans_of, "doc_id long, text_hash long, start int, length int")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
