@@ -370,6 +370,29 @@ def test_pause_and_reenable(spark):
     assert out == [(0, 0, 2, 13, "resolved"), (1, 10, 12, 13, "resolved")]
 
 
+def test_pause_replay_fills_changed_rules_only(spark):
+    """Samples of rules without a change take no part in the fill; state and segment are those of the latest change."""
+    h = 3_600_000
+    changes = [(1, 30 * h, "disable"), (1, 55 * h, "enable"), (1, 80 * h, "disable"), (1, 81 * h, "enable"), (2, 10 * h, "enable"), (2, 70 * h, "disable"), (9, h, "disable")]
+    samples = [(r, k, k * 5 * h, float(k), k % 3 > 0, 1) for r in (1, 2, 3, 4) for k in range(24)]
+    samples += [(r, 99, None, 0.0, False, 1) for r in (1, 3)]  # without a time: in no segment
+    ev = spark.createDataFrame(samples, "rule_id long, event_id long, ts_ms long, value double, cond boolean, duration_minutes int")
+    ch = spark.createDataFrame(changes, "rule_id long, change_ms long, action string")
+    out = al.with_rule_changes(ev, ch)
+    want = set()
+    for r, k, t, *_ in samples:
+        past = [a for c, at, a in sorted(changes, key=lambda x: x[1]) if t is not None and c == r and at <= t]
+        if t is None:
+            want.add((r, k, None))
+        elif not past or past[-1] == "enable":
+            want.add((r, k, past.count("enable")))
+    assert {(x.rule_id, x.event_id, x.seg) for x in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1
+    events = al.events_with_pauses(ev, ch)._jdf.queryExecution().optimizedPlan().toString()
+    assert events.count("_change") == 0  # the replay is written once, not run again for each use
+
+
 def test_bootstrap_modes(spark):
     src = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id long, a string, b string")
     dest = spark.createDataFrame([(9, "old", "row")], "id long, a string, b string")
