@@ -391,6 +391,35 @@ def test_long_unlike_lines_are_not_verified(spark, monkeypatch):
     assert sum(tried) < 100
 
 
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_line_dedup_any_number_of_heavy_words(spark, monkeypatch, most):
+    """The same lines go whether words have few postings, whose classes all meet, or many, whose hubs come first."""
+    rng = np.random.default_rng(1)
+    base = [[f"w{k}" for k in rng.choice(60, 12, replace=False)] for _ in range(40)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:i % 12], f"new{i % 5}", *w[i % 12 + 1 + i % 2:]]) for i, w in enumerate(base * 3)]
+    texts = {i: "\n".join(texts[i::50]) for i in range(50)}
+    monkeypatch.setattr(lines, "HEAVY", most)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in lines.removed_lines(df).orderBy("doc_id", "line_no").collect():
+        got[r.doc_id].append(r.line_no)
+    assert got == brute_lines(texts) and got
+
+
+def test_line_dedup_moves_no_unneeded_text(spark, tmp_path, monkeypatch):
+    """No line is written or shuffled as text but those of the pairs to verify; words with few postings need no table of them."""
+    rng = np.random.default_rng(2)
+    texts = ["\n".join(" ".join(f"w{k}" for k in rng.choice(100000, 40)) for _ in range(10)) for _ in range(50)]
+    texts[7] = texts[3].split("\n")[4] + " more"
+    written, real = {}, lines.saved
+    monkeypatch.setattr(lines, "saved", lambda df, name, **o: written.setdefault(name, real(df, name, **o)))
+    monkeypatch.setattr(lines, "forget", lambda df: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.doc_id, r.line_no) for r in lines.removed_lines(df).collect()] == [(7, 0)]
+    assert "line" not in written["line-features"].columns and written["line-features"].count() == 491
+    assert sorted((r.doc_id, r.line_no) for r in written["line-texts"].collect()) == [(3, 4), (7, 0)]
+
+
 def test_line_dedup_runs_no_python(small):
     plan = lines.clean(small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
